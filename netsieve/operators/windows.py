@@ -61,10 +61,10 @@ def buffer_stats(df: DataFrame, value: str, key: str = "flow_key", ts: str = "ts
     width = int(bucket_seconds * 1_000_000)
     if with_iat:
         d = with_prev(df, key, ts, order_id, bucket_seconds)
-        d = d.withColumn("_iat", (F.col("_us") - F.col("_prev_us")) / F.lit(1000.0))
+        d = d.withColumn("_iat", F.col("_us") - F.col("_prev_us"))
     else:
         d = df.withColumn("_us", epoch_us(ts)).withColumn("_b", F.floor(F.col("_us") / F.lit(width)))
-        d = d.withColumn("_iat", F.lit(None).cast("double"))
+        d = d.withColumn("_iat", F.lit(None).cast("long"))
     nxt = F.floor((F.col("_us") + F.lit(int(window_seconds * 1_000_000))) / F.lit(width))
     d = d.withColumn("_home", F.col("_b")).withColumn(
         "_b", F.explode(F.when(nxt > F.col("_b"), F.array(F.col("_b"), nxt)).otherwise(F.array(F.col("_b")))))
@@ -78,8 +78,10 @@ def buffer_stats(df: DataFrame, value: str, key: str = "flow_key", ts: str = "ts
         stats[f"_sd_{tag}"] = F.expr(f"stddev_pop({v}) {frame}")
         stats[f"_var_{tag}"] = F.expr(f"var_pop({v}) {frame}")
         if with_iat:
-            stats[f"_im_{tag}"] = F.expr(f"avg(_iat) {frame}")
-            stats[f"_is_{tag}"] = F.expr(f"stddev_pop(_iat) {frame}")
+            # integer microsecond moments: exact sums, so mean and std do not depend on summation order
+            stats[f"_ik_{tag}"] = F.expr(f"count(_iat) {frame}")
+            stats[f"_i1_{tag}"] = F.expr(f"sum(_iat) {frame}")
+            stats[f"_i2_{tag}"] = F.expr(f"sum(CAST(_iat AS DECIMAL(38,0)) * CAST(_iat AS DECIMAL(38,0))) {frame}")
             stats[f"_ix_{tag}"] = F.expr(f"max(_iat) {frame}")
             stats[f"_in_{tag}"] = F.expr(f"min(_iat) {frame}")
     d = d.select(*df.columns, "_home", "_b", *[c.alias(n) for n, c in stats.items()])
@@ -91,10 +93,13 @@ def buffer_stats(df: DataFrame, value: str, key: str = "flow_key", ts: str = "ts
 
     out = [pick("n").alias("n_buffer"), pick("sd").alias("pkt_len_std"), pick("var").alias("pkt_len_var")]
     if with_iat:
-        out += [F.coalesce(pick("im"), F.lit(0.0)).alias("flow_iat_mean"),
-                F.coalesce(pick("is"), F.lit(0.0)).alias("flow_iat_std"),
-                F.coalesce(pick("ix"), F.lit(0.0)).alias("flow_iat_max"),
-                F.coalesce(pick("in"), F.lit(0.0)).alias("flow_iat_min")]
+        k, s1, s2 = pick("ik"), pick("i1"), pick("i2")
+        mean_us = F.try_divide(s1.cast("double"), k.cast("double"))
+        var_num = k.cast("decimal(38,0)") * s2 - s1.cast("decimal(38,0)") * s1.cast("decimal(38,0)")
+        std_us = F.try_divide(F.sqrt(var_num.cast("double")), k.cast("double"))
+        ms = lambda c: F.coalesce(c.cast("double") / F.lit(1000.0), F.lit(0.0))
+        out += [ms(mean_us).alias("flow_iat_mean"), ms(std_us).alias("flow_iat_std"),
+                ms(pick("ix")).alias("flow_iat_max"), ms(pick("in")).alias("flow_iat_min")]
     return d.select(*df.columns, *out)
 
 

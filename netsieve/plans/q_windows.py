@@ -53,23 +53,32 @@ def q_win_pkt_len(spark, sf):
 
 
 @query("win_iat", sql=lambda: adapters.cte("packets") + f""",
-p AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY flow_key ORDER BY ts, packet_id)) / 1000.0 AS iat
+p AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY flow_key ORDER BY ts, packet_id) AS iat
       FROM packets),
-f AS (SELECT packet_id, flow_key, {_frames({'n': 'count(*)', 'im': 'avg(iat)', 'isd': 'stddev_pop(iat)',
+f AS (SELECT packet_id, flow_key, {_frames({'n': 'count(*)', 'k': 'count(iat)', 's1': 'sum(iat)',
+                                            's2': 'sum(CAST(iat AS HUGEINT) * CAST(iat AS HUGEINT))',
                                             'ix': 'max(iat)', 'imin': 'min(iat)'})}
-      FROM p {_WINDOWS})
-SELECT packet_id, flow_key, {_pick('n')} AS n_buffer, round({_pick('im', '0.0')}, 3) AS flow_iat_mean,
-  round({_pick('isd', '0.0')}, 3) AS flow_iat_std, round({_pick('ix', '0.0')}, 3) AS flow_iat_max,
-  round({_pick('imin', '0.0')}, 3) AS flow_iat_min FROM f""")
+      FROM p {_WINDOWS}),
+g AS (SELECT packet_id, flow_key, {_pick('n')} AS n_buffer, {_pick('k')} AS k, {_pick('s1')} AS s1,
+        {_pick('s2')} AS s2, {_pick('ix')} AS ix, {_pick('imin')} AS imin FROM f)
+SELECT packet_id, flow_key, n_buffer,
+  round(coalesce(CAST(s1 AS DOUBLE) / CAST(nullif(k, 0) AS DOUBLE) / 1000.0, 0.0), 6) AS flow_iat_mean,
+  round(coalesce(sqrt(CAST(CAST(k AS HUGEINT) * s2 - CAST(s1 AS HUGEINT) * CAST(s1 AS HUGEINT) AS DOUBLE))
+        / CAST(nullif(k, 0) AS DOUBLE) / 1000.0, 0.0), 4) AS flow_iat_std,
+  round(coalesce(CAST(ix AS DOUBLE) / 1000.0, 0.0), 3) AS flow_iat_max,
+  round(coalesce(CAST(imin AS DOUBLE) / 1000.0, 0.0), 3) AS flow_iat_min FROM g""")
 def q_win_iat(spark, sf):
     """Inter-arrival time (ms) mean / std / max / min over each packet's flow buffer; 0 when empty.
 
-    Rounded to the microsecond (3 decimals of ms): the values reach 1e7 ms, where 6 decimals are float noise.
+    Moments are exact integer sums of microseconds, so both engines hold the same doubles; the rounding
+    avoids exact decimal ties (a mean of k gaps has k in its denominator): mean to 6 decimals of ms, std
+    to 4, max / min to the microsecond.
     """
     p = adapters.packets(spark, sf).select("packet_id", "flow_key", "ts", "pkt_len")
     s = W.buffer_stats(p, "pkt_len", window_seconds=WINDOW_S, cap=CAP, with_iat=True)
     return s.select("packet_id", "flow_key", "n_buffer",
-                    *[F.round(c, 3).alias(c) for c in ("flow_iat_mean", "flow_iat_std", "flow_iat_max", "flow_iat_min")])
+                    F.round("flow_iat_mean", 6).alias("flow_iat_mean"), F.round("flow_iat_std", 4).alias("flow_iat_std"),
+                    F.round("flow_iat_max", 3).alias("flow_iat_max"), F.round("flow_iat_min", 3).alias("flow_iat_min"))
 
 
 def _rollup_sql() -> str:
