@@ -14,6 +14,7 @@ slm_label, slm_score, binary_pred, attack_label (null when not classified).
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -105,16 +106,19 @@ def _port_desc(p: Column, unknown: str) -> Column:
         F.concat(F.lit("Port "), d.cast("string"), F.lit(" ("), svc, F.lit(")")))
 
 
+@functools.cache
 def _protocol_name() -> Column:
     from netsieve.operators.labels import protocol_name
     return protocol_name(_c("protocol"))
 
 
+@functools.cache
 def _traffic_pattern() -> Column:
     from netsieve.functions.detect import traffic_pattern
     return traffic_pattern("flow_pkts_s", "flow_iat_mean")
 
 
+@functools.cache
 def spark_value(name: str) -> Column:
     spec = VALUES[name]
     kind = spec[0]
@@ -146,6 +150,7 @@ def spark_value(name: str) -> Column:
     raise ValueError(name)
 
 
+@functools.cache
 def port_analysis() -> Column:
     """Port and protocol sentence; ports print as floats (``Port 443.0 (HTTPS)``)."""
     proto = _protocol_name()
@@ -178,6 +183,7 @@ def _values(names) -> dict[str, Column]:
     return {n: spark_value(n) for n in names}
 
 
+@functools.cache
 def threat_text() -> Column:
     at = F.coalesce(_c("attack_label"), F.lit("Unknown"))
     dst = F.coalesce(_c("dst_port").cast("string"), F.lit("Unknown"))
@@ -188,18 +194,21 @@ def threat_text() -> Column:
         F.concat(F.lit("Suspicious "), at, F.lit(" activity detected on port "), dst))
 
 
+@functools.cache
 def alert_detail() -> Column:
     at = F.coalesce(_c("attack_label"), F.lit("Unknown"))
     names = placeholders(TPL.DETAIL_DEFAULT, *TPL.DETAIL.values())
     return _fill(_lookup(at, TPL.DETAIL, TPL.DETAIL_DEFAULT), names, _values(names))
 
 
+@functools.cache
 def alert_detail2() -> Column:
     at = F.coalesce(_c("attack_label"), F.lit("Unknown"))
     names = placeholders(TPL.DETAIL2_DEFAULT, *TPL.DETAIL2.values())
     return _fill(_lookup(at, TPL.DETAIL2, TPL.DETAIL2_DEFAULT), names, _values(names))
 
 
+@functools.cache
 def alert_fallback() -> Column:
     """The fallback alert (the one that runs); a null score prints 0.00."""
     at = F.coalesce(_c("attack_label"), F.lit("Unknown"))
@@ -216,6 +225,7 @@ def alert_fallback() -> Column:
     return _fill(F.lit(TPL.FALLBACK_TEXT), ["threat", "mitigation", "impact"], parts)
 
 
+@functools.cache
 def alert_text() -> Column:
     """The intended alert: THREAT / details / MITIGATION / IMPACT; fallback when a metric is missing."""
     at = F.coalesce(_c("attack_label"), F.lit("Unknown"))
@@ -254,6 +264,7 @@ def alert_confidence(confidence: Column) -> Column:
                  ["severity", "threat", "confidence", "details", "mitigation", "impact"], parts)
 
 
+@functools.cache
 def alert_generic() -> Column:
     vals = {"dst_port": F.coalesce(_c("dst_port").cast("string"), F.lit("Unknown")),
             "src_port": F.coalesce(_c("src_port").cast("string"), F.lit("Unknown")),
@@ -285,6 +296,86 @@ def alert_metrics(df: DataFrame) -> DataFrame:
     return df.select("row_id", *[spark_value(n).alias(n) for n in METRIC_LABELS])
 
 
+# ---------------------------------------------------------------- staged DataFrame forms
+#
+# The Column forms above inline every placeholder value into one expression.
+# For whole tables the staged forms compute each value once as a column, fill
+# the chosen template from column references, and test the finished text for
+# the sentinel without evaluating it twice.
+
+
+def _stage_values(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select("*", *_value_columns(tuple(names)))
+
+
+def _fill_cols(text: Column, names: list[str]) -> Column:
+    for n in names:
+        text = F.replace(text, F.lit("{" + n + "}"), F.coalesce(F.col(f"_v_{n}"), F.lit(NULL)))
+    return text
+
+
+def _drop_stage(df: DataFrame, keep: str | None = None) -> DataFrame:
+    return df.drop(*[c for c in df.columns if (c.startswith("_v_") or c.startswith("_t_")) and c != keep])
+
+
+@functools.cache
+def _detail_fill(second: bool) -> tuple[list[str], Column]:
+    table, default = (TPL.DETAIL2, TPL.DETAIL2_DEFAULT) if second else (TPL.DETAIL, TPL.DETAIL_DEFAULT)
+    names = placeholders(default, *table.values())
+    at = F.coalesce(_c("attack_label"), F.lit("Unknown"))
+    return names, _fill_cols(_lookup(at, table, default), names)
+
+
+@functools.cache
+def _value_columns(names: tuple[str, ...]) -> list[Column]:
+    return [spark_value(n).alias(f"_v_{n}") for n in names]
+
+
+def add_alert_detail(df: DataFrame, out: str = "alert_detail", second: bool = False) -> DataFrame:
+    names, filled = _detail_fill(second)
+    d = _stage_values(df, names)
+    return _drop_stage(d.withColumn(out, filled), keep=out)
+
+
+@functools.cache
+def _text_fill() -> tuple[Column, Column]:
+    at = F.coalesce(_c("attack_label"), F.lit("Unknown"))
+    parts = {"threat": threat_text(), "details": F.col("_t_detail"),
+             "mitigation": _lookup(at, TPL.MITIGATION, TPL.MITIGATION_DEFAULT),
+             "impact": _lookup(at, TPL.IMPACT, TPL.IMPACT_DEFAULT)}
+    text = _fill(F.lit(TPL.ALERT_TEXT), ["threat", "details", "mitigation", "impact"], parts)
+    final = F.when(F.instr(F.col("_t_text"), NULL) > 0, alert_fallback()).otherwise(F.col("_t_text"))
+    return text, final
+
+
+def add_alert_text(df: DataFrame, out: str = "alert_text") -> DataFrame:
+    """Staged form of ``alert_text``."""
+    text, final = _text_fill()
+    d = add_alert_detail(df, "_t_detail")
+    return _drop_stage(d.withColumn("_t_text", text).withColumn(out, final))
+
+
+def add_alert_confidence(df: DataFrame, confidence: Column, out: str = "alert_confidence") -> DataFrame:
+    """Staged form of ``alert_confidence``."""
+    at = F.coalesce(_c("attack_label"), F.lit("Unknown"))
+    d = add_alert_detail(df, "_t_detail", second=True)
+    names = placeholders(*[v[0] for v in TPL.EXAMPLE.values()])
+    d = _stage_values(d, names)
+    unk = TPL.EXAMPLE["Unknown"]
+    parts = {
+        "threat": _fill_cols(_lookup(at, {k: v[0] for k, v in TPL.EXAMPLE.items() if k != "Unknown"}, unk[0]), names),
+        "mitigation": _lookup(at, {k: "\n".join("• " + x for x in v[1]) for k, v in TPL.EXAMPLE.items()
+                                   if k != "Unknown"}, "\n".join("• " + x for x in unk[1])),
+        "impact": _lookup(at, {k: v[2] for k, v in TPL.EXAMPLE.items() if k != "Unknown"}, unk[2]),
+        "severity": spark_value("severity"),
+        "confidence": F.format_string("%.2f", F.coalesce(confidence.cast("double"), F.lit(0.0))),
+        "details": F.col("_t_detail"),
+    }
+    d = d.withColumn(out, _fill(F.lit(TPL.CONFIDENCE_TEXT),
+                                ["severity", "threat", "confidence", "details", "mitigation", "impact"], parts))
+    return _drop_stage(d)
+
+
 # ---------------------------------------------------------------- SQL side (oracle)
 
 def _q(s: str) -> str:

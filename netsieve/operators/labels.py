@@ -12,8 +12,15 @@ from pyspark.sql import functions as F
 from netsieve.functions import domains as D
 
 
+_DIMS: dict = {}
+
+
 def _dim(spark: SparkSession, rows, schema: str) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    """A small fixed table as a broadcast DataFrame (built once per session)."""
+    key = (id(spark), spark.sparkContext.applicationId, schema, tuple(rows))
+    if key not in _DIMS:
+        _DIMS[key] = F.broadcast(spark.createDataFrame(rows, schema))
+    return _DIMS[key]
 
 
 def mapping_dim(spark: SparkSession) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from netsieve.functions import alerts as A
 from netsieve.functions import detect as X
 from netsieve.operators import labels as L
+from netsieve.session import spread
 from netsieve.sources import adapters
 
 
@@ -38,7 +39,7 @@ def alert_rows(spark: SparkSession, sf_dir: str, text_threshold: float = 0.7) ->
 
 def alert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log entry per malicious row (21 columns); floats rounded to 3 decimals as the CSV writes them."""
-    df = alert_rows(spark, sf_dir).where("is_malicious")
+    df = spread(alert_rows(spark, sf_dir).where("is_malicious"))
     r3 = lambda c: F.round(F.col(c).cast("double"), 3)
     return df.select(
         F.col("row_id").alias("row_index"),

@@ -14,7 +14,7 @@ from netsieve.operators import labels as L
 from netsieve.plans import evaluation as E
 from netsieve.plans.registry import query
 from netsieve.plans.sqlbase import SCORED, gt, with_alerts
-from netsieve.session import table
+from netsieve.session import spread, table
 from netsieve.sources import adapters
 
 REC = ["row_id", "protocol", "src_port", "dst_port", "flow_byts_s", "flow_pkts_s", "flow_iat_mean", "fwd_header_len",
@@ -24,7 +24,7 @@ REC = ["row_id", "protocol", "src_port", "dst_port", "flow_byts_s", "flow_pkts_s
 
 def records(spark, sf):
     """Scored alert records (every labelled row; ``attack_label`` is null unless the binary model fired)."""
-    return E.alert_rows(spark, sf).select(*REC)
+    return spread(E.alert_rows(spark, sf).select(*REC))
 
 
 def _scored_sql(select: str) -> str:
@@ -38,11 +38,25 @@ def _text_query(name: str, spark_col, sql_expr):
     return _q
 
 
-_text_query("alert_text", A.alert_text, A.sql_alert_text)
 _text_query("alert_fallback", A.alert_fallback, A.sql_alert_fallback)
 _text_query("alert_generic", A.alert_generic, A.sql_alert_generic)
-_text_query("alert_detail", A.alert_detail, A.sql_alert_detail)
-_text_query("alert_detail2", A.alert_detail2, A.sql_alert_detail2)
+
+
+@query("alert_text", sql=lambda: _scored_sql(f"row_id, attack_label, {A.sql_alert_text()} AS alert_text"))
+def q_alert_text(spark, sf):
+    """The intended alert text per row; rows missing a needed metric get the fallback text."""
+    return A.add_alert_text(records(spark, sf)).select("row_id", "attack_label", "alert_text")
+
+
+@query("alert_detail", sql=lambda: _scored_sql(f"row_id, attack_label, {A.sql_alert_detail()} AS alert_detail"))
+def q_alert_detail(spark, sf):
+    return A.add_alert_detail(records(spark, sf)).select("row_id", "attack_label", "alert_detail")
+
+
+@query("alert_detail2", sql=lambda: _scored_sql(f"row_id, attack_label, {A.sql_alert_detail2()} AS alert_detail2"))
+def q_alert_detail2(spark, sf):
+    return A.add_alert_detail(records(spark, sf), "alert_detail2", second=True).select(
+        "row_id", "attack_label", "alert_detail2")
 _text_query("threat_text", A.threat_text, A.sql_threat_text)
 _text_query("port_analysis", A.port_analysis, A.sql_port_analysis)
 _text_query("prompt_summary", A.prompt_summary, A.sql_prompt_summary)
@@ -52,8 +66,8 @@ _text_query("prompt_summary", A.prompt_summary, A.sql_prompt_summary)
     f"row_id, attack_label, {A.sql_alert_confidence('slm_score')} AS alert_confidence"))
 def q_alert_confidence(spark, sf):
     """Severity-headed alert; the confidence shown is the text-model score."""
-    return records(spark, sf).select("row_id", "attack_label", A.alert_confidence(F.col("slm_score"))
-                                     .alias("alert_confidence"))
+    return A.add_alert_confidence(records(spark, sf), F.col("slm_score")).select(
+        "row_id", "attack_label", "alert_confidence")
 
 
 @query("prompt_classifier", sql=lambda: _scored_sql(
@@ -241,7 +255,7 @@ def q_payload_text(spark, sf):
 @query("clean_text", sql=lambda: f"SELECT doc_id, {TX.sql_clean_text('text')} AS clean_text FROM documents")
 def q_clean_text(spark, sf):
     """Keyword line filter over the whole text of every document."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", TX.clean_text("text").alias("clean_text"))
 
 
@@ -249,15 +263,15 @@ def q_clean_text(spark, sf):
     f"row_id, {TX.sql_validate_text(A.sql_alert_text(), A.sql_alert_fallback())} AS validated"))
 def q_validate_text(spark, sf):
     """Generated alert texts reduced to THREAT / MITIGATION (≤ 3 steps) / IMPACT, else the fallback."""
-    r = records(spark, sf)
-    return r.select("row_id", TX.validate_text(A.alert_text(), A.alert_fallback()).alias("validated"))
+    r = A.add_alert_text(records(spark, sf))
+    return r.select("row_id", TX.validate_text("alert_text", A.alert_fallback()).alias("validated"))
 
 
 @query("validate_document", sql=lambda: f"""
 SELECT doc_id, {TX.sql_validate_text('text', "'INVALID'")} AS validated FROM documents""")
 def q_validate_document(spark, sf):
     """The same section validation over free document texts (most have no sections)."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", TX.validate_text("text", F.lit("INVALID")).alias("validated"))
 
 

@@ -56,3 +56,16 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, tag: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     return f"{checkpoint_root(spark).rstrip('/')}/netsieve/{tag}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread CPU-heavy per-row work over all cores when the scan yields fewer partitions than cores.
+
+    Decided at plan time from the partition count of the input plan; on a large
+    table (many file splits) this is a no-op and adds no shuffle.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df._jdf.rdd().getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
