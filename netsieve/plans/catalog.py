@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netsieve.plans import q_alerts, q_examples, q_labels, q_metrics, q_models, q_streaming, q_windows  # noqa: F401
+from netsieve.plans import q_alerts, q_examples, q_io, q_labels, q_metrics, q_models, q_streaming, q_windows  # noqa: F401
 from netsieve.plans.registry import ORACLE, QUERIES
 
 
