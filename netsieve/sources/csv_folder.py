@@ -79,13 +79,23 @@ def schema_report(heads: DataFrame, required: list[str] | None = None) -> DataFr
                         (F.size(missing) == 0).alias("ok"))
 
 
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_name, length) of every plain file directly in ``folder`` — file-system metadata, as the
+    driver lists it for any file scan; zero-length files included (scans skip them)."""
+    from netsieve.sources.sinks import hadoop_fs
+
+    fs, Path = hadoop_fs(spark, folder)
+    entries = [(st.getPath().getName(), int(st.getLen())) for st in fs.listStatus(Path(folder))
+               if st.isFile() and not st.getPath().getName().startswith((".", "_"))]
+    return spark.createDataFrame(entries, "file_name string, length long")
+
+
 def ingest_report(spark: SparkSession, folder: str, required: list[str] | None = None) -> DataFrame:
     """Every file of the folder with its status: processed, or skipped (not CSV / empty / missing columns),
     and the number of data rows read from it."""
-    files = (spark.read.format("binaryFile").load(folder)
-                  .select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length"))
+    files = list_files(spark, folder)
     heads = schema_report(csv_headers(spark, folder), required)
-    rows = read_groups(spark, folder, required).groupBy(F.col("source_file").alias("file_name")).agg(
+    rows = read_groups(spark, folder, required or D.REQUIRED_COLUMNS).groupBy(F.col("source_file").alias("file_name")).agg(
         F.count(F.lit(1)).alias("n_rows"))
     j = files.join(heads.select("file_name", "missing_columns", "ok"), "file_name", "left").join(rows, "file_name", "left")
     status = (F.when(~F.col("file_name").endswith(".csv"), F.lit("skipped: not a CSV file"))
