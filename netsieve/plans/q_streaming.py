@@ -15,12 +15,19 @@ from netsieve import schemas
 from netsieve.functions import alerts as A
 from netsieve.plans import evaluation as E
 from netsieve.plans.registry import query
+from netsieve.plans.sqlbase import SCORED, with_alerts
 from netsieve.session import scratch_dir
 from netsieve.sources import adapters
 from netsieve.streaming import streams as ST
 
 CHUNKS = 4
-DAY = "86400 seconds"
+DAY_S = 86400
+DAY = f"{DAY_S} seconds"
+CAP = 1000
+
+# Oracle side: the packets a stream of IP packets sees (the adapter rows, protocol known).
+_IP_PACKETS = adapters.cte("packets") + """,
+ip AS (SELECT * FROM packets WHERE coalesce(protocol, 0) <> 0)"""
 
 
 def _land(df: DataFrame, folder: str, fmt: str = "parquet") -> None:
@@ -34,6 +41,15 @@ def _land(df: DataFrame, folder: str, fmt: str = "parquet") -> None:
         df.where(cond).write.mode("append").format(fmt).save(folder)
 
 
+def _read_back(spark, path: str, round6: tuple[str, ...] = ()) -> DataFrame:
+    """Sink rows as the batch queries return them: event times as ``timestamp_ntz`` (the given tables'
+    type; the session zone is UTC), named doubles rounded to 6 digits."""
+    df = spark.read.parquet(path)
+    return df.select(*[F.col(f.name).cast("timestamp_ntz").alias(f.name) if isinstance(f.dataType, T.TimestampType)
+                       else F.round(f.name, 6).alias(f.name) if f.name in round6 else F.col(f.name)
+                       for f in df.schema.fields])
+
+
 def _packets_in(spark, sf) -> str:
     folder = scratch_dir(spark, "packets-in")
     p = adapters.packets(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -41,44 +57,85 @@ def _packets_in(spark, sf) -> str:
     return folder
 
 
-@query("packet_stream")
+@query("packet_stream", sql=lambda: _IP_PACKETS + "\nSELECT " + ", ".join(ST.PACKET_COLUMNS) + " FROM ip")
 def q_packet_stream(spark, sf):
     """IP packets read as a stream of file drops, written to a file sink."""
     src = _packets_in(spark, sf)
     out, ck = scratch_dir(spark, "packet-out"), scratch_dir(spark, "packet-ck")
     ST.run_to_files(ST.packet_stream(spark, src), out, ck)
-    return spark.read.parquet(out)
+    return _read_back(spark, out)
 
 
-@query("rule_stream")
+@query("rule_stream", sql=lambda: adapters.cte("packets") + """
+SELECT packet_id, ts, src_ip, dst_ip, dst_port,
+  coalesce(protocol = 6 AND dst_port NOT IN (80, 443), false) AS suspicious_port,
+  coalesce(protocol = 6 AND NOT contains(src_ip, '192.168.') AND NOT contains(dst_ip, '192.168.'), false) AS external
+FROM packets WHERE protocol = 6""")
 def q_rule_stream(spark, sf):
     """Suspicious-port and external-traffic flags on the live TCP stream."""
     src = _packets_in(spark, sf)
     out, ck = scratch_dir(spark, "rules-out"), scratch_dir(spark, "rules-ck")
     ST.run_to_files(ST.rules(ST.packet_stream(spark, src, only="tcp")), out, ck)
-    return spark.read.parquet(out)
-
-
-@query("win_stream")
+    return _read_back(spark, out)
+
+
+def _win_stream_sql() -> str:
+    """A packet's buffer holds the packets that arrived up to it (time, then id) within the window, at
+    most ``CAP``: the RANGE frame without its later peers (equal time, larger id) or the ROWS frame,
+    whichever is shorter. Moments are exact integers."""
+    frames = []
+    for name, e in (("n", "count(x)"), ("s1", "sum(x)"), ("s2", "sum(x * x)"), ("c", "count(*)")):
+        frames.append(f"{e} OVER r - coalesce({e} OVER pf, 0) AS {name}_r, {e} OVER w AS {name}_w")
+    pick = lambda m: f"CASE WHEN c_r <= c_w THEN {m}_r ELSE {m}_w END AS {m}"
+    var = "CAST(n * s2 - s1 * s1 AS DOUBLE) / CAST(n * n AS DOUBLE)"
+    return _IP_PACKETS + f""",
+p AS (SELECT packet_id, flow_key, ts, CAST(pkt_len AS HUGEINT) AS x FROM ip),
+f AS (SELECT packet_id, flow_key, {", ".join(frames)} FROM p
+      WINDOW r AS (PARTITION BY flow_key ORDER BY ts RANGE BETWEEN INTERVAL {DAY_S} SECONDS PRECEDING AND CURRENT ROW),
+             w AS (PARTITION BY flow_key ORDER BY ts, packet_id ROWS BETWEEN {CAP - 1} PRECEDING AND CURRENT ROW),
+             pf AS (PARTITION BY flow_key, ts ORDER BY packet_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+g AS (SELECT packet_id, flow_key, {pick('c')}, {pick('n')}, {pick('s1')}, {pick('s2')} FROM f)
+SELECT packet_id, flow_key, CAST(c AS BIGINT) AS n_buffer,
+  round(CASE WHEN n > 0 THEN sqrt({var}) END, 6) AS pkt_len_std,
+  round(CASE WHEN n > 0 THEN {var} END, 6) AS pkt_len_var FROM g"""
+
+
+@query("win_stream", sql=_win_stream_sql)
 def q_win_stream(spark, sf):
     """Per-flow bounded buffer (one day, 1000 packets) kept as streaming state."""
     src = _packets_in(spark, sf)
     out, ck = scratch_dir(spark, "win-out"), scratch_dir(spark, "win-ck")
-    ST.run_to_files(ST.buffer_state(ST.packet_stream(spark, src), window_seconds=86400, cap=1000, watermark=DAY),
+    ST.run_to_files(ST.buffer_state(ST.packet_stream(spark, src), window_seconds=DAY_S, cap=CAP, watermark=DAY),
                     out, ck)
-    return spark.read.parquet(out)
+    return _read_back(spark, out, round6=("pkt_len_std", "pkt_len_var"))
+
+
+def _sessions_stream_sql() -> str:
+    """Sessions split at gaps of a day; a session is emitted once the final watermark (latest time
+    seen minus the delay) has reached its end (last packet plus the gap)."""
+    return _IP_PACKETS + f""",
+p AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY flow_key ORDER BY ts, packet_id) AS gap FROM ip),
+s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= {DAY_S * 1_000_000} THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY flow_key ORDER BY ts, packet_id ROWS UNBOUNDED PRECEDING) AS sid FROM p),
+g AS (SELECT flow_key, min(ts) AS flow_start, max(ts) + INTERVAL {DAY_S} SECONDS AS flow_end,
+        count(*) AS n_packets, CAST(sum(pkt_len) AS BIGINT) AS total_bytes, min(pkt_len) AS pkt_len_min,
+        max(pkt_len) AS pkt_len_max, round(avg(pkt_len), 6) AS pkt_len_mean,
+        round(stddev_pop(pkt_len), 6) AS pkt_len_std FROM s GROUP BY flow_key, sid)
+SELECT * FROM g WHERE flow_end <= (SELECT max(ts) FROM ip) - INTERVAL {DAY_S} SECONDS"""
 
 
-@query("flow_rollup_stream")
+@query("flow_rollup_stream", sql=_sessions_stream_sql)
 def q_flow_rollup_stream(spark, sf):
     """Session windows (gap one day) with a one-day watermark; closed flows are appended."""
     src = _packets_in(spark, sf)
     out, ck = scratch_dir(spark, "flows-out"), scratch_dir(spark, "flows-ck")
     ST.run_to_files(ST.session_rollup(ST.packet_stream(spark, src), gap=DAY, watermark=DAY), out, ck)
-    return spark.read.parquet(out)
+    return _read_back(spark, out, round6=("pkt_len_mean", "pkt_len_std"))
 
 
-@query("alert_stream")
+@query("alert_stream", sql=lambda: with_alerts(SCORED) + f"""
+SELECT row_id, ts, label, binary_pred, attack_label, slm_label, slm_score, {A.sql_alert_fallback()} AS notification
+FROM scored WHERE is_malicious""")
 def q_alert_stream(spark, sf):
     """The live chain on arriving alert inputs: clean, standardize, score, trigger, alert text; appended per batch."""
     a = adapters.alerts(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -93,10 +150,11 @@ def q_alert_stream(spark, sf):
                  A.alert_fallback().alias("notification"))
     out, ck = scratch_dir(spark, "alerts-out"), scratch_dir(spark, "alerts-ck")
     ST.run_foreach_batch(s, ST.idempotent_batch_writer(out), ck)
-    return spark.read.parquet(out).drop("batch_id")
+    return _read_back(spark, out).drop("batch_id")
 
 
-@query("reject_stream")
+@query("reject_stream", sql=lambda: adapters.cte("packets") + """
+SELECT packet_id, 'not-a-time' AS rejected_ts FROM packets WHERE packet_id % 97 = 0""")
 def q_reject_stream(spark, sf):
     """JSON packet lines, some with an unparsable time: bad rows go to a reject table, the stream goes on."""
     p = adapters.packets(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -113,4 +171,5 @@ def q_reject_stream(spark, sf):
     good, bad, ck = scratch_dir(spark, "good"), scratch_dir(spark, "reject"), scratch_dir(spark, "reject-ck")
     valid = lambda b: F.col("_corrupt_record").isNull() & F.col("ts").isNotNull()
     ST.run_foreach_batch(stream, ST.split_rejects(good, bad, valid), ck)
-    return spark.read.parquet(bad).select("packet_id", "_corrupt_record")
+    # the reject table keeps the whole raw line; the query reports each rejected packet and its bad field
+    return spark.read.parquet(bad).select("packet_id", F.get_json_object("_corrupt_record", "$.ts").alias("rejected_ts"))
