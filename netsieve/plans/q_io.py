@@ -11,6 +11,7 @@ from netsieve.operators import stats as S
 from netsieve.plans import evaluation as E
 from netsieve.plans import q_examples
 from netsieve.plans.registry import query
+from netsieve.plans.sqlbase import KNOWN, LABEL_DIM, LABELLED, MAPPING, with_alerts
 from netsieve.session import scratch_dir
 from netsieve.sources import adapters
 from netsieve.sources import csv_folder as CF
@@ -53,13 +54,40 @@ def flow_csv_folder(spark, sf) -> str:
     return folder
 
 
-@query("flow_scan")
+# Oracle side: the rows of the CSV folder written by ``flow_csv_folder``, as the scan types them
+# (numbers read back as doubles; columns a file lacks are null for its rows).
+def _sql_scan() -> str:
+    k = f"flow_key % {N_FILES}"
+    return adapters.cte("alerts") + f""",
+scan AS (SELECT
+  CASE WHEN {k} = 1 THEN CAST(row_id AS VARCHAR) || '-' || CAST(flow_key AS VARCHAR) END AS flow_id,
+  CASE WHEN {k} = 1 THEN '10.0.0.' || CAST(flow_key % 250 AS VARCHAR) END AS src_ip,
+  CASE WHEN {k} = 1 THEN '8.8.4.' || CAST(row_id % 250 AS VARCHAR) END AS dst_ip,
+  CAST(src_port AS DOUBLE) AS src_port, CAST(dst_port AS DOUBLE) AS dst_port,
+  CASE WHEN {k} <> 3 THEN CAST(protocol AS DOUBLE) END AS protocol,
+  CASE WHEN row_id % 13 = 0 THEN '31/02/2024 10:00:00' ELSE strftime(ts, '%d/%m/%Y %H:%M:%S') END AS timestamp,
+  CAST(trunc(flow_iat_mean * 3) AS DOUBLE) AS flow_duration,
+  CAST(tot_fwd_pkts AS DOUBLE) AS tot_fwd_pkts, CAST(tot_bwd_pkts AS DOUBLE) AS tot_bwd_pkts,
+  fwd_pkt_len_mean AS totlen_fwd_pkts, bwd_pkt_len_mean AS totlen_bwd_pkts,
+  CASE WHEN row_id % 50 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN row_id % 71 = 0 THEN CAST('-inf' AS DOUBLE)
+       WHEN row_id % 89 = 0 THEN CAST('NaN' AS DOUBLE) ELSE flow_byts_s END AS flow_byts_s,
+  flow_pkts_s, flow_iat_mean, fwd_header_len, bwd_header_len,
+  CAST(rst_flag_cnt AS DOUBLE) AS rst_flag_cnt, CAST(syn_flag_cnt AS DOUBLE) AS syn_flag_cnt,
+  raw_label AS label, source_file
+FROM alerts)"""
+
+
+@query("flow_scan", sql=lambda: _sql_scan() + "\nSELECT * FROM scan")
 def q_flow_scan(spark, sf):
     """Every row of every CSV file, columns aligned by name across differing headers, typed."""
     return CF.scan_flows(spark, flow_csv_folder(spark, sf))
 
 
-@query("schema_check")
+@query("schema_check", sql=lambda: adapters.cte("alerts") + f"""
+SELECT DISTINCT source_file AS file_name,
+  CASE WHEN flow_key % {N_FILES} = 3 THEN ['Protocol'] ELSE CAST([] AS VARCHAR[]) END AS missing_columns,
+  flow_key % {N_FILES} <> 3 AS ok
+FROM alerts""")
 def q_schema_check(spark, sf):
     """Per CSV file: required columns it lacks and whether it is used."""
     folder = flow_csv_folder(spark, sf)
@@ -72,7 +100,14 @@ def q_ingest_report(spark, sf):
     return CF.ingest_report(spark, flow_csv_folder(spark, sf))
 
 
-@query("clean_sink")
+@query("clean_sink", sql=lambda: _sql_scan() + f""",
+std AS (SELECT s.* EXCLUDE (label), coalesce(m.m_std, s.label) AS label
+        FROM scan s LEFT JOIN {MAPPING} m ON s.label = m.m_raw
+        WHERE s.label IS DISTINCT FROM 'Label' AND s.label IS NOT NULL),
+t AS (SELECT *, try_strptime(timestamp, '%d/%m/%Y %H:%M:%S') AS _t FROM std
+      WHERE label IN (SELECT k_name FROM {KNOWN}))
+SELECT * EXCLUDE (_t), CAST(hour(_t) AS INTEGER) AS hour, CAST(minute(_t) AS INTEGER) AS minute,
+  CAST(second(_t) AS INTEGER) AS second, CAST(isodow(_t) - 1 AS INTEGER) AS day_of_week FROM t""")
 def q_clean_sink(spark, sf):
     """Scan -> drop header rows and null labels -> standardize -> time parts -> known labels
     -> Parquet partitioned by source file; returns the written table."""
@@ -85,15 +120,27 @@ def q_clean_sink(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("examples_write")
+_EX_FIELDS = [("Protocol", "protocol"), ("Src Port", "src_port"), ("Dst Port", "dst_port"),
+              ("Flow Rate", "flow_rate"), ("Packet Rate", "packet_rate"), ("IAT Mean", "iat_mean"),
+              ("Attack Type", "attack_type")]
+
+
+def _sql_examples() -> str:
+    return f"SELECT * EXCLUDE (row_id, is_twin) FROM ({q_examples._examples_sql(False)})"
+
+
+@query("examples_write", sql=_sql_examples)
 def q_examples_write(spark, sf):
-    """Training examples written as nested JSON Lines and read back with the declared schema."""
+    """Training examples written as nested JSON Lines and read back with the declared schema
+    (returned with one column per field)."""
     out = scratch_dir(spark, "examples")
     SK.write_examples(q_examples.nested(q_examples.examples(q_examples.sampled(spark, sf))), out)
-    return SK.read_examples(spark, out)
+    ex = SK.read_examples(spark, out)
+    return ex.select(*[F.col(f"input.`{k}`").alias(v) for k, v in _EX_FIELDS], "output.threat", "output.mitigation",
+                     "output.impact")
 
 
-@query("examples_read")
+@query("examples_read", sql=lambda: f"SELECT attack_type, count(*) AS n FROM ({_sql_examples()}) GROUP BY attack_type")
 def q_examples_read(spark, sf):
     """Load a training-example file and count examples per attack type."""
     out = scratch_dir(spark, "examples-src")
@@ -102,7 +149,12 @@ def q_examples_read(spark, sf):
     return ex.groupBy(F.col("input.`Attack Type`").alias("attack_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("label_dim_write")
+@query("label_dim_write", sql=lambda: with_alerts(LABELLED) + f""",
+dim AS (SELECT * FROM {LABEL_DIM} WHERE name IN (SELECT label FROM labelled))
+SELECT mapping,
+  '{{"classes":[' || string_agg('"' || name || '"', ',' ORDER BY id, name) || ']}}' AS classes_json,
+  '{{' || string_agg('"' || name || '":' || CAST(id AS VARCHAR), ',' ORDER BY name, id) || '}}' AS mapping_json
+FROM dim GROUP BY mapping""")
 def q_label_dim_write(spark, sf):
     """Label maps of the observed labels written as JSON text (class list and name -> id) and read back."""
     seen = S.label_counts(E.labelled_alerts(spark, sf), "label").select(F.col("label").alias("name"))

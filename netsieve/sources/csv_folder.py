@@ -2,8 +2,8 @@
 
 Spark's CSV reader maps columns by position over all files of one read, but
 flow files differ in their headers. So the header line of every ``*.csv``
-file (not recursive) is found with one distributed text scan, files are
-grouped by identical header, each group is read with an all-string schema,
+file (not recursive) is read on its own (a limit-1 scan of the file's first
+split, so the data rows are not read twice), files are grouped by identical header, each group is read with an all-string schema,
 and the groups are combined with ``unionByName(allowMissingColumns=True)``.
 Only file-level metadata (one header per file) reaches the driver.
 Values are then cast with ``try_cast`` — bad numbers and ``inf``/``Infinity``
@@ -23,13 +23,27 @@ from netsieve.functions import domains as D
 TEXT_COLUMNS = {"label", "timestamp", "flow_id", "src_ip", "dst_ip", "source_file"}
 
 
-def csv_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, file_name, header) for each ``*.csv`` file directly in ``folder`` with at least one line."""
-    t = (spark.read.option("pathGlobFilter", "*.csv").text(folder)
-              .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"),
-                      F.col("_metadata.file_block_start").alias("_blk"), "value"))
-    first = t.where(F.col("_blk") == 0).withColumn("_i", F.monotonically_increasing_id())
-    return first.groupBy("path", "file_name").agg(F.min_by("value", "_i").alias("header"))
+def _first_line(spark: SparkSession, path: str) -> str | None:
+    """First line of one file, reading only the start of its first split (a ``limit 1`` scan)."""
+    row = (spark.read.text(path).where(F.col("_metadata.file_block_start") == 0)
+                .select("value").first())
+    return None if row is None else row["value"]
+
+
+def csv_headers(spark: SparkSession, folder: str, parallel: int = 32) -> DataFrame:
+    """(path, file_name, header) for each ``*.csv`` file directly in ``folder`` with at least one line.
+
+    Only each file's first line is read — one small job per file, run
+    concurrently — never the data rows, so finding the headers costs
+    a few kilobytes per file however large the folder is.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    files = [(p, n) for p, n, size in _listing(spark, folder) if n.endswith(".csv") and size > 0]
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(files)))) as pool:
+        heads = list(pool.map(lambda f: _first_line(spark, f[0]), files))
+    rows = [(p, n, h) for (p, n), h in zip(files, heads) if h is not None]
+    return spark.createDataFrame(rows, "path string, file_name string, header string")
 
 
 def header_columns(header: str) -> list[str]:
@@ -79,15 +93,21 @@ def schema_report(heads: DataFrame, required: list[str] | None = None) -> DataFr
                         (F.size(missing) == 0).alias("ok"))
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_name, length) of every plain file directly in ``folder`` — file-system metadata, as the
-    driver lists it for any file scan; zero-length files included (scans skip them)."""
+def _listing(spark: SparkSession, folder: str) -> list[tuple[str, str, int]]:
+    """(path, name, length) of every plain file directly in ``folder`` — file-system metadata, as the
+    driver lists it for any file scan."""
     from netsieve.sources.sinks import hadoop_fs
 
     fs, Path = hadoop_fs(spark, folder)
-    entries = [(st.getPath().getName(), int(st.getLen())) for st in fs.listStatus(Path(folder))
-               if st.isFile() and not st.getPath().getName().startswith((".", "_"))]
-    return spark.createDataFrame(entries, "file_name string, length long")
+    return [(st.getPath().toString(), st.getPath().getName(), int(st.getLen())) for st in fs.listStatus(Path(folder))
+            if st.isFile() and not st.getPath().getName().startswith((".", "_"))]
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_name, length) of every plain file directly in ``folder``; zero-length files included
+    (scans skip them)."""
+    return spark.createDataFrame([(n, size) for _, n, size in _listing(spark, folder)],
+                                 "file_name string, length long")
 
 
 def ingest_report(spark: SparkSession, folder: str, required: list[str] | None = None) -> DataFrame:
