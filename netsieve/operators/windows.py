@@ -12,9 +12,10 @@ key alone. Rows are split by (key, time bucket):
   the history its own rows need. The buffer is the shorter of a RANGE frame
   and a ROWS frame over the same order; both are exact on the augmented
   bucket (see ``buffer_stats``).
-* Sessions (new flow when the gap to the previous packet is ≥ ``gap``) — a
-  running max of session starts inside a bucket, carried across buckets by a
-  per-(key, bucket) table; then a partial-aggregated ``groupBy`` per session.
+* Sessions (new flow when the gap to the previous packet is ≥ ``gap``) —
+  buckets at most ``gap`` wide, so only a bucket's first packet can open a
+  flow; the heads come from a per-(key, bucket) aggregate of a narrow scan,
+  packets are shuffled once; then a partial-aggregated ``groupBy`` per flow.
 """
 
 from __future__ import annotations
@@ -103,34 +104,67 @@ def buffer_stats(df: DataFrame, value: str, key: str = "flow_key", ts: str = "ts
     return d.select(*df.columns, *out)
 
 
+def _bucket_heads(df: DataFrame, key: str, ts: str, order_id: str, width_us: int, gap_us: int,
+                  first_cols: tuple[str, ...]) -> DataFrame:
+    """Per (key, time bucket): the last time of the previous non-empty bucket and the head (time, id and
+    ``first_cols`` of the first packet) of the session the bucket's packets belong to.
+
+    Valid when buckets are at most ``gap`` wide: two packets of one bucket are
+    less than ``gap`` apart, so only a bucket's first packet can open a
+    session, and that is decided by the bucket's first time and the previous
+    bucket's last. Built from a narrow scan with map-side partial aggregation
+    (one row per key and bucket leaves each task); the running carry is a
+    window over a key's buckets, not its packets.
+    """
+    d = df.select(key, order_id, *first_cols, epoch_us(ts).alias("_us"))
+    d = d.withColumn("_b", F.floor(F.col("_us") / F.lit(width_us)))
+    b = d.groupBy(key, "_b").agg(F.min("_us").alias("_min_us"), F.max("_us").alias("_max_us"),
+                                 F.min(F.struct(F.col("_us").alias("us"), F.col(order_id).alias("_id"),
+                                                *[F.col(c).alias(c) for c in first_cols])).alias("_first"))
+    by_key = Window.partitionBy(key).orderBy("_b")
+    b = b.withColumn("_prev_b_last", F.lag("_max_us").over(by_key))
+    opens = F.col("_prev_b_last").isNull() | (F.col("_min_us") - F.col("_prev_b_last") >= F.lit(gap_us))
+    head = F.when(opens, F.col("_first"))
+    b = b.withColumn("_head", F.max(head).over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
+    return b.select(key, "_b", "_prev_b_last", "_head")
+
+
 def sessionize(df: DataFrame, key: str = "flow_key", ts: str = "ts", order_id: str = "packet_id",
-               gap_seconds: int = 60, bucket_seconds: int = 3600, first_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``_session_us`` (start of the packet's flow), ``_iat_ms`` (gap to the previous packet in the
-    flow, null for the first) and ``_first_<c>`` (column ``c`` of the flow's first packet)."""
-    d = with_prev(df, key, ts, order_id, bucket_seconds)
-    start = F.col("_prev_us").isNull() | (F.col("_us") - F.col("_prev_us") >= F.lit(int(gap_seconds * 1_000_000)))
-    d = d.withColumn("_is_start", start)
-    head = F.when(F.col("_is_start"), F.struct(F.col("_us").alias("us"), *[F.col(c).alias(c) for c in first_cols]))
-    upto = Window.partitionBy(key, "_b").orderBy("_us", order_id).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_head_in_b", F.max(head).over(upto))
-    heads = d.groupBy(key, "_b").agg(F.max(head).alias("_bmax"))
-    earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select(key, "_b", F.max("_bmax").over(earlier).alias("_carry"))
+               gap_seconds: int = 60, bucket_seconds: int | None = None,
+               first_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``_us`` (epoch micros), ``_session_us`` (start of the packet's flow), ``_iat_ms`` (gap to the
+    previous packet in the flow, null for the first) and ``_first_<c>`` (column ``c`` of the flow's first
+    packet).
+
+    Packets are shuffled once, by (key, time bucket); buckets are at most
+    ``gap_seconds`` wide (a wider ``bucket_seconds`` is narrowed to the gap),
+    so session boundaries come from the per-bucket table of ``_bucket_heads``
+    and a hot key's packets are spread over many buckets. The in-bucket
+    ``lag`` gives the inter-arrival gaps; the first packet of a bucket takes
+    the previous bucket's last time from the same table.
+    """
+    gap_us = int(gap_seconds * 1_000_000)
+    width_us = min(int((bucket_seconds or min(gap_seconds, 3600)) * 1_000_000), gap_us)
+    heads = _bucket_heads(df, key, ts, order_id, width_us, gap_us, first_cols)
+    d = df.withColumn("_us", epoch_us(ts)).withColumn("_b", F.floor(F.col("_us") / F.lit(width_us)))
+    in_bucket = Window.partitionBy(key, "_b").orderBy("_us", order_id)
+    d = d.withColumn("_prev_in_b", F.lag("_us").over(in_bucket))
     d = d.join(heads, [key, "_b"], "inner")
-    d = d.withColumn("_head", F.coalesce("_head_in_b", "_carry"))
-    iat = F.when(~F.col("_is_start"), (F.col("_us") - F.col("_prev_us")) / F.lit(1000.0))
-    d = d.select("*", F.col("_head.us").alias("_session_us"), *[F.col(f"_head.{c}").alias(f"_first_{c}")
-                                                                  for c in first_cols], iat.alias("_iat_ms"))
-    return d.drop("_head_in_b", "_carry", "_is_start", "_b", "_prev_us", "_head")
+    prev = F.coalesce("_prev_in_b", "_prev_b_last")
+    opens = prev.isNull() | (F.col("_us") - prev >= F.lit(gap_us))
+    iat = F.when(~opens, (F.col("_us") - prev) / F.lit(1000.0))
+    return d.select(*df.columns, "_us", F.col("_head.us").alias("_session_us"),
+                    *[F.col(f"_head.{c}").alias(f"_first_{c}") for c in first_cols], iat.alias("_iat_ms"))
 
 
-def flow_rollup(packets: DataFrame, gap_seconds: int = 60, bucket_seconds: int = 3600,
+def flow_rollup(packets: DataFrame, gap_seconds: int = 60, bucket_seconds: int | None = None,
                 key: str = "flow_key") -> DataFrame:
     """One row per flow (session of a key): duration, forward/backward counts and bytes, rates,
     length and inter-arrival stats, TCP flag counts.
 
     Forward = sent from the source address of the flow's first packet. One
-    partial-aggregated ``groupBy`` per flow after the bucketed sessionization.
+    partial-aggregated ``groupBy`` per flow after the bucketed sessionization,
+    so a long flow of a hot key is combined map-side before its one shuffle.
     """
     s = sessionize(packets, key=key, gap_seconds=gap_seconds, bucket_seconds=bucket_seconds,
                    first_cols=("src_ip", "protocol", "src_port", "dst_port"))

@@ -92,6 +92,46 @@ def test_sessions_cross_buckets(spark):
     assert flows.agg(F.sum("n_packets")).first()[0] == len(rows)
 
 
+def _brute_flows(rows, gap):
+    """Brute force flows: per key, sorted by (time, id), a new flow at a gap >= ``gap``."""
+    out = {}
+    by_key = {}
+    for pid, key, t, ln in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        by_key.setdefault(key, []).append((t, pid, ln))
+    for key, pk in by_key.items():
+        flows = []
+        for i, (t, pid, ln) in enumerate(pk):
+            if i == 0 or t - pk[i - 1][0] >= gap:
+                flows.append([])
+            flows[-1].append((t, pid, ln, None if len(flows[-1]) == 0 else (t - pk[i - 1][0]) * 1000.0))
+        for f in flows:
+            iats = [x[3] for x in f if x[3] is not None]
+            src = "10.0.0.1" if f[0][1] % 2 else "10.0.0.2"
+            fwd = sum(1 for x in f if ("10.0.0.1" if x[1] % 2 else "10.0.0.2") == src)
+            out[(key, f[0][1])] = (len(f), fwd, round(max(iats), 3) if iats else None,
+                                   round(float(np.mean(iats)), 3) if iats else None)
+    return out
+
+
+@pytest.mark.parametrize("bucket", [7, 40, 100, 10 ** 6])
+def test_sessions_match_brute_force(spark, bucket):
+    rnd = random.Random(5)
+    rows, t = [], 0.0
+    for i in range(500):
+        t += rnd.choice([0.5, 3, 20, 99.9, 100, 150, 700])
+        rows.append((i, 1 if i % 3 else rnd.randint(2, 4), t, rnd.randint(40, 1500)))  # key 1: the hot key
+    df = packets_df(spark, rows)
+    flows = W.flow_rollup(df, gap_seconds=100, bucket_seconds=bucket)
+    got = {}
+    for r in flows.collect():
+        start = (r.flow_start - T0).total_seconds()
+        pid = min(p for p, k, tt, _ in rows if k == r.flow_key and abs(tt - start) < 1e-6)
+        got[(r.flow_key, pid)] = (r.n_packets, r.tot_fwd_pkts,
+                                  None if r.flow_iat_max is None else round(r.flow_iat_max, 3),
+                                  None if r.flow_iat_mean is None else round(r.flow_iat_mean, 3))
+    assert got == _brute_flows(rows, 100)
+
+
 def test_auc_matches_pair_count(spark):
     rnd = random.Random(11)
     data = [(rnd.choice([0, 1]), rnd.choice([0.1, 0.2, 0.2, 0.5, 0.7, 0.9])) for _ in range(500)]
