@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_BITS = 10  # 1024 hash buckets per class for the stratified split
+BUCKET_BITS = 16  # 65,536 hash buckets (per class for the stratified split)
 
 
 def hash_order(id_col: str, seed: int = 42) -> Column:
@@ -19,8 +19,23 @@ def hash_order(id_col: str, seed: int = 42) -> Column:
 
 
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
-    """Fixed-size seeded sample: a distributed top-n (TakeOrderedAndProject), not a global sort."""
-    return df.withColumn("_h", hash_order(id_col, seed)).orderBy("_h", id_col).limit(n).drop("_h")
+    """Fixed-size seeded sample: the ``n`` rows first in hash order (exact, ties broken by id).
+
+    A top-n over a large table would send ``n`` rows from every task to one
+    merging task. Instead the hash's top bits split rows into 65,536 buckets;
+    a table of bucket counts (at most 65,536 rows, so broadcasting it is safe)
+    gives each bucket the rows in earlier buckets; only buckets that hold part
+    of the sample are kept, and rows are ranked inside their bucket — about
+    ``n`` plus one bucket's rows reach the ranking, spread over many tasks.
+    """
+    h = df.withColumn("_h", hash_order(id_col, seed)).withColumn("_b", F.shiftright("_h", 32 - BUCKET_BITS))
+    counts = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_nb"))
+    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    edge = (counts.select("_b", F.coalesce(F.sum("_nb").over(earlier), F.lit(0)).alias("_before"))
+                  .where(F.col("_before") < n))
+    rn = F.row_number().over(Window.partitionBy("_b").orderBy("_h", id_col))
+    out = h.join(F.broadcast(edge), "_b", "inner").withColumn("_rn", rn)
+    return out.where(F.col("_before") + F.col("_rn") <= n).drop("_h", "_b", "_before", "_rn")
 
 
 def sample_per_class(df: DataFrame, label: str, n: int, id_col: str, seed: int = 42) -> DataFrame:
@@ -44,10 +59,12 @@ def split_random(df: DataFrame, id_col: str, test_fraction: float = 0.2, seed: i
 def split_stratified(df: DataFrame, label: str, id_col: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """Per class the ``round(f * n_c)`` rows first in hash order are test, the rest train.
 
-    Exact, and no class is ever sorted in one task: rows fall into 1024 hash
-    buckets per class; a table of bucket counts (classes x 1024 rows) gives
-    each bucket the number of class rows in earlier buckets, so only rows
-    within a bucket need ranking.
+    Exact, and no class is ever sorted in one task: rows fall into 65,536 hash
+    buckets per class; a table of bucket counts (classes x 65,536 rows at most)
+    gives each bucket the number of class rows in earlier buckets, so only rows
+    within a bucket need ranking. The rows are already partitioned by (class,
+    bucket) for that ranking, so the join moves only the counts table (AQE
+    broadcasts it when its measured size is small).
     """
     shift = 32 - BUCKET_BITS
     h = df.withColumn("_h", hash_order(id_col, seed)).withColumn("_b", F.shiftright(F.col("_h"), shift))
@@ -57,6 +74,6 @@ def split_stratified(df: DataFrame, label: str, id_col: str, test_fraction: floa
     counts = counts.select(label, "_b", F.coalesce(F.sum("_nb").over(earlier), F.lit(0)).alias("_before"),
                            F.round(F.lit(test_fraction) * F.sum("_nb").over(cls)).cast("long").alias("_k"))
     rn = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", id_col))
-    out = h.withColumn("_rn", rn).join(F.broadcast(counts), [label, "_b"], "inner")
+    out = h.withColumn("_rn", rn).join(counts, [label, "_b"], "inner")
     return out.withColumn("split", F.when(F.col("_before") + F.col("_rn") <= F.col("_k"), F.lit("test"))
                           .otherwise(F.lit("train"))).drop("_h", "_b", "_rn", "_before", "_k")

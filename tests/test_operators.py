@@ -165,6 +165,15 @@ def test_stratified_split_sizes(spark):
     assert got == {"a": round(0.2 * 1800), "b": round(0.2 * 200)}
 
 
+@pytest.mark.parametrize("n", [1, 137, 4999, 6000])
+def test_sample_n_is_first_in_hash_order(spark, n):
+    ids = list(range(0, 50000, 10))
+    df = spark.createDataFrame([(i, i % 7) for i in ids], "row_id long, k int")
+    got = sorted(r.row_id for r in SM.sample_n(df, n, "row_id").collect())
+    want = sorted(sorted(ids, key=lambda i: ((i % 2147483648) * 2654435761 + 42) % 4294967296)[:n])
+    assert got == want
+
+
 def _record(spark, **kw):
     base = dict(row_id=1, protocol=6, src_port=443, dst_port=80, flow_byts_s=1500.0, flow_pkts_s=12.5,
                 flow_iat_mean=40.0, fwd_header_len=20.0, bwd_header_len=0.0, rst_flag_cnt=1, syn_flag_cnt=3,
