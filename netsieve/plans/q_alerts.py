@@ -24,7 +24,7 @@ REC = ["row_id", "protocol", "src_port", "dst_port", "flow_byts_s", "flow_pkts_s
 
 def records(spark, sf):
     """Scored alert records (every labelled row; ``attack_label`` is null unless the binary model fired)."""
-    return spread(E.alert_rows(spark, sf).select(*REC))
+    return spread(E.alert_rows(spark, sf).select(*REC), table(spark, sf, "events"))
 
 
 def _scored_sql(select: str) -> str:
@@ -255,7 +255,8 @@ def q_payload_text(spark, sf):
 @query("clean_text", sql=lambda: f"SELECT doc_id, {TX.sql_clean_text('text')} AS clean_text FROM documents")
 def q_clean_text(spark, sf):
     """Keyword line filter over the whole text of every document."""
-    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = table(spark, sf, "documents")
+    d = spread(docs.select("doc_id", "text"), docs)
     return d.select("doc_id", TX.clean_text("text").alias("clean_text"))
 
 
@@ -271,7 +272,8 @@ def q_validate_text(spark, sf):
 SELECT doc_id, {TX.sql_validate_text('text', "'INVALID'")} AS validated FROM documents""")
 def q_validate_document(spark, sf):
     """The same section validation over free document texts (most have no sections)."""
-    d = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = table(spark, sf, "documents")
+    d = spread(docs.select("doc_id", "text"), docs)
     return d.select("doc_id", TX.validate_text("text", F.lit("INVALID")).alias("validated"))
 
 
