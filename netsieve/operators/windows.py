@@ -1,7 +1,11 @@
 """Per-flow sliding buffers and flow sessions, split so no flow key lands in one task.
 
 A flow key may hold a third of all packets, so nothing here partitions by the
-key alone. Rows are split by (key, time bucket):
+key alone. Rows are split by (key, time bucket), and buckets adapt to density:
+a narrow pre-count finds the (key, coarse bucket) pairs holding at least
+``DENSE_ROWS`` rows, and only those are cut into fine buckets (one window wide
+for buffers, 1/64 of the width for sessions). The list of dense pairs has at
+most rows / ``DENSE_ROWS`` entries, so it is broadcast safely.
 
 * ``prev_ts`` — the previous packet of the same key. Within a bucket it is a
   ``lag``; the first row of a bucket takes the last time of the nearest
@@ -34,10 +38,59 @@ def epoch_us(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, CAST({ts} AS TIMESTAMP_NTZ))")
 
 
-def with_prev(df: DataFrame, key: str, ts: str, order_id: str, bucket_seconds: int) -> DataFrame:
-    """Add ``_us`` (epoch micros), ``_b`` (time bucket) and ``_prev_us`` (previous packet of the key)."""
-    width = int(bucket_seconds * 1_000_000)
-    d = df.withColumn("_us", epoch_us(ts)).withColumn("_b", F.floor(F.col("_us") / F.lit(width)))
+DENSE_ROWS = 1 << 22  # a (key, coarse bucket) with at least this many rows is split into fine buckets
+
+
+def dense_pairs(df: DataFrame, key: str, ts: str, coarse_us: int, dense_rows: int = DENSE_ROWS) -> DataFrame:
+    """(key, coarse bucket ``_c``, ``_here``, ``_next``): whether the bucket, or the one after it, holds at
+    least ``dense_rows`` rows of the key — the hot spots of hot keys.
+
+    A narrow scan with map-side partial counts. Each dense pair holds
+    ``dense_rows`` rows, so the table has at most ``2 * rows / dense_rows``
+    entries (about 480,000 for 10^12 rows): broadcasting it is safe.
+    """
+    d = df.select(key, F.floor(epoch_us(ts) / F.lit(coarse_us)).alias("_c"))
+    hot = d.groupBy(key, "_c").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= dense_rows)
+    flags = F.explode(F.array(
+        F.struct(F.col("_c").alias("_c"), F.lit(True).alias("_here"), F.lit(False).alias("_next")),
+        F.struct((F.col("_c") - 1).alias("_c"), F.lit(False).alias("_here"), F.lit(True).alias("_next"))))
+    return (hot.select(key, flags.alias("_f")).select(key, "_f.*")
+               .groupBy(key, "_c").agg(F.max("_here").alias("_here"), F.max("_next").alias("_next")))
+
+
+def _bucket_id(us: Column, dense: Column, coarse_us: int, fine_us: int) -> Column:
+    """Bucket of a time: the coarse bucket ``c`` (id ``c * k``) or, when (key, c) is dense, its fine
+    bucket (ids ``c * k`` .. ``c * k + k - 1``, ``k = coarse / fine``). Ids grow with time."""
+    k = coarse_us // fine_us
+    return F.when(dense, F.floor(us / F.lit(fine_us))).otherwise(F.floor(us / F.lit(coarse_us)) * F.lit(k))
+
+
+def with_buckets(df: DataFrame, dense: DataFrame, key: str, ts: str, coarse_us: int, fine_us: int,
+                 reach_us: int = 0) -> DataFrame:
+    """Add ``_us`` (epoch micros), ``_b`` (the row's time bucket) and, when ``reach_us`` > 0, ``_nb``
+    (the bucket of ``_us + reach_us``: the later bucket whose rows may need this one).
+
+    Buckets adapt to density (``dense`` from ``dense_pairs``): a key's coarse
+    buckets, split into fine ones where the key is dense, so a hot key is
+    spread over many tasks while sparse keys stay in few, large buckets. One
+    broadcast lookup per row answers both for the row's bucket and the next.
+    """
+    if coarse_us % fine_us or reach_us > coarse_us:
+        raise ValueError("the coarse width must be a multiple of the fine one and at least the reach")
+    d = df.withColumn("_us", epoch_us(ts)).withColumn("_c", F.floor(F.col("_us") / F.lit(coarse_us)))
+    d = d.join(F.broadcast(dense), [key, "_c"], "left")
+    here = F.coalesce(F.col("_here"), F.lit(False))
+    d = d.withColumn("_b", _bucket_id(F.col("_us"), here, coarse_us, fine_us))
+    if reach_us:
+        later = F.col("_us") + F.lit(reach_us)
+        same = F.floor(later / F.lit(coarse_us)) == F.col("_c")
+        d = d.withColumn("_nb", _bucket_id(later, F.when(same, here).otherwise(F.coalesce(F.col("_next"), F.lit(False))),
+                                           coarse_us, fine_us))
+    return d.drop("_c", "_here", "_next")
+
+
+def with_prev(d: DataFrame, key: str, order_id: str) -> DataFrame:
+    """Add ``_prev_us`` (time of the previous packet of the key) to bucketed rows (``_us``, ``_b``)."""
     in_bucket = Window.partitionBy(key, "_b").orderBy("_us", order_id)
     d = d.withColumn("_prev_in_b", F.lag("_us").over(in_bucket))
     last = d.groupBy(key, "_b").agg(F.max("_us").alias("_last_us"))
@@ -48,29 +101,36 @@ def with_prev(df: DataFrame, key: str, ts: str, order_id: str, bucket_seconds: i
 
 def buffer_stats(df: DataFrame, value: str, key: str = "flow_key", ts: str = "ts", order_id: str = "packet_id",
                  window_seconds: int = 60, cap: int = 1000, bucket_seconds: int | None = None,
-                 with_iat: bool = True) -> DataFrame:
+                 with_iat: bool = True, dense_rows: int = DENSE_ROWS) -> DataFrame:
     """Per packet: size of its buffer, population std/var of ``value`` and inter-arrival (ms) stats.
 
     The buffer of a packet is the packets of its key at most ``window_seconds``
     older (inclusive), at most ``cap`` of them, itself included. Inter-arrival
     time is the gap to the previous packet of the key, in milliseconds; its
     stats are 0 when the buffer holds no gap.
+
+    Buckets are ``bucket_seconds`` wide (default 16 windows, at least an hour,
+    rounded to whole windows) and one window wide where a key is dense; every
+    bucket is at least a window wide, so a row is copied into at most one
+    later bucket.
     """
-    bucket_seconds = bucket_seconds or max(16 * window_seconds, 3600)
-    if bucket_seconds < window_seconds:
+    window_us = int(window_seconds * 1_000_000)
+    coarse = bucket_seconds or max(16 * window_seconds, 3600)
+    if coarse < window_seconds:
         raise ValueError("bucket_seconds must be at least window_seconds")
-    width = int(bucket_seconds * 1_000_000)
+    coarse_us = window_us * max(1, round(coarse * 1_000_000 / window_us))
+    dense = dense_pairs(df, key, ts, coarse_us, dense_rows)
+    d = with_buckets(df, dense, key, ts, coarse_us, window_us, reach_us=window_us)
     if with_iat:
-        d = with_prev(df, key, ts, order_id, bucket_seconds)
+        d = with_prev(d, key, order_id)
         d = d.withColumn("_iat", F.col("_us") - F.col("_prev_us"))
     else:
-        d = df.withColumn("_us", epoch_us(ts)).withColumn("_b", F.floor(F.col("_us") / F.lit(width)))
         d = d.withColumn("_iat", F.lit(None).cast("long"))
-    nxt = F.floor((F.col("_us") + F.lit(int(window_seconds * 1_000_000))) / F.lit(width))
+    nxt = F.col("_nb")
     d = d.withColumn("_home", F.col("_b")).withColumn(
         "_b", F.explode(F.when(nxt > F.col("_b"), F.array(F.col("_b"), nxt)).otherwise(F.array(F.col("_b")))))
     part = f"PARTITION BY {key}, _b"
-    rng = f"OVER ({part} ORDER BY {ts} RANGE BETWEEN INTERVAL {int(window_seconds)} SECONDS PRECEDING AND CURRENT ROW)"
+    rng = f"OVER ({part} ORDER BY {ts} RANGE BETWEEN INTERVAL {window_us} MICROSECONDS PRECEDING AND CURRENT ROW)"
     rows = f"OVER ({part} ORDER BY {ts}, {order_id} ROWS BETWEEN {cap - 1} PRECEDING AND CURRENT ROW)"
     v = f"CAST({value} AS DOUBLE)"
     stats = {}
@@ -104,23 +164,20 @@ def buffer_stats(df: DataFrame, value: str, key: str = "flow_key", ts: str = "ts
     return d.select(*df.columns, *out)
 
 
-def _bucket_heads(df: DataFrame, key: str, ts: str, order_id: str, width_us: int, gap_us: int,
-                  first_cols: tuple[str, ...]) -> DataFrame:
+def _bucket_heads(df: DataFrame, key: str, order_id: str, gap_us: int, first_cols: tuple[str, ...]) -> DataFrame:
     """Per (key, time bucket): the last time of the previous non-empty bucket and the head (time, id and
     ``first_cols`` of the first packet) of the session the bucket's packets belong to.
 
-    Valid when buckets are at most ``gap`` wide: two packets of one bucket are
-    less than ``gap`` apart, so only a bucket's first packet can open a
-    session, and that is decided by the bucket's first time and the previous
-    bucket's last. Built from a narrow scan with map-side partial aggregation
-    (one row per key and bucket leaves each task); the running carry is a
-    window over a key's buckets, not its packets.
+    ``df`` is bucketed (``_us``, ``_b``) with buckets at most ``gap`` wide: two
+    packets of one bucket are less than ``gap`` apart, so only a bucket's
+    first packet can open a session, and that is decided by the bucket's first
+    time and the previous bucket's last. Map-side partial aggregation leaves
+    one row per key and bucket from each task; the running carry is a window
+    over a key's buckets, not its packets.
     """
-    d = df.select(key, order_id, *first_cols, epoch_us(ts).alias("_us"))
-    d = d.withColumn("_b", F.floor(F.col("_us") / F.lit(width_us)))
-    b = d.groupBy(key, "_b").agg(F.min("_us").alias("_min_us"), F.max("_us").alias("_max_us"),
-                                 F.min(F.struct(F.col("_us").alias("us"), F.col(order_id).alias("_id"),
-                                                *[F.col(c).alias(c) for c in first_cols])).alias("_first"))
+    b = df.groupBy(key, "_b").agg(F.min("_us").alias("_min_us"), F.max("_us").alias("_max_us"),
+                                  F.min(F.struct(F.col("_us").alias("us"), F.col(order_id).alias("_id"),
+                                                 *[F.col(c).alias(c) for c in first_cols])).alias("_first"))
     by_key = Window.partitionBy(key).orderBy("_b")
     b = b.withColumn("_prev_b_last", F.lag("_max_us").over(by_key))
     opens = F.col("_prev_b_last").isNull() | (F.col("_min_us") - F.col("_prev_b_last") >= F.lit(gap_us))
@@ -131,22 +188,27 @@ def _bucket_heads(df: DataFrame, key: str, ts: str, order_id: str, width_us: int
 
 def sessionize(df: DataFrame, key: str = "flow_key", ts: str = "ts", order_id: str = "packet_id",
                gap_seconds: int = 60, bucket_seconds: int | None = None,
-               first_cols: tuple[str, ...] = ()) -> DataFrame:
+               first_cols: tuple[str, ...] = (), dense_rows: int = DENSE_ROWS) -> DataFrame:
     """Add ``_us`` (epoch micros), ``_session_us`` (start of the packet's flow), ``_iat_ms`` (gap to the
     previous packet in the flow, null for the first) and ``_first_<c>`` (column ``c`` of the flow's first
     packet).
 
-    Packets are shuffled once, by (key, time bucket); buckets are at most
-    ``gap_seconds`` wide (a wider ``bucket_seconds`` is narrowed to the gap),
-    so session boundaries come from the per-bucket table of ``_bucket_heads``
-    and a hot key's packets are spread over many buckets. The in-bucket
-    ``lag`` gives the inter-arrival gaps; the first packet of a bucket takes
-    the previous bucket's last time from the same table.
+    Packets are shuffled once, by (key, time bucket). Buckets are at most
+    ``gap_seconds`` wide (a wider ``bucket_seconds`` is narrowed to the gap)
+    and 64 times narrower where a key is dense, so session boundaries come
+    from the per-bucket table of ``_bucket_heads`` and a hot key's packets are
+    spread over many buckets. The in-bucket ``lag`` gives the inter-arrival
+    gaps; the first packet of a bucket takes the previous bucket's last time
+    from the same table.
     """
     gap_us = int(gap_seconds * 1_000_000)
     width_us = min(int((bucket_seconds or min(gap_seconds, 3600)) * 1_000_000), gap_us)
-    heads = _bucket_heads(df, key, ts, order_id, width_us, gap_us, first_cols)
-    d = df.withColumn("_us", epoch_us(ts)).withColumn("_b", F.floor(F.col("_us") / F.lit(width_us)))
+    fine_us = max(1, width_us // 64)
+    coarse_us = fine_us * max(1, width_us // fine_us)
+    dense = dense_pairs(df, key, ts, coarse_us, dense_rows)
+    narrow = with_buckets(df.select(key, ts, order_id, *first_cols), dense, key, ts, coarse_us, fine_us)
+    heads = _bucket_heads(narrow, key, order_id, gap_us, first_cols)
+    d = with_buckets(df, dense, key, ts, coarse_us, fine_us)
     in_bucket = Window.partitionBy(key, "_b").orderBy("_us", order_id)
     d = d.withColumn("_prev_in_b", F.lag("_us").over(in_bucket))
     d = d.join(heads, [key, "_b"], "inner")
@@ -158,7 +220,7 @@ def sessionize(df: DataFrame, key: str = "flow_key", ts: str = "ts", order_id: s
 
 
 def flow_rollup(packets: DataFrame, gap_seconds: int = 60, bucket_seconds: int | None = None,
-                key: str = "flow_key") -> DataFrame:
+                key: str = "flow_key", dense_rows: int = DENSE_ROWS) -> DataFrame:
     """One row per flow (session of a key): duration, forward/backward counts and bytes, rates,
     length and inter-arrival stats, TCP flag counts.
 
@@ -167,7 +229,7 @@ def flow_rollup(packets: DataFrame, gap_seconds: int = 60, bucket_seconds: int |
     so a long flow of a hot key is combined map-side before its one shuffle.
     """
     s = sessionize(packets, key=key, gap_seconds=gap_seconds, bucket_seconds=bucket_seconds,
-                   first_cols=("src_ip", "protocol", "src_port", "dst_port"))
+                   first_cols=("src_ip", "protocol", "src_port", "dst_port"), dense_rows=dense_rows)
     s = s.select("*", *X.tcp_flag_columns("tcp_flags"))
     fwd = F.col("src_ip").eqNullSafe(F.col("_first_src_ip"))
     pl = F.col("pkt_len").cast("double")

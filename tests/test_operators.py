@@ -92,6 +92,34 @@ def test_sessions_cross_buckets(spark):
     assert flows.agg(F.sum("n_packets")).first()[0] == len(rows)
 
 
+@pytest.mark.parametrize("dense_rows", [1, 25, 10 ** 9])
+def test_buffer_dense_buckets_match_deque(spark, dense_rows):
+    """Fine buckets for dense (key, bucket) pairs, coarse elsewhere: same buffers as a plain deque."""
+    rnd = random.Random(17)
+    rows, t = [], 0.0
+    for i in range(700):
+        t += rnd.choice([0.2, 1.5, 7, 30, 61, 400])
+        rows.append((i, 1 if i % 4 else rnd.randint(2, 3), t, rnd.randint(40, 1500)))
+    df = packets_df(spark, rows)
+    out = W.buffer_stats(df, "pkt_len", window_seconds=60, cap=7, bucket_seconds=600, dense_rows=dense_rows)
+    got = {r.packet_id: (r.n_buffer, round(r.pkt_len_std, 6), round(r.flow_iat_max, 3))
+           for r in out.collect()}
+    want = deque_stats(rows, 60, 7)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1], abs=1e-6) for k in want)
+    assert len(got) == len(rows)
+    # inter-arrival max over the buffer: each buffered packet's gap to the key's previous packet
+    by_key = {}
+    for pid, key, tt, _ in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        by_key.setdefault(key, []).append((pid, tt))
+    for pk in by_key.values():
+        gaps = [None] + [(b[1] - a[1]) * 1000.0 for a, b in zip(pk, pk[1:])]
+        for j, (pid, _) in enumerate(pk):
+            buf = range(j - want[pid][0] + 1, j + 1)
+            g = [gaps[i] for i in buf if gaps[i] is not None]
+            assert got[pid][2] == pytest.approx(round(max(g), 3) if g else 0.0, abs=1e-6)
+
+
 def _brute_flows(rows, gap):
     """Brute force flows: per key, sorted by (time, id), a new flow at a gap >= ``gap``."""
     out = {}
@@ -113,15 +141,16 @@ def _brute_flows(rows, gap):
     return out
 
 
-@pytest.mark.parametrize("bucket", [7, 40, 100, 10 ** 6])
-def test_sessions_match_brute_force(spark, bucket):
+@pytest.mark.parametrize("bucket,dense_rows", [(7, 10 ** 9), (40, 10 ** 9), (100, 10 ** 9), (10 ** 6, 10 ** 9),
+                                               (100, 1), (100, 30), (10 ** 6, 50)])
+def test_sessions_match_brute_force(spark, bucket, dense_rows):
     rnd = random.Random(5)
     rows, t = [], 0.0
     for i in range(500):
         t += rnd.choice([0.5, 3, 20, 99.9, 100, 150, 700])
         rows.append((i, 1 if i % 3 else rnd.randint(2, 4), t, rnd.randint(40, 1500)))  # key 1: the hot key
     df = packets_df(spark, rows)
-    flows = W.flow_rollup(df, gap_seconds=100, bucket_seconds=bucket)
+    flows = W.flow_rollup(df, gap_seconds=100, bucket_seconds=bucket, dense_rows=dense_rows)
     got = {}
     for r in flows.collect():
         start = (r.flow_start - T0).total_seconds()
