@@ -41,12 +41,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session leaves it unset (local tests) do we set our own.
+    Only a local session (tests) that leaves it unset gets a folder of our own;
+    on a cluster a machine-local folder would be lost with its executor, so an
+    unset folder is an error there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (written tables and checkpoints go there)")
         root = os.path.join(os.environ.get("NETSIEVE_LOCAL_SCRATCH", "/tmp"), "netsieve-checkpoints")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
