@@ -52,8 +52,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (written tables and checkpoints go there)")
         root = os.path.join(os.environ.get("NETSIEVE_LOCAL_SCRATCH", "/tmp"), "netsieve-checkpoints")
-        spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(root)  # DataFrame.checkpoint() writes under the context's folder
     return root
 
 
