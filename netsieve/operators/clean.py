@@ -107,7 +107,7 @@ def category_codes(df: DataFrame, exclude: list[str] | None = None):
     return model, model.transform(df)
 
 
-def packet_features(df: DataFrame, form: str = "wide") -> DataFrame:
+def packet_features(df: DataFrame, form: str = "wide", keep: list[str] | None = None) -> DataFrame:
     """Feature row of one packet: ports, protocol, length, TCP flags, time parts; flow metrics 0.
 
     ``form`` is ``wide`` (57 fields), ``early`` (with forward counts, header and window) or ``narrow``.
@@ -137,4 +137,4 @@ def packet_features(df: DataFrame, form: str = "wide") -> DataFrame:
     else:
         names = schemas.PACKET_FEATURES
     cols = [(base[n] if n in base else F.lit(0.0)).alias(n) for n in names]
-    return df.select("packet_id", *cols)
+    return df.select("packet_id", *(keep or []), *cols)

@@ -39,7 +39,18 @@ def alert_rows(spark: SparkSession, sf_dir: str, text_threshold: float = 0.7) ->
 
 def alert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log entry per malicious row (21 columns); floats rounded to 3 decimals as the CSV writes them."""
-    df = spread(alert_rows(spark, sf_dir).where("is_malicious"), table(spark, sf_dir, "events"))
+    return alert_log_of(spread(alert_rows(spark, sf_dir).where("is_malicious"), table(spark, sf_dir, "events")))
+
+
+def alert_log_of(df: DataFrame) -> DataFrame:
+    """Alert log entries of scored rows (``is_malicious`` already applied by the caller); absent flow
+    metrics are null."""
+    absent = {c: "double" for c in ("flow_byts_s", "flow_pkts_s", "flow_iat_mean", "fwd_header_len", "bwd_header_len",
+                                    "rst_flag_cnt", "syn_flag_cnt", "pkt_len_min", "pkt_len_max", "slm_score")}
+    absent.update(slm_label="string", ts="timestamp", protocol="int", src_port="int", dst_port="int")
+    for c, t in absent.items():
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast(t))
     r3 = lambda c: F.round(F.col(c).cast("double"), 3)
     return df.select(
         F.col("row_id").alias("row_index"),
@@ -68,7 +79,13 @@ def alert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total, detected, rate %, distinct attack types, mean text score over detected rows."""
-    df = alert_rows(spark, sf_dir)
+    return summary_of(alert_rows(spark, sf_dir))
+
+
+def summary_of(df: DataFrame) -> DataFrame:
+    """The one-row run summary of scored rows (partial aggregates per task, one tiny merge)."""
+    if "slm_score" not in df.columns:
+        df = df.withColumn("slm_score", F.lit(None).cast("double"))
     return df.agg(
         F.count(F.lit(1)).alias("total_records"),
         F.count_if("is_malicious").alias("malicious_records"),
