@@ -61,18 +61,22 @@ def row_audit(df: DataFrame, raw_label: str = "raw_label", by: str = "source_fil
     return agg.withColumn("n_final", F.col("n_initial") - F.col("n_header") - F.col("n_null_label") - F.col("n_unknown"))
 
 
-def class_weights(df: DataFrame, label: str = "label", id_col: str = "row_id") -> DataFrame:
-    """Each row with its class weight ``N / (K * n_c)``.
+def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
+    """Every row plus its class weight ``N / (K * n_c)``, unrounded.
 
     Counts are a partial aggregate; the per-class table has one row per label
-    of the (known, bounded) label domain and is broadcast back.
+    of the (known, bounded) label domain and is broadcast back by label.
     """
     counts = df.groupBy(F.col(label).alias("_cls")).agg(F.count(F.lit(1)).alias("_n"))
     every = Window.partitionBy()
-    w = counts.select("_cls", (F.sum("_n").over(every) / (F.count(F.lit(1)).over(every) * F.col("_n")))
-                      .alias("weight"))
-    out = df.join(F.broadcast(w), F.col(label) == F.col("_cls"), "inner")
-    return out.select(id_col, F.col(label).alias("label"), F.round("weight", 6).alias("weight"))
+    w = counts.select("_cls", (F.sum("_n").over(every) / (F.count(F.lit(1)).over(every) * F.col("_n"))).alias(out))
+    return df.join(F.broadcast(w), F.col(label) == F.col("_cls"), "inner").drop("_cls")
+
+
+def class_weights(df: DataFrame, label: str = "label", id_col: str = "row_id") -> DataFrame:
+    """Each row's id and label with its class weight ``N / (K * n_c)`` (6 decimals)."""
+    out = with_class_weights(df, label, "_w")
+    return out.select(id_col, F.col(label).alias("label"), F.round("_w", 6).alias("weight"))
 
 
 def zscore_by_file(df: DataFrame, cols: list[str], by: str = "source_file") -> DataFrame:

@@ -112,8 +112,7 @@ def train(spark: SparkSession, clean_dir: str, model_dir: str, max_iter: int = 1
                                      "y", "p")
     out["binary_auc"] = M.roc_auc(held, "y", "score")
 
-    w = S.class_weights(df, "label", "row_id").select("row_id", "weight")
-    m = SM.split_stratified(df.join(w, "row_id"), "label", "row_id")
+    m = SM.split_stratified(S.with_class_weights(df, "label"), "label", "row_id")
     multi = MD.train_multi(m.where("split = 'train'"), "label", feats, max_iter=max_iter, weight_col="weight")
     multi.write().overwrite().save(f"{model_dir}/multi")
     pred = MD.multi_predict(multi, m.where("split = 'test'"))

@@ -198,9 +198,7 @@ SELECT round(avg(ll), 6) AS logloss, round(avg(err), 6) AS merror,
   round(sum(w * ll) / sum(w), 6) AS weighted_logloss, round(sum(w * err) / sum(w), 6) AS weighted_merror FROM j""")
 def q_logloss_merror(spark, sf):
     """Multi-class log loss and error, plain and class-weighted."""
-    p = class_probs(spark, sf)
-    w = S.class_weights(p.withColumnRenamed("vec_id", "row_id"), "label", "row_id").withColumnRenamed("row_id", "vec_id")
-    j = p.join(w.select("vec_id", "weight"), "vec_id")
+    j = S.with_class_weights(class_probs(spark, sf), "label")  # per-class table broadcast by label
     return M.log_loss(j, "probs", "label", weight="weight")
 
 

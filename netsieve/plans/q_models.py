@@ -42,9 +42,7 @@ def q_train_binary(spark, sf):
 
 
 def _multi_frame(spark, sf):
-    df = E.labelled_alerts(spark, sf)
-    w = S.class_weights(df, "label", "row_id").select("row_id", "weight")
-    df = df.join(w, "row_id")
+    df = S.with_class_weights(E.labelled_alerts(spark, sf), "label")
     return SM.split_stratified(df, "label", "row_id")
 
 
