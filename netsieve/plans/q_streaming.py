@@ -82,32 +82,46 @@ def q_rule_stream(spark, sf):
 def _win_stream_sql() -> str:
     """A packet's buffer holds the packets that arrived up to it (time, then id) within the window, at
     most ``CAP``: the RANGE frame without its later peers (equal time, larger id) or the ROWS frame,
-    whichever is shorter. Moments are exact integers."""
-    frames = []
-    for name, e in (("n", "count(x)"), ("s1", "sum(x)"), ("s2", "sum(x * x)"), ("c", "count(*)")):
-        frames.append(f"{e} OVER r - coalesce({e} OVER pf, 0) AS {name}_r, {e} OVER w AS {name}_w")
-    pick = lambda m: f"CASE WHEN c_r <= c_w THEN {m}_r ELSE {m}_w END AS {m}"
-    var = "CAST(n * s2 - s1 * s1 AS DOUBLE) / CAST(n * n AS DOUBLE)"
+    whichever is shorter. Its members are the ``n`` packets ranked just before it (inclusive), so the
+    stats are a join on rank ranges. Moments are exact integers; gaps are to the key's previous packet
+    (which may lie outside the buffer)."""
+    var = "CAST(k * s2 - s1 * s1 AS DOUBLE) / CAST(k * k AS DOUBLE)"
     return _IP_PACKETS + f""",
-p AS (SELECT packet_id, flow_key, ts, CAST(pkt_len AS HUGEINT) AS x FROM ip),
-f AS (SELECT packet_id, flow_key, {", ".join(frames)} FROM p
-      WINDOW r AS (PARTITION BY flow_key ORDER BY ts RANGE BETWEEN INTERVAL {DAY_S} SECONDS PRECEDING AND CURRENT ROW),
-             w AS (PARTITION BY flow_key ORDER BY ts, packet_id ROWS BETWEEN {CAP - 1} PRECEDING AND CURRENT ROW),
-             pf AS (PARTITION BY flow_key, ts ORDER BY packet_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
-g AS (SELECT packet_id, flow_key, {pick('c')}, {pick('n')}, {pick('s1')}, {pick('s2')} FROM f)
-SELECT packet_id, flow_key, CAST(c AS BIGINT) AS n_buffer,
-  round(CASE WHEN n > 0 THEN sqrt({var}) END, 6) AS pkt_len_std,
-  round(CASE WHEN n > 0 THEN {var} END, 6) AS pkt_len_var FROM g"""
+p AS (SELECT packet_id, flow_key, ts, CAST(pkt_len AS HUGEINT) AS x,
+        CAST(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY flow_key ORDER BY ts, packet_id) AS HUGEINT) AS g,
+        row_number() OVER (PARTITION BY flow_key ORDER BY ts, packet_id) AS rk FROM ip),
+c AS (SELECT packet_id, flow_key, rk,
+        least(count(*) OVER (PARTITION BY flow_key ORDER BY ts RANGE BETWEEN INTERVAL {DAY_S} SECONDS PRECEDING
+                             AND CURRENT ROW)
+              - count(*) OVER (PARTITION BY flow_key, ts ORDER BY packet_id ROWS BETWEEN 1 FOLLOWING
+                               AND UNBOUNDED FOLLOWING),
+              count(*) OVER (PARTITION BY flow_key ORDER BY ts, packet_id ROWS BETWEEN {CAP - 1} PRECEDING
+                             AND CURRENT ROW)) AS n FROM p),
+b AS (SELECT a.packet_id, a.flow_key, a.n, count(m.x) AS k, sum(m.x) AS s1, sum(m.x * m.x) AS s2,
+        count(m.g) AS gk, sum(m.g) AS g1, sum(m.g * m.g) AS g2, max(m.g) AS gmax, min(m.g) AS gmin
+      FROM c a JOIN p m ON m.flow_key = a.flow_key AND m.rk BETWEEN a.rk - a.n + 1 AND a.rk
+      GROUP BY a.packet_id, a.flow_key, a.n)
+SELECT packet_id, flow_key, CAST(n AS BIGINT) AS n_buffer,
+  round(CASE WHEN k > 0 THEN sqrt({var}) END, 6) AS pkt_len_std,
+  round(CASE WHEN k > 0 THEN {var} END, 6) AS pkt_len_var,
+  round(CASE WHEN gk > 0 THEN CAST(g1 AS DOUBLE) / CAST(gk AS DOUBLE) / 1000.0 ELSE 0.0 END, 6) AS flow_iat_mean,
+  round(CASE WHEN gk > 0 THEN sqrt(CAST(gk * g2 - g1 * g1 AS DOUBLE)) / CAST(gk AS DOUBLE) / 1000.0 ELSE 0.0 END, 4)
+    AS flow_iat_std,
+  round(CASE WHEN gk > 0 THEN CAST(gmax AS DOUBLE) / 1000.0 ELSE 0.0 END, 3) AS flow_iat_max,
+  round(CASE WHEN gk > 0 THEN CAST(gmin AS DOUBLE) / 1000.0 ELSE 0.0 END, 3) AS flow_iat_min FROM b"""
 
 
 @query("win_stream", sql=_win_stream_sql)
 def q_win_stream(spark, sf):
-    """Per-flow bounded buffer (one day, 1000 packets) kept as streaming state."""
+    """Per-flow bounded buffer (one day, 1000 packets) kept as streaming state: packet-length and
+    inter-arrival (ms) stats, rounded as ``win_pkt_len`` / ``win_iat``."""
     src = _packets_in(spark, sf)
     out, ck = scratch_dir(spark, "win-out"), scratch_dir(spark, "win-ck")
     ST.run_to_files(ST.buffer_state(ST.packet_stream(spark, src), window_seconds=DAY_S, cap=CAP, watermark=DAY),
                     out, ck)
-    return _read_back(spark, out, round6=("pkt_len_std", "pkt_len_var"))
+    df = _read_back(spark, out, round6=("pkt_len_std", "pkt_len_var", "flow_iat_mean"))
+    return df.select(*[F.round(c, {"flow_iat_std": 4, "flow_iat_max": 3, "flow_iat_min": 3}[c]).alias(c)
+                       if c in ("flow_iat_std", "flow_iat_max", "flow_iat_min") else F.col(c) for c in df.columns])
 
 
 def _sessions_stream_sql() -> str:

@@ -82,12 +82,34 @@ BUFFER_OUT = T.StructType([
     T.StructField("packet_id", T.LongType()), T.StructField("flow_key", T.LongType()),
     T.StructField("n_buffer", T.LongType()), T.StructField("pkt_len_std", T.DoubleType()),
     T.StructField("pkt_len_var", T.DoubleType()),
+    T.StructField("flow_iat_mean", T.DoubleType()), T.StructField("flow_iat_std", T.DoubleType()),
+    T.StructField("flow_iat_max", T.DoubleType()), T.StructField("flow_iat_min", T.DoubleType()),
 ])
+# Buffered packets: time, length (-1 = null), gap to the key's previous packet in microseconds and
+# whether it has one (the key's first packet has none; the previous packet may have left the buffer).
 BUFFER_STATE = T.StructType([
     T.StructField("ts_us", T.ArrayType(T.LongType())), T.StructField("lens", T.ArrayType(T.LongType())),
+    T.StructField("iats", T.ArrayType(T.LongType())), T.StructField("has_iat", T.ArrayType(T.BooleanType())),
 ])
 
 
+def _window_extreme(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, fn, max_width: int) -> np.ndarray:
+    """``fn`` (np.maximum / np.minimum) of ``v[lo[i]:hi[i]]`` for every i — a sparse table (levels up to
+    ``max_width``, the buffer cap), no row loop."""
+    levels = [v]
+    while (1 << len(levels)) <= min(len(v), max_width):
+        prev, h = levels[-1], 1 << (len(levels) - 1)
+        levels.append(fn(prev[:-h], prev[h:]))
+    width = hi - lo
+    lvl = np.floor(np.log2(np.maximum(width, 1))).astype(np.int64)
+    out = np.empty(len(lo), dtype=v.dtype)
+    for k in np.unique(lvl):
+        m = lvl == k
+        t = levels[k]
+        out[m] = fn(t[lo[m]], t[hi[m] - (1 << k)])
+    return out
+
+
 def _buffer_starts(ts: np.ndarray, first: int, window_us: int, cap: int) -> np.ndarray:
     """Index of the oldest buffered packet for each packet ``j >= first`` of ``ts`` (arrival order).
 
@@ -119,36 +141,63 @@ def _buffer_fn(window_us: int, cap: int):
         if not frames:
             return
         pdf = pd.concat(frames).sort_values(["ts_us", "packet_id"])
-        old_ts, old_len = ((np.asarray(state.get[0], dtype=np.int64), np.asarray(state.get[1], dtype=np.int64))
-                           if state.exists else (np.empty(0, np.int64), np.empty(0, np.int64)))
+        empty = (np.empty(0, np.int64),) * 3 + (np.empty(0, bool),)
+        old_ts, old_len, old_iat, old_has = ((np.asarray(state.get[0], dtype=np.int64),
+                                              np.asarray(state.get[1], dtype=np.int64),
+                                              np.asarray(state.get[2], dtype=np.int64), np.asarray(state.get[3], dtype=bool))
+                                             if state.exists else empty)
         ts = np.concatenate([old_ts, pdf["ts_us"].to_numpy(np.int64)])
         new_len = pdf["pkt_len"]
         lens = np.concatenate([np.maximum(old_len, 0), new_len.fillna(0).to_numpy(np.int64)])
         seen = np.concatenate([old_len >= 0, new_len.notna().to_numpy()])  # a null length is kept as -1
         first = len(old_ts)
+        # gap to the previous packet of the key (the state always holds the last one)
+        gaps = np.diff(ts)[max(first - 1, 0):] if len(ts) > 1 else np.empty(0, np.int64)
+        new_has = np.ones(len(ts) - first, dtype=bool)
+        if first == 0:
+            new_has[0] = False
+            gaps = np.concatenate([[0], gaps])
+        iat = np.concatenate([old_iat, gaps.astype(np.int64)])
+        has = np.concatenate([old_has, new_has])
         lo = _buffer_starts(ts, first, window_us, cap)
         hi = np.arange(first, len(ts)) + 1
+        n = hi - lo
         # exact integer moments of the non-null lengths in each buffer: (k * sum(x^2) - sum(x)^2) / k^2
         k0 = np.concatenate([[0], np.cumsum(seen)])
         s1 = np.concatenate([[0], np.cumsum(lens)])
         s2 = np.concatenate([[0], np.cumsum(lens * lens)])
-        n, k = hi - lo, k0[hi] - k0[lo]
-        a, b = s1[hi] - s1[lo], s2[hi] - s2[lo]
+        k, a, b = k0[hi] - k0[lo], s1[hi] - s1[lo], s2[hi] - s2[lo]
         with np.errstate(invalid="ignore", divide="ignore"):
             var = np.where(k > 0, (k * b - a * a).astype(np.float64) / (k * k).astype(np.float64), np.nan)
+        # inter-arrival moments in exact integers (squared microseconds exceed 64 bits: Python ints)
+        g = np.where(has, iat, 0).astype(object)
+        c0 = np.concatenate([[0], np.cumsum(has)])
+        g1 = np.concatenate([[0], np.cumsum(g)]).astype(object)
+        g2 = np.concatenate([[0], np.cumsum(g * g)]).astype(object)
+        gk, ga, gb = c0[hi] - c0[lo], g1[hi] - g1[lo], g2[hi] - g2[lo]
+        gkf, gko = gk.astype(np.float64), gk.astype(object)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = np.where(gk > 0, ga.astype(np.float64) / gkf / 1000.0, 0.0)
+            std = np.where(gk > 0, np.sqrt((gko * gb - ga * ga).astype(np.float64)) / gkf / 1000.0, 0.0)
+        big = np.iinfo(np.int64)
+        gmax = _window_extreme(np.where(has, iat, big.min), lo, hi, np.maximum, cap)
+        gmin = _window_extreme(np.where(has, iat, big.max), lo, hi, np.minimum, cap)
+        gmax = np.where(gk > 0, gmax.astype(np.float64) / 1000.0, 0.0)
+        gmin = np.where(gk > 0, gmin.astype(np.float64) / 1000.0, 0.0)
         lens = np.where(seen, lens, -1)
         keep = int(lo[-1])
-        state.update((ts[keep:].tolist(), lens[keep:].tolist()))
+        state.update((ts[keep:].tolist(), lens[keep:].tolist(), iat[keep:].tolist(), has[keep:].tolist()))
         state.setTimeoutTimestamp(int(ts[-1] // 1000) + window_us // 1000 + 1)
         yield pd.DataFrame({"packet_id": pdf["packet_id"].to_numpy(np.int64),
                             "flow_key": np.full(len(n), int(key[0]), dtype=np.int64), "n_buffer": n.astype(np.int64),
-                            "pkt_len_std": np.sqrt(var), "pkt_len_var": var})
+                            "pkt_len_std": np.sqrt(var), "pkt_len_var": var, "flow_iat_mean": mean,
+                            "flow_iat_std": std, "flow_iat_max": gmax, "flow_iat_min": gmin})
     return fn
 
 
 def buffer_state(packets: DataFrame, window_seconds: int = 60, cap: int = 1000,
                  watermark: str = "60 seconds") -> DataFrame:
-    """Streaming twin of ``windows.buffer_stats`` for packet length (per flow key state).
+    """Streaming twin of ``windows.buffer_stats`` (packet length and inter-arrival stats, per flow key state).
 
     Rows of one micro-batch are applied in event-time order (one sort and
     vectorized bounds per key and batch, integer moments, no per-row Python

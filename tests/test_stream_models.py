@@ -13,9 +13,47 @@ from conftest import SF_SMALL
 
 def test_stream_buffer_equals_batch(spark):
     q = E.queries()
-    stream = {r.packet_id: (r.n_buffer, round(r.pkt_len_std, 6)) for r in q["win_stream"](spark, SF_SMALL).collect()}
+    rows = q["win_stream"](spark, SF_SMALL).collect()
+    stream = {r.packet_id: (r.n_buffer, round(r.pkt_len_std, 6)) for r in rows}
     batch = {r.packet_id: (r.n_buffer, round(r.pkt_len_std, 6)) for r in q["win_pkt_len"](spark, SF_SMALL).collect()}
     assert stream == batch
+    cols = ("flow_iat_mean", "flow_iat_std", "flow_iat_max", "flow_iat_min")
+    iat = {r.packet_id: tuple(r[c] for c in cols) for r in q["win_iat"](spark, SF_SMALL).collect()}
+    assert {r.packet_id: tuple(r[c] for c in cols) for r in rows} == iat
+
+
+def test_stream_buffer_late_packets(spark):
+    """Packets of a later drop older than the buffered ones are applied in arrival order (deque rule)."""
+    import datetime as dt
+    import time
+
+    from netsieve import schemas
+    from netsieve.streaming import streams as ST
+
+    t0 = dt.datetime(2024, 1, 1)
+    drops = [[(1, 0), (2, 10), (3, 20), (4, 30)], [(5, 25), (6, 40), (7, 95)]]
+    src = scratch_dir(spark, "late-in")
+    for d in drops:
+        rows = [(pid, t0 + dt.timedelta(seconds=sec), 1, "a", "b", 6, 1, 2, 0, 0, 100 + pid, "") for pid, sec in d]
+        spark.createDataFrame(rows, schemas.PACKET).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # arrival order = file modification order
+    out, ck = scratch_dir(spark, "late-out"), scratch_dir(spark, "late-ck")
+    ST.run_to_files(ST.buffer_state(ST.packet_stream(spark, src), window_seconds=60, cap=3, watermark="60 seconds"),
+                    out, ck)
+    got = {r.packet_id: (r.n_buffer, r.flow_iat_max) for r in spark.read.parquet(out).collect()}
+    # deque per drop (sorted inside a drop): expire older than 60 s from the front, then keep at most 3
+    buf, prev, want = [], None, {}
+    for d in drops:
+        for pid, sec in sorted(d, key=lambda x: (x[1], x[0])):
+            gap = None if prev is None else (sec - prev) * 1000.0
+            prev = sec
+            buf.append((sec, gap))
+            while buf[0][0] < sec - 60:
+                buf.pop(0)
+            buf = buf[-3:]
+            gaps = [g for _, g in buf if g is not None]
+            want[pid] = (len(buf), max(gaps) if gaps else 0.0)
+    assert got == want
 
 
 def test_stream_alerts_equal_batch_rows(spark):
