@@ -18,10 +18,12 @@ batch's own folder, which makes a replayed batch idempotent.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +32,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from netsieve import schemas
 from netsieve.functions import detect as X
 
+# The stateful per-flow function runs in Python workers: ship this module's code with the query
+# (pickled by value), so executors need the package neither installed nor on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PACKET_COLUMNS = [f.name for f in schemas.PACKET.fields]
 
 
