@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from netsieve import schemas
 from netsieve.functions import alerts as A
+from netsieve.functions import domains as D
 from netsieve.plans import evaluation as E
 from netsieve.plans.registry import query
 from netsieve.plans.sqlbase import SCORED, with_alerts
@@ -127,14 +128,25 @@ def q_win_stream(spark, sf):
 def _sessions_stream_sql() -> str:
     """Sessions split at gaps of a day; a session is emitted once the final watermark (latest time
     seen minus the delay) has reached its end (last packet plus the gap)."""
+    flags = ", ".join(f"CAST(sum(CAST(coalesce((tcp_flags & {m}) <> 0, false) AS INTEGER)) AS BIGINT) AS {n}"
+                      for n, m in D.TCP_FLAG_MASKS)
+    secs = "((max(us) - min(us)) / 1000000.0)"
     return _IP_PACKETS + f""",
-p AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY flow_key ORDER BY ts, packet_id) AS gap FROM ip),
+p AS (SELECT *, epoch_us(ts) AS us,
+        epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY flow_key ORDER BY ts, packet_id) AS gap FROM ip),
 s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= {DAY_S * 1_000_000} THEN 1 ELSE 0 END)
                   OVER (PARTITION BY flow_key ORDER BY ts, packet_id ROWS UNBOUNDED PRECEDING) AS sid FROM p),
 g AS (SELECT flow_key, min(ts) AS flow_start, max(ts) + INTERVAL {DAY_S} SECONDS AS flow_end,
-        count(*) AS n_packets, CAST(sum(pkt_len) AS BIGINT) AS total_bytes, min(pkt_len) AS pkt_len_min,
-        max(pkt_len) AS pkt_len_max, round(avg(pkt_len), 6) AS pkt_len_mean,
-        round(stddev_pop(pkt_len), 6) AS pkt_len_std FROM s GROUP BY flow_key, sid)
+        max(us) - min(us) AS flow_duration, count(*) AS n_packets, CAST(sum(pkt_len) AS BIGINT) AS total_bytes,
+        min(pkt_len) AS pkt_len_min, max(pkt_len) AS pkt_len_max,
+        round(avg(CAST(pkt_len AS DOUBLE)), 6) AS pkt_len_mean, round(stddev_pop(CAST(pkt_len AS DOUBLE)), 6) AS pkt_len_std,
+        round(var_pop(CAST(pkt_len AS DOUBLE)), 6) AS pkt_len_var,
+        round(CAST(sum(pkt_len) AS DOUBLE) / nullif({secs}, 0), 6) AS flow_byts_s,
+        round(CAST(count(*) AS DOUBLE) / nullif({secs}, 0), 6) AS flow_pkts_s,
+        round(CASE WHEN count(*) > 1 THEN CAST(max(us) - min(us) AS DOUBLE) / CAST(count(*) - 1 AS DOUBLE) / 1000.0
+              END, 6) AS flow_iat_mean,
+        {flags}
+      FROM s GROUP BY flow_key, sid)
 SELECT * FROM g WHERE flow_end <= (SELECT max(ts) FROM ip) - INTERVAL {DAY_S} SECONDS"""
 
 
@@ -144,7 +156,8 @@ def q_flow_rollup_stream(spark, sf):
     src = _packets_in(spark, sf)
     out, ck = scratch_dir(spark, "flows-out"), scratch_dir(spark, "flows-ck")
     ST.run_to_files(ST.session_rollup(ST.packet_stream(spark, src), gap=DAY, watermark=DAY), out, ck)
-    return _read_back(spark, out, round6=("pkt_len_mean", "pkt_len_std"))
+    return _read_back(spark, out, round6=("pkt_len_mean", "pkt_len_std", "pkt_len_var", "flow_byts_s",
+                                          "flow_pkts_s", "flow_iat_mean"))
 
 
 @query("alert_stream", sql=lambda: with_alerts(SCORED) + f"""

@@ -31,6 +31,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from netsieve import schemas
 from netsieve.functions import detect as X
+from netsieve.functions import domains as D
 
 # The stateful per-flow function runs in Python workers: ship this module's code with the query
 # (pickled by value), so executors need the package neither installed nor on their path.
@@ -220,11 +221,27 @@ def buffer_state(packets: DataFrame, window_seconds: int = 60, cap: int = 1000,
 
 
 def session_rollup(packets: DataFrame, gap: str = "60 seconds", watermark: str = "60 seconds") -> DataFrame:
-    """Per-flow sessions over a stream (append mode: emitted when the watermark passes the session end)."""
+    """Per-flow sessions over a stream (append mode: emitted when the watermark passes the session end).
+
+    The flow-level metrics that are plain aggregates: packets, bytes, length
+    stats, duration, rates, TCP flag counts, and the mean inter-arrival time
+    (the gaps of a session telescope to (last - first) / (n - 1)).
+    """
     p = packets.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    p = p.select("*", F.unix_micros("ts").alias("_us"), *X.tcp_flag_columns("tcp_flags"))
+    pl = F.col("pkt_len").cast("double")
     g = p.groupBy("flow_key", F.session_window("ts", gap).alias("session")).agg(
         F.count(F.lit(1)).alias("n_packets"), F.sum("pkt_len").alias("total_bytes"),
         F.min("pkt_len").alias("pkt_len_min"), F.max("pkt_len").alias("pkt_len_max"),
-        F.avg("pkt_len").alias("pkt_len_mean"), F.stddev_pop("pkt_len").alias("pkt_len_std"))
+        F.avg(pl).alias("pkt_len_mean"), F.stddev_pop(pl).alias("pkt_len_std"), F.var_pop(pl).alias("pkt_len_var"),
+        F.min("_us").alias("_first_us"), F.max("_us").alias("_last_us"),
+        *[F.sum(n).cast("long").alias(n) for n, _ in D.TCP_FLAG_MASKS])
+    dur = F.col("_last_us") - F.col("_first_us")
+    secs = dur / F.lit(1_000_000.0)
+    iat = F.when(F.col("n_packets") > 1, dur.cast("double") / (F.col("n_packets") - 1).cast("double") / F.lit(1000.0))
     return g.select("flow_key", F.col("session.start").alias("flow_start"), F.col("session.end").alias("flow_end"),
-                    "n_packets", "total_bytes", "pkt_len_min", "pkt_len_max", "pkt_len_mean", "pkt_len_std")
+                    dur.alias("flow_duration"), "n_packets", "total_bytes", "pkt_len_min", "pkt_len_max",
+                    "pkt_len_mean", "pkt_len_std", "pkt_len_var",
+                    F.try_divide(F.col("total_bytes").cast("double"), secs).alias("flow_byts_s"),
+                    F.try_divide(F.col("n_packets").cast("double"), secs).alias("flow_pkts_s"),
+                    iat.alias("flow_iat_mean"), *[n for n, _ in D.TCP_FLAG_MASKS])
