@@ -107,6 +107,13 @@ def parse_day_first(text: Column | str) -> Column:
     return F.try_to_timestamp(col(text), F.lit("dd/MM/yyyy HH:mm:ss"))
 
 
+def round_half_up(c: Column | str, digits: int) -> Column:
+    """``floor(x * 10^d + 0.5) / 10^d`` — the same IEEE steps as the SQL form, so equal inputs round equally
+    in any engine (``round`` differs between engines at and near decimal ties)."""
+    scale = F.lit(float(10 ** digits))
+    return F.floor(col(c).cast("double") * scale + F.lit(0.5)) / scale
+
+
 def argmax(arr: Column | str) -> Column:
     """0-based index of the first maximum."""
     a = col(arr)

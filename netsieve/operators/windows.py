@@ -214,9 +214,10 @@ def sessionize(df: DataFrame, key: str = "flow_key", ts: str = "ts", order_id: s
     d = d.join(heads, [key, "_b"], "inner")
     prev = F.coalesce("_prev_in_b", "_prev_b_last")
     opens = prev.isNull() | (F.col("_us") - prev >= F.lit(gap_us))
-    iat = F.when(~opens, (F.col("_us") - prev) / F.lit(1000.0))
+    iat_us = F.when(~opens, F.col("_us") - prev)
     return d.select(*df.columns, "_us", F.col("_head.us").alias("_session_us"),
-                    *[F.col(f"_head.{c}").alias(f"_first_{c}") for c in first_cols], iat.alias("_iat_ms"))
+                    *[F.col(f"_head.{c}").alias(f"_first_{c}") for c in first_cols], iat_us.alias("_iat_us"),
+                    (iat_us / F.lit(1000.0)).alias("_iat_ms"))
 
 
 def flow_rollup(packets: DataFrame, gap_seconds: int = 60, bucket_seconds: int | None = None,
@@ -247,7 +248,8 @@ def flow_rollup(packets: DataFrame, gap_seconds: int = 60, bucket_seconds: int |
         F.stddev_pop(bl).alias("bwd_pkt_len_std"),
         F.min(pl).alias("pkt_len_min"), F.max(pl).alias("pkt_len_max"), F.avg(pl).alias("pkt_len_mean"),
         F.stddev_pop(pl).alias("pkt_len_std"), F.var_pop(pl).alias("pkt_len_var"), F.sum(pl).alias("_bytes"),
-        F.avg("_iat_ms").alias("flow_iat_mean"), F.stddev_pop("_iat_ms").alias("flow_iat_std"),
+        F.count("_iat_us").alias("_gk"), F.sum("_iat_us").alias("_g1"),
+        F.sum(F.col("_iat_us").cast("decimal(38,0)") * F.col("_iat_us").cast("decimal(38,0)")).alias("_g2"),
         F.max("_iat_ms").alias("flow_iat_max"), F.min("_iat_ms").alias("flow_iat_min"),
         *[F.sum(n).cast("long").alias(n) for n, _ in D.TCP_FLAG_MASKS],
     )
@@ -262,7 +264,14 @@ def flow_rollup(packets: DataFrame, gap_seconds: int = 60, bucket_seconds: int |
         rate("_bytes").alias("flow_byts_s"), rate("n_packets").alias("flow_pkts_s"),
         rate("tot_fwd_pkts").alias("fwd_pkts_s"), rate("tot_bwd_pkts").alias("bwd_pkts_s"),
         "pkt_len_min", "pkt_len_max", "pkt_len_mean", "pkt_len_std", "pkt_len_var",
-        "flow_iat_mean", "flow_iat_std", "flow_iat_max", "flow_iat_min",
+        (F.try_divide(F.col("_g1").cast("double"), F.col("_gk").cast("double")) / F.lit(1000.0)).alias("flow_iat_mean"),
+        F.when(F.col("_gk") > 0, F.sqrt((F.col("_gk").cast("decimal(38,0)") * F.col("_g2")
+                                         - F.col("_g1").cast("decimal(38,0)") * F.col("_g1")).cast("double"))
+               / F.col("_gk").cast("double") / F.lit(1000.0)).alias("flow_iat_std"),
+        "flow_iat_max", "flow_iat_min",
         *[n for n, _ in D.TCP_FLAG_MASKS])
-    frac = {f.name for f in g.schema.fields if f.dataType.simpleString() == "double"}
-    return g.select(*[F.round(c, 6).alias(c) if c in frac else F.col(c) for c in g.columns])
+    # inter-arrival moments are exact integers, rounded half up by fixed IEEE steps; the rest to 6 digits
+    exact = {"flow_iat_mean", "flow_iat_std"}
+    frac = {f.name for f in g.schema.fields if f.dataType.simpleString() == "double"} - exact
+    return g.select(*[F.round(c, 6).alias(c) if c in frac else X.round_half_up(c, 6).alias(c) if c in exact
+                      else F.col(c) for c in g.columns])

@@ -13,10 +13,12 @@ from pyspark.sql import types as T
 
 from netsieve import schemas
 from netsieve.functions import alerts as A
+from netsieve.functions import detect as X
 from netsieve.functions import domains as D
 from netsieve.plans import evaluation as E
 from netsieve.plans.registry import query
 from netsieve.plans.sqlbase import SCORED, with_alerts
+from netsieve.plans.sqlbase import round_half_up as rh
 from netsieve.session import scratch_dir
 from netsieve.sources import adapters
 from netsieve.streaming import streams as ST
@@ -105,8 +107,8 @@ b AS (SELECT a.packet_id, a.flow_key, a.n, count(m.x) AS k, sum(m.x) AS s1, sum(
 SELECT packet_id, flow_key, CAST(n AS BIGINT) AS n_buffer,
   round(CASE WHEN k > 0 THEN sqrt({var}) END, 6) AS pkt_len_std,
   round(CASE WHEN k > 0 THEN {var} END, 6) AS pkt_len_var,
-  round(CASE WHEN gk > 0 THEN CAST(g1 AS DOUBLE) / CAST(gk AS DOUBLE) / 1000.0 ELSE 0.0 END, 6) AS flow_iat_mean,
-  round(CASE WHEN gk > 0 THEN sqrt(CAST(gk * g2 - g1 * g1 AS DOUBLE)) / CAST(gk AS DOUBLE) / 1000.0 ELSE 0.0 END, 4)
+  {rh("CASE WHEN gk > 0 THEN CAST(g1 AS DOUBLE) / CAST(gk AS DOUBLE) / 1000.0 ELSE 0.0 END", 6)} AS flow_iat_mean,
+  {rh("CASE WHEN gk > 0 THEN sqrt(CAST(gk * g2 - g1 * g1 AS DOUBLE)) / CAST(gk AS DOUBLE) / 1000.0 ELSE 0.0 END", 4)}
     AS flow_iat_std,
   round(CASE WHEN gk > 0 THEN CAST(gmax AS DOUBLE) / 1000.0 ELSE 0.0 END, 3) AS flow_iat_max,
   round(CASE WHEN gk > 0 THEN CAST(gmin AS DOUBLE) / 1000.0 ELSE 0.0 END, 3) AS flow_iat_min FROM b"""
@@ -120,9 +122,11 @@ def q_win_stream(spark, sf):
     out, ck = scratch_dir(spark, "win-out"), scratch_dir(spark, "win-ck")
     ST.run_to_files(ST.buffer_state(ST.packet_stream(spark, src), window_seconds=DAY_S, cap=CAP, watermark=DAY),
                     out, ck)
-    df = _read_back(spark, out, round6=("pkt_len_std", "pkt_len_var", "flow_iat_mean"))
-    return df.select(*[F.round(c, {"flow_iat_std": 4, "flow_iat_max": 3, "flow_iat_min": 3}[c]).alias(c)
-                       if c in ("flow_iat_std", "flow_iat_max", "flow_iat_min") else F.col(c) for c in df.columns])
+    df = _read_back(spark, out, round6=("pkt_len_std", "pkt_len_var"))
+    half_up = {"flow_iat_mean": 6, "flow_iat_std": 4}
+    return df.select(*[X.round_half_up(c, half_up[c]).alias(c) if c in half_up
+                       else F.round(c, 3).alias(c) if c in ("flow_iat_max", "flow_iat_min") else F.col(c)
+                       for c in df.columns])
 
 
 def _sessions_stream_sql() -> str:
@@ -143,8 +147,8 @@ g AS (SELECT flow_key, min(ts) AS flow_start, max(ts) + INTERVAL {DAY_S} SECONDS
         round(var_pop(CAST(pkt_len AS DOUBLE)), 6) AS pkt_len_var,
         round(CAST(sum(pkt_len) AS DOUBLE) / nullif({secs}, 0), 6) AS flow_byts_s,
         round(CAST(count(*) AS DOUBLE) / nullif({secs}, 0), 6) AS flow_pkts_s,
-        round(CASE WHEN count(*) > 1 THEN CAST(max(us) - min(us) AS DOUBLE) / CAST(count(*) - 1 AS DOUBLE) / 1000.0
-              END, 6) AS flow_iat_mean,
+        {rh("CASE WHEN count(*) > 1 THEN CAST(max(us) - min(us) AS DOUBLE) / CAST(count(*) - 1 AS DOUBLE) / 1000.0 END",
+            6)} AS flow_iat_mean,
         {flags}
       FROM s GROUP BY flow_key, sid)
 SELECT * FROM g WHERE flow_end <= (SELECT max(ts) FROM ip) - INTERVAL {DAY_S} SECONDS"""
@@ -156,8 +160,32 @@ def q_flow_rollup_stream(spark, sf):
     src = _packets_in(spark, sf)
     out, ck = scratch_dir(spark, "flows-out"), scratch_dir(spark, "flows-ck")
     ST.run_to_files(ST.session_rollup(ST.packet_stream(spark, src), gap=DAY, watermark=DAY), out, ck)
-    return _read_back(spark, out, round6=("pkt_len_mean", "pkt_len_std", "pkt_len_var", "flow_byts_s",
-                                          "flow_pkts_s", "flow_iat_mean"))
+    df = _read_back(spark, out, round6=("pkt_len_mean", "pkt_len_std", "pkt_len_var", "flow_byts_s", "flow_pkts_s"))
+    return df.withColumn("flow_iat_mean", X.round_half_up("flow_iat_mean", 6))
+
+
+def _flow_state_sql() -> str:
+    """The batch flow rows (sessions split at gaps of a day, inter-arrival moments exact as the state keeps
+    them); a flow is emitted when a later packet of its
+    key opens the next flow, or when the final watermark (latest time seen minus the delay) passes its
+    last packet plus the gap."""
+    from netsieve.plans.q_windows import _rollup_sql
+
+    return f"""SELECT * EXCLUDE (_key_last, _all_last) FROM (
+  SELECT r.*, max(flow_end) OVER (PARTITION BY flow_key) AS _key_last, max(flow_end) OVER () AS _all_last
+  FROM ({_rollup_sql()}) r)
+WHERE flow_end < _key_last
+   OR epoch_ms(_all_last) - {DAY_S * 1000} > epoch_ms(flow_end) + {DAY_S * 1000}"""
+
+
+@query("flow_rollup_state", sql=_flow_state_sql)
+def q_flow_rollup_state(spark, sf):
+    """The full flow row (forward / backward, rates, inter-arrival, flags) kept as streaming state; a flow
+    is appended once a later packet or the watermark closes it."""
+    src = _packets_in(spark, sf)
+    out, ck = scratch_dir(spark, "flowstate-out"), scratch_dir(spark, "flowstate-ck")
+    ST.run_to_files(ST.flow_state(ST.packet_stream(spark, src), gap_seconds=DAY_S, watermark=DAY), out, ck)
+    return _read_back(spark, out)
 
 
 @query("alert_stream", sql=lambda: with_alerts(SCORED) + f"""

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from netsieve.functions import detect as X
 from netsieve.functions import domains as D
+from netsieve.plans.sqlbase import round_half_up as rh
 from netsieve.operators import windows as W
 from netsieve.plans.registry import query
 from netsieve.sources import adapters
@@ -62,9 +64,9 @@ f AS (SELECT packet_id, flow_key, {_frames({'n': 'count(*)', 'k': 'count(iat)',
 g AS (SELECT packet_id, flow_key, {_pick('n')} AS n_buffer, {_pick('k')} AS k, {_pick('s1')} AS s1,
         {_pick('s2')} AS s2, {_pick('ix')} AS ix, {_pick('imin')} AS imin FROM f)
 SELECT packet_id, flow_key, n_buffer,
-  round(coalesce(CAST(s1 AS DOUBLE) / CAST(nullif(k, 0) AS DOUBLE) / 1000.0, 0.0), 6) AS flow_iat_mean,
-  round(coalesce(sqrt(CAST(CAST(k AS HUGEINT) * s2 - CAST(s1 AS HUGEINT) * CAST(s1 AS HUGEINT) AS DOUBLE))
-        / CAST(nullif(k, 0) AS DOUBLE) / 1000.0, 0.0), 4) AS flow_iat_std,
+  {rh("coalesce(CAST(s1 AS DOUBLE) / CAST(nullif(k, 0) AS DOUBLE) / 1000.0, 0.0)", 6)} AS flow_iat_mean,
+  {rh("coalesce(sqrt(CAST(CAST(k AS HUGEINT) * s2 - CAST(s1 AS HUGEINT) * CAST(s1 AS HUGEINT) AS DOUBLE)) "
+        "/ CAST(nullif(k, 0) AS DOUBLE) / 1000.0, 0.0)", 4)} AS flow_iat_std,
   round(coalesce(CAST(ix AS DOUBLE) / 1000.0, 0.0), 3) AS flow_iat_max,
   round(coalesce(CAST(imin AS DOUBLE) / 1000.0, 0.0), 3) AS flow_iat_min FROM g""")
 def q_win_iat(spark, sf):
@@ -77,11 +79,14 @@ def q_win_iat(spark, sf):
     p = adapters.packets(spark, sf).select("packet_id", "flow_key", "ts", "pkt_len")
     s = W.buffer_stats(p, "pkt_len", window_seconds=WINDOW_S, cap=CAP, with_iat=True)
     return s.select("packet_id", "flow_key", "n_buffer",
-                    F.round("flow_iat_mean", 6).alias("flow_iat_mean"), F.round("flow_iat_std", 4).alias("flow_iat_std"),
+                    X.round_half_up("flow_iat_mean", 6).alias("flow_iat_mean"),
+                    X.round_half_up("flow_iat_std", 4).alias("flow_iat_std"),
                     F.round("flow_iat_max", 3).alias("flow_iat_max"), F.round("flow_iat_min", 3).alias("flow_iat_min"))
 
 
 def _rollup_sql() -> str:
+    """Batch flow rows; inter-arrival mean / std are exact integer-microsecond moments (one division at the
+    end), rounded half up by the same IEEE steps as the Spark side."""
     flags = ", ".join(f"CAST(sum(CAST(coalesce((tcp_flags & {m}) <> 0, false) AS INTEGER)) AS BIGINT) AS {n}"
                       for n, m in D.TCP_FLAG_MASKS)
     fl = "CASE WHEN src_ip = src0 THEN CAST(pkt_len AS DOUBLE) END"
@@ -89,6 +94,10 @@ def _rollup_sql() -> str:
     pl = "CAST(pkt_len AS DOUBLE)"
     secs = "((max(us) - min(us)) / 1000000.0)"
     r = lambda e: f"round({e}, 6)"
+    g = "CAST(CASE WHEN st = 0 THEN us - prev END AS HUGEINT)"
+    iat_mean = f"CAST(sum({g}) AS DOUBLE) / CAST(count({g}) AS DOUBLE) / 1000.0"
+    iat_std = (f"CASE WHEN count({g}) > 0 THEN sqrt(CAST(count({g}) * sum({g} * {g}) - sum({g}) * sum({g}) AS DOUBLE))"
+               f" / CAST(count({g}) AS DOUBLE) / 1000.0 END")
     return adapters.cte("packets") + f""",
 p AS (SELECT *, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY flow_key ORDER BY ts, packet_id) AS prev
       FROM packets),
@@ -114,7 +123,7 @@ SELECT flow_key, min(ts) AS flow_start, max(ts) AS flow_end, max(us) - min(us) A
   {r(f'(count(*) FILTER (WHERE src_ip IS DISTINCT FROM src0)) / nullif({secs}, 0)')} AS bwd_pkts_s,
   {r(f'min({pl})')} AS pkt_len_min, {r(f'max({pl})')} AS pkt_len_max, {r(f'avg({pl})')} AS pkt_len_mean,
   {r(f'stddev_pop({pl})')} AS pkt_len_std, {r(f'var_pop({pl})')} AS pkt_len_var,
-  {r('avg(iat)')} AS flow_iat_mean, {r('stddev_pop(iat)')} AS flow_iat_std, {r('max(iat)')} AS flow_iat_max,
+  {rh(iat_mean, 6)} AS flow_iat_mean, {rh(iat_std, 6)} AS flow_iat_std, {r('max(iat)')} AS flow_iat_max,
   {r('min(iat)')} AS flow_iat_min, {flags}
 FROM s3 GROUP BY flow_key, sid"""
 

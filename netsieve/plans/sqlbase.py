@@ -25,6 +25,12 @@ ENCODER = values([(i, n) for i, n in enumerate(D.ENCODER_CLASSES)], "e_id, e_nam
 LABEL_DIM = values([(m, i, n) for m, pairs in D.LABEL_MAPS.items() for i, n in pairs], "mapping, id, name")
 
 
+def round_half_up(e: str, digits: int) -> str:
+    """SQL twin of ``detect.round_half_up``."""
+    scale = f"CAST({10 ** digits} AS DOUBLE)"
+    return f"(floor(CAST({e} AS DOUBLE) * {scale} + CAST(0.5 AS DOUBLE)) / {scale})"
+
+
 def gt(x: str, v: float) -> str:
     return f"(NOT isnan(CAST({x} AS DOUBLE)) AND CAST({x} AS DOUBLE) > {v})"
 

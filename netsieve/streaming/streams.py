@@ -245,3 +245,169 @@ def session_rollup(packets: DataFrame, gap: str = "60 seconds", watermark: str =
                     F.try_divide(F.col("total_bytes").cast("double"), secs).alias("flow_byts_s"),
                     F.try_divide(F.col("n_packets").cast("double"), secs).alias("flow_pkts_s"),
                     iat.alias("flow_iat_mean"), *[n for n, _ in D.TCP_FLAG_MASKS])
+
+
+# ---------------------------------------------------------------- full flow rows as streaming state
+
+_FLAGS = [n for n, _ in D.TCP_FLAG_MASKS]
+# Running aggregates of a key's open flow: bounded state however long the flow runs. Length and gap
+# square sums are exact integers (gaps reach 8.6e10 µs, so their squares need decimals).
+_FLOW_STATE = ([("first_us", T.LongType()), ("last_us", T.LongType()), ("src0", T.StringType()),
+                ("proto0", T.IntegerType()), ("sport0", T.IntegerType()), ("dport0", T.IntegerType()),
+                ("n", T.LongType()), ("fc", T.LongType()), ("bc", T.LongType()), ("fk", T.LongType()),
+                ("bk", T.LongType()), ("fs", T.LongType()), ("bs", T.LongType()), ("fq", T.DecimalType(38, 0)),
+                ("bq", T.DecimalType(38, 0)), ("fmax", T.LongType()), ("fmin", T.LongType()), ("bmax", T.LongType()),
+                ("bmin", T.LongType()), ("gn", T.LongType()), ("g1", T.LongType()), ("g2", T.DecimalType(38, 0)),
+                ("gmax", T.LongType()), ("gmin", T.LongType())]
+               + [(f, T.LongType()) for f in _FLAGS])
+FLOW_STATE = T.StructType([T.StructField(n, t) for n, t in _FLOW_STATE])
+FLOW_OUT = T.StructType([T.StructField("flow_key", T.LongType())] + [T.StructField(n, t) for n, t in _FLOW_STATE])
+
+
+def _opt(fn, a, b):
+    return a if b is None else b if a is None else fn(a, b)
+
+
+def _iv(x):
+    """An integer field from pandas (nullable ints arrive as floats with NaN) -> int or None."""
+    return None if x is None or (isinstance(x, float) and np.isnan(x)) else int(x)
+
+
+_DECIMALS = {n for n, t in _FLOW_STATE if isinstance(t, T.DecimalType)}
+
+
+def _out(acc: dict, names: list[str]) -> list:
+    from decimal import Decimal
+
+    return [Decimal(int(acc[n])) if n in _DECIMALS else acc[n] for n in names]
+
+
+def _segment(ts, lens, src, proto, sport, dport, flags, gaps, has_gap, head: dict | None) -> dict:
+    """Aggregates of one run of a flow's packets (numpy slices), continuing ``head`` when given."""
+    if head is None:
+        head = {"first_us": int(ts[0]), "src0": src[0], "proto0": _iv(proto[0]), "sport0": _iv(sport[0]),
+                "dport0": _iv(dport[0])}
+    fwd = np.array([s == head["src0"] for s in src], dtype=bool)  # null-safe equality of addresses
+    ok = ~np.isnan(lens)
+    li = np.where(ok, lens, 0).astype(np.int64)
+    acc = dict(head, last_us=int(ts[-1]), n=len(ts), fc=int(fwd.sum()), bc=int((~fwd).sum()))
+    for side, m in (("f", fwd & ok), ("b", ~fwd & ok)):
+        v = li[m]
+        acc.update({f"{side}k": int(m.sum()), f"{side}s": int(v.sum()), f"{side}q": int((v * v).sum()),
+                    f"{side}max": int(v.max()) if len(v) else None, f"{side}min": int(v.min()) if len(v) else None})
+    g = gaps[has_gap]
+    acc.update(gn=len(g), g1=int(g.sum()), g2=int(np.sum(g.astype(object) ** 2)) if len(g) else 0,
+               gmax=int(g.max()) if len(g) else None, gmin=int(g.min()) if len(g) else None)
+    for i, f in enumerate(_FLAGS):
+        acc[f] = int(flags[:, i].sum())
+    return acc
+
+
+def _merge(a: dict, b: dict) -> dict:
+    out = dict(a, last_us=b["last_us"])
+    for k in ("n", "fc", "bc", "fk", "bk", "fs", "bs", "fq", "bq", "gn", "g1", "g2", *_FLAGS):
+        out[k] = int(a[k]) + int(b[k])
+    for k in ("fmax", "bmax", "gmax"):
+        out[k] = _opt(max, a[k], b[k])
+    for k in ("fmin", "bmin", "gmin"):
+        out[k] = _opt(min, a[k], b[k])
+    return out
+
+
+def _flow_fn(gap_us: int):
+    names = [n for n, _ in _FLOW_STATE]
+
+    def rows(key, accs):
+        return pd.DataFrame([[int(key[0])] + _out(a, names) for a in accs], columns=["flow_key"] + names)
+
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # the watermark passed the open flow's last packet plus the gap: it is over
+            acc = dict(zip(names, state.get))  # decimals come back as Decimal; _out keeps them
+            state.remove()
+            yield rows(key, [acc])
+            return
+        frames = [p for p in pdfs]
+        if not frames:
+            return
+        pdf = pd.concat(frames).sort_values(["ts_us", "packet_id"])
+        ts = pdf["ts_us"].to_numpy(np.int64)
+        open_acc = dict(zip(names, state.get)) if state.exists else None
+        prev = np.concatenate([[open_acc["last_us"] if open_acc else ts[0]], ts[:-1]])
+        gaps = ts - prev
+        has_gap = np.ones(len(ts), dtype=bool)
+        if open_acc is None:
+            has_gap[0] = False
+        starts = ~has_gap | (gaps >= gap_us)
+        has_gap &= ~starts  # the gap that opens a flow belongs to no flow
+        cols = (ts, pdf["pkt_len"].astype("float64").to_numpy(), pdf["src_ip"].to_numpy(object),
+                pdf["protocol"].to_numpy(object), pdf["src_port"].to_numpy(object), pdf["dst_port"].to_numpy(object),
+                pdf[[f"_{f}" for f in _FLAGS]].to_numpy(np.int64), gaps, has_gap)
+        bounds = list(np.flatnonzero(starts)) + [len(ts)]
+        done = []
+        if bounds[0] > 0:  # the first packets continue the open flow
+            open_acc = _merge(open_acc, _segment(*[c[:bounds[0]] for c in cols], head=open_acc))
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            if open_acc is not None:
+                done.append(open_acc)
+            open_acc = _segment(*[c[lo:hi] for c in cols], head=None)
+        state.update(tuple(_out(open_acc, names)))
+        state.setTimeoutTimestamp(int(open_acc["last_us"] // 1000) + gap_us // 1000)
+        if done:
+            yield rows(key, done)
+    return fn
+
+
+def flow_state(packets: DataFrame, gap_seconds: int = 60, watermark: str = "60 seconds") -> DataFrame:
+    """Streaming twin of ``windows.flow_rollup``: the full flow row (forward / backward split by the first
+    packet's source address, length, rate, inter-arrival and flag metrics) per flow of a key.
+
+    A flow is emitted when a packet of its key arrives ``gap_seconds`` or more
+    after its last one, or when the watermark passes its last packet plus the
+    gap (event-time timeout). The state of a key is one row of running
+    aggregates, so it stays bounded however long a flow lasts; packets of one
+    micro-batch are applied in event-time order.
+    """
+    p = packets.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    p = p.select("packet_id", "flow_key", "ts", F.unix_micros("ts").alias("ts_us"), "pkt_len", "src_ip", "protocol",
+                 "src_port", "dst_port", *[c.alias(f"_{c_name}") for c, c_name in zip(X.tcp_flag_columns("tcp_flags"),
+                                                                                         _FLAGS)])
+    s = p.groupBy("flow_key").applyInPandasWithState(
+        _flow_fn(int(gap_seconds * 1_000_000)), outputStructType=FLOW_OUT, stateStructType=FLOW_STATE,
+        outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
+    secs = (F.col("last_us") - F.col("first_us")) / F.lit(1_000_000.0)
+    div = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    pop_std = lambda k, s1, q: F.sqrt((k.cast("decimal(38,0)") * q - s1.cast("decimal(38,0)") * s1).cast("double")) / k
+    k_all, s_all = F.col("fk") + F.col("bk"), F.col("fs") + F.col("bs")
+    q_all = F.col("fq") + F.col("bq")
+    side = {}
+    for sd, name in (("f", "fwd"), ("b", "bwd")):
+        k = F.col(f"{sd}k")
+        side[name] = [F.col(f"{sd}max").cast("double").alias(f"{name}_pkt_len_max"),
+                      F.col(f"{sd}min").cast("double").alias(f"{name}_pkt_len_min"),
+                      div(F.col(f"{sd}s"), k).alias(f"{name}_pkt_len_mean"),
+                      F.when(k > 0, pop_std(k, F.col(f"{sd}s"), F.col(f"{sd}q"))).alias(f"{name}_pkt_len_std")]
+    gk = F.col("gn")
+    out = s.select(
+        "flow_key", F.timestamp_micros("first_us").alias("flow_start"), F.timestamp_micros("last_us").alias("flow_end"),
+        (F.col("last_us") - F.col("first_us")).alias("flow_duration"), F.col("proto0").alias("protocol"),
+        F.col("sport0").alias("src_port"), F.col("dport0").alias("dst_port"), F.col("n").alias("n_packets"),
+        F.col("fc").alias("tot_fwd_pkts"), F.col("bc").alias("tot_bwd_pkts"),
+        F.when(F.col("fk") > 0, F.col("fs").cast("double")).alias("totlen_fwd_pkts"),
+        F.when(F.col("bk") > 0, F.col("bs").cast("double")).alias("totlen_bwd_pkts"),
+        *side["fwd"], *side["bwd"],
+        F.when(k_all > 0, div(s_all, secs)).alias("flow_byts_s"), div(F.col("n"), secs).alias("flow_pkts_s"),
+        div(F.col("fc"), secs).alias("fwd_pkts_s"), div(F.col("bc"), secs).alias("bwd_pkts_s"),
+        F.least(F.col("fmin"), F.col("bmin")).cast("double").alias("pkt_len_min"),
+        F.greatest(F.col("fmax"), F.col("bmax")).cast("double").alias("pkt_len_max"),
+        div(s_all, k_all).alias("pkt_len_mean"), F.when(k_all > 0, pop_std(k_all, s_all, q_all)).alias("pkt_len_std"),
+        F.when(k_all > 0, ((k_all.cast("decimal(38,0)") * q_all - s_all.cast("decimal(38,0)") * s_all).cast("double")
+                           / (k_all * k_all).cast("double"))).alias("pkt_len_var"),
+        (div(F.col("g1"), gk) / F.lit(1000.0)).alias("flow_iat_mean"),
+        F.when(gk > 0, pop_std(gk, F.col("g1"), F.col("g2")) / F.lit(1000.0)).alias("flow_iat_std"),
+        (F.col("gmax").cast("double") / F.lit(1000.0)).alias("flow_iat_max"),
+        (F.col("gmin").cast("double") / F.lit(1000.0)).alias("flow_iat_min"),
+        *[F.col(f).cast("long").alias(f) for f in _FLAGS])
+    exact = {"flow_iat_mean", "flow_iat_std"}  # exact integer moments: rounded half up by fixed IEEE steps
+    frac = {f.name for f in out.schema.fields if isinstance(f.dataType, T.DoubleType)} - exact
+    return out.select(*[F.round(c, 6).alias(c) if c in frac else X.round_half_up(c, 6).alias(c) if c in exact
+                        else F.col(c) for c in out.columns])
