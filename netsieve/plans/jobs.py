@@ -21,6 +21,7 @@ driver except file headers and the ≤ 15-row label map.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ from netsieve.operators import models as MD
 from netsieve.operators import sampling as SM
 from netsieve.operators import stats as S
 from netsieve.plans import evaluation as E
+from netsieve.session import checkpoint_root
 from netsieve.sources import csv_folder as CF
 from netsieve.sources import sinks as SK
 from netsieve.streaming import streams as ST
@@ -100,7 +102,10 @@ def train(spark: SparkSession, clean_dir: str, model_dir: str, max_iter: int = 1
     """
     df = spark.read.parquet(clean_dir)
     feats = feature_columns(df)
-    df = _with_row_ids(complete_rows(df, feats))
+    # every model and metric below reads these rows: written once to the shared checkpoint folder (reliable,
+    # survives executor loss), which also pins the row ids
+    checkpoint_root(spark)
+    df = _with_row_ids(complete_rows(df, feats)).checkpoint(eager=True)
     out: dict[str, DataFrame] = {}
 
     b = SM.split_random(df.withColumn("y", L.binary_label("label").cast("double")), "row_id")
@@ -180,11 +185,13 @@ def evaluate(spark: SparkSession, clean_dir: str, model_dir: str, out_dir: str,
         df = df.withColumn("ts", X.parse_day_first("timestamp"))
     if sample:
         df = SM.sample_n(df, sample, "row_id", seed)
-    scored = score_rows(C.inf_to_null(df), model_dir, text_scorer)
-    log = E.alert_log_of(scored.where("is_malicious"))
-    summary = E.summary_of(scored)
-    SK.write_csv_3dp(log, f"{out_dir}/alerts")
-    summary.write.mode("overwrite").option("header", True).csv(f"{out_dir}/summary")
+    scored = score_rows(C.inf_to_null(df), model_dir, text_scorer).persist(StorageLevel.MEMORY_AND_DISK)
+    try:  # two writes read the scored rows; a lost executor recomputes its part from the lineage
+        SK.write_csv_3dp(E.alert_log_of(scored.where("is_malicious")), f"{out_dir}/alerts")
+        E.summary_of(scored).write.mode("overwrite").option("header", True).csv(f"{out_dir}/summary")
+    finally:
+        scored.unpersist()
+    summary = spark.read.option("header", True).option("inferSchema", True).csv(f"{out_dir}/summary")
     # alert texts span lines: the writer quotes them, the reader needs multiLine
     return spark.read.option("header", True).option("multiLine", True).csv(f"{out_dir}/alerts"), summary
 
