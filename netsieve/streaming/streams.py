@@ -287,7 +287,11 @@ def _segment(ts, lens, src, proto, sport, dport, flags, gaps, has_gap, head: dic
     if head is None:
         head = {"first_us": int(ts[0]), "src0": src[0], "proto0": _iv(proto[0]), "sport0": _iv(sport[0]),
                 "dport0": _iv(dport[0])}
-    fwd = np.array([s == head["src0"] for s in src], dtype=bool)  # null-safe equality of addresses
+    missing = pd.isna(src)
+    if head["src0"] is None:  # null-safe equality of addresses, vectorized
+        fwd = np.asarray(missing, dtype=bool)
+    else:
+        fwd = np.asarray((src == head["src0"]) & ~missing, dtype=bool)
     ok = ~np.isnan(lens)
     li = np.where(ok, lens, 0).astype(np.int64)
     acc = dict(head, last_us=int(ts[-1]), n=len(ts), fc=int(fwd.sum()), bc=int((~fwd).sum()))
