@@ -197,11 +197,13 @@ def evaluate(spark: SparkSession, clean_dir: str, model_dir: str, out_dir: str,
 
 
 def monitor(spark: SparkSession, packet_dir: str, model_dir: str, out_dir: str, checkpoint_dir: str,
-            available_now: bool = True, processing_time: str = "5 seconds"):
+            available_now: bool = True, processing_time: str = "5 seconds", text_scorer=None,
+            text_threshold: float = 0.7):
     """Live scoring of decoded packets arriving in ``packet_dir``.
 
     Each micro-batch: packet features (57 fields) → binary and multi-class
-    scores → alerts of malicious packets (fallback alert text) written to
+    scores, and the optional Arrow ``text_scorer`` on the payload → hybrid
+    trigger (binary or text) → alerts of malicious packets (fallback alert text) written to
     ``out_dir/alerts/batch_id=<n>`` and every packet with its decision to
     ``out_dir/traffic/batch_id=<n>`` (label ``Benign`` when none fired) — a
     replayed batch overwrites its own folders. Returns the started query.
@@ -210,7 +212,7 @@ def monitor(spark: SparkSession, packet_dir: str, model_dir: str, out_dir: str,
     multi = PipelineModel.load(f"{model_dir}/multi")
     feats = _model_features(binary)
     pk = ST.packet_stream(spark, packet_dir)
-    rows = C.packet_features(pk, "wide", keep=["ts", "src_ip", "dst_ip"])
+    rows = C.packet_features(pk, "wide", keep=["ts", "src_ip", "dst_ip", "payload"])
     rows = rows.select("*", *[F.lit(0.0).alias(c) for c in feats if c not in rows.columns])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
@@ -218,14 +220,20 @@ def monitor(spark: SparkSession, packet_dir: str, model_dir: str, out_dir: str,
         s = MD.positive_probability(binary, batch).withColumnRenamed("score", "binary_score")
         s = MD.multi_predict(multi, s).withColumnRenamed("pred_label", "class_label").drop("probs", "pred_idx")
         s = s.withColumn("attack_label", X.gated_label("binary_pred", "class_label"))
-        s = s.withColumn("slm_score", F.lit(None).cast("double"))  # no text model here: the text prints 0.00
+        if text_scorer is not None:
+            s = s.withColumn("_txt", text_scorer(F.col("payload"))).select(
+                "*", F.col("_txt.label").alias("slm_label"), F.col("_txt.score").alias("slm_score")).drop("_txt")
+        else:  # no text model: the trigger is the binary decision and the alert text prints 0.00
+            s = s.withColumn("slm_label", F.lit(None).cast("string")).withColumn("slm_score", F.lit(None).cast("double"))
+        s = s.withColumn("is_malicious", X.hybrid_trigger("binary_pred", "slm_label", "slm_score", text_threshold))
         s = s.persist()  # written twice below; a lost executor recomputes it from the batch's files
         traffic = s.select("packet_id", "ts", "src_ip", "dst_ip", "protocol", "src_port", "dst_port",
-                           F.coalesce("binary_pred", F.lit(False)).alias("binary_prediction"),
+                           F.coalesce("binary_pred", F.lit(False)).alias("binary_prediction"), "is_malicious",
                            F.coalesce("attack_label", F.lit("Benign")).alias("multiclass_label"))
         traffic.write.mode("overwrite").parquet(f"{out_dir}/traffic/batch_id={batch_id}")
-        alerts = s.where(F.coalesce("binary_pred", F.lit(False))).select(
+        alerts = s.where("is_malicious").select(
             "packet_id", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "attack_label", "binary_score",
+            "slm_label", "slm_score",
             A.alert_fallback().alias("notification"))
         alerts.write.mode("overwrite").parquet(f"{out_dir}/alerts/batch_id={batch_id}")
         s.unpersist()

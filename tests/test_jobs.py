@@ -38,12 +38,29 @@ def test_workflow_on_csv_folder(spark):
     assert set(alerts.columns) >= {"row_index", "notification", "multiclass_prediction", "slm_score"}
 
     packets = q_streaming._packets_in(spark, SF_SMALL)
-    mon = scratch_dir(spark, "mon-out")
-    q = J.monitor(spark, packets, models, mon, scratch_dir(spark, "mon-ck"))
-    q.awaitTermination()
-    assert q.exception() is None
-    traffic = spark.read.parquet(f"{mon}/traffic")
     n_ip = spark.read.parquet(packets).where("coalesce(protocol, 0) <> 0").count()
-    assert traffic.select("packet_id").distinct().count() == n_ip  # every IP packet logged once
-    fired = traffic.where("binary_prediction").count()
-    assert spark.read.parquet(f"{mon}/alerts").count() == fired
+    for scorer in (None, _keyword_scorer()):
+        mon = scratch_dir(spark, "mon-out")
+        q = J.monitor(spark, packets, models, mon, scratch_dir(spark, "mon-ck"), text_scorer=scorer)
+        q.awaitTermination()
+        assert q.exception() is None
+        traffic = spark.read.parquet(f"{mon}/traffic")
+        assert traffic.select("packet_id").distinct().count() == n_ip  # every IP packet logged once
+        fired = traffic.where("is_malicious").count()
+        assert fired >= traffic.where("binary_prediction").count()  # binary OR text
+        assert spark.read.parquet(f"{mon}/alerts").count() == fired
+        if scorer is None:
+            assert fired == traffic.where("binary_prediction").count()
+
+
+def _keyword_scorer():
+    """A stand-in text model as an Arrow pandas UDF: payloads with 'click' look like an attack."""
+    import pandas as pd
+
+    from netsieve.operators import models as MD
+
+    def score(text: pd.Series) -> pd.DataFrame:
+        hit = text.fillna("").str.contains("click")
+        return pd.DataFrame({"label": hit.map({True: "DoS Hulk", False: "Normal"}), "score": hit.map({True: 0.9, False: 0.2})})
+
+    return MD.pandas_text_scorer(score)
