@@ -104,3 +104,52 @@ def test_multi_probabilities_sum_to_one(spark):
     assert all(r.s == pytest.approx(1.0) for r in sums)
     acc = out.where("pred_label = label").count() / out.count()
     assert acc > 0.9
+
+
+def test_flow_state_matches_brute_force(spark):
+    """Flows as streaming state: a flow spanning two drops, a null address and length, a gap equal to the
+    session gap (a new flow), and the watermark closing the open flows at the end."""
+    import datetime as dt
+    import time
+
+    from netsieve import schemas
+    from netsieve.streaming import streams as ST
+
+    t0 = dt.datetime(2024, 1, 1)
+    # (packet_id, key, seconds, src_ip, pkt_len)
+    drops = [[(1, 1, 0, "a", 100), (2, 1, 30, "b", 200), (3, 2, 5, None, 50), (4, 1, 50, "a", None)],
+             [(5, 1, 149, "a", 300), (6, 1, 249, "b", 400), (7, 2, 500, "c", 60), (8, 1, 2000, "a", 10)]]
+    src = scratch_dir(spark, "fs-in")
+    for d in drops:
+        rows = [(pid, t0 + dt.timedelta(seconds=s), k, ip, "x", 6, 1, 2, 0, 0, ln, "") for pid, k, s, ip, ln in d]
+        spark.createDataFrame(rows, schemas.PACKET).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+    out, ck = scratch_dir(spark, "fs-out"), scratch_dir(spark, "fs-ck")
+    ST.run_to_files(ST.flow_state(ST.packet_stream(spark, src), gap_seconds=100, watermark="100 seconds"), out, ck)
+    got = {(r.flow_key, (r.flow_start - t0).total_seconds()): r for r in spark.read.parquet(out).collect()}
+
+    pk = sorted([p for d in drops for p in d], key=lambda p: (p[1], p[2], p[0]))
+    flows, last = {}, {}
+    for pid, k, s, ip, ln in pk:
+        if k not in last or s - last[k][0] >= 100:
+            flows[(k, s)] = []
+            last[k] = (s, (k, s))
+        else:
+            last[k] = (s, last[k][1])
+        flows[last[k][1]].append((s, ip, ln))
+    # closed by a later packet of the key, or by the final watermark (max time - 100 s) passing end + 100 s
+    latest = max(p[2] for p in pk)
+    emitted = {f for f in flows if f != last[f[0]][1] or latest - 100 > flows[f][-1][0] + 100}
+    assert set(got) == emitted
+    for f in emitted:
+        ps, r = flows[f], got[f]
+        src0 = ps[0][1]
+        fwd = [p for p in ps if p[1] == src0]
+        gaps = [(b[0] - a[0]) * 1000.0 for a, b in zip(ps, ps[1:])]
+        lens = [p[2] for p in ps if p[2] is not None]
+        assert (r.n_packets, r.tot_fwd_pkts, r.tot_bwd_pkts) == (len(ps), len(fwd), len(ps) - len(fwd))
+        assert r.flow_duration == (ps[-1][0] - ps[0][0]) * 1_000_000
+        assert r.totlen_fwd_pkts == (sum(p[2] for p in fwd if p[2] is not None) or None)
+        assert r.pkt_len_max == (max(lens) if lens else None)
+        assert r.flow_iat_max == (max(gaps) if gaps else None)
+        assert r.flow_iat_mean == (pytest.approx(sum(gaps) / len(gaps)) if gaps else None)
