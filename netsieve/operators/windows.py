@@ -3,7 +3,7 @@
 A flow key may hold a third of all packets, so nothing here partitions by the
 key alone. Rows are split by (key, time bucket), and buckets adapt to density:
 a narrow pre-count finds the (key, coarse bucket) pairs holding at least
-``DENSE_ROWS`` rows, and only those are cut into fine buckets (one window wide
+``DENSE_ROWS`` rows, and only those are cut into fine buckets (1/8 of a window
 for buffers, 1/64 of the width for sessions). The list of dense pairs has at
 most rows / ``DENSE_ROWS`` entries, so it is broadcast safely.
 
@@ -68,24 +68,28 @@ def _bucket_id(us: Column, dense: Column, coarse_us: int, fine_us: int) -> Colum
 def with_buckets(df: DataFrame, dense: DataFrame, key: str, ts: str, coarse_us: int, fine_us: int,
                  reach_us: int = 0) -> DataFrame:
     """Add ``_us`` (epoch micros), ``_b`` (the row's time bucket) and, when ``reach_us`` > 0, ``_nb``
-    (the bucket of ``_us + reach_us``: the later bucket whose rows may need this one).
+    (the later buckets whose rows may need this one: every bucket meeting ``(_us, _us + reach_us]``,
+    found by sampling that span every ``fine_us``; ``reach_us`` must be a multiple of ``fine_us``).
 
     Buckets adapt to density (``dense`` from ``dense_pairs``): a key's coarse
     buckets, split into fine ones where the key is dense, so a hot key is
     spread over many tasks while sparse keys stay in few, large buckets. One
     broadcast lookup per row answers both for the row's bucket and the next.
     """
-    if coarse_us % fine_us or reach_us > coarse_us:
-        raise ValueError("the coarse width must be a multiple of the fine one and at least the reach")
+    if coarse_us % fine_us or reach_us > coarse_us or reach_us % fine_us:
+        raise ValueError("coarse and reach must be multiples of the fine width, and coarse at least the reach")
     d = df.withColumn("_us", epoch_us(ts)).withColumn("_c", F.floor(F.col("_us") / F.lit(coarse_us)))
     d = d.join(F.broadcast(dense), [key, "_c"], "left")
     here = F.coalesce(F.col("_here"), F.lit(False))
     d = d.withColumn("_b", _bucket_id(F.col("_us"), here, coarse_us, fine_us))
     if reach_us:
-        later = F.col("_us") + F.lit(reach_us)
-        same = F.floor(later / F.lit(coarse_us)) == F.col("_c")
-        d = d.withColumn("_nb", _bucket_id(later, F.when(same, here).otherwise(F.coalesce(F.col("_next"), F.lit(False))),
-                                           coarse_us, fine_us))
+        nxt = F.coalesce(F.col("_next"), F.lit(False))
+        ids = []
+        for j in range(1, reach_us // fine_us + 1):  # consecutive samples are one fine width apart: no bucket skipped
+            later = F.col("_us") + F.lit(j * fine_us)
+            same = F.floor(later / F.lit(coarse_us)) == F.col("_c")
+            ids.append(_bucket_id(later, F.when(same, here).otherwise(nxt), coarse_us, fine_us))
+        d = d.withColumn("_nb", F.filter(F.array_distinct(F.array(*ids)), lambda b: b > F.col("_b")))
     return d.drop("_c", "_here", "_next")
 
 
@@ -101,7 +105,7 @@ def with_prev(d: DataFrame, key: str, order_id: str) -> DataFrame:
 
 def buffer_stats(df: DataFrame, value: str, key: str = "flow_key", ts: str = "ts", order_id: str = "packet_id",
                  window_seconds: int = 60, cap: int = 1000, bucket_seconds: int | None = None,
-                 with_iat: bool = True, dense_rows: int = DENSE_ROWS) -> DataFrame:
+                 with_iat: bool = True, dense_rows: int = DENSE_ROWS, dense_split: int = 8) -> DataFrame:
     """Per packet: size of its buffer, population std/var of ``value`` and inter-arrival (ms) stats.
 
     The buffer of a packet is the packets of its key at most ``window_seconds``
@@ -110,25 +114,25 @@ def buffer_stats(df: DataFrame, value: str, key: str = "flow_key", ts: str = "ts
     stats are 0 when the buffer holds no gap.
 
     Buckets are ``bucket_seconds`` wide (default 16 windows, at least an hour,
-    rounded to whole windows) and one window wide where a key is dense; every
-    bucket is at least a window wide, so a row is copied into at most one
-    later bucket.
+    rounded to whole windows) and ``1 / dense_split`` of a window where a key
+    is dense. Every row is also copied into each later bucket its window
+    reaches — at most one for coarse buckets, at most ``dense_split`` inside a
+    dense stretch — so each bucket holds all the history its rows need.
     """
     window_us = int(window_seconds * 1_000_000)
     coarse = bucket_seconds or max(16 * window_seconds, 3600)
     if coarse < window_seconds:
         raise ValueError("bucket_seconds must be at least window_seconds")
     coarse_us = window_us * max(1, round(coarse * 1_000_000 / window_us))
+    split = dense_split if dense_split > 0 and window_us % dense_split == 0 else 1
     dense = dense_pairs(df, key, ts, coarse_us, dense_rows)
-    d = with_buckets(df, dense, key, ts, coarse_us, window_us, reach_us=window_us)
+    d = with_buckets(df, dense, key, ts, coarse_us, window_us // split, reach_us=window_us)
     if with_iat:
         d = with_prev(d, key, order_id)
         d = d.withColumn("_iat", F.col("_us") - F.col("_prev_us"))
     else:
         d = d.withColumn("_iat", F.lit(None).cast("long"))
-    nxt = F.col("_nb")
-    d = d.withColumn("_home", F.col("_b")).withColumn(
-        "_b", F.explode(F.when(nxt > F.col("_b"), F.array(F.col("_b"), nxt)).otherwise(F.array(F.col("_b")))))
+    d = d.withColumn("_home", F.col("_b")).withColumn("_b", F.explode(F.concat(F.array(F.col("_b")), F.col("_nb"))))
     part = f"PARTITION BY {key}, _b"
     rng = f"OVER ({part} ORDER BY {ts} RANGE BETWEEN INTERVAL {window_us} MICROSECONDS PRECEDING AND CURRENT ROW)"
     rows = f"OVER ({part} ORDER BY {ts}, {order_id} ROWS BETWEEN {cap - 1} PRECEDING AND CURRENT ROW)"
