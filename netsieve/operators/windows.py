@@ -89,7 +89,9 @@ def with_buckets(df: DataFrame, dense: DataFrame, key: str, ts: str, coarse_us:
             later = F.col("_us") + F.lit(j * fine_us)
             same = F.floor(later / F.lit(coarse_us)) == F.col("_c")
             ids.append(_bucket_id(later, F.when(same, here).otherwise(nxt), coarse_us, fine_us))
-        d = d.withColumn("_nb", F.filter(F.array_distinct(F.array(*ids)), lambda b: b > F.col("_b")))
+        # sparse stretches (neither this coarse bucket nor the next is dense) need only the last sample
+        ids_expr = F.when(here | nxt, F.array_distinct(F.array(*ids))).otherwise(F.array(ids[-1]))
+        d = d.withColumn("_nb", F.filter(ids_expr, lambda b: b > F.col("_b")))
     return d.drop("_c", "_here", "_next")
 
 
