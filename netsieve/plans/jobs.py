@@ -21,6 +21,8 @@ driver except file headers and the ≤ 15-row label map.
 
 from __future__ import annotations
 
+import os
+
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -241,3 +243,49 @@ def monitor(spark: SparkSession, packet_dir: str, model_dir: str, out_dir: str,
     w = rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()
+
+
+def main(argv: list[str] | None = None) -> None:
+    """Command line: ``python -m netsieve.plans.jobs <step> ...`` (or the same module via spark-submit).
+
+    The master and cluster settings come from spark-submit / the environment;
+    set ``spark.checkpoint.dir`` to a shared folder on a cluster.
+    """
+    import argparse
+
+    from netsieve.session import get_spark
+
+    ap = argparse.ArgumentParser(prog="netsieve.plans.jobs")
+    sub = ap.add_subparsers(dest="step", required=True)
+    p = sub.add_parser("preprocess", help="clean a flow CSV folder into Parquet")
+    p.add_argument("csv_dir"), p.add_argument("clean_dir")
+    p = sub.add_parser("train", help="fit and save the binary / multi-class (/ baseline) models")
+    p.add_argument("clean_dir"), p.add_argument("model_dir")
+    p.add_argument("--max-iter", type=int, default=100), p.add_argument("--baseline", action="store_true")
+    p = sub.add_parser("evaluate", help="score cleaned rows: alert log and run summary CSVs")
+    p.add_argument("clean_dir"), p.add_argument("model_dir"), p.add_argument("out_dir")
+    p.add_argument("--sample", type=int, default=None), p.add_argument("--seed", type=int, default=42)
+    p = sub.add_parser("monitor", help="score decoded packets arriving as files")
+    p.add_argument("packet_dir"), p.add_argument("model_dir"), p.add_argument("out_dir"), p.add_argument("checkpoint_dir")
+    p.add_argument("--continuous", action="store_true", help="keep running (default: process what is there, then stop)")
+    a = ap.parse_args(argv)
+
+    spark = get_spark(shuffle_partitions=int(os.environ.get("NETSIEVE_SHUFFLE_PARTITIONS", "200")))
+    if a.step == "preprocess":
+        report, audit = preprocess(spark, a.csv_dir, a.clean_dir)
+        report.show(truncate=False)
+        audit.show(truncate=False)
+    elif a.step == "train":
+        for name, df in train(spark, a.clean_dir, a.model_dir, max_iter=a.max_iter, baseline=a.baseline).items():
+            print(name)
+            df.show(truncate=False)
+    elif a.step == "evaluate":
+        _, summary = evaluate(spark, a.clean_dir, a.model_dir, a.out_dir, sample=a.sample, seed=a.seed)
+        summary.show(truncate=False)
+    else:
+        monitor(spark, a.packet_dir, a.model_dir, a.out_dir, a.checkpoint_dir,
+                available_now=not a.continuous).awaitTermination()
+
+
+if __name__ == "__main__":
+    main()
