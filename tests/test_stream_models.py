@@ -153,3 +153,13 @@ def test_flow_state_matches_brute_force(spark):
         assert r.pkt_len_max == (max(lens) if lens else None)
         assert r.flow_iat_max == (max(gaps) if gaps else None)
         assert r.flow_iat_mean == (pytest.approx(sum(gaps) / len(gaps)) if gaps else None)
+
+
+def test_text_model_learns_its_prompts(spark):
+    """The prompt names the attack type, so the hashed TF-IDF + logistic regression model recovers it."""
+    out = E.queries()["train_text"](spark, SF_SMALL)
+    n = out.count()
+    hit = out.where("pred_id = label_id").count()
+    assert n > 0 and hit / n > 0.95
+    scored = E.queries()["score_text"](spark, SF_SMALL)
+    assert scored.where("score IS NOT NULL AND (score < 0 OR score > 1)").count() == 0
