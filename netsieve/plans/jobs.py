@@ -21,6 +21,7 @@ driver except file headers and the ≤ 15-row label map.
 
 from __future__ import annotations
 
+import datetime
 import os
 
 from pyspark import StorageLevel
@@ -179,7 +180,8 @@ def score_rows(df: DataFrame, model_dir: str, text_scorer=None, text_threshold:
 def evaluate(spark: SparkSession, clean_dir: str, model_dir: str, out_dir: str, sample: int | None = None,
              seed: int = 42, text_scorer=None) -> tuple[DataFrame, DataFrame]:
     """The batch evaluation run: (optionally a seeded sample of) cleaned rows → scores → alert log CSV
-    (``out_dir/alerts``) and run summary CSV (``out_dir/summary``). Returns both DataFrames as written."""
+    (``out_dir/alerts``) and run summary CSV (``out_dir/summary``: totals, rate, types, mean text score, run
+    duration and start / end times). Returns both DataFrames as written."""
     df = _with_row_ids(spark.read.parquet(clean_dir))
     df = df.select(*[F.col(c).try_cast("int").alias(c) if c in ("protocol", "src_port", "dst_port") else F.col(c)
                      for c in df.columns])
@@ -187,10 +189,12 @@ def evaluate(spark: SparkSession, clean_dir: str, model_dir: str, out_dir: str,
         df = df.withColumn("ts", X.parse_day_first("timestamp"))
     if sample:
         df = SM.sample_n(df, sample, "row_id", seed)
+    start = datetime.datetime.now()
     scored = score_rows(C.inf_to_null(df), model_dir, text_scorer).persist(StorageLevel.MEMORY_AND_DISK)
     try:  # two writes read the scored rows; a lost executor recomputes its part from the lineage
         SK.write_csv_3dp(E.alert_log_of(scored.where("is_malicious")), f"{out_dir}/alerts")
-        E.summary_of(scored).write.mode("overwrite").option("header", True).csv(f"{out_dir}/summary")
+        summary = E.with_timing(E.summary_of(scored), start, datetime.datetime.now())  # the 8-column run summary
+        summary.write.mode("overwrite").option("header", True).csv(f"{out_dir}/summary")
     finally:
         scored.unpersist()
     summary = spark.read.option("header", True).option("inferSchema", True).csv(f"{out_dir}/summary")

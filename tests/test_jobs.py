@@ -36,6 +36,8 @@ def test_workflow_on_csv_folder(spark):
     assert s.total_records == cleaned.count()
     assert alerts.count() == s.malicious_records
     assert set(alerts.columns) >= {"row_index", "notification", "multiclass_prediction", "slm_score"}
+    assert {"test_duration_minutes", "test_start_time", "test_end_time"} <= set(summary.columns)
+    assert len(summary.columns) == 8
 
     packets = q_streaming._packets_in(spark, SF_SMALL)
     n_ip = spark.read.parquet(packets).where("coalesce(protocol, 0) <> 0").count()
