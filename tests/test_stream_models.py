@@ -163,3 +163,18 @@ def test_text_model_learns_its_prompts(spark):
     assert n > 0 and hit / n > 0.95
     scored = E.queries()["score_text"](spark, SF_SMALL)
     assert scored.where("score IS NOT NULL AND (score < 0 OR score > 1)").count() == 0
+
+
+def test_streams_do_not_depend_on_the_session_zone(spark):
+    q = E.queries()
+
+    def rows(name):
+        return sorted(tuple(r) for r in q[name](spark, SF_SMALL).collect())
+
+    base = {n: rows(n) for n in ("win_stream", "flow_rollup_state")}
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert {n: rows(n) for n in base} == base
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
