@@ -282,11 +282,8 @@ def _out(acc: dict, names: list[str]) -> list:
     return [Decimal(int(acc[n])) if n in _DECIMALS else acc[n] for n in names]
 
 
-def _segment(ts, lens, src, proto, sport, dport, flags, gaps, has_gap, head: dict | None) -> dict:
-    """Aggregates of one run of a flow's packets (numpy slices), continuing ``head`` when given."""
-    if head is None:
-        head = {"first_us": int(ts[0]), "src0": src[0], "proto0": _iv(proto[0]), "sport0": _iv(sport[0]),
-                "dport0": _iv(dport[0])}
+def _segment(ts, lens, src, proto, sport, dport, flags, gaps, has_gap, head: dict) -> dict:
+    """Aggregates of packets continuing the open flow ``head`` (numpy slices); merged with ``_merge``."""
     missing = pd.isna(src)
     if head["src0"] is None:  # null-safe equality of addresses, vectorized
         fwd = np.asarray(missing, dtype=bool)
