@@ -30,11 +30,26 @@ def _assembler(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
 
 
-def _fit(pipeline: Pipeline, df: DataFrame) -> PipelineModel:
+def _fit(pipeline: Pipeline, df: DataFrame, rows_per_partition: int = 1_000_000) -> PipelineModel:
+    """Fit with the input persisted (memory and disk; a lost executor recomputes its part).
+
+    Tree learners run one task per input partition in every iteration, so a
+    small input spread over many near-empty partitions (the shuffle width of
+    the plan that built it) is coalesced to about one partition per
+    ``rows_per_partition`` rows — never more partitions than it has, so a large
+    input keeps its parallelism.
+    """
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    fit_df = df
     try:
-        return pipeline.fit(df)
+        n, parts = df.count(), df.rdd.getNumPartitions()
+        want = max(1, -(-n // rows_per_partition))
+        if want < parts:
+            fit_df = df.coalesce(want).persist(StorageLevel.MEMORY_AND_DISK)
+        return pipeline.fit(fit_df)
     finally:
+        if fit_df is not df:
+            fit_df.unpersist()
         df.unpersist()
 
 
