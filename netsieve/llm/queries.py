@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netsieve.llm import pieces, quality_rules, sql, unit_dedup
+from netsieve.llm import cross_polytope, jaccard, pieces, quality_rules, sql, unit_dedup
 from netsieve.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op2_jaccard_join", sql.JACCARD)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 @query("op5_unit_dedup", sql.UNIT_DEDUP)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = unit_dedup.dedup_units(table(spark, sf_dir, "documents"))
@@ -49,3 +54,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_rules", sql.QUALITY_RULES)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op10_cross_polytope", sql.NEAR_VECTORS)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_vectors(table(spark, sf_dir, "embeddings"))

@@ -1,6 +1,6 @@
 """DuckDB SQL for the operators that SQL can express."""
 
-from netsieve.llm import quality_rules as qr, unit_dedup as ud
+from netsieve.llm import cross_polytope as cp, jaccard as ja, quality_rules as qr, unit_dedup as ud
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -68,3 +68,51 @@ SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_
        n_removed_words, NOT base_failed AND n_words - n_removed_words >= {qr.MIN_KEPT_SHARE} * n_words AS kept
 FROM judged
 """
+
+#: Reachable pairs (a, b) of the symmetric relation links(a, b) over nodes(id).
+_REACH = """
+reach AS (
+  SELECT id AS a, id AS b FROM nodes
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)"""
+
+JACCARD = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+grams AS (
+  SELECT doc_id, unnest(list_distinct(CASE
+    WHEN len(w) = 0 THEN [] WHEN len(w) < {ja.WORDS} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {ja.WORDS - 2}), lambda i: array_to_string(w[i:i + {ja.WORDS - 1}], ' ')) END)) AS g
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b, c = p.n AND c = q.n AS same
+  FROM common JOIN sizes p ON a = p.doc_id JOIN sizes q ON b = q.doc_id
+  WHERE c / (p.n + q.n - c) >= {ja.THRESHOLD}),
+nodes AS (SELECT doc_id AS id FROM documents), {_REACH}
+SELECT id AS doc_id,
+       least(id, (SELECT min(b) FROM links WHERE a = id AND same)) AS class_id,
+       (SELECT count(*) FROM links WHERE a = id) AS n_links,
+       (SELECT min(b) FROM reach WHERE a = id) AS component_id,
+       id = (SELECT min(b) FROM reach WHERE a = id) AS kept
+FROM nodes
+"""
+
+NEAR_VECTORS = rf"""
+WITH RECURSIVE able AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b
+  FROM able x JOIN able y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= {cp.THRESHOLD}),
+nodes AS (SELECT vec_id AS id FROM embeddings), {_REACH}
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links,
+       (SELECT min(b) FROM reach WHERE a = id) AS component_id,
+       id = (SELECT min(b) FROM reach WHERE a = id) AS kept
+FROM nodes
+"""
