@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netsieve.llm import cross_polytope, jaccard, pieces, quality_rules, sql, unit_dedup
+from netsieve.llm import cross_polytope, jaccard, language, pieces, quality_nbsvm, quality_rules, ship, sql, unit_dedup
 from netsieve.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +22,11 @@ def piece_model_path() -> str:
 
 def query(name: str, oracle: str | None = None):
     def add(f):
-        QUERIES[name] = f
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship.ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = shipped
         if oracle:
             ORACLE[name] = oracle
         return f
@@ -42,6 +46,26 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+@query("op4_language_mixture")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    langs, logp = language.learn(docs.where(~held_out))
+    return language.identify(docs, langs, logp, keep={"held_out": held_out})
+
+
+@query("op8_quality_nbsvm")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
+    model = quality_nbsvm.learn(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
+    return quality_nbsvm.score(docs, model, keep={"held_out": held_out})
+
+
 @query("op5_unit_dedup", sql.UNIT_DEDUP)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = unit_dedup.dedup_units(table(spark, sf_dir, "documents"))
