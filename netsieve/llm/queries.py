@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netsieve.llm import cross_polytope, jaccard, language, pieces, quality_nbsvm, quality_rules, ship, sql, unit_dedup
+from netsieve.llm import cross_polytope, jaccard, language, licenses, mixing, pieces, quality_nbsvm, quality_rules, ship, sql, unit_dedup
 from netsieve.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op6_mixing", sql.mixing_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dims = {"source": "source", "lang": "lang", "topic": mixing.length_topic(F.col("n_tokens"))}
+    return mixing.mix(table(spark, sf_dir, "documents"), dims).withColumns(
+        {"weight": F.round("weight", 4), "prob": F.round("prob", 4)})
+
+
+@query("op7_licenses", sql.licenses_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op9_quality_rules", sql.QUALITY_RULES)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))

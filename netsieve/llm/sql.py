@@ -1,6 +1,6 @@
 """DuckDB SQL for the operators that SQL can express."""
 
-from netsieve.llm import cross_polytope as cp, jaccard as ja, quality_rules as qr, unit_dedup as ud
+from netsieve.llm import cross_polytope as cp, jaccard as ja, licenses as li, mixing as mx, quality_rules as qr, unit_dedup as ud
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -116,3 +116,65 @@ SELECT id AS vec_id, (SELECT count(*) FROM links WHERE a = id) AS n_links,
        id = (SELECT min(b) FROM reach WHERE a = id) AS kept
 FROM nodes
 """
+
+
+def mixing_sql() -> str:
+    """Raking unrolled into one step per round and dimension; the factor c by cutting the cells in order of weight."""
+    dims = list(mx.TEMPERING)
+    steps, last = [], "c0"
+    for r in range(mx.ROUNDS):
+        for d in dims:
+            steps.append(f"r{r}_{d} AS (SELECT *, sum(tokens * weight) OVER (PARTITION BY {d}) AS mass FROM {last}), "
+                         f"r{r}_{d}_w AS (SELECT * EXCLUDE (mass) REPLACE (CASE WHEN mass > 0 THEN weight * target_{d} / mass "
+                         f"ELSE weight END AS weight) FROM r{r}_{d})")
+            last = f"r{r}_{d}_w"
+    raw = ", ".join(f"sum(tokens) OVER (PARTITION BY {d}) AS of_{d}" for d in dims)
+    parts = ", ".join(f"CASE WHEN of_{d} > 0 THEN pow(of_{d}, {mx.TEMPERING[d]}) ELSE 0 END AS raw_{d}" for d in dims)
+    target = ", ".join(f"raw_{d} * sum(tokens) OVER () / sum(CASE WHEN of_{d} > 0 THEN raw_{d} * tokens / of_{d} ELSE 0 END) "
+                       f"OVER () AS target_{d}" for d in dims)
+    same = " AND ".join(f"docs.{d} IS NOT DISTINCT FROM probs.{d}" for d in dims)
+    return rf"""
+WITH counted AS (
+  SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS n_tokens FROM documents),
+docs AS (SELECT *, CASE WHEN n_tokens < 100 THEN 'note' WHEN n_tokens < 1000 THEN 'article' ELSE 'book' END AS topic
+         FROM counted),
+cells AS (SELECT {", ".join(dims)}, sum(n_tokens)::DOUBLE AS tokens FROM docs GROUP BY ALL),
+c_of AS (SELECT *, {raw} FROM cells), c_raw AS (SELECT *, {parts} FROM c_of),
+c0 AS (SELECT {", ".join(dims)}, tokens, {target}, 1.0::DOUBLE AS weight FROM c_raw),
+{", ".join(steps)},
+cut AS (
+  SELECT *, sum(tokens) OVER (ORDER BY weight DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+         sum(tokens * weight) OVER (ORDER BY weight DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mass,
+         sum(tokens) OVER () AS total
+  FROM {last} WHERE tokens > 0),
+factor AS (
+  SELECT ({mx.SAMPLE_SHARE} * total - coalesce(before, 0)) / mass AS c FROM cut
+  WHERE ({mx.SAMPLE_SHARE} * total - coalesce(before, 0)) / mass * weight < 1 ORDER BY weight DESC LIMIT 1),
+probs AS (SELECT {", ".join(dims)}, weight, least(1.0, c * weight) AS prob FROM {last}, factor)
+SELECT doc_id, n_tokens, round(weight, 4) AS weight, round(prob, 4) AS prob,
+       ('0x' || left(md5(doc_id::VARCHAR), 8))::BIGINT / 4294967296 < prob AS sampled
+FROM docs JOIN probs ON {same}
+"""
+
+
+def licenses_sql() -> str:
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    values = ", ".join(f"({k}, {quote(name)}, {quote(text)})" for k, (name, text) in enumerate(li.TEMPLATES.items()))
+    grams = (r"list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))")
+    words = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+    return rf"""
+WITH shelf AS (
+  SELECT k, license, {grams} AS t
+  FROM (SELECT k, license, {words.format("body")} AS w FROM (VALUES {values}) AS v(k, license, body))),
+units AS (
+  SELECT DISTINCT doc_id, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n[ \t]*\n'), [text])) AS u
+  FROM documents),
+grams AS (SELECT doc_id, u, {grams} AS g FROM (SELECT doc_id, u, {words.format("u")} AS w FROM units)),
+scored AS (
+  SELECT doc_id, u, k, license, 2.0 * len(list_intersect(g, t)) / (len(g) + len(t)) AS dice
+  FROM grams JOIN shelf ON len(g) >= len(t) * 0.6 AND len(g) <= len(t) * 1.6),
+best AS (
+  SELECT doc_id, arg_max(license, (dice, -k)) AS license, max(dice)::DOUBLE AS dice, count(DISTINCT u) AS n_units
+  FROM scored WHERE dice >= {li.DICE} GROUP BY doc_id)
+SELECT doc_id, license, dice, coalesce(n_units, 0) AS n_units FROM documents LEFT JOIN best USING (doc_id)
+"""
