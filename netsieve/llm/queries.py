@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netsieve.llm import cross_polytope, jaccard, language, licenses, mixing, pieces, quality_nbsvm, quality_rules, ship, sql, unit_dedup
+from netsieve.llm import cross_polytope, jaccard, language, licenses, mixing, pieces, quality_nbsvm, quality_rules, ship, sql, suffix_dedup, unit_dedup
 from netsieve.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+@query("op3_suffix_dedup", sql.SUFFIX_DEDUP)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+                      F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 

@@ -178,3 +178,22 @@ best AS (
   FROM scored WHERE dice >= {li.DICE} GROUP BY doc_id)
 SELECT doc_id, license, dice, coalesce(n_units, 0) AS n_units FROM documents LEFT JOIN best USING (doc_id)
 """
+
+
+#: Every 50-byte string by its hexadecimal form (100 digits).
+SUFFIX_DEDUP = """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+places AS (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM bytes),
+windows AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM places),
+repeated AS (SELECT doc_id, i FROM windows QUALIFY min(doc_id) OVER (PARTITION BY s) < doc_id),
+turns AS (SELECT *, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) > 50 AS new FROM repeated),
+runs AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM turns),
+spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY ALL),
+lists AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed
+          FROM spans GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(0, n_spans + 1), lambda k:
+         substr(h, CASE WHEN k = 0 THEN 1 ELSE 2 * b[k] + 1 END,
+                CASE WHEN k = n_spans THEN 2 * n ELSE 2 * a[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE 2 * b[k] END)), '') END)) AS kept_sha256
+FROM bytes LEFT JOIN lists USING (doc_id)
+"""
