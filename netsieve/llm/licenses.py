@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -42,18 +43,23 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def key_words(grams: list[str], dice: float) -> list[str]:
-    """Words, longest first, that touch so many bigrams that too few remain for a match without them."""
-    need = dice * len(grams) / (2 - dice)
-    left, chosen = set(grams), []
-    for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
-        if len(left) < need:
-            break
-        touched = {g for g in left if word in g.split()}
-        if touched:
-            left -= touched
+def key_words(shelf: list[list[str]], dice: float, shortest: int = 6) -> list[str]:
+    """Few words such that every text that reaches ``dice`` with a template holds one of them as a substring.
+
+    For each template words are taken, most bigrams first, until fewer bigrams hold
+    none of them than a match must share. Short (frequent) words come last.
+    """
+    chosen: list[str] = []
+    for grams in sorted(shelf, key=len):
+        need = dice * len(grams) / (2 - dice)
+        left = [g for g in grams if not any(w in part for w in chosen for part in g.split())]
+        words = sorted({w for g in grams for w in g.split()})
+        while len(left) >= need:
+            touch = {w: sum(any(w in part for part in g.split()) for g in left) for w in words}
+            word = max(words, key=lambda w: (touch[w] > 0 and len(w) >= shortest, touch[w], w))
             chosen.append(word)
-    return chosen
+            left = [g for g in left if not any(word in part for part in g.split())]
+    return [w for w in chosen if not any(o != w and o in w for o in chosen)]
 
 
 def _with(value: Column, body) -> Column:
@@ -80,9 +86,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     grams = {name: bigrams(text) for name, text in templates.items()}
     if any(not g for g in grams.values()):
         raise ValueError("a template needs two words")
-    words = sorted({w for g in grams.values() for w in key_words(g, dice)})
-    # Spelt out by case (with the Kelvin sign, which lowers to k): faster than a case-insensitive pattern.
-    hint = "|".join("".join(f"[{c.upper()}{c}]" if c != "k" else "[Kk\u212a]" for c in w) for w in words)
+    words = key_words(list(grams.values()), dice)
+
+    def hinted(t: Column) -> Column:
+        low = F.lower(t)
+        return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+
     shelf = F.array(*[F.struct(F.lit(-k).alias("order"), F.lit(len(g)).alias("m"),
                                F.lit(math.floor(dice / (2 - dice) * len(g))).alias("least"),
                                F.lit(math.ceil((2 - dice) / dice * len(g))).alias("most"),
@@ -99,8 +108,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
     text = F.col(text_col).cast("string")
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t]*\n"), F.array(text)))
-    found = F.filter(F.transform(F.filter(units, lambda u: u.rlike(hint)), best), lambda b: b["dice"] >= dice)
-    rows = docs.select(F.col(id_col).alias(id_col), F.when(text.rlike(hint), found).alias("_found"))
+    found = F.filter(F.transform(F.filter(units, hinted), best), lambda b: b["dice"] >= dice)
+    rows = docs.select(F.col(id_col).alias(id_col), F.when(hinted(text), found).alias("_found"))
     rows = rows.select(id_col, F.array_max("_found").alias("_best"), F.size("_found").alias("_n"))
     return rows.select(id_col, F.when(F.col("_best").isNotNull(), F.element_at(names, 1 - F.col("_best.order"))).alias("license"),
                        F.col("_best.dice").alias("dice"), F.greatest(F.col("_n"), F.lit(0)).cast("long").alias("n_units"))

@@ -19,6 +19,8 @@ TEMPERING = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 ROUNDS = 12
 #: Expected tokens of the sample against all tokens.
 SAMPLE_SHARE = 0.8
+#: Cell tables up to this many rows are broadcast.
+BROADCAST_CELLS = 50_000
 
 
 def n_tokens(text: str | Column) -> Column:
@@ -88,11 +90,13 @@ def mix(docs: DataFrame, dims: dict[str, str | Column], id_col: str = "doc_id",
         F.struct(id_col, *carry).alias("_row"), "n_tokens",
         *[(F.col(c) if isinstance(c, str) else c).cast("string").alias(f"_{d}") for d, c in dims.items()])
     cells = rows.groupBy(*[F.col(f"_{d}").alias(d) for d in tempering]).agg(F.sum("n_tokens").alias("tokens"))
-    cells = calibrate(fit_cells(durable(cells), tempering, rounds), share).select(
+    cells = durable(calibrate(fit_cells(durable(cells), tempering, rounds), share))
+    few = cells.count() <= BROADCAST_CELLS
+    cells = cells.select(
         *[F.col(d).alias(f"c_{d}") for d in tempering], "weight", "prob")
     on = F.lit(True)
     for d in tempering:
         on = on & F.col(f"_{d}").eqNullSafe(F.col(f"c_{d}"))
     drawn = F.conv(F.substring(F.md5(F.coalesce(F.col(f"_row.{id_col}").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double")
-    return rows.join(cells, on, "left").select("_row.*", "n_tokens", "weight", "prob",
+    return rows.join(F.broadcast(cells) if few else cells, on, "left").select("_row.*", "n_tokens", "weight", "prob",
                                                (drawn / float(1 << 32) < F.col("prob")).alias("sampled"))

@@ -77,8 +77,8 @@ def _cut(unit: str):
                     starts.append([a for a, _ in spans])
                     ends.append([b for _, b in spans])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(kept, pa.string()), pa.array(starts, pa.list_(pa.int32())),
-                     pa.array(ends, pa.list_(pa.int32()))], names=["id", "kept_text", "starts", "ends"])
+                    [part.column(0), part.column(3), pa.array(kept, pa.string()), pa.array(starts, pa.list_(pa.int32())),
+                     pa.array(ends, pa.list_(pa.int32()))], names=["id", "carry", "kept_text", "starts", "ends"])
     return run
 
 
@@ -97,8 +97,8 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line",
-                min_words: int = MIN_UNIT_WORDS) -> DataFrame:
-    """One row per input row: id, kept_text, n_removed and the removed character spans (starts, ends) in the input.
+                min_words: int = MIN_UNIT_WORDS, carry: list[str] | None = None) -> DataFrame:
+    """One row per input row: id, the ``carry`` columns, kept_text, n_removed and the removed character spans (starts, ends) in the input.
 
     A removed unit goes with the separator after it. A null text stays null, an
     empty one empty, both without spans. Rows with a null id take no part and
@@ -108,7 +108,10 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     gone = repeated_units(docs, id_col, text_col, unit, min_words).withColumnRenamed("id", "g_id")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    joined = rows.join(gone.hint("shuffle_hash"), rows["id"] == gone["g_id"], "left").select("id", "text", "places")
-    return (joined.mapInArrow(_cut(unit), f"id {id_type}, kept_text string, starts array<int>, ends array<int>")
-            .select(F.col("id").alias(id_col), "kept_text", F.size("starts").alias("n_removed"), "starts", "ends"))
+    held = F.struct(*[F.col(c) for c in carry or []], F.lit(True).alias("_held"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held.alias("carry"))
+    joined = rows.join(gone.hint("shuffle_hash"), rows["id"] == gone["g_id"], "left").select("id", "text", "places", "carry")
+    held_type = rows.schema["carry"].dataType.simpleString()
+    return (joined.mapInArrow(_cut(unit), f"id {id_type}, carry {held_type}, kept_text string, starts array<int>, ends array<int>")
+            .select(F.col("id").alias(id_col), *[F.col(f"carry.{c}").alias(c) for c in carry or []], "kept_text",
+                    F.size("starts").alias("n_removed"), "starts", "ends"))
