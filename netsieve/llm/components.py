@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from netsieve.session import checkpoint_root
+from netsieve.session import checkpoint_root, scratch_dir
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -13,6 +13,21 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder; the shuffle files behind it go when it is written.
+
+    Smaller than a checkpoint (columns are compressed), for intermediate tables that grow with the text.
+    """
+    spark, setting = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, path = spark.conf.get(setting, "false"), scratch_dir(spark, tag)
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected graph ``edges(a, b)`` of longs; component is its smallest node.
 

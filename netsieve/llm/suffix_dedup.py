@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from netsieve.llm import arrays
-from netsieve.llm.components import durable
+from netsieve.llm.components import written
 
 WIDTH = 50
 #: Mean bytes between phrase ends.
@@ -58,7 +58,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other = arrays.RangeHash(arrays.mix(buf.astype(np.uint64), 31)).of(start, end)
         take = pa.array(row)
         yield pa.RecordBatch.from_arrays(
-            [part.column(0).take(take), part.column(1).take(take), pa.array(start - off[row]), pa.array(end - off[row]),
+            [part.column(0).take(take), part.column(1).take(take), pa.array((start - off[row]).astype(np.int32)), pa.array((end - off[row]).astype(np.int32)),
              pa.array(phrase.view(np.int64)), pa.array(other.view(np.int64))],
             names=["id", "text_key", "start", "stop", "p1", "p2"])
 
@@ -79,7 +79,7 @@ def _spans(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lists = lists.combine_chunks()
     flat = lists.flatten()
     row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
-    return flat.field("start").to_numpy(), flat.field("stop").to_numpy(), row
+    return flat.field("start").to_numpy().astype(np.int64), flat.field("stop").to_numpy().astype(np.int64), row
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +105,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take = pa.array(row)
         yield pa.RecordBatch.from_arrays(
             [pa.array(key[use[head]].view(np.int64)), part.column(0).take(take), part.column(1).take(take),
-             pa.array(use[head] - off[row]), pa.array(use[last] - off[row] + WIDTH)],
+             pa.array((use[head] - off[row]).astype(np.int32)),
+             pa.array((use[last] - off[row] + WIDTH).astype(np.int32))],
             names=["key", "id", "text_key", "start", "stop"])
 
 
@@ -122,7 +123,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fixed = pa.Array.from_buffers(pa.binary(WIDTH), b - a, [None, pa.py_buffer(np.ascontiguousarray(data))])
             take = pa.array(row[a:b])
             yield pa.RecordBatch.from_arrays(
-                [fixed.cast(pa.binary()), part.column(0).take(take), part.column(1).take(take), pa.array(at[a:b])],
+                [fixed.cast(pa.binary()), part.column(0).take(take), part.column(1).take(take), pa.array(at[a:b].astype(np.int32))],
                 names=["prefix", "id", "text_key", "start"])
 
 
@@ -156,12 +157,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"),
                         F.col(text_col).cast("string").alias("text"))
-    phrases = durable(texts.where("id is not null").mapInArrow(
-        _parse, "id long, text_key long, start long, stop long, p1 long, p2 long"))
+    phrases = written(texts.where("id is not null").mapInArrow(
+        _parse, "id long, text_key long, start int, stop int, p1 long, p2 long"), "op3-parse")
     dictionary = phrases.groupBy("p1", "p2").agg(F.min("id").alias("first_id")).select(
         F.col("p1").alias("d1"), F.col("p2").alias("d2"), "first_id")
-    placed = durable(phrases.join(dictionary, (F.col("p1") == F.col("d1")) & (F.col("p2") == F.col("d2")))
-                     .select("id", "text_key", F.struct("start", "stop").alias("span"), (F.col("id") > F.col("first_id")).alias("later")))
+    placed = written(phrases.join(dictionary, (F.col("p1") == F.col("d1")) & (F.col("p2") == F.col("d2")))
+                     .select("id", "text_key", F.struct("start", "stop").alias("span"), (F.col("id") > F.col("first_id")).alias("later")),
+                     "op3-dictionary")
 
     def beside(spans: DataFrame, how: str) -> DataFrame:
         """Texts with the list of their spans; the list side is hashed, the texts are not sorted."""
@@ -169,16 +171,19 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return texts.join(lists.hint("shuffle_hash"), (F.col("id") == F.col("s_id")) & (F.col("text_key") == F.col("s_key")),
                           how).select("id", "text_key", "text", "spans")
 
-    runs = durable(beside(placed.where("not later"), "inner").mapInArrow(
-        _keys, "key long, id long, text_key long, start long, stop long"))
-    common = (runs.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-              .select(F.col("key").alias("c_key")))
-    shared = runs.join(common, F.col("key") == F.col("c_key")).select("id", "text_key", F.struct("start", "stop").alias("span"))
-    suffixes = durable(beside(shared, "inner").mapInArrow(_suffixes, "prefix binary, id long, text_key long, start long"))
+    # Counted and then selected in two jobs: the keys are computed twice, so that they never lie on disk twice.
+    runs = beside(placed.where("not later"), "inner").mapInArrow(
+        _keys, "key long, id long, text_key long, start int, stop int")
+    common = written(runs.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+                     .select(F.col("key").alias("c_key")), "op3-keys")
+    shared = written(runs.join(common, F.col("key") == F.col("c_key"))
+                     .select("id", "text_key", F.struct("start", "stop").alias("span")), "op3-shared")
+    suffixes = written(beside(shared, "inner").mapInArrow(
+        _suffixes, "prefix binary, id long, text_key long, start int"), "op3-suffixes")
     classes = suffixes.groupBy("prefix").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(
         F.col("prefix").alias("c_prefix"), "low")
     repeated = (suffixes.join(classes, (F.col("prefix") == F.col("c_prefix")) & (F.col("id") > F.col("low")))
-                .select("id", "text_key", F.struct("start", (F.col("start") + WIDTH).alias("stop")).alias("span")))
+                .select("id", "text_key", F.struct("start", (F.col("start") + F.lit(WIDTH)).alias("stop")).alias("span")))
     gone = placed.where("later").drop("later").union(repeated)
     cut = beside(gone, "left").mapInArrow(_cut, "id long, n_bytes long, kept binary, starts array<long>, stops array<long>")
     return cut.withColumnRenamed("id", id_col)
