@@ -8,12 +8,13 @@ in the parse. In every later document the whole phrase goes at once, which
 settles highly repetitive text without looking at its bytes again.
 
 What remains are phrases in their first document, whose suffixes may agree for
-50 bytes with suffixes of other phrases. Corpus order is needed only up to 50 bytes: suffixes with
-equal 50-byte prefixes are one class, and each class takes the first document of
-its phrases. To order few suffixes, each is first keyed by the smallest hash of its
-20-byte substrings (equal prefixes have equal keys); only suffixes whose key
-occurs in two documents are ordered. All steps are joins and combinable
-aggregations; a frequent passage meets in a minimum, not in a list.
+50 bytes with suffixes of other phrases. Of the suffix arrays' corpus order only the classes
+up to 50 bytes are needed: suffixes with equal 50-byte prefixes are one class (found by two
+64-bit hashes of the prefix instead of by sorting), and each class takes the first document of
+its phrases. To compare few suffixes, each is first keyed by the smallest hash of its
+20-byte substrings (equal prefixes have equal keys); only keys of two documents go on,
+and equal runs of suffixes under one key are one entry, as phrases are. All steps are joins
+and combinable aggregations; a frequent passage meets in a minimum, not in a list.
 """
 
 from __future__ import annotations
@@ -83,12 +84,13 @@ def _spans(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id, text_key, start, stop): runs of suffixes of the given phrases with one key; stop is the last suffix's end."""
+    """(key, run, id, text_key, start, stop): runs of suffixes with one key; run hashes the bytes from start to the last one's stop."""
     for part, buf, off in arrays.text_slices(batches, "text"):
         if len(buf) < WIDTH:
             continue
         at = np.arange(len(buf) - KEY_BYTES + 1)
-        key = _smallest(arrays.byte_hash(buf).of(at, at + KEY_BYTES), WIDTH - KEY_BYTES + 1)
+        hashes = arrays.byte_hash(buf)
+        key = _smallest(hashes.of(at, at + KEY_BYTES), WIDTH - KEY_BYTES + 1)
         start, stop, row = _spans(part.column(3))
         use = np.zeros(len(buf) + 1, np.int64)
         np.add.at(use, start + off[row], 1)
@@ -104,27 +106,28 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = owner[head]
         take = pa.array(row)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key[use[head]].view(np.int64)), part.column(0).take(take), part.column(1).take(take),
+            [pa.array(key[use[head]].view(np.int64)), pa.array(hashes.of(use[head], use[last] + WIDTH).view(np.int64)), part.column(0).take(take), part.column(1).take(take),
              pa.array((use[head] - off[row]).astype(np.int32)),
              pa.array((use[last] - off[row] + WIDTH).astype(np.int32))],
-            names=["key", "id", "text_key", "start", "stop"])
+            names=["key", "run", "id", "text_key", "start", "stop"])
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(prefix, id, text_key, start): the first WIDTH bytes of each suffix in the given runs."""
+    """(p1, p2, id, text_key, start): two hashes of the first WIDTH bytes of each suffix in the given runs."""
     for part, buf, off in arrays.text_slices(batches, "text"):
+        hashes = arrays.byte_hash(buf)
+        other = arrays.RangeHash(arrays.mix(buf.astype(np.uint64), 31))
         start, stop, row = _spans(part.column(3))
         n = stop - start - WIDTH + 1
         row = np.repeat(row, n)
         at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        for a in range(0, len(at), 1 << 16):
-            b = min(len(at), a + (1 << 16))
-            data = buf[(at[a:b] + off[row[a:b]])[:, None] + np.arange(WIDTH)]
-            fixed = pa.Array.from_buffers(pa.binary(WIDTH), b - a, [None, pa.py_buffer(np.ascontiguousarray(data))])
-            take = pa.array(row[a:b])
+        for a in range(0, len(at), 1 << 18):
+            r, place = row[a: a + (1 << 18)], at[a: a + (1 << 18)]
+            begin, take = place + off[r], pa.array(r)
             yield pa.RecordBatch.from_arrays(
-                [fixed.cast(pa.binary()), part.column(0).take(take), part.column(1).take(take), pa.array(at[a:b].astype(np.int32))],
-                names=["prefix", "id", "text_key", "start"])
+                [pa.array(h.of(begin, begin + WIDTH).view(np.int64)) for h in (hashes, other)]
+                + [part.column(0).take(take), part.column(1).take(take), pa.array(place.astype(np.int32))],
+                names=["p1", "p2", "id", "text_key", "start"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,17 +176,27 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # Counted and then selected in two jobs: the keys are computed twice, so that they never lie on disk twice.
     runs = beside(placed.where("not later"), "inner").mapInArrow(
-        _keys, "key long, id long, text_key long, start int, stop int")
+        _keys, "key long, run long, id long, text_key long, start int, stop int")
     common = written(runs.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
                      .select(F.col("key").alias("c_key")), "op3-keys")
     shared = written(runs.join(common, F.col("key") == F.col("c_key"))
-                     .select("id", "text_key", F.struct("start", "stop").alias("span")), "op3-shared")
-    suffixes = written(beside(shared, "inner").mapInArrow(
-        _suffixes, "prefix binary, id long, text_key long, start int"), "op3-suffixes")
-    classes = suffixes.groupBy("prefix").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(
-        F.col("prefix").alias("c_prefix"), "low")
-    repeated = (suffixes.join(classes, (F.col("prefix") == F.col("c_prefix")) & (F.col("id") > F.col("low")))
-                .select("id", "text_key", F.struct("start", (F.col("start") + F.lit(WIDTH)).alias("stop")).alias("span")))
+                     .select("key", "run", "id", "text_key", F.struct("start", "stop").alias("span")), "op3-shared")
+    # Equal runs are one entry, as equal phrases are: only its first document, and only beside other runs, goes on.
+    entries = shared.groupBy("key", "run").agg(F.min("id").alias("first_id"))
+    mixed = entries.groupBy(F.col("key").alias("m_key")).count().where("count > 1").select("m_key", F.lit(True).alias("mixed"))
+    entries = entries.join(mixed, F.col("key") == F.col("m_key"), "left").select(
+        F.col("key").alias("e_key"), F.col("run").alias("e_run"), "first_id", "mixed")
+    judged = written(shared.join(entries, (F.col("key") == F.col("e_key")) & (F.col("run") == F.col("e_run")))
+                     .select("id", "text_key", "span", (F.col("id") > F.col("first_id")).alias("later"),
+                             F.coalesce("mixed", F.lit(False)).alias("mixed")).where("later or mixed"), "op3-runs")
+    suffixes = written(beside(judged.where("not later"), "inner").mapInArrow(
+        _suffixes, "p1 long, p2 long, id long, text_key long, start int"), "op3-suffixes")
+    classes = suffixes.groupBy("p1", "p2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(
+        F.col("p1").alias("c1"), F.col("p2").alias("c2"), "low")
+    repeated = written(suffixes.join(classes, (F.col("p1") == F.col("c1")) & (F.col("p2") == F.col("c2")) & (F.col("id") > F.col("low")))
+                       .select("id", "text_key", F.struct("start", (F.col("start") + F.lit(WIDTH)).alias("stop")).alias("span")),
+                       "op3-repeated")
+    repeated = repeated.union(judged.where("later").select("id", "text_key", "span"))
     gone = placed.where("later").drop("later").union(repeated)
     cut = beside(gone, "left").mapInArrow(_cut, "id long, n_bytes long, kept binary, starts array<long>, stops array<long>")
     return cut.withColumnRenamed("id", id_col)
