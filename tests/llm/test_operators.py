@@ -1,0 +1,196 @@
+"""Operators on small fixtures: odd rows, empty tables, clashing columns, brute-force comparisons."""
+
+import hashlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from netsieve.llm import (cross_polytope, jaccard, language, licenses, mixing, pieces, quality_nbsvm, quality_rules, queries,
+                          suffix_dedup, unit_dedup)
+
+PROSE = " ".join(f"word{i} and" for i in range(60))
+LINE = "this line of seven words comes back"
+ROWS = [(1, PROSE, "en", "a"), (2, PROSE, "en", "a"), (3, PROSE.replace("word7 ", "other "), "en", "b"), (4, None, None, None),
+        (5, "", "fr", "a"), (6, f"un deux {LINE}\n{LINE}\n{LINE}\nfin", "fr", "a"), (7, f"{LINE}\nété", None, "a"),
+        (8, "x" * 30000, "en", "a"), (8, "x" * 30000, "en", "a"), (9, "Released under the MIT License.", "en", "a"),
+        (None, PROSE, "en", "a")]
+EXTRA = ["ids", "kept", "n_links", "label", "key", "id", "score", "weight", "hash"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string")
+    return df.withColumns({c: F.lit(1) for c in EXTRA})
+
+
+def mixed(df):
+    dims = {"source": "source", "lang": "lang", "topic": mixing.length_topic(F.col("n_tokens"))}
+    return mixing.mix(df, dims)
+
+
+def nbsvm(df):
+    model = quality_nbsvm.learn(df, df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))
+    return quality_nbsvm.score(df, model)
+
+
+OPERATORS = {
+    "encode": lambda d: pieces.encode(d, queries.piece_model_path()), "jaccard": jaccard.jaccard_join,
+    "substrings": suffix_dedup.dedup_substrings, "language": lambda d: language.identify(d, *language.learn(d)),
+    "units": unit_dedup.dedup_units, "paragraphs": lambda d: unit_dedup.dedup_units(d, unit="paragraph"), "mix": mixed,
+    "licenses": licenses.scan, "nbsvm": nbsvm, "rules": quality_rules.quality_rules,
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_one_row_per_input_row_and_empty_tables(docs, name):
+    got = OPERATORS[name](docs)
+    ids = sorted((r[0] for r in got.collect()), key=lambda x: (x is None, x))
+    assert ids == sorted((r[0] for r in ROWS), key=lambda x: (x is None, x))
+    assert OPERATORS[name](docs.where("false")).count() == 0
+
+
+def test_encoding_is_the_librarys():
+    m = pieces.model(queries.piece_model_path())
+    rng = np.random.default_rng(3)
+    alphabet = list(" ▁abtheinor.\n\t<s>0xA1éñßЖ漢😀ﬁ\x00,|*")
+    texts = ["", " ", "  a  b", "a" * 3000, " " * 900, "=-" * 400, "<s></s><0x0A>", PROSE]
+    texts += ["".join(rng.choice(alphabet, int(n))) for n in rng.integers(1, 60, 1500)]
+    for t in texts:
+        ids = m.encode(t).tolist()
+        assert ids == m.library.encode(t)
+        assert m.decode(ids) == m.library.decode(ids)
+
+
+def brute_substrings(rows):
+    first = {}
+    for d, t in sorted((d, (t or "").encode()) for d, t in rows):
+        for i in range(len(t) - 49):
+            first.setdefault(t[i:i + 50], d)
+    out = {}
+    for d, t in rows:
+        t = (t or "").encode()
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 49):
+            if first[t[i:i + 50]] < d:
+                gone[i:i + 50] = True
+        runs = int(np.diff(np.concatenate([[0], gone, [0]])).clip(0).sum())
+        out[d] = (len(t), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest())
+    return out
+
+
+def test_substrings_against_brute_force(spark):
+    rng = np.random.default_rng(1)
+    passage = "".join(rng.choice(list("abcdefg "), 400))
+    rows = [(0, passage), (1, "zz" + passage[100:220] + "yy"), (2, passage[:49]), (3, passage[10:60] + "é" * 60), (4, "é" * 200),
+            (5, "ab" * 300), (6, "ab" * 100 + passage), (7, None), (8, passage + passage), (9, "q" * 49 + passage[351:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["starts"]), hashlib.sha256(bytes(r["kept"])).hexdigest())
+           for r in suffix_dedup.dedup_substrings(df).collect()}
+    assert got == brute_substrings(rows)
+
+
+def test_jaccard_links_and_odd_rows(docs):
+    got = {r["doc_id"]: r for r in jaccard.jaccard_join(docs).collect()}
+    assert [got[i]["component_id"] for i in (1, 2, 3)] == [1, 1, 1]
+    assert [got[i]["n_links"] for i in (1, 2, 3)] == [2, 2, 2]
+    assert got[2]["class_id"] == 1 and got[3]["class_id"] == 3 and not got[2]["kept"]
+    assert got[4]["n_links"] == 0 and got[4]["kept"] and got[None]["component_id"] is None and got[None]["kept"]
+
+
+def test_jaccard_large_family_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join(words[:k] + ["edit%d" % k] + words[k + 1:])) for k in range(0, 60)]
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = {k: {tuple(t.split()[i:i + 5]) for i in range(196)} for k, t in rows}
+    for r in got:
+        want = sum(len(sets[r["doc_id"]] & s) / len(sets[r["doc_id"]] | s) >= 0.8 for k, s in sets.items() if k != r["doc_id"])
+        assert r["n_links"] == want and r["component_id"] == 0
+
+
+def test_units_keep_the_earliest_and_offsets(docs):
+    got = {r["doc_id"]: r for r in unit_dedup.dedup_units(docs).collect()}
+    text = ROWS[5][1]
+    assert [text[a:b] for a, b in zip(got[6]["starts"], got[6]["ends"])] == [LINE]
+    assert got[7]["kept_text"] == "été" and got[4]["kept_text"] is None and got[5]["kept_text"] == ""
+    assert got[None]["kept_text"] == PROSE and got[2]["kept_text"] == ""
+
+
+def test_quality_rules_reject_depleted_documents(spark):
+    menu = "home about contact news imprint"
+    rows = [(i, f"{menu}\n{menu}\n" * 6 + " ".join(f"t{i}x{k}" for k in range(5)), "h") for i in range(30)]
+    rows += [(100, " ".join(f"u{k}" for k in range(80)) + "\n" + menu, "h"), (101, None, "h")]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(got[i]["kept"] for i in range(30)) and got[100]["kept"] and got[100]["n_removed_words"] == 5
+    assert got[101]["base_failed"] and got[0]["n_dup_lines"] == 11
+
+
+def test_licenses_prefilter_loses_nothing(docs, spark):
+    grams = {n: set(licenses.bigrams(t)) for n, t in licenses.TEMPLATES.items()}
+    words = licenses.key_words([sorted(g) for g in grams.values()], licenses.DICE)
+    for g in grams.values():
+        free = [x for x in g if not any(w in part for w in words for part in x.split())]
+        assert len(free) < licenses.DICE * len(g) / (2 - licenses.DICE)
+    rows = [(k, "Intro line.\n" + t.upper() + "\nmore") for k, t in enumerate(licenses.TEMPLATES.values())] + [(99, "all about rights")]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict(enumerate(licenses.TEMPLATES)), 99: None}
+
+
+def test_mixing_meets_its_marginals(spark):
+    rows = [(i, "w " * (10 + i % 7), "ab"[i % 3 == 0], ["x", "y", "z"][i % 5 % 3]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    cells = df.groupBy("source", "lang", F.lit("t").alias("topic")).agg(F.sum(mixing.n_tokens("text")).alias("tokens"))
+    got = mixing.fit_cells(cells, {"source": 0.0, "lang": 1.0, "topic": 1.0}, 12).toPandas()
+    mass = got["tokens"] * got["weight"]
+    assert np.allclose(mass.groupby(got["source"]).sum(), mass.sum() / 2, rtol=1e-6)
+    out = mixed(df).toPandas()
+    expected = (out["prob"] * out["n_tokens"]).sum() / out["n_tokens"].sum()
+    assert abs(expected - mixing.SAMPLE_SHARE) < 1e-9 and ((out["prob"] >= 0) & (out["prob"] <= 1)).all()
+
+
+def test_language_mixture_and_held_out_accuracy(spark):
+    from netsieve.session import table
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    out = queries.QUERIES["op4_language_mixture"](spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id")
+    held = out.where("held_out").toPandas()
+    assert (held["lang"] == held["lang_pred"]).mean() > 0.97 and held["score"].between(0, 1).all()
+    langs, logp = language.learn(docs)
+    two = docs.where("lang in ('en', 'fr') and length(text) > 1000").groupBy().agg(
+        F.concat_ws(" ", F.substring(F.max(F.when(F.col("lang") == "en", F.col("text"))), 1, 900),
+                    F.substring(F.max(F.when(F.col("lang") == "fr", F.col("text"))), 1, 600)).alias("text"), F.lit(1).alias("doc_id"))
+    got = language.identify(two, langs, logp).collect()[0]
+    assert got["n_langs"] == 2 and 0.4 < got["score"] < 0.8
+
+
+def test_language_without_letters(docs):
+    langs, logp = language.learn(docs)
+    odd = docs.select("doc_id", F.when(F.col("doc_id") < 3, "12 . ?").alias("text"))
+    assert {(r["lang_pred"], r["score"]) for r in language.identify(odd, langs, logp).collect()} == {("und", 0.0)}
+
+
+def test_quality_held_out(spark):
+    from netsieve.session import table
+    out = queries.QUERIES["op8_quality_nbsvm"](spark, "/root/testdata/sf0.1").join(
+        table(spark, "/root/testdata/sf0.1", "labels"), "doc_id").where("held_out").toPandas()
+    assert (out["predicted"] == out["quality"]).mean() > 0.95
+
+
+def test_cross_polytope_recall_and_odd_vectors(spark):
+    rng = np.random.default_rng(0)
+    a = rng.normal(size=(300, 16))
+    b = a + 0.05 * rng.normal(size=a.shape)
+    rows = [(i, v.tolist(), i % 300 % 3) for i, v in enumerate(np.concatenate([a, b]))]
+    rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [1.0, None], 1), (904, [1.0] * 16, None),
+             (905, [2.0] * 16, 1), (906, [2.0] * 16, 1), (907, [4.0] * 16, 1), (None, [2.0] * 16, 1), (908, [], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("class_id", F.lit(1))
+    got = {r["vec_id"]: r for r in cross_polytope.near_vectors(df).collect()}
+    x = np.array([r[1] for r in rows[:600]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lab = np.array([r[2] for r in rows[:600]])
+    want = ((x @ x.T >= 0.93) & (lab[:, None] == lab)).sum(1) - 1
+    found = sum(got[i]["n_links"] for i in range(600))
+    assert 0.98 * want.sum() <= found <= want.sum()
+    assert [got[i]["n_links"] for i in (900, 901, 902, 903, 904, 908)] == [0] * 6
+    assert [got[i]["component_id"] for i in (905, 906, 907)] == [905] * 3 and got[905]["n_links"] == 2
+    assert cross_polytope.near_vectors(df.where("false")).count() == 0
