@@ -189,10 +189,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     judged = written(shared.join(entries, (F.col("key") == F.col("e_key")) & (F.col("run") == F.col("e_run")))
                      .select("id", "text_key", "span", (F.col("id") > F.col("first_id")).alias("later"),
                              F.coalesce("mixed", F.lit(False)).alias("mixed")).where("later or mixed"), "op3-runs")
-    suffixes = written(beside(judged.where("not later"), "inner").mapInArrow(
-        _suffixes, "p1 long, p2 long, id long, text_key long, start int"), "op3-suffixes")
-    classes = suffixes.groupBy("p1", "p2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(
-        F.col("p1").alias("c1"), F.col("p2").alias("c2"), "low")
+    # In two jobs again, for the same reason.
+    suffixes = beside(judged.where("not later"), "inner").mapInArrow(
+        _suffixes, "p1 long, p2 long, id long, text_key long, start int")
+    classes = written(suffixes.groupBy("p1", "p2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+                      .select(F.col("p1").alias("c1"), F.col("p2").alias("c2"), "low"), "op3-classes")
     repeated = written(suffixes.join(classes, (F.col("p1") == F.col("c1")) & (F.col("p2") == F.col("c2")) & (F.col("id") > F.col("low")))
                        .select("id", "text_key", F.struct("start", (F.col("start") + F.lit(WIDTH)).alias("stop")).alias("span")),
                        "op3-repeated")
