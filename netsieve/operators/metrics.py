@@ -134,9 +134,9 @@ def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None,
     below = Window.partitionBy("_part", *by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("_nb", F.col("_nb0") + F.coalesce(F.sum("_n").over(below), F.lit(0)))
     agg = s.groupBy(*by).agg(
-        F.sum(F.col("_p") * F.col("_nb") + 0.5 * F.col("_p") * F.col("_n")).alias("_u"),
+        F.sum(F.col("_p").cast("double") * (F.col("_nb") + 0.5 * F.col("_n"))).alias("_u"),
         F.sum("_p").alias("positives"), F.sum("_n").alias("negatives"))
-    auc = F.try_divide(F.col("_u"), (F.col("positives") * F.col("negatives")).cast("double"))
+    auc = F.try_divide(F.col("_u"), F.col("positives").cast("double") * F.col("negatives"))
     return agg.select(*by, "positives", "negatives", F.round(auc, 6).alias("auc"))
 
 
