@@ -59,7 +59,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("substring dedup", repeated_lines),
           ("mixing to target weights", mix), ("SentencePiece tokens", tokens)]
 
-#: The tokens cannot be computed in SQL; the tests hold every stage against a brute-force version.
+#: The tokens cannot be computed in SQL; the operators of the stages have tests of their own.
 ORACLE_SQL = None
 
 
