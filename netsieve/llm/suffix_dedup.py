@@ -83,8 +83,8 @@ def _spans(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat.field("start").to_numpy().astype(np.int64), flat.field("stop").to_numpy().astype(np.int64), row
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, run, id, text_key, start, stop): runs of suffixes with one key; run hashes the bytes from start to the last one's stop."""
+def _runs(batches: Iterator[pa.RecordBatch]):
+    """(batch slice, range hash, offsets, key, first and last suffix, row) of the runs of suffixes with one key, by slice."""
     for part, buf, off in arrays.text_slices(batches, "text"):
         if len(buf) < WIDTH:
             continue
@@ -103,12 +103,27 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = (key[use[1:]] != key[use[:-1]]) | (use[1:] != use[:-1] + 1) | (owner[1:] != owner[:-1])
         head = np.flatnonzero(new)
         last = np.append(head[1:], len(use)) - 1
-        row = owner[head]
+        yield part, hashes, off, key[use[head]], use[head], use[last], owner[head]
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id): the keys of each text."""
+    for part, _, _, key, _, _, row in _runs(batches):
+        # A key that comes again in the same text tells nothing new.
+        order = np.lexsort((key, row))
+        key, row = key[order], row[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), part.column(0).take(pa.array(row[new]))], names=["key", "id"])
+
+
+def _placed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, run, id, text_key, start, stop): runs of suffixes with one key; run hashes the bytes from start to the last one's stop."""
+    for part, hashes, off, key, head, last, row in _runs(batches):
         take = pa.array(row)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key[use[head]].view(np.int64)), pa.array(hashes.of(use[head], use[last] + WIDTH).view(np.int64)), part.column(0).take(take), part.column(1).take(take),
-             pa.array((use[head] - off[row]).astype(np.int32)),
-             pa.array((use[last] - off[row] + WIDTH).astype(np.int32))],
+            [pa.array(key.view(np.int64)), pa.array(hashes.of(head, last + WIDTH).view(np.int64)), part.column(0).take(take), part.column(1).take(take),
+             pa.array((head - off[row]).astype(np.int32)), pa.array((last - off[row] + WIDTH).astype(np.int32))],
             names=["key", "run", "id", "text_key", "start", "stop"])
 
 
@@ -174,11 +189,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return texts.join(lists.hint("shuffle_hash"), (F.col("id") == F.col("s_id")) & (F.col("text_key") == F.col("s_key")),
                           how).select("id", "text_key", "text", "spans")
 
-    # Counted and then selected in two jobs: the keys are computed twice, so that they never lie on disk twice.
-    runs = beside(placed.where("not later"), "inner").mapInArrow(
-        _keys, "key long, run long, id long, text_key long, start int, stop int")
-    common = written(runs.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    # The texts with phrases left to compare are written once; both jobs on their keys scan that table and shuffle no text.
+    firsts = written(beside(placed.where("not later"), "inner"), "op3-firsts")
+    common = written(firsts.mapInArrow(_keys, "key long, id long")
+                     .groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
                      .select(F.col("key").alias("c_key")), "op3-keys")
+    runs = firsts.mapInArrow(_placed_runs, "key long, run long, id long, text_key long, start int, stop int")
     shared = written(runs.join(common, F.col("key") == F.col("c_key"))
                      .select("key", "run", "id", "text_key", F.struct("start", "stop").alias("span")), "op3-shared")
     # Equal runs are one entry, as equal phrases are: only its first document, and only beside other runs, goes on.
@@ -189,7 +205,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     judged = written(shared.join(entries, (F.col("key") == F.col("e_key")) & (F.col("run") == F.col("e_run")))
                      .select("id", "text_key", "span", (F.col("id") > F.col("first_id")).alias("later"),
                              F.coalesce("mixed", F.lit(False)).alias("mixed")).where("later or mixed"), "op3-runs")
-    # In two jobs again, for the same reason.
+    # Counted and then selected in two jobs: the suffixes are computed twice, so that they never lie on disk.
     suffixes = beside(judged.where("not later"), "inner").mapInArrow(
         _suffixes, "p1 long, p2 long, id long, text_key long, start int")
     classes = written(suffixes.groupBy("p1", "p2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
