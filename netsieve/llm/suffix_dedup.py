@@ -13,13 +13,15 @@ up to 50 bytes are needed: suffixes with equal 50-byte prefixes are one class (f
 64-bit hashes of the prefix instead of by sorting), and each class takes the first document of
 its phrases. To compare few suffixes, each is first keyed by the smallest hash of its
 20-byte substrings (equal prefixes have equal keys); only keys of two documents go on,
-and equal runs of suffixes under one key are one entry, as phrases are. All steps are joins
+and equal runs of suffixes under one key are one entry, as phrases are. A second round does
+the same with 36-byte substrings, so that few suffixes reach the classes. All steps are joins
 and combinable aggregations; a frequent passage meets in a minimum, not in a list.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,8 @@ from netsieve.llm.components import written
 WIDTH = 50
 #: Mean bytes between phrase ends.
 TRIGGER = 256
-#: Bytes of the substrings that key a suffix.
-KEY_BYTES = 20
+#: Bytes of the substrings that key a suffix, by round.
+KEY_BYTES = (20, 36)
 
 
 def parse(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, arrays.RangeHash]:
@@ -83,14 +85,14 @@ def _spans(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat.field("start").to_numpy().astype(np.int64), flat.field("stop").to_numpy().astype(np.int64), row
 
 
-def _runs(batches: Iterator[pa.RecordBatch]):
+def _runs(batches: Iterator[pa.RecordBatch], width: int):
     """(batch slice, range hash, offsets, key, first and last suffix, row) of the runs of suffixes with one key, by slice."""
     for part, buf, off in arrays.text_slices(batches, "text"):
         if len(buf) < WIDTH:
             continue
-        at = np.arange(len(buf) - KEY_BYTES + 1)
+        at = np.arange(len(buf) - width + 1)
         hashes = arrays.byte_hash(buf)
-        key = _smallest(hashes.of(at, at + KEY_BYTES), WIDTH - KEY_BYTES + 1)
+        key = _smallest(hashes.of(at, at + width), WIDTH - width + 1)
         start, stop, row = _spans(part.column(3))
         use = np.zeros(len(buf) + 1, np.int64)
         np.add.at(use, start + off[row], 1)
@@ -106,9 +108,9 @@ def _runs(batches: Iterator[pa.RecordBatch]):
         yield part, hashes, off, key[use[head]], use[head], use[last], owner[head]
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(key, id): the keys of each text."""
-    for part, _, _, key, _, _, row in _runs(batches):
+    for part, _, _, key, _, _, row in _runs(batches, width):
         # A key that comes again in the same text tells nothing new.
         order = np.lexsort((key, row))
         key, row = key[order], row[order]
@@ -117,9 +119,9 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), part.column(0).take(pa.array(row[new]))], names=["key", "id"])
 
 
-def _placed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _placed_runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """(key, run, id, text_key, start, stop): runs of suffixes with one key; run hashes the bytes from start to the last one's stop."""
-    for part, hashes, off, key, head, last, row in _runs(batches):
+    for part, hashes, off, key, head, last, row in _runs(batches, width):
         take = pa.array(row)
         yield pa.RecordBatch.from_arrays(
             [pa.array(key.view(np.int64)), pa.array(hashes.of(head, last + WIDTH).view(np.int64)), part.column(0).take(take), part.column(1).take(take),
@@ -164,6 +166,27 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["id", "n_bytes", "kept", "starts", "stops"])
 
 
+def _compared(texts: DataFrame, width: int) -> DataFrame:
+    """Runs of suffixes of ``texts`` (with their spans) that other documents share or may share: ``later`` ones repeat a whole run of a smaller id.
+
+    The texts are a written table, so both jobs on their keys scan it and shuffle no text.
+    """
+    common = written(texts.mapInArrow(partial(_keys, width=width), "key long, id long")
+                     .groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+                     .select(F.col("key").alias("c_key")), "op3-keys")
+    runs = texts.mapInArrow(partial(_placed_runs, width=width), "key long, run long, id long, text_key long, start int, stop int")
+    shared = written(runs.join(common, F.col("key") == F.col("c_key"))
+                     .select("key", "run", "id", "text_key", F.struct("start", "stop").alias("span")), "op3-shared")
+    # Equal runs are one entry, as equal phrases are: only its first document, and only beside other runs, goes on.
+    entries = shared.groupBy("key", "run").agg(F.min("id").alias("first_id"))
+    mixed = entries.groupBy(F.col("key").alias("m_key")).count().where("count > 1").select("m_key", F.lit(True).alias("mixed"))
+    entries = entries.join(mixed, F.col("key") == F.col("m_key"), "left").select(
+        F.col("key").alias("e_key"), F.col("run").alias("e_run"), "first_id", "mixed")
+    return written(shared.join(entries, (F.col("key") == F.col("e_key")) & (F.col("run") == F.col("e_run")))
+                   .select("id", "text_key", "span", (F.col("id") > F.col("first_id")).alias("later"),
+                           F.coalesce("mixed", F.lit(False)).alias("mixed")).where("later or mixed"), "op3-runs")
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, kept (remaining bytes) and the removed byte spans (starts, stops).
 
@@ -189,31 +212,19 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return texts.join(lists.hint("shuffle_hash"), (F.col("id") == F.col("s_id")) & (F.col("text_key") == F.col("s_key")),
                           how).select("id", "text_key", "text", "spans")
 
-    # The texts with phrases left to compare are written once; both jobs on their keys scan that table and shuffle no text.
-    firsts = written(beside(placed.where("not later"), "inner"), "op3-firsts")
-    common = written(firsts.mapInArrow(_keys, "key long, id long")
-                     .groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-                     .select(F.col("key").alias("c_key")), "op3-keys")
-    runs = firsts.mapInArrow(_placed_runs, "key long, run long, id long, text_key long, start int, stop int")
-    shared = written(runs.join(common, F.col("key") == F.col("c_key"))
-                     .select("key", "run", "id", "text_key", F.struct("start", "stop").alias("span")), "op3-shared")
-    # Equal runs are one entry, as equal phrases are: only its first document, and only beside other runs, goes on.
-    entries = shared.groupBy("key", "run").agg(F.min("id").alias("first_id"))
-    mixed = entries.groupBy(F.col("key").alias("m_key")).count().where("count > 1").select("m_key", F.lit(True).alias("mixed"))
-    entries = entries.join(mixed, F.col("key") == F.col("m_key"), "left").select(
-        F.col("key").alias("e_key"), F.col("run").alias("e_run"), "first_id", "mixed")
-    judged = written(shared.join(entries, (F.col("key") == F.col("e_key")) & (F.col("run") == F.col("e_run")))
-                     .select("id", "text_key", "span", (F.col("id") > F.col("first_id")).alias("later"),
-                             F.coalesce("mixed", F.lit(False)).alias("mixed")).where("later or mixed"), "op3-runs")
+    gone, left = placed.where("later").drop("later"), placed.where("not later").drop("later")
+    for width in KEY_BYTES:
+        judged = _compared(written(beside(left, "inner"), "op3-texts"), width)
+        gone = gone.union(judged.where("later").select("id", "text_key", "span"))
+        left = judged.where("not later").select("id", "text_key", "span")
     # Counted and then selected in two jobs: the suffixes are computed twice, so that they never lie on disk.
-    suffixes = beside(judged.where("not later"), "inner").mapInArrow(
+    suffixes = written(beside(left, "inner"), "op3-texts").mapInArrow(
         _suffixes, "p1 long, p2 long, id long, text_key long, start int")
     classes = written(suffixes.groupBy("p1", "p2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
                       .select(F.col("p1").alias("c1"), F.col("p2").alias("c2"), "low"), "op3-classes")
     repeated = written(suffixes.join(classes, (F.col("p1") == F.col("c1")) & (F.col("p2") == F.col("c2")) & (F.col("id") > F.col("low")))
                        .select("id", "text_key", F.struct("start", (F.col("start") + F.lit(WIDTH)).alias("stop")).alias("span")),
                        "op3-repeated")
-    repeated = repeated.union(judged.where("later").select("id", "text_key", "span"))
-    gone = placed.where("later").drop("later").union(repeated)
+    gone = gone.union(repeated)
     cut = beside(gone, "left").mapInArrow(_cut, "id long, n_bytes long, kept binary, starts array<long>, stops array<long>")
     return cut.withColumnRenamed("id", id_col)
