@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from netsieve.llm import arrays
-from netsieve.llm.components import written
+from netsieve.llm.components import discard, written
 
 WIDTH = 50
 #: Mean bytes between phrase ends.
@@ -169,7 +169,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compared(texts: DataFrame, width: int) -> DataFrame:
     """Runs of suffixes of ``texts`` (with their spans) that other documents share or may share: ``later`` ones repeat a whole run of a smaller id.
 
-    The texts are a written table, so both jobs on their keys scan it and shuffle no text.
+    The texts are a written table, so both jobs on their keys scan it and shuffle no text; it is deleted at the end.
     """
     common = written(texts.mapInArrow(partial(_keys, width=width), "key long, id long")
                      .groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
@@ -182,9 +182,11 @@ def _compared(texts: DataFrame, width: int) -> DataFrame:
     mixed = entries.groupBy(F.col("key").alias("m_key")).count().where("count > 1").select("m_key", F.lit(True).alias("mixed"))
     entries = entries.join(mixed, F.col("key") == F.col("m_key"), "left").select(
         F.col("key").alias("e_key"), F.col("run").alias("e_run"), "first_id", "mixed")
-    return written(shared.join(entries, (F.col("key") == F.col("e_key")) & (F.col("run") == F.col("e_run")))
-                   .select("id", "text_key", "span", (F.col("id") > F.col("first_id")).alias("later"),
-                           F.coalesce("mixed", F.lit(False)).alias("mixed")).where("later or mixed"), "op3-runs")
+    judged = written(shared.join(entries, (F.col("key") == F.col("e_key")) & (F.col("run") == F.col("e_run")))
+                     .select("id", "text_key", "span", (F.col("id") > F.col("first_id")).alias("later"),
+                             F.coalesce("mixed", F.lit(False)).alias("mixed")).where("later or mixed"), "op3-runs")
+    discard(texts, common, shared)
+    return judged
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,6 +207,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     placed = written(phrases.join(dictionary, (F.col("p1") == F.col("d1")) & (F.col("p2") == F.col("d2")))
                      .select("id", "text_key", F.struct("start", "stop").alias("span"), (F.col("id") > F.col("first_id")).alias("later")),
                      "op3-dictionary")
+    discard(phrases)
 
     def beside(spans: DataFrame, how: str) -> DataFrame:
         """Texts with the list of their spans; the list side is hashed, the texts are not sorted."""
@@ -218,13 +221,15 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         gone = gone.union(judged.where("later").select("id", "text_key", "span"))
         left = judged.where("not later").select("id", "text_key", "span")
     # Counted and then selected in two jobs: the suffixes are computed twice, so that they never lie on disk.
-    suffixes = written(beside(left, "inner"), "op3-texts").mapInArrow(
+    last_texts = written(beside(left, "inner"), "op3-texts")
+    suffixes = last_texts.mapInArrow(
         _suffixes, "p1 long, p2 long, id long, text_key long, start int")
     classes = written(suffixes.groupBy("p1", "p2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
                       .select(F.col("p1").alias("c1"), F.col("p2").alias("c2"), "low"), "op3-classes")
     repeated = written(suffixes.join(classes, (F.col("p1") == F.col("c1")) & (F.col("p2") == F.col("c2")) & (F.col("id") > F.col("low")))
                        .select("id", "text_key", F.struct("start", (F.col("start") + F.lit(WIDTH)).alias("stop")).alias("span")),
                        "op3-repeated")
+    discard(last_texts, classes)
     gone = gone.union(repeated)
     cut = beside(gone, "left").mapInArrow(_cut, "id long, n_bytes long, kept binary, starts array<long>, stops array<long>")
     return cut.withColumnRenamed("id", id_col)
