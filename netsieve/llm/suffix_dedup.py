@@ -175,7 +175,7 @@ def _compared(texts: DataFrame, width: int) -> DataFrame:
                      .groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
                      .select(F.col("key").alias("c_key")), "op3-keys")
     runs = texts.mapInArrow(partial(_placed_runs, width=width), "key long, run long, id long, text_key long, start int, stop int")
-    shared = written(runs.join(common, F.col("key") == F.col("c_key"))
+    shared = written(runs.join(common.hint("shuffle_hash"), F.col("key") == F.col("c_key"))
                      .select("key", "run", "id", "text_key", F.struct("start", "stop").alias("span")), "op3-shared")
     # Equal runs are one entry, as equal phrases are: only its first document, and only beside other runs, goes on.
     entries = shared.groupBy("key", "run").agg(F.min("id").alias("first_id"))
@@ -226,7 +226,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         _suffixes, "p1 long, p2 long, id long, text_key long, start int")
     classes = written(suffixes.groupBy("p1", "p2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
                       .select(F.col("p1").alias("c1"), F.col("p2").alias("c2"), "low"), "op3-classes")
-    repeated = written(suffixes.join(classes, (F.col("p1") == F.col("c1")) & (F.col("p2") == F.col("c2")) & (F.col("id") > F.col("low")))
+    repeated = written(suffixes.join(classes.hint("shuffle_hash"), (F.col("p1") == F.col("c1")) & (F.col("p2") == F.col("c2")) & (F.col("id") > F.col("low")))
                        .select("id", "text_key", F.struct("start", (F.col("start") + F.lit(WIDTH)).alias("stop")).alias("span")),
                        "op3-repeated")
     discard(last_texts, classes)
