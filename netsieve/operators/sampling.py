@@ -14,8 +14,13 @@ BUCKET_BITS = 16  # 65,536 hash buckets (per class for the stratified split)
 
 
 def hash_order(id_col: str, seed: int = 42) -> Column:
-    """(id mod 2^31 * 2654435761 + seed) mod 2^32 — uniform over [0, 2^32)."""
-    return (F.col(id_col) % 2147483648 * F.lit(2654435761) + F.lit(seed)) % F.lit(4294967296)
+    """((id mod 2^31) * 2654435761 + (id div 2^31 mod 2^32) * 1597334677 + seed) mod 2^32 — uniform over [0, 2^32).
+
+    The high part keeps apart the rows of different partitions (Spark's generated ids hold the partition there).
+    """
+    low = F.col(id_col) % 2147483648 * F.lit(2654435761) % F.lit(4294967296)
+    high = F.shiftright(F.col(id_col).cast("long"), 31) % F.lit(4294967296) * F.lit(1597334677) % F.lit(4294967296)
+    return (low + high + F.lit(seed)) % F.lit(4294967296)
 
 
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:

@@ -14,8 +14,8 @@ most rows / ``DENSE_ROWS`` entries, so it is broadcast safely.
   packets, current packet included) — every row is also copied into the next
   bucket when it lies within ``window`` seconds of it, so each bucket sees all
   the history its own rows need. The buffer is the shorter of a RANGE frame
-  and a ROWS frame over the same order; both are exact on the augmented
-  bucket (see ``buffer_stats``).
+  without its later packets of equal time and a ROWS frame over the same
+  order; both are exact on the augmented bucket (see ``buffer_stats``).
 * Sessions (new flow when the gap to the previous packet is ≥ ``gap``) —
   buckets at most ``gap`` wide, so only a bucket's first packet can open a
   flow; the heads come from a per-(key, bucket) aggregate of a narrow scan,
@@ -111,7 +111,8 @@ def buffer_stats(df: DataFrame, value: str, key: str = "flow_key", ts: str = "ts
     """Per packet: size of its buffer, population std/var of ``value`` and inter-arrival (ms) stats.
 
     The buffer of a packet is the packets of its key at most ``window_seconds``
-    older (inclusive), at most ``cap`` of them, itself included. Inter-arrival
+    older (inclusive), at most ``cap`` of them, itself included; of packets with its own time only those
+    with a smaller ``order_id`` count. ``value`` is an integer column. Inter-arrival
     time is the gap to the previous packet of the key, in milliseconds; its
     stats are 0 when the buffer holds no gap.
 
@@ -137,36 +138,51 @@ def buffer_stats(df: DataFrame, value: str, key: str = "flow_key", ts: str = "ts
     d = d.withColumn("_home", F.col("_b")).withColumn("_b", F.explode(F.concat(F.array(F.col("_b")), F.col("_nb"))))
     part = f"PARTITION BY {key}, _b"
     rng = f"OVER ({part} ORDER BY {ts} RANGE BETWEEN INTERVAL {window_us} MICROSECONDS PRECEDING AND CURRENT ROW)"
+    before = (f"OVER ({part} ORDER BY {ts} RANGE BETWEEN INTERVAL {window_us} MICROSECONDS PRECEDING "
+              f"AND INTERVAL 1 MICROSECONDS PRECEDING)")
     rows = f"OVER ({part} ORDER BY {ts}, {order_id} ROWS BETWEEN {cap - 1} PRECEDING AND CURRENT ROW)"
-    v = f"CAST({value} AS DOUBLE)"
-    stats = {}
-    for tag, frame in (("r", rng), ("w", rows)):
-        stats[f"_n_{tag}"] = F.expr(f"count(1) {frame}")
-        stats[f"_sd_{tag}"] = F.expr(f"stddev_pop({v}) {frame}")
-        stats[f"_var_{tag}"] = F.expr(f"var_pop({v}) {frame}")
-        if with_iat:
-            # integer microsecond moments: exact sums, so mean and std do not depend on summation order
-            stats[f"_ik_{tag}"] = F.expr(f"count(_iat) {frame}")
-            stats[f"_i1_{tag}"] = F.expr(f"sum(_iat) {frame}")
-            stats[f"_i2_{tag}"] = F.expr(f"sum(CAST(_iat AS DECIMAL(38,0)) * CAST(_iat AS DECIMAL(38,0))) {frame}")
-            stats[f"_ix_{tag}"] = F.expr(f"max(_iat) {frame}")
-            stats[f"_in_{tag}"] = F.expr(f"min(_iat) {frame}")
-    d = d.select(*df.columns, "_home", "_b", *[c.alias(n) for n, c in stats.items()])
+    later = f"OVER ({part}, {ts} ORDER BY {order_id} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    x = f"CAST({value} AS DECIMAL(38,0))"
+    # Integer moments: exact sums, so results do not depend on summation order and later peers can be taken off.
+    moments = {"n": "count(1)", "k": f"count({value})", "s1": f"sum({x})", "s2": f"sum({x} * {x})"}
+    if with_iat:
+        moments |= {"ik": "count(_iat)", "i1": "sum(_iat)",
+                    "i2": "sum(CAST(_iat AS DECIMAL(38,0)) * CAST(_iat AS DECIMAL(38,0)))"}
+    stats = {f"_{m}_{tag}": F.expr(f"{e} {frame}") for m, e in moments.items()
+             for tag, frame in (("r", rng), ("w", rows), ("p", later))}
+    if with_iat:
+        stats |= {"_ix_r": F.expr(f"max(_iat) {rng}"), "_ix_w": F.expr(f"max(_iat) {rows}"),
+                  "_in_b": F.expr(f"min(_iat) {before}"), "_in_w": F.expr(f"min(_iat) {rows}")}
+    d = d.select(*df.columns, "_home", "_b", "_iat", *[c.alias(n) for n, c in stats.items()])
     d = d.where(F.col("_b") == F.col("_home"))
-    use_range = F.col("_n_r") <= F.col("_n_w")
+
+    def in_time(name: str) -> Column:
+        """The moment over the time window up to the packet itself: its later peers of equal time are taken off."""
+        return F.col(f"_{name}_r") - F.coalesce(F.col(f"_{name}_p"), F.lit(0))
+
+    use_range = in_time("n") <= F.col("_n_w")
 
     def pick(name: str) -> Column:
-        return F.when(use_range, F.col(f"_{name}_r")).otherwise(F.col(f"_{name}_w"))
+        return F.when(use_range, in_time(name)).otherwise(F.col(f"_{name}_w"))
+
+    def spread_of(k: Column, s1: Column, s2: Column) -> Column:
+        """``k * s2 - s1 * s1``: the variance times k squared, exact."""
+        return (k.cast("decimal(38,0)") * s2 - s1.cast("decimal(38,0)") * s1.cast("decimal(38,0)")).cast("double")
 
-    out = [pick("n").alias("n_buffer"), pick("sd").alias("pkt_len_std"), pick("var").alias("pkt_len_var")]
+    k, s1, s2 = pick("k"), pick("s1"), pick("s2")
+    var = F.try_divide(spread_of(k, s1, s2), (k * k).cast("double"))
+    out = [pick("n").alias("n_buffer"), F.sqrt(var).alias("pkt_len_std"), var.alias("pkt_len_var")]
     if with_iat:
         k, s1, s2 = pick("ik"), pick("i1"), pick("i2")
         mean_us = F.try_divide(s1.cast("double"), k.cast("double"))
-        var_num = k.cast("decimal(38,0)") * s2 - s1.cast("decimal(38,0)") * s1.cast("decimal(38,0)")
-        std_us = F.try_divide(F.sqrt(var_num.cast("double")), k.cast("double"))
+        std_us = F.try_divide(F.sqrt(spread_of(k, s1, s2)), k.cast("double"))
+        # Later peers only have gaps of 0: they never raise the maximum. The minimum is taken over
+        # strictly earlier packets and the packet's own gap, which is 0 if a peer came before it.
+        largest = F.when(use_range, F.col("_ix_r")).otherwise(F.col("_ix_w"))
+        smallest = F.when(use_range, F.least("_in_b", "_iat")).otherwise(F.col("_in_w"))
         ms = lambda c: F.coalesce(c.cast("double") / F.lit(1000.0), F.lit(0.0))
         out += [ms(mean_us).alias("flow_iat_mean"), ms(std_us).alias("flow_iat_std"),
-                ms(pick("ix")).alias("flow_iat_max"), ms(pick("in")).alias("flow_iat_min")]
+                ms(largest).alias("flow_iat_max"), ms(smallest).alias("flow_iat_min")]
     return d.select(*df.columns, *out)
 
 

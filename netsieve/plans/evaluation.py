@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from netsieve.functions import alerts as A
 from netsieve.functions import detect as X
 from netsieve.operators import labels as L
-from netsieve.session import spread, table
 from netsieve.sources import adapters
 
 
@@ -39,7 +38,7 @@ def alert_rows(spark: SparkSession, sf_dir: str, text_threshold: float = 0.7) ->
 
 def alert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log entry per malicious row (21 columns); floats rounded to 3 decimals as the CSV writes them."""
-    return alert_log_of(spread(alert_rows(spark, sf_dir).where("is_malicious"), table(spark, sf_dir, "events")))
+    return alert_log_of(alert_rows(spark, sf_dir).where("is_malicious"))
 
 
 def alert_log_of(df: DataFrame) -> DataFrame:

@@ -75,13 +75,13 @@ def complete_rows(df: DataFrame, features: list[str], by: str = "source_file") -
     """Missing-value rule of the trainers, per file: ±inf → missing; a row missing a metric its own file
     has is dropped; metrics a file lacks entirely become 0.
 
-    Which metrics each file has is a per-file count table (one row per file,
-    broadcast); the rows are never regrouped by file.
+    Which metrics each file has is a per-file count table (one row per file);
+    AQE broadcasts it while it is small.
     """
     df = C.inf_to_null(df, features)
     has = df.groupBy(by).agg(*[(F.count(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))) > 0).alias(f"_has_{c}")
                                for c in features])
-    j = df.join(F.broadcast(has), by, "inner")
+    j = df.join(has, by, "inner")
     missing = [F.col(f"_has_{c}") & (F.col(c).isNull() | F.isnan(F.col(c).cast("double"))) for c in features]
     bad = missing[0]
     for m in missing[1:]:
@@ -182,7 +182,8 @@ def evaluate(spark: SparkSession, clean_dir: str, model_dir: str, out_dir: str,
     """The batch evaluation run: (optionally a seeded sample of) cleaned rows → scores → alert log CSV
     (``out_dir/alerts``) and run summary CSV (``out_dir/summary``: totals, rate, types, mean text score, run
     duration and start / end times). Returns both DataFrames as written."""
-    df = _with_row_ids(spark.read.parquet(clean_dir))
+    df = spark.read.parquet(clean_dir)
+    df = _with_row_ids(complete_rows(df, feature_columns(df)))  # rows with a missing metric are no records
     df = df.select(*[F.col(c).try_cast("int").alias(c) if c in ("protocol", "src_port", "dst_port") else F.col(c)
                      for c in df.columns])
     if "ts" not in df.columns and "timestamp" in df.columns:
@@ -190,7 +191,7 @@ def evaluate(spark: SparkSession, clean_dir: str, model_dir: str, out_dir: str,
     if sample:
         df = SM.sample_n(df, sample, "row_id", seed)
     start = datetime.datetime.now()
-    scored = score_rows(C.inf_to_null(df), model_dir, text_scorer).persist(StorageLevel.MEMORY_AND_DISK)
+    scored = score_rows(df, model_dir, text_scorer).persist(StorageLevel.MEMORY_AND_DISK)
     try:  # two writes read the scored rows; a lost executor recomputes its part from the lineage
         SK.write_csv_3dp(E.alert_log_of(scored.where("is_malicious")), f"{out_dir}/alerts")
         summary = E.with_timing(E.summary_of(scored), start, datetime.datetime.now())  # the 8-column run summary

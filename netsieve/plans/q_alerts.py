@@ -14,7 +14,7 @@ from netsieve.operators import labels as L
 from netsieve.plans import evaluation as E
 from netsieve.plans.registry import query
 from netsieve.plans.sqlbase import SCORED, gt, with_alerts
-from netsieve.session import spread, table
+from netsieve.session import table
 from netsieve.sources import adapters
 
 REC = ["row_id", "protocol", "src_port", "dst_port", "flow_byts_s", "flow_pkts_s", "flow_iat_mean", "fwd_header_len",
@@ -24,7 +24,7 @@ REC = ["row_id", "protocol", "src_port", "dst_port", "flow_byts_s", "flow_pkts_s
 
 def records(spark, sf):
     """Scored alert records (every labelled row; ``attack_label`` is null unless the binary model fired)."""
-    return spread(E.alert_rows(spark, sf).select(*REC), table(spark, sf, "events"))
+    return E.alert_rows(spark, sf).select(*REC)
 
 
 def _scored_sql(select: str) -> str:
@@ -256,7 +256,7 @@ def q_payload_text(spark, sf):
 def q_clean_text(spark, sf):
     """Keyword line filter over the whole text of every document."""
     docs = table(spark, sf, "documents")
-    d = spread(docs.select("doc_id", "text"), docs)
+    d = docs.select("doc_id", "text")
     return d.select("doc_id", TX.clean_text("text").alias("clean_text"))
 
 
@@ -273,7 +273,7 @@ SELECT doc_id, {TX.sql_validate_text('text', "'INVALID'")} AS validated FROM doc
 def q_validate_document(spark, sf):
     """The same section validation over free document texts (most have no sections)."""
     docs = table(spark, sf, "documents")
-    d = spread(docs.select("doc_id", "text"), docs)
+    d = docs.select("doc_id", "text")
     return d.select("doc_id", TX.validate_text("text", F.lit("INVALID")).alias("validated"))
 
 

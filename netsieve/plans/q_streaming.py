@@ -7,6 +7,8 @@ folder under the shared checkpoint folder, runs the stream with an
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +17,9 @@ from netsieve import schemas
 from netsieve.functions import alerts as A
 from netsieve.functions import detect as X
 from netsieve.functions import domains as D
+from netsieve.operators import labels as L
 from netsieve.plans import evaluation as E
+from netsieve.plans.q_windows import buffer_sql
 from netsieve.plans.registry import query
 from netsieve.plans.sqlbase import SCORED, with_alerts
 from netsieve.plans.sqlbase import round_half_up as rh
@@ -33,15 +37,21 @@ _IP_PACKETS = adapters.cte("packets") + """,
 ip AS (SELECT * FROM packets WHERE coalesce(protocol, 0) <> 0)"""
 
 
-def _land(df: DataFrame, folder: str, fmt: str = "parquet") -> None:
-    """Write rows as ``CHUNKS`` time-ordered file drops (arrival order = event-time order)."""
+def _land(df: DataFrame, folder: str, fmt: str = "parquet") -> Iterator[int]:
+    """Write rows as ``CHUNKS`` time-ordered drops and yield after each one, for the stream to take it as one
+    micro-batch: however many files a drop has, no batch holds packets older than the batch before."""
     lo_hi = df.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).collect()[0]
     lo, hi = lo_hi["lo"], lo_hi["hi"]
+    if lo is None:
+        df.write.mode("append").format(fmt).save(folder)
+        yield 0
+        return
     step = (hi - lo) / CHUNKS
     for i in range(CHUNKS):
         a = lo + step * i
         cond = (F.col("ts") >= F.lit(a)) & ((F.col("ts") < F.lit(a + step)) if i < CHUNKS - 1 else F.lit(True))
         df.where(cond).write.mode("append").format(fmt).save(folder)
+        yield i
 
 
 def _read_back(spark, path: str, round6: tuple[str, ...] = ()) -> DataFrame:
@@ -53,19 +63,20 @@ def _read_back(spark, path: str, round6: tuple[str, ...] = ()) -> DataFrame:
                        for f in df.schema.fields])
 
 
-def _packets_in(spark, sf) -> str:
-    folder = scratch_dir(spark, "packets-in")
+def _stream_packets(spark, sf, tag: str, plan: Callable[[DataFrame], DataFrame], only: str = "ip") -> str:
+    """Run ``plan`` over the packets arriving in drops, into a file sink; returns the sink's folder."""
+    src, out, ck = (scratch_dir(spark, f"{tag}-{part}") for part in ("in", "out", "ck"))
     p = adapters.packets(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    _land(p.select(*[F.col(c).cast(t.dataType) for c, t in zip(ST.PACKET_COLUMNS, schemas.PACKET.fields)]), folder)
-    return folder
+    p = p.select(*[F.col(c).cast(t.dataType) for c, t in zip(ST.PACKET_COLUMNS, schemas.PACKET.fields)])
+    for _ in _land(p, src):
+        ST.run_to_files(plan(ST.packet_stream(spark, src, max_files=None, only=only)), out, ck)
+    return out
 
 
 @query("packet_stream", sql=lambda: _IP_PACKETS + "\nSELECT " + ", ".join(ST.PACKET_COLUMNS) + " FROM ip")
 def q_packet_stream(spark, sf):
     """IP packets read as a stream of file drops, written to a file sink."""
-    src = _packets_in(spark, sf)
-    out, ck = scratch_dir(spark, "packet-out"), scratch_dir(spark, "packet-ck")
-    ST.run_to_files(ST.packet_stream(spark, src), out, ck)
+    out = _stream_packets(spark, sf, "packet", lambda p: p)
     return _read_back(spark, out)
 
 
@@ -76,52 +87,15 @@ SELECT packet_id, ts, src_ip, dst_ip, dst_port,
 FROM packets WHERE protocol = 6""")
 def q_rule_stream(spark, sf):
     """Suspicious-port and external-traffic flags on the live TCP stream."""
-    src = _packets_in(spark, sf)
-    out, ck = scratch_dir(spark, "rules-out"), scratch_dir(spark, "rules-ck")
-    ST.run_to_files(ST.rules(ST.packet_stream(spark, src, only="tcp")), out, ck)
+    out = _stream_packets(spark, sf, "rules", ST.rules, only="tcp")
     return _read_back(spark, out)
 
 
-def _win_stream_sql() -> str:
-    """A packet's buffer holds the packets that arrived up to it (time, then id) within the window, at
-    most ``CAP``: the RANGE frame without its later peers (equal time, larger id) or the ROWS frame,
-    whichever is shorter. Its members are the ``n`` packets ranked just before it (inclusive), so the
-    stats are a join on rank ranges. Moments are exact integers; gaps are to the key's previous packet
-    (which may lie outside the buffer)."""
-    var = "CAST(k * s2 - s1 * s1 AS DOUBLE) / CAST(k * k AS DOUBLE)"
-    return _IP_PACKETS + f""",
-p AS (SELECT packet_id, flow_key, ts, CAST(pkt_len AS HUGEINT) AS x,
-        CAST(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY flow_key ORDER BY ts, packet_id) AS HUGEINT) AS g,
-        row_number() OVER (PARTITION BY flow_key ORDER BY ts, packet_id) AS rk FROM ip),
-c AS (SELECT packet_id, flow_key, rk,
-        least(count(*) OVER (PARTITION BY flow_key ORDER BY ts RANGE BETWEEN INTERVAL {DAY_S} SECONDS PRECEDING
-                             AND CURRENT ROW)
-              - count(*) OVER (PARTITION BY flow_key, ts ORDER BY packet_id ROWS BETWEEN 1 FOLLOWING
-                               AND UNBOUNDED FOLLOWING),
-              count(*) OVER (PARTITION BY flow_key ORDER BY ts, packet_id ROWS BETWEEN {CAP - 1} PRECEDING
-                             AND CURRENT ROW)) AS n FROM p),
-b AS (SELECT a.packet_id, a.flow_key, a.n, count(m.x) AS k, sum(m.x) AS s1, sum(m.x * m.x) AS s2,
-        count(m.g) AS gk, sum(m.g) AS g1, sum(m.g * m.g) AS g2, max(m.g) AS gmax, min(m.g) AS gmin
-      FROM c a JOIN p m ON m.flow_key = a.flow_key AND m.rk BETWEEN a.rk - a.n + 1 AND a.rk
-      GROUP BY a.packet_id, a.flow_key, a.n)
-SELECT packet_id, flow_key, CAST(n AS BIGINT) AS n_buffer,
-  round(CASE WHEN k > 0 THEN sqrt({var}) END, 6) AS pkt_len_std,
-  round(CASE WHEN k > 0 THEN {var} END, 6) AS pkt_len_var,
-  {rh("CASE WHEN gk > 0 THEN CAST(g1 AS DOUBLE) / CAST(gk AS DOUBLE) / 1000.0 ELSE 0.0 END", 6)} AS flow_iat_mean,
-  {rh("CASE WHEN gk > 0 THEN sqrt(CAST(gk * g2 - g1 * g1 AS DOUBLE)) / CAST(gk AS DOUBLE) / 1000.0 ELSE 0.0 END", 4)}
-    AS flow_iat_std,
-  round(CASE WHEN gk > 0 THEN CAST(gmax AS DOUBLE) / 1000.0 ELSE 0.0 END, 3) AS flow_iat_max,
-  round(CASE WHEN gk > 0 THEN CAST(gmin AS DOUBLE) / 1000.0 ELSE 0.0 END, 3) AS flow_iat_min FROM b"""
-
-
-@query("win_stream", sql=_win_stream_sql)
+@query("win_stream", sql=lambda: buffer_sql(_IP_PACKETS, "ip"))
 def q_win_stream(spark, sf):
     """Per-flow bounded buffer (one day, 1000 packets) kept as streaming state: packet-length and
     inter-arrival (ms) stats, rounded as ``win_pkt_len`` / ``win_iat``."""
-    src = _packets_in(spark, sf)
-    out, ck = scratch_dir(spark, "win-out"), scratch_dir(spark, "win-ck")
-    ST.run_to_files(ST.buffer_state(ST.packet_stream(spark, src), window_seconds=DAY_S, cap=CAP, watermark=DAY),
-                    out, ck)
+    out = _stream_packets(spark, sf, "win", lambda p: ST.buffer_state(p, window_seconds=DAY_S, cap=CAP, watermark=DAY))
     df = _read_back(spark, out, round6=("pkt_len_std", "pkt_len_var"))
     half_up = {"flow_iat_mean": 6, "flow_iat_std": 4}
     return df.select(*[X.round_half_up(c, half_up[c]).alias(c) if c in half_up
@@ -157,9 +131,7 @@ SELECT * FROM g WHERE flow_end <= (SELECT max(ts) FROM ip) - INTERVAL {DAY_S} SE
 @query("flow_rollup_stream", sql=_sessions_stream_sql)
 def q_flow_rollup_stream(spark, sf):
     """Session windows (gap one day) with a one-day watermark; closed flows are appended."""
-    src = _packets_in(spark, sf)
-    out, ck = scratch_dir(spark, "flows-out"), scratch_dir(spark, "flows-ck")
-    ST.run_to_files(ST.session_rollup(ST.packet_stream(spark, src), gap=DAY, watermark=DAY), out, ck)
+    out = _stream_packets(spark, sf, "flows", lambda p: ST.session_rollup(p, gap=DAY, watermark=DAY))
     df = _read_back(spark, out, round6=("pkt_len_mean", "pkt_len_std", "pkt_len_var", "flow_byts_s", "flow_pkts_s"))
     return df.withColumn("flow_iat_mean", X.round_half_up("flow_iat_mean", 6))
 
@@ -182,9 +154,7 @@ WHERE flow_end < _key_last
 def q_flow_rollup_state(spark, sf):
     """The full flow row (forward / backward, rates, inter-arrival, flags) kept as streaming state; a flow
     is appended once a later packet or the watermark closes it."""
-    src = _packets_in(spark, sf)
-    out, ck = scratch_dir(spark, "flowstate-out"), scratch_dir(spark, "flowstate-ck")
-    ST.run_to_files(ST.flow_state(ST.packet_stream(spark, src), gap_seconds=DAY_S, watermark=DAY), out, ck)
+    out = _stream_packets(spark, sf, "flowstate", lambda p: ST.flow_state(p, gap_seconds=DAY_S, watermark=DAY))
     return _read_back(spark, out)
 
 
@@ -195,16 +165,15 @@ def q_alert_stream(spark, sf):
     """The live chain on arriving alert inputs: clean, standardize, score, trigger, alert text; appended per batch."""
     a = adapters.alerts(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     src = scratch_dir(spark, "alerts-in")
-    _land(a, src)
-    stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    from netsieve.operators import labels as L
-
+    spark.createDataFrame([], a.schema).write.parquet(src)  # the folder must be there before the first drop
+    stream = spark.readStream.schema(a.schema).parquet(src)
     s = L.known_labels(L.standardize_label(L.clean_labels(stream, "raw_label"), "raw_label", out="label"), "label")
     s = E.score(s).where("is_malicious")
     s = s.select("row_id", "ts", "label", "binary_pred", "attack_label", "slm_label", "slm_score",
                  A.alert_fallback().alias("notification"))
     out, ck = scratch_dir(spark, "alerts-out"), scratch_dir(spark, "alerts-ck")
-    ST.run_foreach_batch(s, ST.idempotent_batch_writer(out), ck)
+    for _ in _land(a, src):
+        ST.run_foreach_batch(s, ST.idempotent_batch_writer(out), ck)
     return _read_back(spark, out).drop("batch_id")
 
 

@@ -22,30 +22,43 @@ CAP = 1000
 GAP_S = 86400
 
 
-def _frames(cols: dict[str, str]) -> str:
-    """SQL select list computing ``cols`` over the RANGE and the ROWS frame, then choosing the shorter."""
-    inner = []
-    for name, expr in cols.items():
-        inner.append(f"{expr} OVER r AS {name}_r, {expr} OVER w AS {name}_w")
-    return ", ".join(inner)
-
-
-_WINDOWS = (f"WINDOW r AS (PARTITION BY flow_key ORDER BY ts RANGE BETWEEN INTERVAL {WINDOW_S} SECONDS PRECEDING "
-            f"AND CURRENT ROW), w AS (PARTITION BY flow_key ORDER BY ts, packet_id ROWS BETWEEN {CAP - 1} PRECEDING "
-            f"AND CURRENT ROW)")
-
-
-def _pick(name: str, default: str | None = None) -> str:
-    e = f"CASE WHEN n_r <= n_w THEN {name}_r ELSE {name}_w END"
-    return f"coalesce({e}, {default})" if default else e
-
-
-@query("win_pkt_len", sql=lambda: adapters.cte("packets") + f""",
-f AS (SELECT packet_id, flow_key, {_frames({'n': 'count(*)', 'sd': 'stddev_pop(CAST(pkt_len AS DOUBLE))',
-                                            'v': 'var_pop(CAST(pkt_len AS DOUBLE))'})}
-      FROM packets {_WINDOWS})
-SELECT packet_id, flow_key, {_pick('n')} AS n_buffer, round({_pick('sd')}, 6) AS pkt_len_std,
-  round({_pick('v')}, 6) AS pkt_len_var FROM f""")
+def buffer_sql(ctes: str, source: str) -> str:
+    """A packet's buffer holds the packets that arrived up to it (time, then id) within the window, at
+    most ``CAP``: the RANGE frame without its later peers (equal time, larger id) or the ROWS frame,
+    whichever is shorter. Its members are the ``n`` packets ranked just before it (inclusive), so the
+    stats are a join on rank ranges. Moments are exact integers; gaps are to the key's previous packet
+    (which may lie outside the buffer)."""
+    var = "CAST(k * s2 - s1 * s1 AS DOUBLE) / CAST(k * k AS DOUBLE)"
+    return ctes + f""",
+p AS (SELECT packet_id, flow_key, ts, CAST(pkt_len AS HUGEINT) AS x,
+        CAST(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY flow_key ORDER BY ts, packet_id) AS HUGEINT) AS g,
+        row_number() OVER (PARTITION BY flow_key ORDER BY ts, packet_id) AS rk FROM {source}),
+c AS (SELECT packet_id, flow_key, rk,
+        least(count(*) OVER (PARTITION BY flow_key ORDER BY ts RANGE BETWEEN INTERVAL {WINDOW_S} SECONDS PRECEDING
+                             AND CURRENT ROW)
+              - count(*) OVER (PARTITION BY flow_key, ts ORDER BY packet_id ROWS BETWEEN 1 FOLLOWING
+                               AND UNBOUNDED FOLLOWING),
+              count(*) OVER (PARTITION BY flow_key ORDER BY ts, packet_id ROWS BETWEEN {CAP - 1} PRECEDING
+                             AND CURRENT ROW)) AS n FROM p),
+b AS (SELECT a.packet_id, a.flow_key, a.n, count(m.x) AS k, sum(m.x) AS s1, sum(m.x * m.x) AS s2,
+        count(m.g) AS gk, sum(m.g) AS g1, sum(m.g * m.g) AS g2, max(m.g) AS gmax, min(m.g) AS gmin
+      FROM c a JOIN p m ON m.flow_key = a.flow_key AND m.rk BETWEEN a.rk - a.n + 1 AND a.rk
+      GROUP BY a.packet_id, a.flow_key, a.n)
+SELECT packet_id, flow_key, CAST(n AS BIGINT) AS n_buffer,
+  round(CASE WHEN k > 0 THEN sqrt({var}) END, 6) AS pkt_len_std,
+  round(CASE WHEN k > 0 THEN {var} END, 6) AS pkt_len_var,
+  {rh("CASE WHEN gk > 0 THEN CAST(g1 AS DOUBLE) / CAST(gk AS DOUBLE) / 1000.0 ELSE 0.0 END", 6)} AS flow_iat_mean,
+  {rh("CASE WHEN gk > 0 THEN sqrt(CAST(gk * g2 - g1 * g1 AS DOUBLE)) / CAST(gk AS DOUBLE) / 1000.0 ELSE 0.0 END", 4)}
+    AS flow_iat_std,
+  round(CASE WHEN gk > 0 THEN CAST(gmax AS DOUBLE) / 1000.0 ELSE 0.0 END, 3) AS flow_iat_max,
+  round(CASE WHEN gk > 0 THEN CAST(gmin AS DOUBLE) / 1000.0 ELSE 0.0 END, 3) AS flow_iat_min FROM b"""
+
+
+def _columns(names: str) -> str:
+    return f"SELECT packet_id, flow_key, n_buffer, {names} FROM ({buffer_sql(adapters.cte('packets'), 'packets')})"
+
+
+@query("win_pkt_len", sql=lambda: _columns("pkt_len_std, pkt_len_var"))
 def q_win_pkt_len(spark, sf):
     """Packet-length std and variance over each packet's flow buffer (time window and packet cap)."""
     p = adapters.packets(spark, sf).select("packet_id", "flow_key", "ts", "pkt_len")
@@ -54,21 +67,7 @@ def q_win_pkt_len(spark, sf):
                     F.round("pkt_len_var", 6).alias("pkt_len_var"))
 
 
-@query("win_iat", sql=lambda: adapters.cte("packets") + f""",
-p AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY flow_key ORDER BY ts, packet_id) AS iat
-      FROM packets),
-f AS (SELECT packet_id, flow_key, {_frames({'n': 'count(*)', 'k': 'count(iat)', 's1': 'sum(iat)',
-                                            's2': 'sum(CAST(iat AS HUGEINT) * CAST(iat AS HUGEINT))',
-                                            'ix': 'max(iat)', 'imin': 'min(iat)'})}
-      FROM p {_WINDOWS}),
-g AS (SELECT packet_id, flow_key, {_pick('n')} AS n_buffer, {_pick('k')} AS k, {_pick('s1')} AS s1,
-        {_pick('s2')} AS s2, {_pick('ix')} AS ix, {_pick('imin')} AS imin FROM f)
-SELECT packet_id, flow_key, n_buffer,
-  {rh("coalesce(CAST(s1 AS DOUBLE) / CAST(nullif(k, 0) AS DOUBLE) / 1000.0, 0.0)", 6)} AS flow_iat_mean,
-  {rh("coalesce(sqrt(CAST(CAST(k AS HUGEINT) * s2 - CAST(s1 AS HUGEINT) * CAST(s1 AS HUGEINT) AS DOUBLE)) "
-        "/ CAST(nullif(k, 0) AS DOUBLE) / 1000.0, 0.0)", 4)} AS flow_iat_std,
-  round(coalesce(CAST(ix AS DOUBLE) / 1000.0, 0.0), 3) AS flow_iat_max,
-  round(coalesce(CAST(imin AS DOUBLE) / 1000.0, 0.0), 3) AS flow_iat_min FROM g""")
+@query("win_iat", sql=lambda: _columns("flow_iat_mean, flow_iat_std, flow_iat_max, flow_iat_min"))
 def q_win_iat(spark, sf):
     """Inter-arrival time (ms) mean / std / max / min over each packet's flow buffer; 0 when empty.
 

@@ -61,17 +61,3 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, tag: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     return f"{checkpoint_root(spark).rstrip('/')}/netsieve/{tag}-{uuid.uuid4().hex}"
-
-
-def spread(df: DataFrame, source: DataFrame) -> DataFrame:
-    """Spread CPU-heavy per-row work over all cores when the source scan yields fewer splits than cores.
-
-    Decided at plan time from the split count of the bare ``source`` scan (file
-    metadata only — no stage of ``df`` runs). Small single-file inputs get a
-    round-robin repartition; a large table already has many splits, so this
-    is a no-op there and adds no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if source.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df

@@ -40,10 +40,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PACKET_COLUMNS = [f.name for f in schemas.PACKET.fields]
 
 
-def packet_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files: int = 1,
+def packet_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files: int | None = 1000,
                   only: str = "ip") -> DataFrame:
-    """Decoded packet rows arriving as files; ``only`` = ``ip`` (protocol known) or ``tcp``."""
-    df = (spark.readStream.schema(schemas.PACKET).option("maxFilesPerTrigger", max_files).format(fmt).load(path))
+    """Decoded packet rows arriving as files, at most ``max_files`` a micro-batch (None: all there are);
+    ``only`` = ``ip`` (protocol known) or ``tcp``."""
+    reader = spark.readStream.schema(schemas.PACKET)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    df = reader.format(fmt).load(path)
     if only == "tcp":
         return df.where(F.col("protocol") == 6)
     return df.where(F.coalesce(F.col("protocol"), F.lit(0)) != 0)
@@ -139,10 +143,16 @@ def _buffer_starts(ts: np.ndarray, first: int, window_us: int, cap: int) -> np.n
     return out
 
 
+def _expire_after(state: GroupState, last_us: int, wait_us: int) -> None:
+    """Time out once the watermark is ``wait_us`` past the last time held; a late packet counts from the
+    watermark, since a timeout must lie after it."""
+    state.setTimeoutTimestamp(max(last_us // 1000, state.getCurrentWatermarkMs()) + wait_us // 1000 + 1)
+
+
 def _buffer_fn(window_us: int, cap: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+        if state.hasTimedOut:  # the buffer is over; its last packet stays for the gap of the key's next one
+            state.update(tuple(list(v)[-1:] for v in state.get))
             return
         frames = [p for p in pdfs]
         if not frames:
@@ -194,7 +204,7 @@ def _buffer_fn(window_us: int, cap: int):
         lens = np.where(seen, lens, -1)
         keep = int(lo[-1])
         state.update((ts[keep:].tolist(), lens[keep:].tolist(), iat[keep:].tolist(), has[keep:].tolist()))
-        state.setTimeoutTimestamp(int(ts[-1] // 1000) + window_us // 1000 + 1)
+        _expire_after(state, int(ts.max()), window_us)
         yield pd.DataFrame({"packet_id": pdf["packet_id"].to_numpy(np.int64),
                             "flow_key": np.full(len(n), int(key[0]), dtype=np.int64), "n_buffer": n.astype(np.int64),
                             "pkt_len_std": np.sqrt(var), "pkt_len_var": var, "flow_iat_mean": mean,
@@ -208,8 +218,8 @@ def buffer_state(packets: DataFrame, window_seconds: int = 60, cap: int = 1000,
 
     Rows of one micro-batch are applied in event-time order (one sort and
     vectorized bounds per key and batch, integer moments, no per-row Python
-    objects); the state keeps at most ``cap`` entries and is dropped once the
-    watermark passes its last packet plus the window. A flow key is one state,
+    objects); the state keeps at most ``cap`` entries and shrinks to the last packet once the
+    watermark passes it by the window, so results do not depend on when batches end. A flow key is one state,
     so its packets are applied by one task per micro-batch: the work per batch
     is linear in its packets and the state never exceeds ``cap`` entries.
     """
@@ -392,7 +402,7 @@ def _flow_fn(gap_us: int):
             done += ([open_acc] if open_acc is not None else []) + segs[:-1]
             open_acc = segs[-1]
         state.update(tuple(_out(open_acc, names)))
-        state.setTimeoutTimestamp(int(open_acc["last_us"] // 1000) + gap_us // 1000)
+        _expire_after(state, int(open_acc["last_us"]), gap_us)
         if done:
             yield rows(key, done)
     return fn

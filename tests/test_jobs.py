@@ -33,7 +33,8 @@ def test_workflow_on_csv_folder(spark):
 
     alerts, summary = J.evaluate(spark, clean, models, out)
     s = summary.first()
-    assert s.total_records == cleaned.count()
+    complete = J.complete_rows(cleaned, J.feature_columns(cleaned)).count()  # rows with a missing metric are no records
+    assert s.total_records == complete < cleaned.count()
     assert alerts.count() == s.malicious_records
     assert set(alerts.columns) >= {"row_index", "notification", "multiclass_prediction", "slm_score"}
     assert {"test_duration_minutes", "test_start_time", "test_end_time"} <= set(summary.columns)

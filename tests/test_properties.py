@@ -57,7 +57,7 @@ def test_sample_n_is_the_hash_prefix(spark, ids, n):
 
 
 @FEW
-@given(st.lists(st.tuples(st.integers(1, 3), st.sampled_from([0.5, 1, 3, 20, 59, 60, 61, 300]),
+@given(st.lists(st.tuples(st.integers(1, 3), st.sampled_from([0, 0.5, 1, 3, 20, 59, 60, 61, 300]),
                           st.integers(40, 1500)), min_size=1, max_size=80),
        st.integers(1, 6), st.sampled_from([60, 120, 600]), st.sampled_from([1, 5, 10 ** 9]))
 def test_buffer_is_a_deque(spark, steps, cap, bucket, dense):

@@ -38,7 +38,7 @@ def test_stream_buffer_late_packets(spark):
         spark.createDataFrame(rows, schemas.PACKET).coalesce(1).write.mode("append").parquet(src)
         time.sleep(1.1)  # arrival order = file modification order
     out, ck = scratch_dir(spark, "late-out"), scratch_dir(spark, "late-ck")
-    ST.run_to_files(ST.buffer_state(ST.packet_stream(spark, src), window_seconds=60, cap=3, watermark="60 seconds"),
+    ST.run_to_files(ST.buffer_state(ST.packet_stream(spark, src, max_files=1), window_seconds=60, cap=3, watermark="60 seconds"),
                     out, ck)
     got = {r.packet_id: (r.n_buffer, r.flow_iat_max) for r in spark.read.parquet(out).collect()}
     # deque per drop (sorted inside a drop): expire older than 60 s from the front, then keep at most 3
@@ -125,7 +125,7 @@ def test_flow_state_matches_brute_force(spark):
         spark.createDataFrame(rows, schemas.PACKET).coalesce(1).write.mode("append").parquet(src)
         time.sleep(1.1)
     out, ck = scratch_dir(spark, "fs-out"), scratch_dir(spark, "fs-ck")
-    ST.run_to_files(ST.flow_state(ST.packet_stream(spark, src), gap_seconds=100, watermark="100 seconds"), out, ck)
+    ST.run_to_files(ST.flow_state(ST.packet_stream(spark, src, max_files=1), gap_seconds=100, watermark="100 seconds"), out, ck)
     got = {(r.flow_key, (r.flow_start - t0).total_seconds()): r for r in spark.read.parquet(out).collect()}
 
     pk = sorted([p for d in drops for p in d], key=lambda p: (p[1], p[2], p[0]))
