@@ -7,7 +7,7 @@ last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from netsieve.llm import jaccard, mixing, pieces, quality_rules, queries, ship, unit_dedup
 from netsieve.session import scratch_dir, table
@@ -21,10 +21,18 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS).join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
+def _cleaned(got: DataFrame, cut: Column, docs: DataFrame) -> DataFrame:
+    """The columns of documents with kept_text as the text; n_chars is counted anew where ``cut``."""
+    count = F.when(cut, F.length("kept_text")).otherwise(F.col("n_chars"))
+    return got.select("doc_id", F.col("kept_text").alias("text"), "lang", "source",
+                      count.cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Rows that the quality rules reject go, boilerplate lines leave the others; n_chars follows the text."""
     ship.ship(spark)
-    return _without(docs, quality_rules.quality_rules(docs).where("not kept"))
+    got = quality_rules.quality_rules(docs, carry=["lang", "source", "n_chars"]).where("kept")
+    return _cleaned(got, F.size("starts") > 0, docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +45,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Every line stays in its earliest document only; n_chars follows the text."""
     ship.ship(spark)
     got = unit_dedup.dedup_units(docs, carry=["lang", "source", "n_chars"])
-    count = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars"))
-    return got.select("doc_id", F.col("kept_text").alias("text"), "lang", "source",
-                      count.cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+    return _cleaned(got, F.col("n_removed") > 0, docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

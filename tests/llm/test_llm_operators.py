@@ -126,6 +126,29 @@ def test_quality_rules_reject_depleted_documents(spark):
     assert got[101]["base_failed"] and got[0]["n_dup_lines"] == 11
 
 
+def test_quality_rules_remove_long_boilerplate_and_spare_near_copies(spark):
+    notice = "é " + " ".join(f"cookie{k}" for k in range(30))
+    rows = [(i, " ".join(f"p{i}x{k}" for k in range(60)) + f"\n{notice}\nend {i}", "h") for i in range(12)]
+    story = [" ".join(f"s{n}w{k}" for k in range(25)) for n in range(8)]
+    rows += [(100 + i, "\n".join(story) + f"\nedit{i}", "h") for i in range(12)] + [(None, rows[0][1], "h"), (200, None, "h")]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for r in got:
+        text = dict((k, t) for k, t, _ in rows)[r["doc_id"]]
+        gone = r["doc_id"] is None or r["doc_id"] < 100
+        assert r["kept"] == (r["doc_id"] != 200)
+        assert r["kept_text"] == (text.replace(notice + "\n", "") if gone else text)
+        assert r["n_removed_words"] == 31 * gone and [text[a:b] for a, b in zip(r["starts"], r["ends"])] == [notice] * gone
+
+
+def test_pipeline_quality_writes_the_cleaned_text(spark):
+    import corpus_pipeline
+    menu = "home about contact"
+    rows = [(i, " ".join(f"p{i}x{k}" for k in range(60)) + f"\n{menu}", "en", "h", 0) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.quality(spark, docs, "").collect()
+    assert len(got) == 12 and all(menu not in r["text"] and r["n_chars"] == len(r["text"]) for r in got)
+
+
 def test_licenses_prefilter_loses_nothing(docs, spark):
     grams = {n: set(licenses.bigrams(t)) for n, t in licenses.TEMPLATES.items()}
     words = licenses.key_words([sorted(g) for g in grams.values()], licenses.DICE)
