@@ -3,8 +3,8 @@
 Units are normalised (runs of white space become one space, ends trimmed) and
 hashed; digests are grouped over the whole corpus; the earliest occurrence by
 (id, position) stays and every later one is removed, with its offsets in
-the original text. Units below ``min_words`` words are never removed: short
-lines such as a lone bracket recur by chance.
+the original text. Units of any length take part, empty ones do not. Two options
+keep short units, which may recur by chance: ``min_chars`` and ``min_words``.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from netsieve.llm import arrays
 from netsieve.llm.components import durable
 
+#: The floor of the registered query's SQL.
 MIN_UNIT_WORDS = 5
 #: What ends a unit.
 ENDS = {"line": re.compile("\n"), "paragraph": re.compile("\n[ \t]*\n[ \t\n]*")}
@@ -38,7 +39,7 @@ def _bounds(buf: np.ndarray, off: np.ndarray, unit: str):
     return np.array(starts, np.int64), np.array(ends, np.int64), np.array(rows, np.int64)
 
 
-def _digests(unit: str, min_words: int):
+def _digests(unit: str, min_words: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, off in arrays.text_slices(batches, "text"):
             start, end, row = _bounds(buf, off, unit)
@@ -46,7 +47,11 @@ def _digests(unit: str, min_words: int):
             words = arrays.byte_hash(buf).of(w_start, w_end)
             first, last = np.searchsorted(w_start, start), np.searchsorted(w_start, end)
             place = np.arange(len(row)) - arrays.per_row(row, part.num_rows)[row]
-            use = last - first >= min_words
+            use = last - first >= max(min_words, 1)
+            if min_chars > 1:
+                # Characters of the normalised unit: those of its words, and a space between two.
+                heads = np.concatenate([[0], np.cumsum(~arrays.SPACE[buf] & ((buf & 0xC0) != 0x80))])
+                use &= heads[end] - heads[start] + last - first - 1 >= min_chars
             first, last, row, place = first[use], last[use], row[use], place[use]
             two = [arrays.RangeHash(arrays.mix(words, salt)).of(first, last).view(np.int64) for salt in (11, 12)]
             yield pa.RecordBatch.from_arrays(
@@ -83,12 +88,12 @@ def _cut(unit: str):
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line",
-                   min_words: int = MIN_UNIT_WORDS) -> DataFrame:
+                   min_words: int = 1, min_chars: int = 1) -> DataFrame:
     """(id, places array<int>): positions of the units to remove, for the documents that have any."""
     id_type = docs.schema[id_col].dataType.simpleString()
     units = durable(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
                     .where("id is not null")
-                    .mapInArrow(_digests(unit, min_words), f"id {id_type}, place int, h1 long, h2 long"))
+                    .mapInArrow(_digests(unit, min_words, min_chars), f"id {id_type}, place int, h1 long, h2 long"))
     first = (units.groupBy("h1", "h2").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n"))
              .where("n > 1").select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first"))
     return (units.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")))
@@ -97,9 +102,10 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line",
-                min_words: int = MIN_UNIT_WORDS, carry: list[str] | None = None) -> DataFrame:
+                min_words: int = 1, min_chars: int = 1, carry: list[str] | None = None) -> DataFrame:
     """One row per input row: id, the ``carry`` columns, kept_text, n_removed and the removed character spans (starts, ends) in the input.
 
+    Units below ``min_words`` words or ``min_chars`` characters stay; by default every unit with a word takes part.
     A removed unit goes with the separator after it. A null text stays null, an
     empty one empty, both without spans. Rows with a null id take no part and
     keep their text. Rows that share an id are one document: a unit is removed at
@@ -107,7 +113,7 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns are not read; an empty table gives no rows; texts are taken whole.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    gone = repeated_units(docs, id_col, text_col, unit, min_words).withColumnRenamed("id", "g_id")
+    gone = repeated_units(docs, id_col, text_col, unit, min_words, min_chars).withColumnRenamed("id", "g_id")
     held = F.struct(*[F.col(c) for c in carry or []], F.lit(True).alias("_held"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held.alias("carry"))
     joined = rows.join(gone.hint("shuffle_hash"), rows["id"] == gone["g_id"], "left").select("id", "text", "places", "carry")

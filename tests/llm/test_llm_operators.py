@@ -117,6 +117,15 @@ def test_units_keep_the_earliest_and_offsets(docs):
     assert got[None]["kept_text"] == PROSE and got[2]["kept_text"] == ""
 
 
+def test_units_of_any_length_and_without_spaces(spark):
+    passage = "這是一段沒有空格的很長的文字" * 4
+    rows = [(1, f"{passage}\n}}\n\nhome"), (2, f"new\n{passage}\n\n}}\nhome ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["kept_text"] for r in unit_dedup.dedup_units(df).collect()} == {1: rows[0][1], 2: "new\n\n"}
+    assert {r["doc_id"]: r["kept_text"] for r in unit_dedup.dedup_units(df, min_chars=5).collect()} == {
+        1: rows[0][1], 2: "new\n\n}\nhome "}
+
+
 def test_quality_rules_reject_depleted_documents(spark):
     menu = "home about contact news imprint"
     rows = [(i, f"{menu}\n{menu}\n" * 6 + " ".join(f"t{i}x{k}" for k in range(5)), "h") for i in range(30)]
