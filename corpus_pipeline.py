@@ -15,12 +15,6 @@ from netsieve.session import scratch_dir, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Documents whose id is not rejected; rows without an id stay."""
-    ids = rejected.select(F.col("doc_id").alias("_gone"))
-    return docs.select(*COLUMNS).join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
-
-
 def _cleaned(got: DataFrame, cut: Column, docs: DataFrame) -> DataFrame:
     """The columns of documents with kept_text as the text; n_chars is counted anew where ``cut``."""
     count = F.when(cut, F.length("kept_text")).otherwise(F.col("n_chars"))
@@ -36,15 +30,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays: the one with the smallest id."""
+    """One row of each group of linked texts stays: the one with the smallest id, a null id last.
+
+    Rows are told apart by id and text, so rows without an id, or that share one, have verdicts
+    of their own; of rows equal in both one stays.
+    """
     ship.ship(spark)
-    return _without(docs, jaccard.jaccard_join(docs).where("not kept"))
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_key"))
+    groups = jaccard.jaccard_join(rows, "_key").select(F.col("_key").alias("_g_key"), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))
+    stays = (rows.select("doc_id", "_key").join(groups.hint("shuffle_hash"), F.col("_key") == F.col("_g_key"))
+             .groupBy("component_id").agg(first.alias("first")).select(F.col("first._key").alias("_stays")))
+    return (rows.join(stays.hint("shuffle_hash"), F.col("_key") == F.col("_stays"), "left_semi")
+            .dropDuplicates(["_key"]).select(*COLUMNS))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every line stays in its earliest document only; n_chars follows the text."""
+    """Every line stays in its earliest row only, by id (a null id last) and text; n_chars follows the text."""
     ship.ship(spark)
-    got = unit_dedup.dedup_units(docs, carry=["lang", "source", "n_chars"])
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"),
+                   F.xxhash64("text").alias("hash"))
+    got = unit_dedup.dedup_units(docs.withColumn("_key", key), "_key", carry=["doc_id", "lang", "source", "n_chars"])
     return _cleaned(got, F.col("n_removed") > 0, docs)
 
 

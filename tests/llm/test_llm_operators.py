@@ -158,6 +158,25 @@ def test_pipeline_quality_writes_the_cleaned_text(spark):
     assert len(got) == 12 and all(menu not in r["text"] and r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_pipeline_verdicts_follow_the_row(spark):
+    import corpus_pipeline
+    text = [" ".join(f"d{n}x{k}" for k in range(60)) for n in range(4)]
+    rows = [(None, "junk"), (None, text[0]), (None, text[0]), (None, text[1]), (7, text[1]), (7, text[2]), (7, "junk"),
+            (8, text[3]), (9, text[3] + " more"), (7, text[2]), (None, text[3])]
+    docs = spark.createDataFrame([(i, t, "en", "h", len(t)) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    good = corpus_pipeline.quality(spark, docs, "")
+    assert good.where("text = 'junk'").count() == 0 and good.count() == 9
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, good, "").collect()]
+    assert sorted(got, key=repr) == sorted([(None, text[0]), (7, text[1]), (7, text[2]), (8, text[3])], key=repr)
+    rows = [(None, "a line\nnull one"), (None, "a line\nnull two\nnull one"), (3, "shared\na line"), (3, "shared\nb line")]
+    docs = spark.createDataFrame([(i, t, "en", "h", len(t)) for i, t in rows], docs.schema)
+    got = corpus_pipeline.repeated_lines(spark, docs, "").collect()
+    lines = [x for r in got for x in r["text"].split("\n") if x]
+    assert sorted(lines) == ["a line", "b line", "null one", "null two", "shared"] and len(got) == 4
+    assert all("a line" not in r["text"] for r in got if r["doc_id"] is None)
+
+
 def test_licenses_prefilter_loses_nothing(docs, spark):
     grams = {n: set(licenses.bigrams(t)) for n, t in licenses.TEMPLATES.items()}
     words = licenses.key_words([sorted(g) for g in grams.values()], licenses.DICE)
