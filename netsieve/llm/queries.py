@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netsieve.llm import cross_polytope, jaccard, language, licenses, mixing, pieces, quality_nbsvm, quality_rules, ship, sql, suffix_dedup, unit_dedup
+from netsieve.llm import (cross_polytope, jaccard, language, licenses, mixing, page_text, pieces, pivot_clusters, quality_nbsvm,
+                          quality_rules, ship, spelling, sql, suffix_dedup, unit_dedup)
 from netsieve.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +106,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_cross_polytope", sql.NEAR_VECTORS)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_pivot_clusters", sql.cluster_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_clusters.cluster(table(spark, sf_dir, "embeddings")).drop("n_exact")
+
+
+@query("op12_spelling_variants", sql.spelling_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = spelling.variants(table(spark, sf_dir, "documents"))
+    return got.select("word", "n", "form", "root", "n_near", "form_n")
+
+
+@query("op13_page_text")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    got = page_text.extract(pages, page_text.train(spark))
+    return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

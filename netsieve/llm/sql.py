@@ -1,6 +1,7 @@
 """DuckDB SQL for the operators that SQL can express."""
 
-from netsieve.llm import cross_polytope as cp, jaccard as ja, licenses as li, mixing as mx, quality_rules as qr, unit_dedup as ud
+from netsieve.llm import (cross_polytope as cp, jaccard as ja, licenses as li, mixing as mx, pivot_clusters as pv, quality_rules as qr,
+                          spelling as sp, unit_dedup as ud)
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -197,3 +198,73 @@ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spa
                 CASE WHEN k = n_spans THEN 2 * n ELSE 2 * a[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE 2 * b[k] END)), '') END)) AS kept_sha256
 FROM bytes LEFT JOIN lists USING (doc_id)
 """
+
+
+def cluster_sql() -> str:
+    """Rounds unrolled: every distance of every round, without bounds or pivots."""
+    steps = []
+    for r in range(pv.ROUNDS + 1):
+        steps.append(f"""
+d{r} AS (SELECT rid, k, sum((p.x - c.x) * (p.x - c.x))::BIGINT AS d FROM parts p JOIN c{r} c USING (i) GROUP BY ALL),
+a{r} AS (SELECT rid, k, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, k) = 1),
+s{r} AS (SELECT k, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{r} JOIN parts USING (rid) GROUP BY ALL),
+c{r + 1} AS (SELECT c.k, c.i, CASE WHEN n IS NULL THEN c.x ELSE ((s - ((s % n) + n) % n) // n)::BIGINT END AS x
+       FROM c{r} c LEFT JOIN s{r} s ON c.k = s.k AND c.i = s.i)""")
+    last = pv.ROUNDS
+    return rf"""
+WITH sound AS (
+  SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = {pv.DIMENSION} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+kept AS (SELECT rid, vec_id, list_transform(embedding, lambda e: floor({pv.SCALE} * e::DOUBLE)::BIGINT) AS v FROM sound),
+parts AS (SELECT rid, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM kept),
+first AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS k, v FROM kept QUALIFY k < {pv.CLUSTERS}),
+c0 AS (SELECT k, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM first),{",".join(steps)},
+shas AS (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{last} GROUP BY k)
+SELECT vec_id, a.k::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia,
+       (sum(a.d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{last} a JOIN kept USING (rid) JOIN shas USING (k)
+"""
+
+
+def spelling_sql() -> str:
+    """Near pairs by equal strings with one code point left out; the crc32 byte by byte from its polynomial."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return rf"""
+WITH RECURSIVE crc_table AS (
+  SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, i: {step}) AS c FROM (SELECT unnest(range(256)) AS n)),
+crcs AS MATERIALIZED (SELECT list(c ORDER BY n) AS t FROM crc_table),
+found AS MATERIALIZED (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+bytes AS (
+  SELECT doc_id, run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM found WHERE length(run) >= {sp.MIN_LENGTH}),
+hashed AS (
+  SELECT doc_id, run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2),
+           lambda k: (('0x' || substr(h, 2 * k + 1, 2))::BIGINT))),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM bytes, crcs),
+shorn AS (
+  SELECT CASE WHEN h % {sp.NOISE} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+  FROM hashed),
+vocab AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM shorn WHERE length(word) >= {sp.MIN_LENGTH} GROUP BY word HAVING sum(n) >= {sp.MIN_COUNT}),
+gaps AS MATERIALIZED (
+  SELECT word, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(0, length(word))) AS i FROM vocab)),
+pairs AS (
+  SELECT x.word AS a, y.word AS b FROM gaps x JOIN gaps y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT word, rest FROM gaps JOIN (SELECT word AS w FROM vocab) ON w = rest
+  UNION SELECT rest, word FROM gaps JOIN (SELECT word AS w FROM vocab) ON w = rest),
+ranked AS (
+  SELECT a, b, v.n AS form_n, count(*) OVER (PARTITION BY a) AS n_near
+  FROM pairs JOIN vocab v ON v.word = b QUALIFY row_number() OVER (PARTITION BY a ORDER BY v.n DESC, encode(b)) = 1),
+told AS MATERIALIZED (
+  SELECT word, n, CASE WHEN form_n >= {sp.FORM_RATIO} * n THEN b END AS form, coalesce(n_near, 0) AS n_near,
+         CASE WHEN form_n >= {sp.FORM_RATIO} * n THEN form_n END AS form_n
+  FROM vocab LEFT JOIN ranked ON a = word),
+steps AS (
+  SELECT word, word AS reached FROM told
+  UNION ALL SELECT steps.word, told.form FROM steps JOIN told ON told.word = reached WHERE told.form IS NOT NULL),
+roots AS (SELECT steps.word, reached AS root FROM steps JOIN told ON told.word = reached WHERE told.form IS NULL)
+SELECT word, n, form, root, n_near, form_n FROM told JOIN roots USING (word)
+"""
