@@ -1,258 +1,80 @@
-"""Per-flow sliding buffers and flow sessions, split so no flow key lands in one task.
-
-A flow key may hold a third of all packets, so nothing here partitions by the
-key alone. Rows are split by (key, time bucket), and buckets adapt to density:
-a narrow pre-count finds the (key, coarse bucket) pairs holding at least
-``DENSE_ROWS`` rows, and only those are cut into fine buckets (1/8 of a window
-for buffers, 1/64 of the width for sessions). The list of dense pairs has at
-most rows / ``DENSE_ROWS`` entries, so it is broadcast safely.
-
-* ``prev_ts`` — the previous packet of the same key. Within a bucket it is a
-  ``lag``; the first row of a bucket takes the last time of the nearest
-  earlier non-empty bucket from a per-(key, bucket) table.
-* Buffer statistics (last ``window`` seconds inclusive, at most ``cap``
-  packets, current packet included) — every row is also copied into the next
-  bucket when it lies within ``window`` seconds of it, so each bucket sees all
-  the history its own rows need. The buffer is the shorter of a RANGE frame
-  without its later packets of equal time and a ROWS frame over the same
-  order; both are exact on the augmented bucket (see ``buffer_stats``).
-* Sessions (new flow when the gap to the previous packet is ≥ ``gap``) —
-  buckets at most ``gap`` wide, so only a bucket's first packet can open a
-  flow; the heads come from a per-(key, bucket) aggregate of a narrow scan,
-  packets are shuffled once; then a partial-aggregated ``groupBy`` per flow.
+"""Per-flow sliding buffers and flow sessions, linear in the packets whatever one flow key holds.
+
+A flow key may hold a third of all packets, in any density, so nothing here
+partitions by the key or by time. Packets are shuffled once into range
+partitions of the order (key, time, id) and passed over in that order
+(``ordered``): a buffer is a window search and differences of prefix sums, its
+extremes come from a sparse table, and a session starts where the gap to the
+packet before reaches the limit. What crosses the edge of a partition is
+bounded: the buffer cap in rows, or one row for a session left open.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netsieve.functions import detect as X
 from netsieve.functions import domains as D
-
-EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
-
-
-def epoch_us(ts: str) -> Column:
-    """Microseconds since the epoch of a timestamp without time zone (no session-zone dependence)."""
-    return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, CAST({ts} AS TIMESTAMP_NTZ))")
-
-
-DENSE_ROWS = 1 << 22  # a (key, coarse bucket) with at least this many rows is split into fine buckets
-
-
-def dense_pairs(df: DataFrame, key: str, ts: str, coarse_us: int, dense_rows: int = DENSE_ROWS) -> DataFrame:
-    """(key, coarse bucket ``_c``, ``_here``, ``_next``): whether the bucket, or the one after it, holds at
-    least ``dense_rows`` rows of the key — the hot spots of hot keys.
-
-    A narrow scan with map-side partial counts. Each dense pair holds
-    ``dense_rows`` rows, so the table has at most ``2 * rows / dense_rows``
-    entries (about 480,000 for 10^12 rows): broadcasting it is safe.
-    """
-    d = df.select(key, F.floor(epoch_us(ts) / F.lit(coarse_us)).alias("_c"))
-    hot = d.groupBy(key, "_c").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= dense_rows)
-    flags = F.explode(F.array(
-        F.struct(F.col("_c").alias("_c"), F.lit(True).alias("_here"), F.lit(False).alias("_next")),
-        F.struct((F.col("_c") - 1).alias("_c"), F.lit(False).alias("_here"), F.lit(True).alias("_next"))))
-    return (hot.select(key, flags.alias("_f")).select(key, "_f.*")
-               .groupBy(key, "_c").agg(F.max("_here").alias("_here"), F.max("_next").alias("_next")))
-
-
-def _bucket_id(us: Column, dense: Column, coarse_us: int, fine_us: int) -> Column:
-    """Bucket of a time: the coarse bucket ``c`` (id ``c * k``) or, when (key, c) is dense, its fine
-    bucket (ids ``c * k`` .. ``c * k + k - 1``, ``k = coarse / fine``). Ids grow with time."""
-    k = coarse_us // fine_us
-    return F.when(dense, F.floor(us / F.lit(fine_us))).otherwise(F.floor(us / F.lit(coarse_us)) * F.lit(k))
-
-
-def with_buckets(df: DataFrame, dense: DataFrame, key: str, ts: str, coarse_us: int, fine_us: int,
-                 reach_us: int = 0) -> DataFrame:
-    """Add ``_us`` (epoch micros), ``_b`` (the row's time bucket) and, when ``reach_us`` > 0, ``_nb``
-    (the later buckets whose rows may need this one: every bucket meeting ``(_us, _us + reach_us]``,
-    found by sampling that span every ``fine_us``; ``reach_us`` must be a multiple of ``fine_us``).
-
-    Buckets adapt to density (``dense`` from ``dense_pairs``): a key's coarse
-    buckets, split into fine ones where the key is dense, so a hot key is
-    spread over many tasks while sparse keys stay in few, large buckets. One
-    broadcast lookup per row answers both for the row's bucket and the next.
-    """
-    if coarse_us % fine_us or reach_us > coarse_us or reach_us % fine_us:
-        raise ValueError("coarse and reach must be multiples of the fine width, and coarse at least the reach")
-    d = df.withColumn("_us", epoch_us(ts)).withColumn("_c", F.floor(F.col("_us") / F.lit(coarse_us)))
-    d = d.join(F.broadcast(dense), [key, "_c"], "left")
-    here = F.coalesce(F.col("_here"), F.lit(False))
-    d = d.withColumn("_b", _bucket_id(F.col("_us"), here, coarse_us, fine_us))
-    if reach_us:
-        nxt = F.coalesce(F.col("_next"), F.lit(False))
-        ids = []
-        for j in range(1, reach_us // fine_us + 1):  # consecutive samples are one fine width apart: no bucket skipped
-            later = F.col("_us") + F.lit(j * fine_us)
-            same = F.floor(later / F.lit(coarse_us)) == F.col("_c")
-            ids.append(_bucket_id(later, F.when(same, here).otherwise(nxt), coarse_us, fine_us))
-        # sparse stretches (neither this coarse bucket nor the next is dense) need only the last sample
-        ids_expr = F.when(here | nxt, F.array_distinct(F.array(*ids))).otherwise(F.array(ids[-1]))
-        d = d.withColumn("_nb", F.filter(ids_expr, lambda b: b > F.col("_b")))
-    return d.drop("_c", "_here", "_next")
-
-
-def with_prev(d: DataFrame, key: str, order_id: str) -> DataFrame:
-    """Add ``_prev_us`` (time of the previous packet of the key) to bucketed rows (``_us``, ``_b``)."""
-    in_bucket = Window.partitionBy(key, "_b").orderBy("_us", order_id)
-    d = d.withColumn("_prev_in_b", F.lag("_us").over(in_bucket))
-    last = d.groupBy(key, "_b").agg(F.max("_us").alias("_last_us"))
-    last = last.withColumn("_prev_b_last", F.lag("_last_us").over(Window.partitionBy(key).orderBy("_b")))
-    d = d.join(last.select(key, "_b", "_prev_b_last"), [key, "_b"], "inner")
-    return d.withColumn("_prev_us", F.coalesce("_prev_in_b", "_prev_b_last")).drop("_prev_in_b", "_prev_b_last")
+from netsieve.operators import ordered as O
 
 
 def buffer_stats(df: DataFrame, value: str, key: str = "flow_key", ts: str = "ts", order_id: str = "packet_id",
-                 window_seconds: int = 60, cap: int = 1000, bucket_seconds: int | None = None,
-                 with_iat: bool = True, dense_rows: int = DENSE_ROWS, dense_split: int = 8) -> DataFrame:
+                 window_seconds: int = 60, cap: int = 1000, with_iat: bool = True,
+                 partitions: int | None = None) -> DataFrame:
     """Per packet: size of its buffer, population std/var of ``value`` and inter-arrival (ms) stats.
 
     The buffer of a packet is the packets of its key at most ``window_seconds``
     older (inclusive), at most ``cap`` of them, itself included; of packets with its own time only those
     with a smaller ``order_id`` count. ``value`` is an integer column. Inter-arrival
     time is the gap to the previous packet of the key, in milliseconds; its
-    stats are 0 when the buffer holds no gap.
-
-    Buckets are ``bucket_seconds`` wide (default 16 windows, at least an hour,
-    rounded to whole windows) and ``1 / dense_split`` of a window where a key
-    is dense. Every row is also copied into each later bucket its window
-    reaches — at most one for coarse buckets, at most ``dense_split`` inside a
-    dense stretch — so each bucket holds all the history its rows need.
+    stats are 0 when the buffer holds no gap. Moments are exact integers, so results
+    do not depend on partitioning; values and gaps (in microseconds) of 2^52 or more count as missing. A packet
+    without a time is alone in its buffer.
     """
-    window_us = int(window_seconds * 1_000_000)
-    coarse = bucket_seconds or max(16 * window_seconds, 3600)
-    if coarse < window_seconds:
-        raise ValueError("bucket_seconds must be at least window_seconds")
-    coarse_us = window_us * max(1, round(coarse * 1_000_000 / window_us))
-    split = dense_split if dense_split > 0 and window_us % dense_split == 0 else 1
-    dense = dense_pairs(df, key, ts, coarse_us, dense_rows)
-    d = with_buckets(df, dense, key, ts, coarse_us, window_us // split, reach_us=window_us)
-    if with_iat:
-        d = with_prev(d, key, order_id)
-        d = d.withColumn("_iat", F.col("_us") - F.col("_prev_us"))
-    else:
-        d = d.withColumn("_iat", F.lit(None).cast("long"))
-    d = d.withColumn("_home", F.col("_b")).withColumn("_b", F.explode(F.concat(F.array(F.col("_b")), F.col("_nb"))))
-    part = f"PARTITION BY {key}, _b"
-    rng = f"OVER ({part} ORDER BY {ts} RANGE BETWEEN INTERVAL {window_us} MICROSECONDS PRECEDING AND CURRENT ROW)"
-    before = (f"OVER ({part} ORDER BY {ts} RANGE BETWEEN INTERVAL {window_us} MICROSECONDS PRECEDING "
-              f"AND INTERVAL 1 MICROSECONDS PRECEDING)")
-    rows = f"OVER ({part} ORDER BY {ts}, {order_id} ROWS BETWEEN {cap - 1} PRECEDING AND CURRENT ROW)"
-    later = f"OVER ({part}, {ts} ORDER BY {order_id} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
-    x = f"CAST({value} AS DECIMAL(38,0))"
-    # Integer moments: exact sums, so results do not depend on summation order and later peers can be taken off.
-    moments = {"n": "count(1)", "k": f"count({value})", "s1": f"sum({x})", "s2": f"sum({x} * {x})"}
-    if with_iat:
-        moments |= {"ik": "count(_iat)", "i1": "sum(_iat)",
-                    "i2": "sum(CAST(_iat AS DECIMAL(38,0)) * CAST(_iat AS DECIMAL(38,0)))"}
-    stats = {f"_{m}_{tag}": F.expr(f"{e} {frame}") for m, e in moments.items()
-             for tag, frame in (("r", rng), ("w", rows), ("p", later))}
-    if with_iat:
-        stats |= {"_ix_r": F.expr(f"max(_iat) {rng}"), "_ix_w": F.expr(f"max(_iat) {rows}"),
-                  "_in_b": F.expr(f"min(_iat) {before}"), "_in_w": F.expr(f"min(_iat) {rows}")}
-    d = d.select(*df.columns, "_home", "_b", "_iat", *[c.alias(n) for n, c in stats.items()])
-    d = d.where(F.col("_b") == F.col("_home"))
-
-    def in_time(name: str) -> Column:
-        """The moment over the time window up to the packet itself: its later peers of equal time are taken off."""
-        return F.col(f"_{name}_r") - F.coalesce(F.col(f"_{name}_p"), F.lit(0))
-
-    use_range = in_time("n") <= F.col("_n_w")
-
-    def pick(name: str) -> Column:
-        return F.when(use_range, in_time(name)).otherwise(F.col(f"_{name}_w"))
+    m = O.buffer_moments(df, F.col(value), key, ts, order_id, int(window_seconds * 1_000_000), cap, partitions)
 
     def spread_of(k: Column, s1: Column, s2: Column) -> Column:
         """``k * s2 - s1 * s1``: the variance times k squared, exact."""
         return (k.cast("decimal(38,0)") * s2 - s1.cast("decimal(38,0)") * s1.cast("decimal(38,0)")).cast("double")
 
-    k, s1, s2 = pick("k"), pick("s1"), pick("s2")
+    k, s1, s2 = O.moment_columns("_x")
     var = F.try_divide(spread_of(k, s1, s2), (k * k).cast("double"))
-    out = [pick("n").alias("n_buffer"), F.sqrt(var).alias("pkt_len_std"), var.alias("pkt_len_var")]
+    out = [F.col("_n").alias("n_buffer"), F.sqrt(var).alias("pkt_len_std"), var.alias("pkt_len_var")]
     if with_iat:
-        k, s1, s2 = pick("ik"), pick("i1"), pick("i2")
+        k, s1, s2 = O.moment_columns("_g")
         mean_us = F.try_divide(s1.cast("double"), k.cast("double"))
         std_us = F.try_divide(F.sqrt(spread_of(k, s1, s2)), k.cast("double"))
-        # Later peers only have gaps of 0: they never raise the maximum. The minimum is taken over
-        # strictly earlier packets and the packet's own gap, which is 0 if a peer came before it.
-        largest = F.when(use_range, F.col("_ix_r")).otherwise(F.col("_ix_w"))
-        smallest = F.when(use_range, F.least("_in_b", "_iat")).otherwise(F.col("_in_w"))
         ms = lambda c: F.coalesce(c.cast("double") / F.lit(1000.0), F.lit(0.0))
         out += [ms(mean_us).alias("flow_iat_mean"), ms(std_us).alias("flow_iat_std"),
-                ms(largest).alias("flow_iat_max"), ms(smallest).alias("flow_iat_min")]
-    return d.select(*df.columns, *out)
-
-
-def _bucket_heads(df: DataFrame, key: str, order_id: str, gap_us: int, first_cols: tuple[str, ...]) -> DataFrame:
-    """Per (key, time bucket): the last time of the previous non-empty bucket and the head (time, id and
-    ``first_cols`` of the first packet) of the session the bucket's packets belong to.
-
-    ``df`` is bucketed (``_us``, ``_b``) with buckets at most ``gap`` wide: two
-    packets of one bucket are less than ``gap`` apart, so only a bucket's
-    first packet can open a session, and that is decided by the bucket's first
-    time and the previous bucket's last. Map-side partial aggregation leaves
-    one row per key and bucket from each task; the running carry is a window
-    over a key's buckets, not its packets.
-    """
-    b = df.groupBy(key, "_b").agg(F.min("_us").alias("_min_us"), F.max("_us").alias("_max_us"),
-                                  F.min(F.struct(F.col("_us").alias("us"), F.col(order_id).alias("_id"),
-                                                 *[F.col(c).alias(c) for c in first_cols])).alias("_first"))
-    by_key = Window.partitionBy(key).orderBy("_b")
-    b = b.withColumn("_prev_b_last", F.lag("_max_us").over(by_key))
-    opens = F.col("_prev_b_last").isNull() | (F.col("_min_us") - F.col("_prev_b_last") >= F.lit(gap_us))
-    head = F.when(opens, F.col("_first"))
-    b = b.withColumn("_head", F.max(head).over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
-    return b.select(key, "_b", "_prev_b_last", "_head")
+                ms(F.when(k > 0, F.col("_g_max"))).alias("flow_iat_max"),
+                ms(F.when(k > 0, F.col("_g_min"))).alias("flow_iat_min")]
+    return m.select(*df.columns, *out)
 
 
-def sessionize(df: DataFrame, key: str = "flow_key", ts: str = "ts", order_id: str = "packet_id",
-               gap_seconds: int = 60, bucket_seconds: int | None = None,
-               first_cols: tuple[str, ...] = (), dense_rows: int = DENSE_ROWS) -> DataFrame:
-    """Add ``_us`` (epoch micros), ``_session_us`` (start of the packet's flow), ``_iat_ms`` (gap to the
-    previous packet in the flow, null for the first) and ``_first_<c>`` (column ``c`` of the flow's first
-    packet).
+def sessionize(df: DataFrame, key: str = "flow_key", ts: str = "ts", order_id: str = "packet_id", gap_seconds: int = 60,
+               first_cols: tuple[str, ...] = (), partitions: int | None = None) -> DataFrame:
+    """Add ``_us`` (epoch micros), ``_session_us`` (start of the packet's flow), ``_first_<c>`` (column ``c`` of the flow's
+    first packet), ``_iat_us`` and ``_iat_ms`` (gap to the previous packet in the flow, null for the first).
 
-    Packets are shuffled once, by (key, time bucket). Buckets are at most
-    ``gap_seconds`` wide (a wider ``bucket_seconds`` is narrowed to the gap)
-    and 64 times narrower where a key is dense, so session boundaries come
-    from the per-bucket table of ``_bucket_heads`` and a hot key's packets are
-    spread over many buckets. The in-bucket ``lag`` gives the inter-arrival
-    gaps; the first packet of a bucket takes the previous bucket's last time
-    from the same table.
+    A new flow starts when the gap to the previous packet of the key is at least ``gap_seconds``.
     """
-    gap_us = int(gap_seconds * 1_000_000)
-    width_us = min(int((bucket_seconds or min(gap_seconds, 3600)) * 1_000_000), gap_us)
-    fine_us = max(1, width_us // 64)
-    coarse_us = fine_us * max(1, width_us // fine_us)
-    dense = dense_pairs(df, key, ts, coarse_us, dense_rows)
-    narrow = with_buckets(df.select(key, ts, order_id, *first_cols), dense, key, ts, coarse_us, fine_us)
-    heads = _bucket_heads(narrow, key, order_id, gap_us, first_cols)
-    d = with_buckets(df, dense, key, ts, coarse_us, fine_us)
-    in_bucket = Window.partitionBy(key, "_b").orderBy("_us", order_id)
-    d = d.withColumn("_prev_in_b", F.lag("_us").over(in_bucket))
-    d = d.join(heads, [key, "_b"], "inner")
-    prev = F.coalesce("_prev_in_b", "_prev_b_last")
-    opens = prev.isNull() | (F.col("_us") - prev >= F.lit(gap_us))
-    iat_us = F.when(~opens, F.col("_us") - prev)
-    return d.select(*df.columns, "_us", F.col("_head.us").alias("_session_us"),
-                    *[F.col(f"_head.{c}").alias(f"_first_{c}") for c in first_cols], iat_us.alias("_iat_us"),
-                    (iat_us / F.lit(1000.0)).alias("_iat_ms"))
+    s = O.sessions(df, key, ts, order_id, int(gap_seconds * 1_000_000), first_cols, partitions)
+    return s.withColumn("_iat_ms", F.col("_iat_us") / F.lit(1000.0))
 
 
-def flow_rollup(packets: DataFrame, gap_seconds: int = 60, bucket_seconds: int | None = None,
-                key: str = "flow_key", dense_rows: int = DENSE_ROWS) -> DataFrame:
+def flow_rollup(packets: DataFrame, gap_seconds: int = 60, key: str = "flow_key",
+                partitions: int | None = None) -> DataFrame:
     """One row per flow (session of a key): duration, forward/backward counts and bytes, rates,
     length and inter-arrival stats, TCP flag counts.
 
     Forward = sent from the source address of the flow's first packet. One
-    partial-aggregated ``groupBy`` per flow after the bucketed sessionization,
-    so a long flow of a hot key is combined map-side before its one shuffle.
+    partial-aggregated ``groupBy`` per flow after ``sessionize``, so a long flow of
+    a hot key is combined map-side before its shuffle. Two exchanges in all: the
+    range shuffle of the packets and that of the partial flows.
     """
-    s = sessionize(packets, key=key, gap_seconds=gap_seconds, bucket_seconds=bucket_seconds,
-                   first_cols=("src_ip", "protocol", "src_port", "dst_port"), dense_rows=dense_rows)
+    s = sessionize(packets, key=key, gap_seconds=gap_seconds, first_cols=("src_ip", "protocol", "src_port", "dst_port"),
+                   partitions=partitions)
     s = s.select("*", *X.tcp_flag_columns("tcp_flags"))
     fwd = F.col("src_ip").eqNullSafe(F.col("_first_src_ip"))
     pl = F.col("pkt_len").cast("double")

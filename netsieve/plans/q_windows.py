@@ -130,4 +130,4 @@ FROM s3 GROUP BY flow_key, sid"""
 @query("flow_rollup", sql=_rollup_sql)
 def q_flow_rollup(spark, sf):
     """Packets -> flows (sessions of a key, split at gaps of a day): the flow-level metric row."""
-    return W.flow_rollup(adapters.packets(spark, sf), gap_seconds=GAP_S, bucket_seconds=GAP_S)
+    return W.flow_rollup(adapters.packets(spark, sf), gap_seconds=GAP_S)

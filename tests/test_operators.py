@@ -65,8 +65,8 @@ def test_buffer_hot_key_split_matches_unsplit(spark):
     rnd = random.Random(7)
     rows = [(i, 1 if i % 3 else rnd.randint(2, 5), i * 7.3 + rnd.random(), rnd.randint(40, 1500)) for i in range(600)]
     df = packets_df(spark, rows)
-    small = W.buffer_stats(df, "pkt_len", window_seconds=60, cap=5, bucket_seconds=120)
-    large = W.buffer_stats(df, "pkt_len", window_seconds=60, cap=5, bucket_seconds=10 ** 7)
+    small = W.buffer_stats(df, "pkt_len", window_seconds=60, cap=5, partitions=23)
+    large = W.buffer_stats(df, "pkt_len", window_seconds=60, cap=5, partitions=1)
     cols = ["packet_id", "n_buffer", "pkt_len_std", "flow_iat_mean", "flow_iat_std", "flow_iat_max", "flow_iat_min"]
     a = sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in small.select(cols).collect())
     b = sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in large.select(cols).collect())
@@ -82,7 +82,7 @@ def test_sessions_cross_buckets(spark):
         t += rnd.choice([1, 5, 30, 200, 1000])
         rows.append((i, 1 + i % 2, t, 100))
     df = packets_df(spark, rows)
-    flows = W.flow_rollup(df, gap_seconds=100, bucket_seconds=300)
+    flows = W.flow_rollup(df, gap_seconds=100, partitions=7)
     # brute force session count per key
     want = 0
     for key in (1, 2):
@@ -92,16 +92,16 @@ def test_sessions_cross_buckets(spark):
     assert flows.agg(F.sum("n_packets")).first()[0] == len(rows)
 
 
-@pytest.mark.parametrize("dense_rows", [1, 25, 10 ** 9])
-def test_buffer_dense_buckets_match_deque(spark, dense_rows):
-    """Fine buckets for dense (key, bucket) pairs, coarse elsewhere: same buffers as a plain deque."""
+@pytest.mark.parametrize("partitions", [1, 4, 150])
+def test_buffer_across_partitions_matches_deque(spark, partitions):
+    """Runs cut at any place, also into stretches shorter than the cap: same buffers as a plain deque."""
     rnd = random.Random(17)
     rows, t = [], 0.0
     for i in range(700):
         t += rnd.choice([0.2, 1.5, 7, 30, 61, 400])
         rows.append((i, 1 if i % 4 else rnd.randint(2, 3), t, rnd.randint(40, 1500)))
     df = packets_df(spark, rows)
-    out = W.buffer_stats(df, "pkt_len", window_seconds=60, cap=7, bucket_seconds=600, dense_rows=dense_rows)
+    out = W.buffer_stats(df, "pkt_len", window_seconds=60, cap=7, partitions=partitions)
     got = {r.packet_id: (r.n_buffer, round(r.pkt_len_std, 6), round(r.flow_iat_max, 3))
            for r in out.collect()}
     want = deque_stats(rows, 60, 7)
@@ -141,16 +141,15 @@ def _brute_flows(rows, gap):
     return out
 
 
-@pytest.mark.parametrize("bucket,dense_rows", [(7, 10 ** 9), (40, 10 ** 9), (100, 10 ** 9), (10 ** 6, 10 ** 9),
-                                               (100, 1), (100, 30), (10 ** 6, 50)])
-def test_sessions_match_brute_force(spark, bucket, dense_rows):
+@pytest.mark.parametrize("partitions", [1, 3, 20, 120])
+def test_sessions_match_brute_force(spark, partitions):
     rnd = random.Random(5)
     rows, t = [], 0.0
     for i in range(500):
         t += rnd.choice([0.5, 3, 20, 99.9, 100, 150, 700])
         rows.append((i, 1 if i % 3 else rnd.randint(2, 4), t, rnd.randint(40, 1500)))  # key 1: the hot key
     df = packets_df(spark, rows)
-    flows = W.flow_rollup(df, gap_seconds=100, bucket_seconds=bucket, dense_rows=dense_rows)
+    flows = W.flow_rollup(df, gap_seconds=100, partitions=partitions)
     got = {}
     for r in flows.collect():
         start = (r.flow_start - T0).total_seconds()
@@ -161,6 +160,41 @@ def test_sessions_match_brute_force(spark, bucket, dense_rows):
     assert got == _brute_flows(rows, 100)
 
 
+def test_dense_key_is_linear_and_exact(spark):
+    """40,000 packets of one key inside 50 s: every buffer is cut by the cap, none by the window."""
+    import time
+
+    n = 40_000
+    df = spark.range(n).select(F.col("id").alias("packet_id"), F.lit(1).cast("long").alias("flow_key"),
+                               (F.lit(T0).cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, 0, id * 0.00125)")).alias("ts"),
+                               (F.col("id") % 1461 + 40).cast("int").alias("pkt_len"))
+    t0 = time.monotonic()
+    got = {r.packet_id: r for r in W.buffer_stats(df, "pkt_len", partitions=16).collect()}
+    took = time.monotonic() - t0
+    x = np.arange(n) % 1461 + 40
+    for j in (0, 1, 998, 999, 1000, 2500, 20_000, n - 1):
+        v = x[max(0, j - 999): j + 1].astype(float)
+        assert got[j].n_buffer == len(v) and got[j].pkt_len_var == pytest.approx(v.var(), rel=1e-12)
+        assert (got[j].flow_iat_max, got[j].flow_iat_min) == ((1.25, 1.25) if j else (0.0, 0.0))
+    assert len(got) == n and took < 60
+
+
+def test_buffer_odd_rows(spark):
+    """Null keys, times and lengths, equal times, huge values, an empty table."""
+    rows = [(1, None, 0, 10), (2, None, 1, 20), (3, 7, None, 30), (4, 7, None, 40), (5, 7, 2, None), (6, 7, 2, 50), (7, 7, 2, 70),
+            (8, 8, 0, 1 << 60), (9, 8, 1, 5)]
+    data = [(p, k, None if s is None else T0 + dt.timedelta(seconds=s), v) for p, k, s, v in rows]
+    df = spark.createDataFrame(data, "packet_id long, flow_key long, ts timestamp_ntz, pkt_len long")
+    for partitions in (1, 9):
+        got = {r.packet_id: (r.n_buffer, r.pkt_len_var, r.flow_iat_max)
+               for r in W.buffer_stats(df, "pkt_len", partitions=partitions).collect()}
+        assert got == {1: (1, 0.0, 0.0), 2: (2, 25.0, 1000.0), 3: (1, 0.0, 0.0), 4: (1, 0.0, 0.0), 5: (1, None, 0.0), 6: (2, 0.0, 0.0),
+                       7: (3, 100.0, 0.0), 8: (1, None, 0.0), 9: (2, 0.0, 1000.0)}
+    assert W.buffer_stats(df.where("false"), "pkt_len").count() == 0
+    flows = packets_df(spark, [(1, 1, 0.0, 5)]).where("false")
+    assert W.flow_rollup(flows).count() == 0
+
+
 def test_auc_matches_pair_count(spark):
     rnd = random.Random(11)
     data = [(rnd.choice([0, 1]), rnd.choice([0.1, 0.2, 0.2, 0.5, 0.7, 0.9])) for _ in range(500)]
