@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,7 @@ from netsieve.functions import detect as X
 from netsieve.functions import domains as D
 from netsieve.operators import labels as L
 from netsieve.plans import evaluation as E
-from netsieve.plans.q_windows import buffer_sql
+from netsieve.plans.q_windows import _rollup_sql, buffer_sql
 from netsieve.plans.registry import query
 from netsieve.plans.sqlbase import SCORED, with_alerts
 from netsieve.plans.sqlbase import round_half_up as rh
@@ -63,14 +63,35 @@ def _read_back(spark, path: str, round6: tuple[str, ...] = ()) -> DataFrame:
                        for f in df.schema.fields])
 
 
-def _stream_packets(spark, sf, tag: str, plan: Callable[[DataFrame], DataFrame], only: str = "ip") -> str:
-    """Run ``plan`` over the packets arriving in drops, into a file sink; returns the sink's folder."""
-    src, out, ck = (scratch_dir(spark, f"{tag}-{part}") for part in ("in", "out", "ck"))
+def packet_drops(spark, sf, tag: str) -> str:
+    """A folder with the packets of the given tables as files, in drops."""
+    src = scratch_dir(spark, f"{tag}-in")
+    for _ in _land(_packets(spark, sf), src):
+        pass
+    return src
+
+
+def _packets(spark, sf) -> DataFrame:
     p = adapters.packets(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    p = p.select(*[F.col(c).cast(t.dataType) for c, t in zip(ST.PACKET_COLUMNS, schemas.PACKET.fields)])
-    for _ in _land(p, src):
+    return p.select(*[F.col(c).cast(t.dataType) for c, t in zip(ST.PACKET_COLUMNS, schemas.PACKET.fields)])
+
+
+def _stream_packets(spark, sf, tag: str, plan: Callable[[DataFrame], DataFrame], only: str = "ip",
+                    left: Callable[[SparkSession, str], DataFrame] | None = None) -> str:
+    """Run ``plan`` over the packets arriving in drops, into a file sink; returns the sink's folder.
+
+    ``left(spark, checkpoint)`` gives the rows that the stream still holds at the end; a closing pass writes them beside
+    the sink's rows (the folder returned then has both).
+    """
+    src, out, ck = (scratch_dir(spark, f"{tag}-{part}") for part in ("in", "out", "ck"))
+    for _ in _land(_packets(spark, sf), src):
         ST.run_to_files(plan(ST.packet_stream(spark, src, max_files=None, only=only)), out, ck)
-    return out
+    if left is None:
+        return out
+    whole = scratch_dir(spark, f"{tag}-whole")
+    closed = spark.read.parquet(out)
+    closed.unionByName(left(spark, ck)).write.parquet(whole)
+    return whole
 
 
 @query("packet_stream", sql=lambda: _IP_PACKETS + "\nSELECT " + ", ".join(ST.PACKET_COLUMNS) + " FROM ip")
@@ -104,8 +125,7 @@ def q_win_stream(spark, sf):
 
 
 def _sessions_stream_sql() -> str:
-    """Sessions split at gaps of a day; a session is emitted once the final watermark (latest time
-    seen minus the delay) has reached its end (last packet plus the gap)."""
+    """All sessions split at gaps of a day: those that the watermark closed and those open at the end."""
     flags = ", ".join(f"CAST(sum(CAST(coalesce((tcp_flags & {m}) <> 0, false) AS INTEGER)) AS BIGINT) AS {n}"
                       for n, m in D.TCP_FLAG_MASKS)
     secs = "((max(us) - min(us)) / 1000000.0)"
@@ -125,36 +145,24 @@ g AS (SELECT flow_key, min(ts) AS flow_start, max(ts) + INTERVAL {DAY_S} SECONDS
             6)} AS flow_iat_mean,
         {flags}
       FROM s GROUP BY flow_key, sid)
-SELECT * FROM g WHERE flow_end <= (SELECT max(ts) FROM ip) - INTERVAL {DAY_S} SECONDS"""
+SELECT * FROM g"""
 
 
 @query("flow_rollup_stream", sql=_sessions_stream_sql)
 def q_flow_rollup_stream(spark, sf):
-    """Session windows (gap one day) with a one-day watermark; closed flows are appended."""
-    out = _stream_packets(spark, sf, "flows", lambda p: ST.session_rollup(p, gap=DAY, watermark=DAY))
+    """Session windows (gap one day) with a one-day watermark: closed flows are appended, those open at the end are
+    read from the state."""
+    out = _stream_packets(spark, sf, "flows", lambda p: ST.session_rollup(p, gap=DAY, watermark=DAY), left=ST.open_sessions)
     df = _read_back(spark, out, round6=("pkt_len_mean", "pkt_len_std", "pkt_len_var", "flow_byts_s", "flow_pkts_s"))
     return df.withColumn("flow_iat_mean", X.round_half_up("flow_iat_mean", 6))
 
 
-def _flow_state_sql() -> str:
-    """The batch flow rows (sessions split at gaps of a day, inter-arrival moments exact as the state keeps
-    them); a flow is emitted when a later packet of its
-    key opens the next flow, or when the final watermark (latest time seen minus the delay) passes its
-    last packet plus the gap."""
-    from netsieve.plans.q_windows import _rollup_sql
-
-    return f"""SELECT * EXCLUDE (_key_last, _all_last) FROM (
-  SELECT r.*, max(flow_end) OVER (PARTITION BY flow_key) AS _key_last, max(flow_end) OVER () AS _all_last
-  FROM ({_rollup_sql()}) r)
-WHERE flow_end < _key_last
-   OR epoch_ms(_all_last) - {DAY_S * 1000} > epoch_ms(flow_end) + {DAY_S * 1000}"""
-
-
-@query("flow_rollup_state", sql=_flow_state_sql)
+@query("flow_rollup_state", sql=_rollup_sql)
 def q_flow_rollup_state(spark, sf):
-    """The full flow row (forward / backward, rates, inter-arrival, flags) kept as streaming state; a flow
-    is appended once a later packet or the watermark closes it."""
-    out = _stream_packets(spark, sf, "flowstate", lambda p: ST.flow_state(p, gap_seconds=DAY_S, watermark=DAY))
+    """The full flow row (forward / backward, rates, inter-arrival, flags) kept as streaming state: appended once a later
+    packet or the watermark closes a flow, read from the state for those open at the end. All flows of ``flow_rollup``."""
+    out = _stream_packets(spark, sf, "flowstate", lambda p: ST.flow_state(p, gap_seconds=DAY_S, watermark=DAY),
+                          left=ST.open_flows)
     return _read_back(spark, out)
 
 

@@ -230,36 +230,67 @@ def buffer_state(packets: DataFrame, window_seconds: int = 60, cap: int = 1000,
         stateStructType=BUFFER_STATE, outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
 
 
+_FLAGS = [n for n, _ in D.TCP_FLAG_MASKS]
+# What the state of a session holds, in the order of its aggregates (the decimal sum has a second field).
+_SESSION_STATE = ("flow_key long, session struct<start: timestamp, end: timestamp>, n long, k long, s1 long, s2 decimal(38,0), "
+                  "s2_empty boolean, len_min int, len_max int, first_us long, last_us long, "
+                  + ", ".join(f"{f} long" for f in _FLAGS))
+
+
 def session_rollup(packets: DataFrame, gap: str = "60 seconds", watermark: str = "60 seconds") -> DataFrame:
     """Per-flow sessions over a stream (append mode: emitted when the watermark passes the session end).
 
     The flow-level metrics that are plain aggregates: packets, bytes, length
     stats, duration, rates, TCP flag counts, and the mean inter-arrival time
-    (the gaps of a session telescope to (last - first) / (n - 1)).
+    (the gaps of a session telescope to (last - first) / (n - 1)). Sessions still open when the stream stops are in its
+    state: ``open_sessions``.
     """
     p = packets.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    p = p.select("*", F.unix_micros("ts").alias("_us"), *X.tcp_flag_columns("tcp_flags"))
-    pl = F.col("pkt_len").cast("double")
+    x = F.col("pkt_len").cast("decimal(10,0)")
+    p = p.select("flow_key", "ts", "pkt_len", (x * x).cast("decimal(28,0)").alias("_sq"), F.unix_micros("ts").alias("_us"),
+                 *X.tcp_flag_columns("tcp_flags"))
     g = p.groupBy("flow_key", F.session_window("ts", gap).alias("session")).agg(
-        F.count(F.lit(1)).alias("n_packets"), F.sum("pkt_len").alias("total_bytes"),
-        F.min("pkt_len").alias("pkt_len_min"), F.max("pkt_len").alias("pkt_len_max"),
-        F.avg(pl).alias("pkt_len_mean"), F.stddev_pop(pl).alias("pkt_len_std"), F.var_pop(pl).alias("pkt_len_var"),
-        F.min("_us").alias("_first_us"), F.max("_us").alias("_last_us"),
-        *[F.sum(n).cast("long").alias(n) for n, _ in D.TCP_FLAG_MASKS])
-    dur = F.col("_last_us") - F.col("_first_us")
+        F.count(F.lit(1)).alias("n"), F.count("pkt_len").alias("k"), F.sum("pkt_len").alias("s1"), F.sum("_sq").alias("s2"),
+        F.min("pkt_len").alias("len_min"), F.max("pkt_len").alias("len_max"), F.min("_us").alias("first_us"),
+        F.max("_us").alias("last_us"), *[F.sum(f).cast("long").alias(f) for f in _FLAGS])
+    return _session_rows(g)
+
+
+def _session_rows(g: DataFrame) -> DataFrame:
+    """The metric row of each session from its sums."""
+    dur = F.col("last_us") - F.col("first_us")
     secs = dur / F.lit(1_000_000.0)
-    iat = F.when(F.col("n_packets") > 1, dur.cast("double") / (F.col("n_packets") - 1).cast("double") / F.lit(1000.0))
+    k, s1 = F.col("k"), F.col("s1").cast("decimal(38,0)")
+    spread = (k.cast("decimal(38,0)") * F.col("s2") - s1 * s1).cast("double")
+    iat = F.when(F.col("n") > 1, dur.cast("double") / (F.col("n") - 1).cast("double") / F.lit(1000.0))
     return g.select("flow_key", F.col("session.start").alias("flow_start"), F.col("session.end").alias("flow_end"),
-                    dur.alias("flow_duration"), "n_packets", "total_bytes", "pkt_len_min", "pkt_len_max",
-                    "pkt_len_mean", "pkt_len_std", "pkt_len_var",
-                    F.try_divide(F.col("total_bytes").cast("double"), secs).alias("flow_byts_s"),
-                    F.try_divide(F.col("n_packets").cast("double"), secs).alias("flow_pkts_s"),
-                    iat.alias("flow_iat_mean"), *[n for n, _ in D.TCP_FLAG_MASKS])
+                    dur.alias("flow_duration"), F.col("n").alias("n_packets"), F.col("s1").alias("total_bytes"),
+                    F.col("len_min").alias("pkt_len_min"), F.col("len_max").alias("pkt_len_max"),
+                    F.try_divide(F.col("s1").cast("double"), k.cast("double")).alias("pkt_len_mean"),
+                    F.try_divide(F.sqrt(spread), k.cast("double")).alias("pkt_len_std"),
+                    F.try_divide(spread, (k * k).cast("double")).alias("pkt_len_var"),
+                    F.try_divide(F.col("s1").cast("double"), secs).alias("flow_byts_s"),
+                    F.try_divide(F.col("n").cast("double"), secs).alias("flow_pkts_s"),
+                    iat.alias("flow_iat_mean"), *_FLAGS)
+
+
+def _state(spark: SparkSession, checkpoint: str, schema: str) -> DataFrame:
+    """The state that a stopped stream's last batch left behind, one row per key, named by ``schema``.
+
+    A distributed read of the state store (one task per state partition); the stream can go on from the same
+    checkpoint afterwards.
+    """
+    value = spark.read.format("statestore").load(checkpoint).select("value")
+    return value.select(F.col("value").cast(f"struct<{schema}>").alias("v")).select("v.*")
+
+
+def open_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The sessions that a stopped ``session_rollup`` stream has not emitted, as the rows it would emit now."""
+    return _session_rows(_state(spark, checkpoint, _SESSION_STATE))
 
 
 # ---------------------------------------------------------------- full flow rows as streaming state
 
-_FLAGS = [n for n, _ in D.TCP_FLAG_MASKS]
 # Running aggregates of a key's open flow: bounded state however long the flow runs. Length and gap
 # square sums are exact integers (gaps reach 8.6e10 µs, so their squares need decimals).
 _FLOW_STATE = ([("first_us", T.LongType()), ("last_us", T.LongType()), ("src0", T.StringType()),
@@ -416,7 +447,8 @@ def flow_state(packets: DataFrame, gap_seconds: int = 60, watermark: str = "60 s
     after its last one, or when the watermark passes its last packet plus the
     gap (event-time timeout). The state of a key is one row of running
     aggregates, so it stays bounded however long a flow lasts; packets of one
-    micro-batch are applied in event-time order.
+    micro-batch are applied in event-time order. Flows still open when the stream stops are in its state:
+    ``open_flows``.
     """
     p = packets.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     p = p.select("packet_id", "flow_key", "ts", F.unix_micros("ts").alias("ts_us"), "pkt_len", "src_ip", "protocol",
@@ -425,6 +457,17 @@ def flow_state(packets: DataFrame, gap_seconds: int = 60, watermark: str = "60 s
     s = p.groupBy("flow_key").applyInPandasWithState(
         _flow_fn(int(gap_seconds * 1_000_000)), outputStructType=FLOW_OUT, stateStructType=FLOW_STATE,
         outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
+    return _flow_rows(s)
+
+
+def open_flows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The flows that a stopped ``flow_state`` stream has not emitted, as the rows it would emit now."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return _flow_rows(state.select("key.flow_key", "value.groupState.*"))
+
+
+def _flow_rows(s: DataFrame) -> DataFrame:
+    """The metric row of each flow from its running aggregates."""
     secs = (F.col("last_us") - F.col("first_us")) / F.lit(1_000_000.0)
     div = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
     pop_std = lambda k, s1, q: F.sqrt((k.cast("decimal(38,0)") * q - s1.cast("decimal(38,0)") * s1).cast("double")) / k

@@ -40,7 +40,7 @@ def test_workflow_on_csv_folder(spark):
     assert {"test_duration_minutes", "test_start_time", "test_end_time"} <= set(summary.columns)
     assert len(summary.columns) == 8
 
-    packets = q_streaming._packets_in(spark, SF_SMALL)
+    packets = q_streaming.packet_drops(spark, SF_SMALL, "job")
     n_ip = spark.read.parquet(packets).where("coalesce(protocol, 0) <> 0").count()
     for scorer in (None, _keyword_scorer()):
         mon = scratch_dir(spark, "mon-out")
