@@ -45,12 +45,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
             .dropDuplicates(["_key"]).select(*COLUMNS))
 
 
-def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every line stays in its earliest row only, by id (a null id last) and text; n_chars follows the text."""
+def repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every line, and every run of repeated clauses, stays in its earliest row only, by id (a null id last) and text; n_chars
+    follows the text."""
     ship.ship(spark)
-    key = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"),
-                   F.xxhash64("text").alias("hash"))
-    got = unit_dedup.dedup_units(docs.withColumn("_key", key), "_key", carry=["doc_id", "lang", "source", "n_chars"])
+    got = unit_dedup.dedup_units(docs, carry=["lang", "source", "n_chars"])
     return _cleaned(got, F.col("n_removed") > 0, docs)
 
 
@@ -68,7 +67,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("substring dedup", repeated_lines),
+STAGES = [("quality rules", quality), ("n-gram Jaccard join", near_duplicates), ("substring dedup", repeated_units),
           ("mixing to target weights", mix), ("SentencePiece tokens", tokens)]
 
 #: The tokens cannot be computed in SQL; the operators of the stages have tests of their own.

@@ -23,8 +23,6 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A line in more than this many distinct texts of one host is boilerplate.
 MAX_TEXTS_PER_HOST = 10
-#: The registered query's SQL counts lines up to this length only, and exact copies as one text.
-MAX_LINE_WORDS = 20
 #: A document that keeps less than this share of its words is depleted.
 MIN_KEPT_SHARE = 0.3
 
@@ -47,21 +45,17 @@ def _worded_lines(buf: np.ndarray, off: np.ndarray, hashes: arrays.RangeHash, st
     return l_start, l_end, l_row, arrays.RangeHash(words).of(first, last), last - first, words
 
 
-def _lines(max_line_words: int | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, off in arrays.text_slices(batches, "text"):
-            start, end, _ = arrays.word_bounds(buf, off)
-            _, _, row, line, size, _ = _worded_lines(buf, off, arrays.byte_hash(buf), start, end)
-            if max_line_words is not None:
-                row, line = row[size <= max_line_words], line[size <= max_line_words]
-            # Each distinct line of a row once.
-            _, once = np.unique(arrays.mix(line ^ arrays.mix(row.astype(np.uint64), 3)), return_index=True)
-            order = once[np.argsort(row[once], kind="stable")]
-            yield pa.RecordBatch.from_arrays([
-                part.column(0), part.column(1), part.column(2),
-                arrays.list_array(line[order].view(np.int64), arrays.per_row(row[order], part.num_rows), pa.int64()),
-            ], names=["row_key", "text_key", "host", "lines"])
-    return run
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, buf, off in arrays.text_slices(batches, "text"):
+        start, end, _ = arrays.word_bounds(buf, off)
+        _, _, row, line, _, _ = _worded_lines(buf, off, arrays.byte_hash(buf), start, end)
+        # Each distinct line of a row once.
+        _, once = np.unique(arrays.mix(line ^ arrays.mix(row.astype(np.uint64), 3)), return_index=True)
+        order = once[np.argsort(row[once], kind="stable")]
+        yield pa.RecordBatch.from_arrays([
+            part.column(0), part.column(1),
+            arrays.list_array(line[order].view(np.int64), arrays.per_row(row[order], part.num_rows), pa.int64()),
+        ], names=["row_key", "host", "lines"])
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,14 +108,13 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                   max_texts: int = MAX_TEXTS_PER_HOST, min_share: float = MIN_KEPT_SHARE,
-                  max_line_words: int | None = None, carry: list[str] | None = None) -> DataFrame:
+                  carry: list[str] | None = None) -> DataFrame:
     """One row per input row: id, the ``carry`` columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_removed_words (words of removed lines), kept, kept_text (the text without the removed lines) and
     the removed character spans (starts, ends) in the input.
 
     A line of a host goes if more than ``max_texts`` texts of the host hold it; near
-    copies of a text count once. With ``max_line_words`` longer lines are not
-    counted, and only exact copies count once. A removed line goes with the newline after it.
+    copies of a text count once. A removed line goes with the newline after it.
 
     A null or empty text has no words and fails; a null id or host is a value of
     its own; repeated rows repeat with equal results; extra columns are not read; an empty
@@ -131,18 +124,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     held = F.struct(*[F.col(c) for c in carry or []], F.lit(True).alias("_held"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
                        F.col(host_col).cast("string").alias("host"), held.alias("carry"))
-    keys = {"row_key": F.xxhash64("id", "host", "text"), "text_key": F.xxhash64("text")}
-    rows = rows.withColumns(keys)
-    found = durable(rows.select("row_key", "text_key", "host", "text").mapInArrow(
-        _lines(max_line_words), "row_key long, text_key long, host string, lines array<long>"))
-    lines = found.select("host", "row_key", "text_key", F.explode("lines").alias("line"))
-    counted = lines
-    if max_line_words is None:
-        near = jaccard.jaccard_join(rows, "row_key", "text").select(
-            F.col("row_key").alias("n_key"), "component_id").distinct()
-        classes = found.select("host", "row_key", "lines").join(
-            near.hint("shuffle_hash"), F.col("row_key") == F.col("n_key"))
-        counted = classes.select("host", F.col("component_id").alias("text_key"), F.explode("lines").alias("line"))
+    rows = rows.withColumn("row_key", F.xxhash64("id", "host", "text"))
+    found = durable(rows.select("row_key", "host", "text").mapInArrow(_lines, "row_key long, host string, lines array<long>"))
+    lines = found.select("host", "row_key", F.explode("lines").alias("line"))
+    near = jaccard.jaccard_join(rows, "row_key", "text").select(
+        F.col("row_key").alias("n_key"), "component_id").distinct()
+    classes = found.select("host", "row_key", "lines").join(
+        near.hint("shuffle_hash"), F.col("row_key") == F.col("n_key"))
+    counted = classes.select("host", F.col("component_id").alias("text_key"), F.explode("lines").alias("line"))
     common = (counted.groupBy("host", "line", "text_key").agg(F.lit(1).alias("one"))
               .groupBy("host", "line").count().where(F.col("count") > max_texts)
               .select(F.col("host").alias("c_host"), F.col("line").alias("c_line")))

@@ -74,14 +74,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_nbsvm.score(docs, model, keep={"held_out": held_out})
 
 
+def _joined(numbers: str):
+    return F.array_join(F.col(numbers).cast("array<string>"), ",")
+
+
 @query("op5_unit_dedup", sql.UNIT_DEDUP)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The query's SQL has a floor.
-    got = unit_dedup.dedup_units(table(spark, sf_dir, "documents"), min_words=unit_dedup.MIN_UNIT_WORDS)
-    return got.select("doc_id", F.col("n_removed").cast("long").alias("n_removed"),
-                      F.array_join(F.col("starts").cast("array<string>"), ",").alias("removed_starts"),
-                      F.length("kept_text").cast("long").alias("kept_chars"),
-                      F.sha2("kept_text", 256).alias("kept_sha256"))
+    got = unit_dedup.dedup_units(table(spark, sf_dir, "documents"))
+    kept = F.coalesce("kept_text", F.lit(""))
+    return got.select("doc_id", F.col("n_removed").cast("long").alias("n_removed"), _joined("starts").alias("removed_starts"),
+                      _joined("ends").alias("removed_ends"), F.length(kept).cast("long").alias("kept_chars"), "kept_text",
+                      F.sha2(kept, 256).alias("kept_sha256"))
 
 
 @query("op6_mixing", sql.mixing_sql())
@@ -98,9 +101,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_quality_rules", sql.QUALITY_RULES)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The query's SQL counts short lines and exact copies only.
-    got = quality_rules.quality_rules(table(spark, sf_dir, "documents"), max_line_words=quality_rules.MAX_LINE_WORDS)
-    return got.drop("kept_text", "starts", "ends")
+    got = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return got.withColumns({"removed_starts": _joined("starts"), "removed_ends": _joined("ends")}).drop("starts", "ends")
 
 
 @query("op10_cross_polytope", sql.NEAR_VECTORS)

@@ -13,29 +13,91 @@ lines AS (
          unnest(string_split(coalesce(text, ''), chr(10))) AS line
   FROM documents)"""
 
+#: Lines, cut into clauses with the blanks behind them; U+E000 marks the cuts. A newline is a piece of its own.
 UNIT_DEDUP = rf"""
 WITH {_LINES},
-units AS (
-  SELECT *, trim(regexp_replace(line, '{GAP}', ' ', 'g')) AS norm,
-         sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY place) - length(line) - 1 AS start
-  FROM lines),
-ranked AS (
-  SELECT *, len(string_split(norm, ' ')) >= {ud.MIN_UNIT_WORDS} AS sized,
-         row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) AS nth
-  FROM units),
+norms AS (SELECT *, trim(regexp_replace(line, '{GAP}', ' ', 'g')) AS norm, max(place) OVER (PARTITION BY doc_id) AS places FROM lines),
 marked AS (
-  SELECT *, sized AND nth > 1 AS gone, max(place) OVER (PARTITION BY doc_id) AS places FROM ranked),
+  SELECT *, norm <> '' AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, place) > 1 AS gone FROM norms),
+cut AS (
+  SELECT doc_id, place, places, gone, string_split(regexp_replace(line, '([.!?,;:])([ \t]+)', '\1\2' || chr(57344), 'g'), chr(57344)) AS c
+  FROM marked),
+pieces AS (
+  SELECT doc_id, place, generate_subscripts(c, 1) AS k, unnest(c) AS piece, gone FROM cut
+  UNION ALL SELECT doc_id, place, len(c) + 1, chr(10), gone FROM cut WHERE place < places),
+clauses AS (
+  SELECT *, trim(regexp_replace(piece, '{GAP}', ' ', 'g')) AS norm,
+         coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY place, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM pieces),
+again AS (
+  SELECT doc_id, place, k, len(string_split(norm, ' ')) AS words, row_number() OVER (PARTITION BY norm ORDER BY doc_id, place, k) > 1 AS rep
+  FROM clauses WHERE norm <> ''),
+turns AS (SELECT *, sum((NOT rep)::INT) OVER (PARTITION BY doc_id ORDER BY place, k) AS run FROM again),
+long AS (
+  SELECT doc_id, place, k FROM turns WHERE rep
+  QUALIFY sum(words) OVER (PARTITION BY doc_id, run) >= {ud.RUN_WORDS}),
+judged AS (
+  SELECT c.doc_id, c.place, c.k, c.piece, c.pos, c.gone OR long.k IS NOT NULL AS out
+  FROM clauses c LEFT JOIN long ON c.doc_id = long.doc_id AND c.place = long.place AND c.k = long.k),
+spans AS (
+  SELECT *, out AND NOT coalesce(lag(out) OVER (PARTITION BY doc_id ORDER BY place, k), false) AS starts,
+         NOT out AND lag(out) OVER (PARTITION BY doc_id ORDER BY place, k) AS ends
+  FROM (SELECT * FROM judged WHERE piece <> '')),
 joined AS (
-  SELECT doc_id, count(*) FILTER (gone) AS n_removed,
-         coalesce(string_agg(start::BIGINT::VARCHAR, ',' ORDER BY place) FILTER (gone), '') AS removed_starts,
-         coalesce(string_agg(line || CASE WHEN place < places THEN chr(10) ELSE '' END, '' ORDER BY place)
-                  FILTER (NOT gone), '') AS kept
-  FROM marked GROUP BY doc_id)
-SELECT doc_id, n_removed, removed_starts, length(kept) AS kept_chars, sha256(kept) AS kept_sha256 FROM joined
+  SELECT doc_id, count(*) FILTER (starts) AS n_removed,
+         coalesce(string_agg(pos::BIGINT::VARCHAR, ',' ORDER BY place, k) FILTER (starts), '') AS removed_starts,
+         coalesce(string_agg(pos::BIGINT::VARCHAR, ',' ORDER BY place, k) FILTER (ends), '') AS inner_ends,
+         arg_max(out, (place, k)) AS open_end, max(pos + length(piece)) AS size,
+         coalesce(string_agg(piece, '' ORDER BY place, k) FILTER (NOT out), '') AS kept
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed_starts, '') AS removed_starts,
+       CASE WHEN open_end THEN CASE WHEN inner_ends = '' THEN '' ELSE inner_ends || ',' END || size::BIGINT::VARCHAR
+            ELSE coalesce(inner_ends, '') END AS removed_ends,
+       length(coalesce(kept, '')) AS kept_chars, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS kept_text,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN joined USING (doc_id)
+"""
+
+#: Reachable pairs (a, b) of the symmetric relation links(a, b) over nodes(id).
+_REACH = """
+reach AS (
+  SELECT id AS a, id AS b FROM nodes
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)"""
+
+#: Links between near copies, and what they reach.
+_COPIES = rf"""
+shingled AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+shingles AS (
+  SELECT doc_id, unnest(list_distinct(CASE
+    WHEN len(w) = 0 THEN [] WHEN len(w) < {ja.WORDS} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {ja.WORDS - 2}), lambda i: array_to_string(w[i:i + {ja.WORDS - 1}], ' ')) END)) AS g
+  FROM shingled),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b, c = p.n AND c = q.n AS same
+  FROM shared JOIN sizes p ON a = p.doc_id JOIN sizes q ON b = q.doc_id
+  WHERE c / (p.n + q.n - c) >= {ja.THRESHOLD}),
+nodes AS (SELECT doc_id AS id FROM documents), {_REACH}"""
+
+JACCARD = rf"""
+WITH RECURSIVE {_COPIES}
+SELECT id AS doc_id,
+       least(id, (SELECT min(b) FROM links WHERE a = id AND same)) AS class_id,
+       (SELECT count(*) FROM links WHERE a = id) AS n_links,
+       (SELECT min(b) FROM reach WHERE a = id) AS component_id,
+       id = (SELECT min(b) FROM reach WHERE a = id) AS kept
+FROM nodes
 """
 
 QUALITY_RULES = rf"""
-WITH texts AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+WITH RECURSIVE {_COPIES},
+copies AS (SELECT a AS doc_id, min(b) AS component FROM reach GROUP BY a),
+texts AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 words AS (SELECT *, regexp_extract_all(text, '{WORD}') AS w FROM texts),
 grams AS (
   SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
@@ -44,62 +106,43 @@ twice AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id
 repeats AS (
   SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
   FROM twice, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
-split AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM texts),
+split AS (
+  SELECT doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) AS place, unnest(string_split(text, chr(10))) AS line
+  FROM texts),
 lined AS (
   SELECT *, trim(regexp_replace(line, '{GAP}', ' ', 'g')) AS norm, len(regexp_extract_all(line, '{WORD}')) AS n
   FROM split WHERE regexp_matches(line, '{WORD}')),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM lined GROUP BY doc_id),
 common AS (
-  SELECT source, norm FROM lined WHERE n <= {qr.MAX_LINE_WORDS}
-  GROUP BY source, norm HAVING count(DISTINCT text) > {qr.MAX_TEXTS_PER_HOST}),
+  SELECT source, norm FROM lined JOIN copies USING (doc_id)
+  GROUP BY source, norm HAVING count(DISTINCT component) > {qr.MAX_TEXTS_PER_HOST}),
+gone AS (
+  SELECT doc_id, place, n
+  FROM lined JOIN common ON lined.source IS NOT DISTINCT FROM common.source AND lined.norm = common.norm),
+told AS (
+  SELECT s.doc_id, s.place, s.line, g.n, g.n IS NOT NULL AS out, max(s.place) OVER (PARTITION BY s.doc_id) AS places,
+         sum(length(s.line) + 1) OVER (PARTITION BY s.doc_id ORDER BY s.place) - length(s.line) - 1 AS pos
+  FROM split s LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.place = g.place),
 removed AS (
-  SELECT doc_id, sum(n)::BIGINT AS n_removed_words
-  FROM lined JOIN common ON lined.source IS NOT DISTINCT FROM common.source AND lined.norm = common.norm
-  GROUP BY doc_id),
+  SELECT doc_id, sum(n) FILTER (out)::BIGINT AS n_removed_words,
+         string_agg(pos::BIGINT::VARCHAR, ',' ORDER BY place) FILTER (out) AS removed_starts,
+         string_agg((pos + length(line))::BIGINT::VARCHAR, ',' ORDER BY place) FILTER (out) AS removed_ends,
+         string_agg(line || CASE WHEN place < places THEN chr(10) ELSE '' END, '' ORDER BY place) FILTER (NOT out) AS kept_text
+  FROM told GROUP BY doc_id),
 base AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, '')) AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
          coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-         coalesce(n_removed_words, 0)::BIGINT AS n_removed_words
+         coalesce(n_removed_words, 0)::BIGINT AS n_removed_words, coalesce(removed_starts, '') AS removed_starts,
+         coalesce(removed_ends, '') AS removed_ends, coalesce(kept_text, '') AS kept_text
   FROM words LEFT JOIN dups USING (doc_id) LEFT JOIN repeats USING (doc_id) LEFT JOIN removed USING (doc_id)),
 judged AS (
   SELECT *, n_words < {qr.MIN_WORDS} OR 100 * n_repeat_words > {qr.MAX_REPEAT_PERCENT} * n_words AS base_failed
   FROM base)
 SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       n_removed_words, NOT base_failed AND n_words - n_removed_words >= {qr.MIN_KEPT_SHARE} * n_words AS kept
-FROM judged
-"""
-
-#: Reachable pairs (a, b) of the symmetric relation links(a, b) over nodes(id).
-_REACH = """
-reach AS (
-  SELECT id AS a, id AS b FROM nodes
-  UNION
-  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)"""
-
-JACCARD = rf"""
-WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
-grams AS (
-  SELECT doc_id, unnest(list_distinct(CASE
-    WHEN len(w) = 0 THEN [] WHEN len(w) < {ja.WORDS} THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - {ja.WORDS - 2}), lambda i: array_to_string(w[i:i + {ja.WORDS - 1}], ' ')) END)) AS g
-  FROM words),
-sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
-common AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
-  FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
-links AS (
-  SELECT a, b, c = p.n AND c = q.n AS same
-  FROM common JOIN sizes p ON a = p.doc_id JOIN sizes q ON b = q.doc_id
-  WHERE c / (p.n + q.n - c) >= {ja.THRESHOLD}),
-nodes AS (SELECT doc_id AS id FROM documents), {_REACH}
-SELECT id AS doc_id,
-       least(id, (SELECT min(b) FROM links WHERE a = id AND same)) AS class_id,
-       (SELECT count(*) FROM links WHERE a = id) AS n_links,
-       (SELECT min(b) FROM reach WHERE a = id) AS component_id,
-       id = (SELECT min(b) FROM reach WHERE a = id) AS kept
-FROM nodes
+       n_removed_words, NOT base_failed AND n_words - n_removed_words >= {qr.MIN_KEPT_SHARE} * n_words AS kept,
+       removed_starts, removed_ends, CASE WHEN d.text IS NULL THEN NULL ELSE kept_text END AS kept_text
+FROM judged JOIN (SELECT doc_id, text FROM documents) d USING (doc_id)
 """
 
 NEAR_VECTORS = rf"""

@@ -1,10 +1,18 @@
-"""Op 5: substring dedup by line or paragraph hashing.
+"""Op 5: substring dedup by line (or paragraph) and clause hashing.
 
 Units are normalised (runs of white space become one space, ends trimmed) and
 hashed; digests are grouped over the whole corpus; the earliest occurrence by
 (id, position) stays and every later one is removed, with its offsets in
-the original text. Units of any length take part, empty ones do not. Two options
-keep short units, which may recur by chance: ``min_chars`` and ``min_words``.
+the original text. Lines of any length take part, empty ones do not. Two options
+keep short lines, which may recur by chance: ``min_chars`` and ``min_words``.
+
+A passage that repeats across documents often begins and ends inside lines. So lines are cut
+into clauses too (behind ``.!?,;:`` and a blank), whose digests are grouped alike. A clause
+alone recurs by chance; repeated clauses go only where a run of neighbours has at least
+``run_words`` words together. On the 10,000 documents of scale 0.1, in documents that hold a run of 51 words of
+an earlier one, lines alone cover 19 % of the words of such runs, lines and sentences 56 %, lines and
+clauses 68 % (what is left is mostly one word over and over); the clause rule touches 7 % of the
+documents without such a run. ``run_words=1`` removes every repeated clause, ``run_words=None`` none.
 """
 
 from __future__ import annotations
@@ -19,10 +27,15 @@ from pyspark.sql import DataFrame, functions as F
 from netsieve.llm import arrays
 from netsieve.llm.components import durable
 
-#: The floor of the registered query's SQL.
-MIN_UNIT_WORDS = 5
+#: Words that a run of neighbouring repeated clauses needs to be removed.
+RUN_WORDS = 20
 #: What ends a unit.
 ENDS = {"line": re.compile("\n"), "paragraph": re.compile("\n[ \t]*\n[ \t\n]*")}
+#: What ends a clause; the blanks go with the clause, a newline stays.
+CLAUSE_END = re.compile("(?<=[.!?,;:])[ \t]+|\n")
+_WORD = re.compile(r"[^ \t\n\v\f\r]+")
+_STOP = np.zeros(256, bool)
+_STOP[list(b".!?,;:")] = True
 
 
 def _bounds(buf: np.ndarray, off: np.ndarray, unit: str):
@@ -39,46 +52,91 @@ def _bounds(buf: np.ndarray, off: np.ndarray, unit: str):
     return np.array(starts, np.int64), np.array(ends, np.int64), np.array(rows, np.int64)
 
 
-def _digests(unit: str, min_words: int, min_chars: int):
+def _clause_bounds(buf: np.ndarray, off: np.ndarray):
+    """Start, end and row of each clause."""
+    start, end, row = arrays.line_bounds(buf, off)
+    blank = (buf == 32) | (buf == 9)
+    solid = np.maximum.accumulate(np.where(blank, -1, np.arange(len(buf)))) if len(buf) else np.zeros(0, np.int64)
+    at = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1  # behind a run of blanks
+    before = solid[at - 1]
+    of = np.searchsorted(off, at, side="right") - 1
+    cut = (before >= off[of]) & _STOP[buf[np.maximum(before, 0)]]
+    at, of = at[cut], of[cut]
+    start, end, row = np.concatenate([start, at]), np.concatenate([end, at]), np.concatenate([row, of])
+    # A cut ends the clause before it and begins the next; an empty line's bounds are equal, so ends sort as starts do.
+    return start[np.lexsort((start, row))], end[np.lexsort((end, row))], np.sort(row)
+
+
+def _digests(unit: str, min_words: int, min_chars: int, clauses: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, off in arrays.text_slices(batches, "text"):
-            start, end, row = _bounds(buf, off, unit)
             w_start, w_end, _ = arrays.word_bounds(buf, off)
             words = arrays.byte_hash(buf).of(w_start, w_end)
-            first, last = np.searchsorted(w_start, start), np.searchsorted(w_start, end)
-            place = np.arange(len(row)) - arrays.per_row(row, part.num_rows)[row]
-            use = last - first >= max(min_words, 1)
-            if min_chars > 1:
-                # Characters of the normalised unit: those of its words, and a space between two.
-                heads = np.concatenate([[0], np.cumsum(~arrays.SPACE[buf] & ((buf & 0xC0) != 0x80))])
-                use &= heads[end] - heads[start] + last - first - 1 >= min_chars
-            first, last, row, place = first[use], last[use], row[use], place[use]
-            two = [arrays.RangeHash(arrays.mix(words, salt)).of(first, last).view(np.int64) for salt in (11, 12)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), *map(pa.array, two)],
-                names=["id", "place", "h1", "h2"])
+            for kind in range(1 + clauses):
+                start, end, row = _clause_bounds(buf, off) if kind else _bounds(buf, off, unit)
+                first, last = np.searchsorted(w_start, start), np.searchsorted(w_start, end)
+                if kind:  # clauses are numbered among those with a word
+                    full = last > first
+                    start, end, row, first, last = (x[full] for x in (start, end, row, first, last))
+                place = np.arange(len(row)) - arrays.per_row(row, part.num_rows)[row]
+                use = last - first >= (1 if kind else max(min_words, 1))
+                if min_chars > 1 and not kind:
+                    # Characters of the normalised unit: those of its words, and a space between two.
+                    heads = np.concatenate([[0], np.cumsum(~arrays.SPACE[buf] & ((buf & 0xC0) != 0x80))])
+                    use &= heads[end] - heads[start] + last - first - 1 >= min_chars
+                first, last, row, place = first[use], last[use], row[use], place[use]
+                two = [arrays.RangeHash(arrays.mix(words, 2 * kind + salt)).of(first, last).view(np.int64) for salt in (11, 12)]
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(k).take(rows) for k in range(3)), pa.array((2 * place + kind).astype(np.int64)),
+                     *map(pa.array, two)], names=["id", "r1", "r2", "place", "h1", "h2"])
     return run
 
 
-def _cut(unit: str):
+def _spans(text: str, places: list[int], unit: str, run_words: int | None) -> list[tuple[int, int]]:
+    """Character spans to remove, in order, without overlaps or contact."""
+    gone, spans, pos = set(places), [], 0
+    for k, m in enumerate([*ENDS[unit].finditer(text), None]):
+        after = m.end() if m else len(text)
+        if 2 * k in gone:
+            spans.append((pos, after))
+        pos = after
+    if run_words is not None:
+        pos, k, held, words = 0, 0, [], 0
+        for m in [*CLAUSE_END.finditer(text), None]:
+            stop, after = (m.start(), m.end()) if m else (len(text), len(text))
+            n = len(_WORD.findall(text, pos, stop))
+            if n:
+                if 2 * k + 1 in gone:
+                    held.append((pos, stop if m is None or m.group() == "\n" else after))
+                    words += n
+                else:
+                    if words >= run_words:
+                        spans += held
+                    held, words = [], 0
+                k += 1
+            pos = after
+        if words >= run_words:
+            spans += held
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _cut(unit: str, run_words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 kept, starts, ends = [], [], []
                 for text, places in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    if not places:
-                        kept.append(text), starts.append([]), ends.append([])
-                        continue
-                    gone, pieces, spans, pos = set(places), [], [], 0
-                    for k, m in enumerate([*ENDS[unit].finditer(text), None]):
-                        stop, after = (m.start(), m.end()) if m else (len(text), len(text))
-                        if k in gone:
-                            spans.append((pos, stop))
-                        else:
-                            pieces.append(text[pos:after])
-                        pos = after
-                    kept.append("".join(pieces))
+                    spans = _spans(text, places, unit, run_words) if places else []
+                    edges = [0, *(x for s in spans for x in s), len(text or "")]
+                    kept.append("".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])) if spans else text)
                     starts.append([a for a, _ in spans])
                     ends.append([b for _, b in spans])
                 yield pa.RecordBatch.from_arrays(
@@ -87,37 +145,50 @@ def _cut(unit: str):
     return run
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    """Rows as (id, text, ...) with two hashes that tell them apart by id and text."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *more)
+    return rows.withColumns({f"r{k}": F.xxhash64(F.lit(k), "id", "text") for k in (1, 2)})
+
+
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line",
-                   min_words: int = 1, min_chars: int = 1) -> DataFrame:
-    """(id, places array<int>): positions of the units to remove, for the documents that have any."""
+                   min_words: int = 1, min_chars: int = 1, clauses: bool = True) -> DataFrame:
+    """(r1, r2, places array<long>): units that occur earlier, for the rows that have any; line k is 2 * k, worded clause k
+    is 2 * k + 1."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    units = durable(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-                    .where("id is not null")
-                    .mapInArrow(_digests(unit, min_words, min_chars), f"id {id_type}, place int, h1 long, h2 long"))
-    first = (units.groupBy("h1", "h2").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n"))
+    units = durable(_keyed(docs, id_col, text_col).where("text is not null").select("id", "r1", "r2", "text")
+                    .mapInArrow(_digests(unit, min_words, min_chars, clauses),
+                                f"id {id_type}, r1 long, r2 long, place long, h1 long, h2 long"))
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "r1", "r2", "place")
+    first = (units.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
              .where("n > 1").select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first"))
     return (units.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")))
-            .where((F.col("id") != F.col("first.id")) | (F.col("place") != F.col("first.place")))
-            .groupBy("id").agg(F.collect_set("place").alias("places")))
+            .where((F.col("r1") != F.col("first.r1")) | (F.col("r2") != F.col("first.r2")) | (F.col("place") != F.col("first.place")))
+            .groupBy("r1", "r2").agg(F.collect_set("place").alias("places")))
 
 
 def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line",
-                min_words: int = 1, min_chars: int = 1, carry: list[str] | None = None) -> DataFrame:
-    """One row per input row: id, the ``carry`` columns, kept_text, n_removed and the removed character spans (starts, ends) in the input.
-
-    Units below ``min_words`` words or ``min_chars`` characters stay; by default every unit with a word takes part.
-    A removed unit goes with the separator after it. A null text stays null, an
-    empty one empty, both without spans. Rows with a null id take no part and
-    keep their text. Rows that share an id are one document: a unit is removed at
-    the same position in all of them, and the earliest position stays. Extra
+                min_words: int = 1, min_chars: int = 1, run_words: int | None = RUN_WORDS,
+                carry: list[str] | None = None) -> DataFrame:
+    """One row per input row: id, the ``carry`` columns, kept_text, n_removed and the removed character spans (starts, ends) in
+    the input; kept_text is the input without them.
+
+    Lines below ``min_words`` words or ``min_chars`` characters stay; by default every line with a word takes part. A
+    removed line goes with the newline after it, a removed clause with the blanks after it. A null text stays
+    null, an empty one empty, both without spans. The earliest occurrence is that of the smallest id (a null id comes
+    last), then text hash, then position. Rows equal in id and text are one document: what is removed from one is
+    removed from all, and the earliest position stays in all. Extra
     columns are not read; an empty table gives no rows; texts are taken whole.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    gone = repeated_units(docs, id_col, text_col, unit, min_words, min_chars).withColumnRenamed("id", "g_id")
+    gone = repeated_units(docs, id_col, text_col, unit, min_words, min_chars, run_words is not None)
+    gone = gone.select(F.col("r1").alias("g1"), F.col("r2").alias("g2"), "places")
     held = F.struct(*[F.col(c) for c in carry or []], F.lit(True).alias("_held"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held.alias("carry"))
-    joined = rows.join(gone.hint("shuffle_hash"), rows["id"] == gone["g_id"], "left").select("id", "text", "places", "carry")
+    rows = _keyed(docs, id_col, text_col, held.alias("carry"))
+    joined = (rows.join(gone.hint("shuffle_hash"), (F.col("r1") == F.col("g1")) & (F.col("r2") == F.col("g2")), "left")
+              .select("id", "text", "places", "carry"))
     held_type = rows.schema["carry"].dataType.simpleString()
-    return (joined.mapInArrow(_cut(unit), f"id {id_type}, carry {held_type}, kept_text string, starts array<int>, ends array<int>")
+    return (joined.mapInArrow(_cut(unit, run_words),
+                              f"id {id_type}, carry {held_type}, kept_text string, starts array<int>, ends array<int>")
             .select(F.col("id").alias(id_col), *[F.col(f"carry.{c}").alias(c) for c in carry or []], "kept_text",
                     F.size("starts").alias("n_removed"), "starts", "ends"))

@@ -110,11 +110,62 @@ def test_jaccard_large_family_in_blocks(spark, monkeypatch):
 
 
 def test_units_keep_the_earliest_and_offsets(docs):
-    got = {r["doc_id"]: r for r in unit_dedup.dedup_units(docs).collect()}
+    rows = unit_dedup.dedup_units(docs).collect()
+    got = {r["doc_id"]: r for r in rows}
     text = ROWS[5][1]
-    assert [text[a:b] for a, b in zip(got[6]["starts"], got[6]["ends"])] == [LINE]
+    assert [text[a:b] for a, b in zip(got[6]["starts"], got[6]["ends"])] == [f"{LINE}\n"]
     assert got[7]["kept_text"] == "été" and got[4]["kept_text"] is None and got[5]["kept_text"] == ""
-    assert got[None]["kept_text"] == PROSE and got[2]["kept_text"] == ""
+    assert got[None]["kept_text"] == "" and got[2]["kept_text"] == ""  # a null id comes last
+    assert [r["kept_text"] for r in rows if r["doc_id"] == 8] == ["x" * 30000] * 2  # equal rows are one document
+
+
+def brute_units(rows, run_words):
+    """Texts without later lines and without runs of later clauses, by plain dictionaries."""
+    import re
+
+    lines, clauses, out = {}, {}, {}
+    for d, text in sorted(rows):
+        gone = [False] * len(text)
+        at = 0
+        for line in text.split("\n"):
+            norm = " ".join(line.split())
+            if norm and lines.setdefault(norm, (d, at)) != (d, at):
+                gone[at: at + len(line) + 1] = [True] * len(text[at: at + len(line) + 1])
+            at += len(line) + 1
+        pieces = [(m.start(), m.end(), " ".join(m.group().split()))
+                  for m in re.finditer(r"(?:[^\n]*?[.!?,;:][ \t]+)|[^\n]+", text)]
+        run = []
+        for a, b, norm in [p for p in pieces if p[2]] + [(0, 0, None)]:
+            if norm is not None and clauses.setdefault(norm, (d, a)) != (d, a):
+                run.append((a, b, norm))
+                continue
+            if sum(len(n.split()) for _, _, n in run) >= run_words:
+                for x, y, _ in run:
+                    gone[x:y] = [True] * (y - x)
+            run = []
+        out[d] = "".join(c for c, g in zip(text, gone) if not g)
+    return out
+
+
+@pytest.mark.parametrize("run_words", [1, 6, 20])
+def test_passages_inside_lines_equal_brute_force(spark, run_words):
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(300)] + ["日本語", "été"]
+
+    def prose(n):
+        return "".join(f"{w}{rng.choice(['', '', '', '', ',', '.', '; ', '!\t'])} " + rng.choice(["", "", "", "", "", "", "\n"])
+                       for w in rng.choice(words, n))
+
+    passage = "One passage of many words, that begins inside a line; and ends inside one: " + prose(55)
+    rows = [(k, prose(40) + (passage if k % 3 == 0 else "") + prose(30)) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in unit_dedup.dedup_units(df, run_words=run_words).collect()}
+    assert {k: r["kept_text"] for k, r in got.items()} == brute_units(rows, run_words)
+    for k, text in rows:
+        spans = list(zip(got[k]["starts"], got[k]["ends"]))
+        assert "".join(text[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(text)])) == got[k]["kept_text"]
+    if run_words == 20:
+        assert all(sum(b - a for a, b in zip(r["starts"], r["ends"])) > 0.7 * len(passage) for k, r in got.items() if k % 3 == 0 and k)
 
 
 def test_units_of_any_length_and_without_spaces(spark):
@@ -126,6 +177,17 @@ def test_units_of_any_length_and_without_spaces(spark):
         1: rows[0][1], 2: "new\n\n}\nhome "}
 
 
+def test_long_notices_are_counted(spark):
+    notice = " ".join(f"notice{k}" for k in range(30))
+    rows = [(i, " ".join(f"t{i}x{k}" for k in range(60)) + f"\n{notice}\nend {i}", "h") for i in range(40)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sum(r["n_removed_words"] for r in got) == 1200 and all(r["kept"] for r in got)
+    for r in got:
+        text = rows[r["doc_id"]][1]
+        assert r["kept_text"] == text.replace(f"{notice}\n", "")
+        assert [text[a:b] for a, b in zip(r["starts"], r["ends"])] == [notice]
+
+
 def test_quality_rules_reject_depleted_documents(spark):
     menu = "home about contact news imprint"
     rows = [(i, f"{menu}\n{menu}\n" * 6 + " ".join(f"t{i}x{k}" for k in range(5)), "h") for i in range(30)]
@@ -171,7 +233,7 @@ def test_pipeline_verdicts_follow_the_row(spark):
     assert sorted(got, key=repr) == sorted([(None, text[0]), (7, text[1]), (7, text[2]), (8, text[3])], key=repr)
     rows = [(None, "a line\nnull one"), (None, "a line\nnull two\nnull one"), (3, "shared\na line"), (3, "shared\nb line")]
     docs = spark.createDataFrame([(i, t, "en", "h", len(t)) for i, t in rows], docs.schema)
-    got = corpus_pipeline.repeated_lines(spark, docs, "").collect()
+    got = corpus_pipeline.repeated_units(spark, docs, "").collect()
     lines = [x for r in got for x in r["text"].split("\n") if x]
     assert sorted(lines) == ["a line", "b line", "null one", "null two", "shared"] and len(got) == 4
     assert all("a line" not in r["text"] for r in got if r["doc_id"] is None)
