@@ -1,10 +1,12 @@
-"""Alert texts as Column expressions: templates as data, filled with ``replace``.
+"""Alert texts as Column expressions: templates as data, each cut once into its literal and value pieces.
 
-Each placeholder value is described once (``VALUES``) and compiled either to
-a Spark Column (the engine) or to a SQL expression (the DuckDB oracle), so the
-two can only differ where the engines differ. A placeholder whose value is
-null is filled with a sentinel; a text that still carries it falls back to the
-fallback alert, as the original does when a metric is missing.
+A text is one ``concat`` of the pieces of its template; where the attack type chooses among
+templates, one ``CASE`` holds their concats, so a row pays for the text it gets alone, and a
+value that looks like a placeholder stays as it is. Each placeholder value is described once
+(``VALUES``) and compiled either to a Spark Column (the engine) or to a SQL expression (the DuckDB oracle), so the
+two can only differ where the engines differ. A missing value makes the whole text null: the alert text then
+falls back to the fallback alert, as the original does when a metric is missing; a detail block of its own
+shows ``{NULL}`` in its place.
 
 Input columns of an alert record: protocol, src_port, dst_port, flow_byts_s,
 flow_pkts_s, flow_iat_mean, fwd_header_len, bwd_header_len, rst_flag_cnt,
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from netsieve.functions import domains as D
 from netsieve.functions import templates as TPL
+from netsieve.functions.textops import spelled, sql_word_count, word_count
 
 NULL = "{NULL}"
 
@@ -127,11 +130,11 @@ def spark_value(name: str) -> Column:
     if kind == "f2":
         return F.when(_c(spec[1]).isNotNull(), F.format_string("%.2f", _c(spec[1]).cast("double")))
     if kind == "raw":
-        return _c(spec[1]).cast("string")
+        return spelled(_c(spec[1]))
     if kind == "diff":
-        return (_c(spec[1]) - _c(spec[2])).cast("string")
+        return spelled(_c(spec[1]) - _c(spec[2]))
     if kind == "sum":
-        return (_c(spec[1]) + _c(spec[2])).cast("string")
+        return spelled(_c(spec[1]) + _c(spec[2]))
     if kind == "pick":
         x = _c(spec[1])
         return F.when(x.isNull(), F.lit(None)).when(_cmp(x, spec[2], spec[3]), F.lit(spec[4])).otherwise(F.lit(spec[5]))
@@ -173,10 +176,28 @@ def _lookup(key: Column, table: dict[str, str], default: str) -> Column:
     return F.coalesce(F.try_element_at(m, key), F.lit(default))
 
 
-def _fill(text: Column, names: list[str], values: dict[str, Column]) -> Column:
-    for n in names:
-        text = F.replace(text, F.lit("{" + n + "}"), F.coalesce(values[n], F.lit(NULL)))
-    return text
+def _pieces(template: str, names) -> list[tuple[bool, str]]:
+    """(is a value, literal text or placeholder name) pieces of a template; only ``names`` are placeholders."""
+    parts = re.split(r"\{([a-z_0-9]+)\}", template)
+    out = [(k % 2 == 1, x) for k, x in enumerate(parts)]
+    return [(v and x in names, x if not v or x in names else "{" + x + "}") for v, x in out if v or x]
+
+
+def _compile(template: str, values: dict[str, Column]) -> Column:
+    """The template filled in: one concat; null if a value is."""
+    return F.concat(*[values[x] if is_value else F.lit(x) for is_value, x in _pieces(template, values)])
+
+
+def _choose(key: Column, table: dict[str, str], default: str, values: dict[str, Column]) -> Column:
+    """The template that ``key`` names, filled in: one CASE of concats."""
+    out = None
+    for k, template in table.items():
+        out = (F if out is None else out).when(key == F.lit(k), _compile(template, values))
+    return _compile(default, values) if out is None else out.otherwise(_compile(default, values))
+
+
+def _shown(values: dict[str, Column]) -> dict[str, Column]:
+    return {n: F.coalesce(v, F.lit(NULL)) for n, v in values.items()}
 
 
 def _values(names) -> dict[str, Column]:
@@ -198,14 +219,14 @@ def threat_text() -> Column:
 def alert_detail() -> Column:
     at = F.coalesce(_c("attack_label"), F.lit("Unknown"))
     names = placeholders(TPL.DETAIL_DEFAULT, *TPL.DETAIL.values())
-    return _fill(_lookup(at, TPL.DETAIL, TPL.DETAIL_DEFAULT), names, _values(names))
+    return _choose(at, TPL.DETAIL, TPL.DETAIL_DEFAULT, _shown(_values(names)))
 
 
 @functools.cache
 def alert_detail2() -> Column:
     at = F.coalesce(_c("attack_label"), F.lit("Unknown"))
     names = placeholders(TPL.DETAIL2_DEFAULT, *TPL.DETAIL2.values())
-    return _fill(_lookup(at, TPL.DETAIL2, TPL.DETAIL2_DEFAULT), names, _values(names))
+    return _choose(at, TPL.DETAIL2, TPL.DETAIL2_DEFAULT, _shown(_values(names)))
 
 
 @functools.cache
@@ -218,50 +239,54 @@ def alert_fallback() -> Column:
         F.concat(F.lit("ports "), src, F.lit(" → "), dst))
     vals = {"port_info": port_info, "attack_type": at,
             "score": F.format_string("%.2f", F.coalesce(_c("slm_score").cast("double"), F.lit(0.0)))}
-    parts = {}
-    for i, part in enumerate(("threat", "mitigation", "impact")):
-        parts[part] = _lookup(at, {k: v[i] for k, v in TPL.FALLBACK.items()}, TPL.FALLBACK_DEFAULT[i])
-    parts["threat"] = _fill(parts["threat"], ["port_info", "score", "attack_type"], vals)
-    return _fill(F.lit(TPL.FALLBACK_TEXT), ["threat", "mitigation", "impact"], parts)
+    whole = {k: _inserted(TPL.FALLBACK_TEXT, v) for k, v in TPL.FALLBACK.items()}
+    return _choose(at, whole, _inserted(TPL.FALLBACK_TEXT, TPL.FALLBACK_DEFAULT), vals)
+
+
+def _inserted(frame: str, parts: tuple[str, str, str]) -> str:
+    """A text template with the threat, mitigation and impact templates in their places."""
+    for name, part in zip(("threat", "mitigation", "impact"), parts):
+        frame = frame.replace("{" + name + "}", part)
+    return frame
 
 
 @functools.cache
 def alert_text() -> Column:
     """The intended alert: THREAT / details / MITIGATION / IMPACT; fallback when a metric is missing."""
     at = F.coalesce(_c("attack_label"), F.lit("Unknown"))
-    parts = {
-        "threat": threat_text(),
-        "details": alert_detail(),
+    names = placeholders(TPL.DETAIL_DEFAULT, *TPL.DETAIL.values())
+    return F.coalesce(_alert_frame(at, _choose(at, TPL.DETAIL, TPL.DETAIL_DEFAULT, _values(names))), alert_fallback())
+
+
+def _alert_frame(at: Column, details: Column) -> Column:
+    return _compile(TPL.ALERT_TEXT, {
+        "threat": threat_text(), "details": details,
         "mitigation": _lookup(at, TPL.MITIGATION, TPL.MITIGATION_DEFAULT),
-        "impact": _lookup(at, TPL.IMPACT, TPL.IMPACT_DEFAULT),
-    }
-    text = _fill(F.lit(TPL.ALERT_TEXT), ["threat", "details", "mitigation", "impact"], parts)
-    return F.when(F.instr(text, NULL) > 0, alert_fallback()).otherwise(text)
+        "impact": _lookup(at, TPL.IMPACT, TPL.IMPACT_DEFAULT)})
 
 
-def _example_parts(at: Column) -> dict[str, Column]:
-    names = placeholders(*[v[0] for v in TPL.EXAMPLE.values()])
-    vals = _values(names)
+def _example_parts(at: Column, values: dict[str, Column] | None = None) -> dict[str, Column]:
+    vals = values or _values(placeholders(*[v[0] for v in TPL.EXAMPLE.values()]))
     desc = {k: v[0] for k, v in TPL.EXAMPLE.items() if k != "Unknown"}
     mit = {k: "\n".join("• " + s for s in v[1]) for k, v in TPL.EXAMPLE.items() if k != "Unknown"}
     imp = {k: v[2] for k, v in TPL.EXAMPLE.items() if k != "Unknown"}
     unk = TPL.EXAMPLE["Unknown"]
     return {
-        "threat": _fill(_lookup(at, desc, unk[0]), names, vals),
+        "threat": _choose(at, desc, unk[0], _shown(vals)),
         "mitigation": _lookup(at, mit, "\n".join("• " + s for s in unk[1])),
         "impact": _lookup(at, imp, unk[2]),
     }
 
 
-def alert_confidence(confidence: Column) -> Column:
+def alert_confidence(confidence: Column, values: dict[str, Column] | None = None) -> Column:
     """Severity-headed alert with a confidence value and the second detail block."""
     at = F.coalesce(_c("attack_label"), F.lit("Unknown"))
-    parts = _example_parts(at)
-    parts["severity"] = spark_value("severity")
+    parts = _example_parts(at, values)
+    parts["severity"] = F.coalesce(spark_value("severity"), F.lit(NULL))
     parts["confidence"] = F.format_string("%.2f", F.coalesce(confidence.cast("double"), F.lit(0.0)))
-    parts["details"] = alert_detail2()
-    return _fill(F.lit(TPL.CONFIDENCE_TEXT),
-                 ["severity", "threat", "confidence", "details", "mitigation", "impact"], parts)
+    values = values or _values(placeholders(TPL.DETAIL2_DEFAULT, *TPL.DETAIL2.values()))
+    parts["details"] = _choose(at, TPL.DETAIL2, TPL.DETAIL2_DEFAULT, _shown(values))
+    return _compile(TPL.CONFIDENCE_TEXT, parts)
 
 
 @functools.cache
@@ -270,25 +295,28 @@ def alert_generic() -> Column:
             "src_port": F.coalesce(_c("src_port").cast("string"), F.lit("Unknown")),
             "protocol": F.coalesce(_c("protocol").cast("string"), F.lit("Unknown")),
             "attack_type": F.coalesce(_c("attack_label"), F.lit("Unknown"))}
-    return _fill(F.lit(TPL.GENERIC_TEXT), list(vals), vals)
+    return _compile(TPL.GENERIC_TEXT, vals)
 
 
 def prompt_classifier(attack_type: Column) -> Column:
     vals = {"protocol": _c("protocol").cast("string"), "src_port": _c("src_port").cast("string"),
             "dst_port": _c("dst_port").cast("string"), "attack_type": attack_type}
-    return _fill(F.lit(TPL.PROMPT_CLASSIFIER), list(vals), vals)
+    return _compile(TPL.PROMPT_CLASSIFIER, _shown(vals))
 
 
-def prompt_summary(max_words: int = 512, cut_chars: int = 1024) -> Column:
+def prompt_summary() -> Column:
+    """The whole prompt, whatever its length; ``prompt_words`` tells what a model with a limit has to cut."""
     vals = {"protocol": _c("protocol").cast("string"), "src_port": _c("src_port").cast("string"),
             "dst_port": _c("dst_port").cast("string"),
             "slm_label": F.coalesce(_c("slm_label"), F.lit("None")),
             "slm_score": F.format_string("%.2f", F.coalesce(_c("slm_score").cast("double"), F.lit(0.0))),
             "binary": F.when(F.coalesce(_c("binary_pred"), F.lit(False)), F.lit("Malicious")).otherwise(F.lit("Benign")),
             "attack_type": F.coalesce(_c("attack_label"), F.lit("Not Triggered"))}
-    p = _fill(F.lit(TPL.PROMPT_SUMMARY), list(vals), vals)
-    from netsieve.functions.textops import word_count
-    return F.when(word_count(p) > max_words, F.substring(p, 1, cut_chars)).otherwise(p)
+    return _compile(TPL.PROMPT_SUMMARY, _shown(vals))
+
+
+def prompt_words() -> Column:
+    return word_count(prompt_summary()).cast("long")
 
 
 def alert_metrics(df: DataFrame) -> DataFrame:
@@ -296,84 +324,40 @@ def alert_metrics(df: DataFrame) -> DataFrame:
     return df.select("row_id", *[spark_value(n).alias(n) for n in METRIC_LABELS])
 
 
-# ---------------------------------------------------------------- staged DataFrame forms
-#
-# The Column forms above inline every placeholder value into one expression.
-# For whole tables the staged forms compute each value once as a column, fill
-# the chosen template from column references, and test the finished text for
-# the sentinel without evaluating it twice.
-
-
-def _stage_values(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.select("*", *_value_columns(tuple(names)))
-
-
-def _fill_cols(text: Column, names: list[str]) -> Column:
-    for n in names:
-        text = F.replace(text, F.lit("{" + n + "}"), F.coalesce(F.col(f"_v_{n}"), F.lit(NULL)))
-    return text
-
-
-def _drop_stage(df: DataFrame, keep: str | None = None) -> DataFrame:
-    return df.drop(*[c for c in df.columns if (c.startswith("_v_") or c.startswith("_t_")) and c != keep])
+# ---------------------------------------------------------------- DataFrame forms
 
+#: Values that most templates show: columns of their own, so that their long expressions are not in every branch.
+_SHARED = ("protocol_name", "port_analysis", "impact_level", "traffic_pattern")
 
-@functools.cache
-def _detail_fill(second: bool) -> tuple[list[str], Column]:
-    table, default = (TPL.DETAIL2, TPL.DETAIL2_DEFAULT) if second else (TPL.DETAIL, TPL.DETAIL_DEFAULT)
-    names = placeholders(default, *table.values())
-    at = F.coalesce(_c("attack_label"), F.lit("Unknown"))
-    return names, _fill_cols(_lookup(at, table, default), names)
 
-
-@functools.cache
-def _value_columns(names: tuple[str, ...]) -> list[Column]:
-    return [spark_value(n).alias(f"_v_{n}") for n in names]
+def _staged(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with the shared values, and those of doubles spelled out, as columns; and all values."""
+    doubles = {c for c, t in df.dtypes if t in ("double", "float")}
+    staged = [n for n in names if n in _SHARED or VALUES[n][0] in ("raw", "sum", "diff") and doubles.intersection(VALUES[n][1:])]
+    values = {n: F.col(f"_v_{n}") if n in staged else spark_value(n) for n in names}
+    return df.withColumns({f"_v_{n}": spark_value(n) for n in staged}), values
 
 
 def add_alert_detail(df: DataFrame, out: str = "alert_detail", second: bool = False) -> DataFrame:
-    names, filled = _detail_fill(second)
-    d = _stage_values(df, names)
-    return _drop_stage(d.withColumn(out, filled), keep=out)
-
-
-@functools.cache
-def _text_fill() -> tuple[Column, Column]:
+    table, default = (TPL.DETAIL2, TPL.DETAIL2_DEFAULT) if second else (TPL.DETAIL, TPL.DETAIL_DEFAULT)
+    d, values = _staged(df, placeholders(default, *table.values()))
     at = F.coalesce(_c("attack_label"), F.lit("Unknown"))
-    parts = {"threat": threat_text(), "details": F.col("_t_detail"),
-             "mitigation": _lookup(at, TPL.MITIGATION, TPL.MITIGATION_DEFAULT),
-             "impact": _lookup(at, TPL.IMPACT, TPL.IMPACT_DEFAULT)}
-    text = _fill(F.lit(TPL.ALERT_TEXT), ["threat", "details", "mitigation", "impact"], parts)
-    final = F.when(F.instr(F.col("_t_text"), NULL) > 0, alert_fallback()).otherwise(F.col("_t_text"))
-    return text, final
+    return d.select(*df.columns, _choose(at, table, default, _shown(values)).alias(out))
 
 
 def add_alert_text(df: DataFrame, out: str = "alert_text") -> DataFrame:
-    """Staged form of ``alert_text``."""
-    text, final = _text_fill()
-    d = add_alert_detail(df, "_t_detail")
-    return _drop_stage(d.withColumn("_t_text", text).withColumn(out, final))
+    """``alert_text`` as a column."""
+    d, values = _staged(df, placeholders(TPL.DETAIL_DEFAULT, *TPL.DETAIL.values()))
+    at = F.coalesce(_c("attack_label"), F.lit("Unknown"))
+    text = _alert_frame(at, _choose(at, TPL.DETAIL, TPL.DETAIL_DEFAULT, values))
+    return d.select(*df.columns, F.coalesce(text, alert_fallback()).alias(out))
 
 
 def add_alert_confidence(df: DataFrame, confidence: Column, out: str = "alert_confidence") -> DataFrame:
-    """Staged form of ``alert_confidence``."""
-    at = F.coalesce(_c("attack_label"), F.lit("Unknown"))
-    d = add_alert_detail(df, "_t_detail", second=True)
-    names = placeholders(*[v[0] for v in TPL.EXAMPLE.values()])
-    d = _stage_values(d, names)
-    unk = TPL.EXAMPLE["Unknown"]
-    parts = {
-        "threat": _fill_cols(_lookup(at, {k: v[0] for k, v in TPL.EXAMPLE.items() if k != "Unknown"}, unk[0]), names),
-        "mitigation": _lookup(at, {k: "\n".join("• " + x for x in v[1]) for k, v in TPL.EXAMPLE.items()
-                                   if k != "Unknown"}, "\n".join("• " + x for x in unk[1])),
-        "impact": _lookup(at, {k: v[2] for k, v in TPL.EXAMPLE.items() if k != "Unknown"}, unk[2]),
-        "severity": spark_value("severity"),
-        "confidence": F.format_string("%.2f", F.coalesce(confidence.cast("double"), F.lit(0.0))),
-        "details": F.col("_t_detail"),
-    }
-    d = d.withColumn(out, _fill(F.lit(TPL.CONFIDENCE_TEXT),
-                                ["severity", "threat", "confidence", "details", "mitigation", "impact"], parts))
-    return _drop_stage(d)
+    """``alert_confidence`` as a column."""
+    descriptions = [v[0] for v in TPL.EXAMPLE.values()]
+    d, values = _staged(df, placeholders(TPL.DETAIL2_DEFAULT, *TPL.DETAIL2.values(), *descriptions))
+    return d.select(*df.columns, alert_confidence(confidence, values).alias(out))
 
 
 # ---------------------------------------------------------------- SQL side (oracle)
@@ -450,7 +434,7 @@ def sql_value(name: str) -> str:
     if kind == "f2":
         return f"(CASE WHEN {spec[1]} IS NOT NULL THEN printf('%.2f', CAST({spec[1]} AS DOUBLE)) END)"
     if kind == "raw":
-        return f"CAST({spec[1]} AS VARCHAR)"
+        return f"CAST({spec[1]} AS VARCHAR)"  # the shortest digits, as the original prints them
     if kind == "diff":
         return f"CAST({spec[1]} - {spec[2]} AS VARCHAR)"
     if kind == "sum":
@@ -468,10 +452,17 @@ def _sql_lookup(key: str, table: dict[str, str], default: str) -> str:
     return f"(CASE {key} {cases} ELSE {_q(default)} END)"
 
 
-def _sql_fill(text: str, names: list[str], values: dict[str, str]) -> str:
-    for n in names:
-        text = f"replace({text}, {_q('{' + n + '}')}, coalesce({values[n]}, {_q(NULL)}))"
-    return text
+def _sql_compile(template: str, values: dict[str, str]) -> str:
+    return "(" + " || ".join(values[x] if v else _q(x) for v, x in _pieces(template, values)) + ")"
+
+
+def _sql_choose(key: str, table: dict[str, str], default: str, values: dict[str, str]) -> str:
+    cases = " ".join(f"WHEN {_q(k)} THEN {_sql_compile(v, values)}" for k, v in table.items())
+    return f"(CASE {key} {cases} ELSE {_sql_compile(default, values)} END)"
+
+
+def _sql_shown(values: dict[str, str]) -> dict[str, str]:
+    return {n: f"coalesce({v}, {_q(NULL)})" for n, v in values.items()}
 
 
 def _sql_values(names) -> dict[str, str]:
@@ -491,12 +482,12 @@ def sql_threat_text() -> str:
 
 def sql_alert_detail() -> str:
     names = placeholders(TPL.DETAIL_DEFAULT, *TPL.DETAIL.values())
-    return _sql_fill(_sql_lookup(AT, TPL.DETAIL, TPL.DETAIL_DEFAULT), names, _sql_values(names))
+    return _sql_choose(AT, TPL.DETAIL, TPL.DETAIL_DEFAULT, _sql_shown(_sql_values(names)))
 
 
 def sql_alert_detail2() -> str:
     names = placeholders(TPL.DETAIL2_DEFAULT, *TPL.DETAIL2.values())
-    return _sql_fill(_sql_lookup(AT, TPL.DETAIL2, TPL.DETAIL2_DEFAULT), names, _sql_values(names))
+    return _sql_choose(AT, TPL.DETAIL2, TPL.DETAIL2_DEFAULT, _sql_shown(_sql_values(names)))
 
 
 def sql_alert_fallback() -> str:
@@ -506,19 +497,16 @@ def sql_alert_fallback() -> str:
                          f"ELSE 'ports ' || {src} || ' → ' || {dst} END)",
             "attack_type": AT,
             "score": "printf('%.2f', coalesce(CAST(slm_score AS DOUBLE), 0.0))"}
-    parts = {}
-    for i, part in enumerate(("threat", "mitigation", "impact")):
-        parts[part] = _sql_lookup(AT, {k: v[i] for k, v in TPL.FALLBACK.items()}, TPL.FALLBACK_DEFAULT[i])
-    parts["threat"] = _sql_fill(parts["threat"], ["port_info", "score", "attack_type"], vals)
-    return _sql_fill(_q(TPL.FALLBACK_TEXT), ["threat", "mitigation", "impact"], parts)
+    whole = {k: _inserted(TPL.FALLBACK_TEXT, v) for k, v in TPL.FALLBACK.items()}
+    return _sql_choose(AT, whole, _inserted(TPL.FALLBACK_TEXT, TPL.FALLBACK_DEFAULT), vals)
 
 
 def sql_alert_text() -> str:
-    parts = {"threat": sql_threat_text(), "details": sql_alert_detail(),
+    names = placeholders(TPL.DETAIL_DEFAULT, *TPL.DETAIL.values())
+    parts = {"threat": sql_threat_text(), "details": _sql_choose(AT, TPL.DETAIL, TPL.DETAIL_DEFAULT, _sql_values(names)),
              "mitigation": _sql_lookup(AT, TPL.MITIGATION, TPL.MITIGATION_DEFAULT),
              "impact": _sql_lookup(AT, TPL.IMPACT, TPL.IMPACT_DEFAULT)}
-    text = _sql_fill(_q(TPL.ALERT_TEXT), ["threat", "details", "mitigation", "impact"], parts)
-    return f"(CASE WHEN instr({text}, {_q(NULL)}) > 0 THEN {sql_alert_fallback()} ELSE {text} END)"
+    return f"coalesce({_sql_compile(TPL.ALERT_TEXT, parts)}, {sql_alert_fallback()})"
 
 
 def sql_example_parts() -> dict[str, str]:
@@ -528,18 +516,17 @@ def sql_example_parts() -> dict[str, str]:
     mit = {k: "\n".join("• " + s for s in v[1]) for k, v in TPL.EXAMPLE.items() if k != "Unknown"}
     imp = {k: v[2] for k, v in TPL.EXAMPLE.items() if k != "Unknown"}
     unk = TPL.EXAMPLE["Unknown"]
-    return {"threat": _sql_fill(_sql_lookup(AT, desc, unk[0]), names, vals),
+    return {"threat": _sql_choose(AT, desc, unk[0], _sql_shown(vals)),
             "mitigation": _sql_lookup(AT, mit, "\n".join("• " + s for s in unk[1])),
             "impact": _sql_lookup(AT, imp, unk[2])}
 
 
 def sql_alert_confidence(confidence: str) -> str:
     parts = sql_example_parts()
-    parts["severity"] = sql_severity()
+    parts["severity"] = f"coalesce({sql_severity()}, {_q(NULL)})"
     parts["confidence"] = f"printf('%.2f', coalesce(CAST({confidence} AS DOUBLE), 0.0))"
     parts["details"] = sql_alert_detail2()
-    return _sql_fill(_q(TPL.CONFIDENCE_TEXT), ["severity", "threat", "confidence", "details", "mitigation", "impact"],
-                     parts)
+    return _sql_compile(TPL.CONFIDENCE_TEXT, parts)
 
 
 def sql_alert_generic() -> str:
@@ -547,21 +534,23 @@ def sql_alert_generic() -> str:
             "src_port": "coalesce(CAST(src_port AS VARCHAR), 'Unknown')",
             "protocol": "coalesce(CAST(protocol AS VARCHAR), 'Unknown')",
             "attack_type": AT}
-    return _sql_fill(_q(TPL.GENERIC_TEXT), list(vals), vals)
+    return _sql_compile(TPL.GENERIC_TEXT, vals)
 
 
 def sql_prompt_classifier(attack_type: str) -> str:
     vals = {"protocol": "CAST(protocol AS VARCHAR)", "src_port": "CAST(src_port AS VARCHAR)",
             "dst_port": "CAST(dst_port AS VARCHAR)", "attack_type": attack_type}
-    return _sql_fill(_q(TPL.PROMPT_CLASSIFIER), list(vals), vals)
+    return _sql_compile(TPL.PROMPT_CLASSIFIER, _sql_shown(vals))
 
 
-def sql_prompt_summary(max_words: int = 512, cut_chars: int = 1024) -> str:
+def sql_prompt_summary() -> str:
     vals = {"protocol": "CAST(protocol AS VARCHAR)", "src_port": "CAST(src_port AS VARCHAR)",
             "dst_port": "CAST(dst_port AS VARCHAR)", "slm_label": "coalesce(slm_label, 'None')",
             "slm_score": "printf('%.2f', coalesce(CAST(slm_score AS DOUBLE), 0.0))",
             "binary": "(CASE WHEN coalesce(binary_pred, false) THEN 'Malicious' ELSE 'Benign' END)",
             "attack_type": "coalesce(attack_label, 'Not Triggered')"}
-    p = _sql_fill(_q(TPL.PROMPT_SUMMARY), list(vals), vals)
-    from netsieve.functions.textops import sql_word_count
-    return f"(CASE WHEN {sql_word_count(p)} > {max_words} THEN substring({p}, 1, {cut_chars}) ELSE {p} END)"
+    return _sql_compile(TPL.PROMPT_SUMMARY, _sql_shown(vals))
+
+
+def sql_prompt_words() -> str:
+    return f"CAST({sql_word_count(sql_prompt_summary())} AS BIGINT)"

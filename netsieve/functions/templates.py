@@ -1,148 +1,127 @@
 """Alert and example text templates, kept as data.
 
 FIXED VALUES — the wording below must equal the original alert texts so the
-generated strings agree. Placeholders are written ``{name}`` and filled by
-``netsieve.functions.alerts`` with a chain of ``replace`` calls, so no text is
-formatted for a template the row does not use.
+generated strings agree. Placeholders are written ``{name}``; ``netsieve.functions.alerts``
+cuts each text once into its literal and value pieces.
 """
 
 from __future__ import annotations
 
-_I = "        - "  # indentation of the detail lines of the intended alert
-
 # FIXED VALUES: detail block of the intended alert, per attack type (default: Unknown).
 DETAIL = {
-    "DoS Slowhttptest": "\n".join([
-        "Attack Details:",
-        _I + "Connection Hold Time: {iat_mean} ms",
-        _I + "Request Rate: {packet_rate} requests/sec",
-        _I + "Traffic Pattern: {volume_pattern}",
-        _I + "Protocol: {protocol_name}",
-        _I + "{port_analysis}",
-        _I + "Attack Vector: {dos_vector}",
-        _I + "Impact Level: {impact_level}",
-        _I + "Attack Signature: Slow HTTP headers",
-    ]),
-    "DDoS": "\n".join([
-        "Attack Details:",
-        _I + "Flow Rate: {flow_rate} bytes/sec",
-        _I + "Packet Rate: {packet_rate} packets/sec",
-        _I + "Protocol: {protocol_name}",
-        _I + "{port_analysis}",
-        _I + "Connection Pattern: {traffic_pattern}",
-        _I + "SYN Flags: {syn_flags}",
-        _I + "RST Flags: {rst_flags}",
-        _I + "Impact Level: {impact_level}",
-        _I + "Attack Vector: {syn_vector}",
-    ]),
-    "FTP-Patator": "\n".join([
-        "Attack Details:",
-        _I + "Attack Rate: {packet_rate} attempts/sec",
-        _I + "Protocol: {protocol_name}",
-        _I + "{port_analysis}",
-        _I + "Failed Connections: {rst_flags}",
-        _I + "Connection Pattern: {rate_pattern}",
-        _I + "Impact Level: {impact_level}",
-        _I + "Forward Packets: {tot_fwd_pkts}",
-        _I + "Backward Packets: {tot_bwd_pkts}",
-        _I + "Attack Vector: FTP Brute Force",
-    ]),
-    "SSH-Patator": "\n".join([
-        "Attack Details:",
-        _I + "Attack Rate: {packet_rate} attempts/sec",
-        _I + "Protocol: {protocol_name}",
-        _I + "{port_analysis}",
-        _I + "Failed Connections: {rst_flags}",
-        _I + "Connection Pattern: {rate_pattern}",
-        _I + "Impact Level: {impact_level}",
-        _I + "Forward Packets: {tot_fwd_pkts}",
-        _I + "Backward Packets: {tot_bwd_pkts}",
-        _I + "Attack Vector: SSH Brute Force",
-    ]),
-    "Web Attack Brute Force": "\n".join([
-        "Attack Details:",
-        _I + "Attack Rate: {packet_rate} attempts/sec",
-        _I + "Protocol: {protocol_name}",
-        _I + "{port_analysis}",
-        _I + "Header Length: {fwd_header_len} bytes",
-        _I + "Response Size: {bwd_pkt_len_mean} bytes",
-        _I + "Connection Pattern: {rate_pattern}",
-        _I + "Impact Level: {impact_level}",
-        _I + "Attack Vector: Web Authentication Brute Force",
-    ]),
-    "Web Attack XSS": "\n".join([
-        "Attack Details:",
-        _I + "Request Rate: {packet_rate} requests/sec",
-        _I + "Protocol: {protocol_name}",
-        _I + "{port_analysis}",
-        _I + "Payload Size: {fwd_pkt_len_mean} bytes",
-        _I + "Response Size: {bwd_pkt_len_mean} bytes",
-        _I + "Impact Level: {impact_level}",
-        _I + "Pattern: {payload_pattern}",
-        _I + "Attack Vector: Cross-Site Scripting",
-    ]),
-    "Web Attack Sql Injection": "\n".join([
-        "Attack Details:",
-        _I + "Request Rate: {packet_rate} requests/sec",
-        _I + "Protocol: {protocol_name}",
-        _I + "{port_analysis}",
-        _I + "Query Size: {fwd_pkt_len_mean} bytes",
-        _I + "Response Size: {bwd_pkt_len_mean} bytes",
-        _I + "Impact Level: {impact_level}",
-        _I + "Pattern: {query_pattern}",
-        _I + "Attack Vector: SQL Injection",
-    ]),
-    "DoS Hulk": "\n".join([
-        "Attack Details:",
-        _I + "Flow Rate: {flow_rate} bytes/sec",
-        _I + "Protocol: {protocol_name}",
-        _I + "{port_analysis}",
-        _I + "Request Rate: {packet_rate} requests/sec",
-        _I + "Connection Pattern: {traffic_pattern}",
-        _I + "Impact Level: {impact_level}",
-        _I + "Attack Vector: HTTP Flood",
-    ]),
-    "DoS GoldenEye": "\n".join([
-        "Attack Details:",
-        _I + "Flow Rate: {flow_rate} bytes/sec",
-        _I + "Protocol: {protocol_name}",
-        _I + "{port_analysis}",
-        _I + "Request Rate: {packet_rate} requests/sec",
-        _I + "Connection Pattern: {traffic_pattern}",
-        _I + "Keep-alive Connections: {syn_flags}",
-        _I + "Impact Level: {impact_level}",
-        _I + "Attack Vector: Resource Exhaustion",
-    ]),
-    "DoS Slowloris": "\n".join([
-        "Attack Details:",
-        _I + "Connection Hold Time: {iat_mean} ms",
-        _I + "Protocol: {protocol_name}",
-        _I + "{port_analysis}",
-        _I + "Active Connections: {active_connections}",
-        _I + "Request Rate: {packet_rate} requests/sec",
-        _I + "Impact Level: {impact_level}",
-        _I + "Attack Vector: Connection Pool Exhaustion",
-    ]),
+    "DoS Slowhttptest": """Attack Details:
+        - Connection Hold Time: {iat_mean} ms
+        - Request Rate: {packet_rate} requests/sec
+        - Traffic Pattern: {volume_pattern}
+        - Protocol: {protocol_name}
+        - {port_analysis}
+        - Attack Vector: {dos_vector}
+        - Impact Level: {impact_level}
+        - Attack Signature: Slow HTTP headers""",
+    "DDoS": """Attack Details:
+        - Flow Rate: {flow_rate} bytes/sec
+        - Packet Rate: {packet_rate} packets/sec
+        - Protocol: {protocol_name}
+        - {port_analysis}
+        - Connection Pattern: {traffic_pattern}
+        - SYN Flags: {syn_flags}
+        - RST Flags: {rst_flags}
+        - Impact Level: {impact_level}
+        - Attack Vector: {syn_vector}""",
+    "FTP-Patator": """Attack Details:
+        - Attack Rate: {packet_rate} attempts/sec
+        - Protocol: {protocol_name}
+        - {port_analysis}
+        - Failed Connections: {rst_flags}
+        - Connection Pattern: {rate_pattern}
+        - Impact Level: {impact_level}
+        - Forward Packets: {tot_fwd_pkts}
+        - Backward Packets: {tot_bwd_pkts}
+        - Attack Vector: FTP Brute Force""",
+    "SSH-Patator": """Attack Details:
+        - Attack Rate: {packet_rate} attempts/sec
+        - Protocol: {protocol_name}
+        - {port_analysis}
+        - Failed Connections: {rst_flags}
+        - Connection Pattern: {rate_pattern}
+        - Impact Level: {impact_level}
+        - Forward Packets: {tot_fwd_pkts}
+        - Backward Packets: {tot_bwd_pkts}
+        - Attack Vector: SSH Brute Force""",
+    "Web Attack Brute Force": """Attack Details:
+        - Attack Rate: {packet_rate} attempts/sec
+        - Protocol: {protocol_name}
+        - {port_analysis}
+        - Header Length: {fwd_header_len} bytes
+        - Response Size: {bwd_pkt_len_mean} bytes
+        - Connection Pattern: {rate_pattern}
+        - Impact Level: {impact_level}
+        - Attack Vector: Web Authentication Brute Force""",
+    "Web Attack XSS": """Attack Details:
+        - Request Rate: {packet_rate} requests/sec
+        - Protocol: {protocol_name}
+        - {port_analysis}
+        - Payload Size: {fwd_pkt_len_mean} bytes
+        - Response Size: {bwd_pkt_len_mean} bytes
+        - Impact Level: {impact_level}
+        - Pattern: {payload_pattern}
+        - Attack Vector: Cross-Site Scripting""",
+    "Web Attack Sql Injection": """Attack Details:
+        - Request Rate: {packet_rate} requests/sec
+        - Protocol: {protocol_name}
+        - {port_analysis}
+        - Query Size: {fwd_pkt_len_mean} bytes
+        - Response Size: {bwd_pkt_len_mean} bytes
+        - Impact Level: {impact_level}
+        - Pattern: {query_pattern}
+        - Attack Vector: SQL Injection""",
+    "DoS Hulk": """Attack Details:
+        - Flow Rate: {flow_rate} bytes/sec
+        - Protocol: {protocol_name}
+        - {port_analysis}
+        - Request Rate: {packet_rate} requests/sec
+        - Connection Pattern: {traffic_pattern}
+        - Impact Level: {impact_level}
+        - Attack Vector: HTTP Flood""",
+    "DoS GoldenEye": """Attack Details:
+        - Flow Rate: {flow_rate} bytes/sec
+        - Protocol: {protocol_name}
+        - {port_analysis}
+        - Request Rate: {packet_rate} requests/sec
+        - Connection Pattern: {traffic_pattern}
+        - Keep-alive Connections: {syn_flags}
+        - Impact Level: {impact_level}
+        - Attack Vector: Resource Exhaustion""",
+    "DoS Slowloris": """Attack Details:
+        - Connection Hold Time: {iat_mean} ms
+        - Protocol: {protocol_name}
+        - {port_analysis}
+        - Active Connections: {active_connections}
+        - Request Rate: {packet_rate} requests/sec
+        - Impact Level: {impact_level}
+        - Attack Vector: Connection Pool Exhaustion""",
 }
-DETAIL_DEFAULT = "\n".join([
-    "Attack Details:",
-    _I + "Flow Rate: {flow_rate} bytes/sec",
-    _I + "Packet Rate: {packet_rate} packets/sec",
-    _I + "Protocol: {protocol_name}",
-    _I + "{port_analysis}",
-    _I + "Connection Pattern: {traffic_pattern}",
-    _I + "Forward Packets: {tot_fwd_pkts}",
-    _I + "Backward Packets: {tot_bwd_pkts}",
-    _I + "Alert Confidence: {slm_score}",
-])
+DETAIL_DEFAULT = """Attack Details:
+        - Flow Rate: {flow_rate} bytes/sec
+        - Packet Rate: {packet_rate} packets/sec
+        - Protocol: {protocol_name}
+        - {port_analysis}
+        - Connection Pattern: {traffic_pattern}
+        - Forward Packets: {tot_fwd_pkts}
+        - Backward Packets: {tot_bwd_pkts}
+        - Alert Confidence: {slm_score}"""
 
 # FIXED VALUES: mitigation and impact of the intended alert (default: Unknown).
 MITIGATION = {
-    "DoS Slowhttptest": "• Configure aggressive timeout policies\n• Implement request rate limiting\n"
-                        "• Enable mod_reqtimeout\n• Monitor server resources",
+    "DoS Slowhttptest": """• Configure aggressive timeout policies
+• Implement request rate limiting
+• Enable mod_reqtimeout
+• Monitor server resources""",
 }
-MITIGATION_DEFAULT = ("• Enable enhanced monitoring\n• Update security signatures\n"
-                      "• Review system logs\n• Implement additional filtering")
+MITIGATION_DEFAULT = """• Enable enhanced monitoring
+• Update security signatures
+• Review system logs
+• Implement additional filtering"""
 IMPACT = {"DoS Slowhttptest": "Web server resources being exhausted through connection pool depletion"}
 IMPACT_DEFAULT = "Potential security risk requiring investigation and monitoring"
 
@@ -150,140 +129,112 @@ ALERT_TEXT = "THREAT: {threat}\n\n{details}\n\nMITIGATION:\n{mitigation}\n\nIMPA
 
 # FIXED VALUES: second detail block (severity alert), per attack type.
 DETAIL2 = {
-    "DDoS": "\n".join([
-        "Attack Details:",
-        "• Flow Rate: {flow_rate} bytes/sec",
-        "• Packet Rate: {packet_rate} packets/sec",
-        "• Average Flow Interval: {iat_mean} ms",
-        "• Traffic Pattern: {traffic_pattern}",
-        "• Protocol: {protocol}",
-        "• SYN Flags: {syn_flags} (potential SYN flood indicators)",
-        "• RST Flags: {rst_flags} (connection reset attempts)",
-    ]),
-    "DoS Hulk": "\n".join([
-        "Attack Details:",
-        "• HTTP Request Rate: {packet_rate} requests/sec",
-        "• Traffic Volume: {flow_rate} bytes/sec",
-        "• Connection Pattern: {hulk_pattern} traffic",
-        "• Target Port: {dst_port}",
-        "• Header Size: {fwd_header_len} bytes (forward), {bwd_header_len} bytes (backward)",
-        "• Attack Signature: High-volume HTTP POST floods",
-    ]),
-    "Bot": "\n".join([
-        "Attack Details:",
-        "• Bot Behavior Pattern: {traffic_pattern}",
-        "• Traffic Volume: {flow_rate} bytes/sec",
-        "• Connection Interval: {iat_mean} ms",
-        "• Command Channel: Port {src_port}",
-        "• Connection Attempts: {syn_flags} SYN flags",
-        "• Failed Connections: {rst_flags} RST flags",
-        "• Automated Pattern: {bot_pattern}",
-    ]),
-    "FTP-Patator": "\n".join([
-        "Attack Details:",
-        "• Authentication Attempts Rate: {packet_rate} tries/sec",
-        "• Connection Pattern: {ftp_pattern}",
-        "• Target FTP Port: {dst_port}",
-        "• Protocol Violations: {rst_flags} RST flags",
-        "• Connection Attempts: {syn_flags} SYN flags",
-        "• Traffic Volume: {flow_rate} bytes/sec",
-    ]),
-    "SSH-Patator": "\n".join([
-        "Attack Details:",
-        "• Login Attempt Rate: {packet_rate} attempts/sec",
-        "• Connection Pattern: {ssh_pattern}",
-        "• Target SSH Port: {dst_port}",
-        "• Failed Connections: {rst_flags} RST flags",
-        "• New Connection Attempts: {syn_flags} SYN flags",
-        "• Average Attempt Interval: {iat_mean} ms",
-    ]),
-    "Infiltration": "\n".join([
-        "Attack Details:",
-        "• Infiltration Pattern: {traffic_pattern}",
-        "• Data Flow Rate: {flow_rate} bytes/sec",
-        "• Connection Behavior: {iat_mean} ms intervals",
-        "• Protocol Used: {protocol}",
-        "• Suspicious Headers: {header_sum} total bytes",
-        "• Connection Attempts: {syn_flags} initiations",
-        "• Anomalous Terminations: {rst_flags} resets",
-    ]),
-    "DoS Slowhttptest": "\n".join([
-        "Attack Details:",
-        "• Connection Hold Time: {iat_mean} ms",
-        "• Request Rate: {packet_rate} requests/sec",
-        "• Traffic Pattern: Low-and-slow attack signature",
-        "• Target Port: {dst_port}",
-        "• Header Manipulation: {fwd_header_len} bytes",
-        "• Active Connections: {active_connections} maintained",
-        "• Connection Strategy: Partial HTTP requests",
-    ]),
-    "DoS GoldenEye": "\n".join([
-        "Attack Details:",
-        "• Attack Intensity: {flow_rate} bytes/sec",
-        "• Request Frequency: {packet_rate} packets/sec",
-        "• Connection Pattern: {goldeneye_pattern}",
-        "• Target Service: Port {dst_port}",
-        "• HTTP Headers: {fwd_header_len} bytes",
-        "• Connection Floods: {syn_flags} attempts",
-        "• Resource Exhaustion: {exhaustion_level}",
-    ]),
-    "DoS Slowloris": "\n".join([
-        "Attack Details:",
-        "• Connection Hold Pattern: {iat_mean} ms intervals",
-        "• Active Connections: {active_connections} maintained",
-        "• Target Web Port: {dst_port}",
-        "• Traffic Pattern: Low bandwidth, high connection count",
-        "• Header Size: {fwd_header_len} bytes",
-        "• Connection Strategy: Keep-alive abuse",
-        "• Resource Impact: Connection pool exhaustion",
-    ]),
-    "Web Attack Brute Force": "\n".join([
-        "Attack Details:",
-        "• Authentication Attempt Rate: {packet_rate} tries/sec",
-        "• Request Pattern: {traffic_pattern}",
-        "• Target Port: {dst_port}",
-        "• Request Size: {fwd_header_len} bytes",
-        "• Response Size: {bwd_header_len} bytes",
-        "• Failed Attempts: {rst_flags} connection resets",
-        "• Attack Signature: Repetitive POST requests",
-    ]),
-    "Web Attack XSS": "\n".join([
-        "Attack Details:",
-        "• Injection Attempt Rate: {packet_rate} requests/sec",
-        "• Payload Size: {flow_rate} bytes/sec",
-        "• Target Service: Port {dst_port}",
-        "• Request Headers: {fwd_header_len} bytes",
-        "• Script Pattern: {xss_pattern}",
-        "• Attack Vector: HTTP GET/POST with script injection",
-    ]),
-    "Web Attack Sql Injection": "\n".join([
-        "Attack Details:",
-        "• SQL Attempt Pattern: {traffic_pattern}",
-        "• Payload Size: {flow_rate} bytes/sec",
-        "• Request Rate: {packet_rate} requests/sec",
-        "• Target Port: {dst_port}",
-        "• Query Length: {fwd_header_len} bytes",
-        "• Attack Vector: {sql_pattern} SQL patterns",
-        "• Response Size: {bwd_header_len} bytes",
-    ]),
-    "Benign": "\n".join([
-        "Traffic Details:",
-        "• Flow Rate: {flow_rate} bytes/sec",
-        "• Packet Rate: {packet_rate} packets/sec",
-        "• Protocol: {protocol}",
-        "• Connection Pattern: Normal",
-        "• Port Usage: {src_port} → {dst_port}",
-    ]),
+    "DDoS": """Attack Details:
+• Flow Rate: {flow_rate} bytes/sec
+• Packet Rate: {packet_rate} packets/sec
+• Average Flow Interval: {iat_mean} ms
+• Traffic Pattern: {traffic_pattern}
+• Protocol: {protocol}
+• SYN Flags: {syn_flags} (potential SYN flood indicators)
+• RST Flags: {rst_flags} (connection reset attempts)""",
+    "DoS Hulk": """Attack Details:
+• HTTP Request Rate: {packet_rate} requests/sec
+• Traffic Volume: {flow_rate} bytes/sec
+• Connection Pattern: {hulk_pattern} traffic
+• Target Port: {dst_port}
+• Header Size: {fwd_header_len} bytes (forward), {bwd_header_len} bytes (backward)
+• Attack Signature: High-volume HTTP POST floods""",
+    "Bot": """Attack Details:
+• Bot Behavior Pattern: {traffic_pattern}
+• Traffic Volume: {flow_rate} bytes/sec
+• Connection Interval: {iat_mean} ms
+• Command Channel: Port {src_port}
+• Connection Attempts: {syn_flags} SYN flags
+• Failed Connections: {rst_flags} RST flags
+• Automated Pattern: {bot_pattern}""",
+    "FTP-Patator": """Attack Details:
+• Authentication Attempts Rate: {packet_rate} tries/sec
+• Connection Pattern: {ftp_pattern}
+• Target FTP Port: {dst_port}
+• Protocol Violations: {rst_flags} RST flags
+• Connection Attempts: {syn_flags} SYN flags
+• Traffic Volume: {flow_rate} bytes/sec""",
+    "SSH-Patator": """Attack Details:
+• Login Attempt Rate: {packet_rate} attempts/sec
+• Connection Pattern: {ssh_pattern}
+• Target SSH Port: {dst_port}
+• Failed Connections: {rst_flags} RST flags
+• New Connection Attempts: {syn_flags} SYN flags
+• Average Attempt Interval: {iat_mean} ms""",
+    "Infiltration": """Attack Details:
+• Infiltration Pattern: {traffic_pattern}
+• Data Flow Rate: {flow_rate} bytes/sec
+• Connection Behavior: {iat_mean} ms intervals
+• Protocol Used: {protocol}
+• Suspicious Headers: {header_sum} total bytes
+• Connection Attempts: {syn_flags} initiations
+• Anomalous Terminations: {rst_flags} resets""",
+    "DoS Slowhttptest": """Attack Details:
+• Connection Hold Time: {iat_mean} ms
+• Request Rate: {packet_rate} requests/sec
+• Traffic Pattern: Low-and-slow attack signature
+• Target Port: {dst_port}
+• Header Manipulation: {fwd_header_len} bytes
+• Active Connections: {active_connections} maintained
+• Connection Strategy: Partial HTTP requests""",
+    "DoS GoldenEye": """Attack Details:
+• Attack Intensity: {flow_rate} bytes/sec
+• Request Frequency: {packet_rate} packets/sec
+• Connection Pattern: {goldeneye_pattern}
+• Target Service: Port {dst_port}
+• HTTP Headers: {fwd_header_len} bytes
+• Connection Floods: {syn_flags} attempts
+• Resource Exhaustion: {exhaustion_level}""",
+    "DoS Slowloris": """Attack Details:
+• Connection Hold Pattern: {iat_mean} ms intervals
+• Active Connections: {active_connections} maintained
+• Target Web Port: {dst_port}
+• Traffic Pattern: Low bandwidth, high connection count
+• Header Size: {fwd_header_len} bytes
+• Connection Strategy: Keep-alive abuse
+• Resource Impact: Connection pool exhaustion""",
+    "Web Attack Brute Force": """Attack Details:
+• Authentication Attempt Rate: {packet_rate} tries/sec
+• Request Pattern: {traffic_pattern}
+• Target Port: {dst_port}
+• Request Size: {fwd_header_len} bytes
+• Response Size: {bwd_header_len} bytes
+• Failed Attempts: {rst_flags} connection resets
+• Attack Signature: Repetitive POST requests""",
+    "Web Attack XSS": """Attack Details:
+• Injection Attempt Rate: {packet_rate} requests/sec
+• Payload Size: {flow_rate} bytes/sec
+• Target Service: Port {dst_port}
+• Request Headers: {fwd_header_len} bytes
+• Script Pattern: {xss_pattern}
+• Attack Vector: HTTP GET/POST with script injection""",
+    "Web Attack Sql Injection": """Attack Details:
+• SQL Attempt Pattern: {traffic_pattern}
+• Payload Size: {flow_rate} bytes/sec
+• Request Rate: {packet_rate} requests/sec
+• Target Port: {dst_port}
+• Query Length: {fwd_header_len} bytes
+• Attack Vector: {sql_pattern} SQL patterns
+• Response Size: {bwd_header_len} bytes""",
+    "Benign": """Traffic Details:
+• Flow Rate: {flow_rate} bytes/sec
+• Packet Rate: {packet_rate} packets/sec
+• Protocol: {protocol}
+• Connection Pattern: Normal
+• Port Usage: {src_port} → {dst_port}""",
 }
-DETAIL2_DEFAULT = "\n".join([
-    "Attack Details:",
-    "• Flow Rate: {flow_rate} bytes/sec",
-    "• Packet Rate: {packet_rate} packets/sec",
-    "• Protocol: {protocol}",
-    "• Source Port: {src_port}",
-    "• Destination Port: {dst_port}",
-    "• Connection Pattern: {traffic_pattern}",
-])
+DETAIL2_DEFAULT = """Attack Details:
+• Flow Rate: {flow_rate} bytes/sec
+• Packet Rate: {packet_rate} packets/sec
+• Protocol: {protocol}
+• Source Port: {src_port}
+• Destination Port: {dst_port}
+• Connection Pattern: {traffic_pattern}"""
 
 CONFIDENCE_TEXT = ("{severity} - THREAT: {threat} (Confidence: {confidence})\n\n{details}\n\n"
                    "MITIGATION:\n{mitigation}\n\nIMPACT: {impact}")

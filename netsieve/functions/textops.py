@@ -6,6 +6,8 @@ oracle, so splitting and trimming agree byte for byte.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,10 +64,55 @@ def validate_text(text: Column | str, fallback: Column, max_steps: int = 3) -> C
     return F.when(F.size(fixed) == 3, F.array_join(fixed, "\n\n")).otherwise(fallback)
 
 
+def spelled(x: Column) -> Column:
+    """A number as the original prints it: integers plainly, doubles by ``plain_number``."""
+    return F.when(F.typeof(x).isin("double", "float"), plain_number(x.cast("double"))).otherwise(x.cast("string"))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def plain_number(x: Column) -> Column:
+    """Shortest digits that read back as the double ``x``: plain from 1e-4 to below 1e16 (at least one decimal), else with an
+    exponent of two digits (``1e-05``, ``1.5e+16``); ``nan``, ``inf``, ``-inf``, ``-0.0``. (Below
+    1e-300 and from 1e17 on, where the JVM prints some numbers with a digit too many, the last digit may differ by one.)"""
+    a = F.abs(x)
+    # The first of 15, 16 and 17 digits that reads back as the number: d.ddde±xx
+    chosen = None
+    for n in (14, 15):
+        text = F.format_string(f"%.{n}e", a)
+        chosen = (F if chosen is None else chosen).when(text.cast("double") == a, text)
+    chosen = chosen.otherwise(F.format_string("%.16e", a))
+    # From 1e17 a cast may print 18 digits, and %.16e rounds those: the integer itself is rounded instead.
+    whole = F.when((a >= 1e17) & (a < 9.2e18), a.cast("bigint"))
+    exact = F.when(whole < 10 ** 18, F.bround(whole, -1)).otherwise(F.bround(whole, -2)).cast("string")
+
+    def spell(digits: Column, e: Column) -> Column:
+        size = F.length(digits)
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+        large = F.concat(F.rpad(F.substring(digits, F.lit(1), e + 1), e + 1, "0"), F.lit("."),
+                         F.when(size > e + 1, F.substring(digits, e + 2, size)).otherwise(F.lit("0")))
+        rest = F.when(size > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), size))).otherwise(F.lit(""))
+        power = F.concat(F.substring(digits, 1, 1), rest, F.format_string("e%+03d", e))
+        return F.when((e < -4) | (e >= 16), power).when(e < 0, small).otherwise(large)
+
+    def split(text: Column) -> Column:
+        digits = F.regexp_replace(F.replace(F.split_part(text, F.lit("e"), F.lit(1)), F.lit(".")), "(?<=.)0+$", "")
+        digits = F.when((F.length(digits) == 17) & whole.isNotNull(), F.regexp_replace(exact, "0+$", "")).otherwise(digits)
+        return F.struct(digits.alias("d"), F.split_part(text, F.lit("e"), F.lit(2)).cast("int").alias("e"))
+
+    body = _let(chosen, lambda c: _let(split(c), lambda s: spell(s["d"], s["e"])))
+    sign = F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    shown = F.when(a == 0, F.lit("0.0")).when(a == float("inf"), F.lit("inf")).otherwise(body)
+    return F.when(x.isNull(), F.lit(None)).when(F.isnan(x), F.lit("nan")).otherwise(F.concat(sign, shown))
+
+
 def payload_text(flow_byts_s: Column | str, flow_pkts_s: Column | str) -> Column:
     """Text given to the text scorer for a flow row."""
-    return F.concat(F.lit("Flow Bytes/s: "), F.coalesce(_c(flow_byts_s).cast("string"), F.lit("Unknown")),
-                    F.lit(", Flow Packets/s: "), F.coalesce(_c(flow_pkts_s).cast("string"), F.lit("Unknown")))
+    return F.concat(F.lit("Flow Bytes/s: "), F.coalesce(spelled(_c(flow_byts_s)), F.lit("Unknown")),
+                    F.lit(", Flow Packets/s: "), F.coalesce(spelled(_c(flow_pkts_s)), F.lit("Unknown")))
 
 
 def packet_payload_text(src_ip: Column | str, dst_ip: Column | str, payload: Column | str) -> Column:

@@ -59,7 +59,15 @@ def q_alert_detail2(spark, sf):
         "row_id", "attack_label", "alert_detail2")
 _text_query("threat_text", A.threat_text, A.sql_threat_text)
 _text_query("port_analysis", A.port_analysis, A.sql_port_analysis)
-_text_query("prompt_summary", A.prompt_summary, A.sql_prompt_summary)
+
+
+@query("prompt_summary", sql=lambda: _scored_sql(
+    f"row_id, attack_label, {A.sql_prompt_summary()} AS prompt_summary, {A.sql_prompt_words()} AS prompt_words"))
+def q_prompt_summary(spark, sf):
+    """The whole summary prompt of each record and its length in words."""
+    return records(spark, sf).select("row_id", "attack_label", A.prompt_summary().alias("prompt_summary"),
+                                     A.prompt_words().alias("prompt_words"))
+
 
 
 @query("alert_confidence", sql=lambda: _scored_sql(
@@ -246,12 +254,28 @@ def q_valid_time(spark, sf):
 
 @query("payload_text", sql=lambda: adapters.cte("alerts") + """
 SELECT row_id, 'Flow Bytes/s: ' || coalesce(CAST(flow_byts_s AS VARCHAR), 'Unknown') || ', Flow Packets/s: '
-  || coalesce(CAST(flow_pkts_s AS VARCHAR), 'Unknown') AS payload_text FROM alerts""")
+  || coalesce(CAST(flow_pkts_s AS VARCHAR), 'Unknown') AS payload_text FROM (
+    SELECT row_id, CASE row_id % 4 WHEN 0 THEN flow_byts_s WHEN 1 THEN flow_byts_s / 1e9::DOUBLE WHEN 2 THEN flow_byts_s * 1e5::DOUBLE
+                     ELSE flow_byts_s * 1e14::DOUBLE END AS flow_byts_s,
+           CASE WHEN row_id % 11 > 0 THEN flow_pkts_s / 3 END AS flow_pkts_s FROM alerts)""")
 def q_payload_text(spark, sf):
-    a = adapters.alerts(spark, sf)
+    """Flow rates as text, from 1e-8 to 1e18 and with missing ones: every spelling of a double."""
+    rate, kind = F.col("flow_byts_s"), F.col("row_id") % 4
+    a = adapters.alerts(spark, sf).select(
+        "row_id", F.when(kind == 0, rate).when(kind == 1, rate / 1e9).when(kind == 2, rate * 1e5).otherwise(rate * 1e14).alias("flow_byts_s"),
+        F.when(F.col("row_id") % 11 > 0, F.col("flow_pkts_s") / 3).alias("flow_pkts_s"))
     return a.select("row_id", TX.payload_text("flow_byts_s", "flow_pkts_s").alias("payload_text"))
 
 
+@query("packet_payload_text", sql=lambda: adapters.cte("packets") + """
+SELECT packet_id, 'Source: ' || coalesce(src_ip, 'Unknown') || ', Destination: ' || coalesce(dst_ip, 'Unknown') || ', Payload: '
+  || coalesce(payload, 'Unknown') AS payload_text FROM packets""")
+def q_packet_payload_text(spark, sf):
+    """The text of each packet that a text scorer reads."""
+    return adapters.packets(spark, sf).select(
+        "packet_id", TX.packet_payload_text("src_ip", "dst_ip", "payload").alias("payload_text"))
+
+
 @query("clean_text", sql=lambda: f"SELECT doc_id, {TX.sql_clean_text('text')} AS clean_text FROM documents")
 def q_clean_text(spark, sf):
     """Keyword line filter over the whole text of every document."""

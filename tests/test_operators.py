@@ -355,3 +355,48 @@ def test_examples_json_array(spark, tmp_dir):
                 '"impact": "i"}}]')
     r = SK.read_examples(spark, path, multiline=True).first()
     assert r["input"]["Attack Type"] == "DDoS" and r["output"]["mitigation"] == ["a", "b"]
+
+
+def test_numbers_are_spelled_as_the_original_prints_them(spark):
+    rnd = random.Random(4)
+    values = [12345678.9, 0.0005, 0.0001, 1e-05, 1.5e16, 1e16, 9999999999999998.0, 100.0, 0.0, -0.0, -2.5, 1 / 3, 0.1 + 0.2, 5e-7,
+              float("inf"), float("-inf"), float("nan"), 1e23, 123456789.123]
+    values += [rnd.random() * 10 ** rnd.randint(-8, 16) for _ in range(2000)] + [round(rnd.random() * 1e6, rnd.randint(0, 6)) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(values)), "i long, x double")
+    got = {r.i: r.s for r in df.select("i", TX.spelled(F.col("x")).alias("s")).collect()}
+    assert [got[i] for i in range(len(values))] == [repr(x) for x in values]
+    assert spark.range(1).select(TX.spelled(F.lit(None).cast("double")).alias("n"), TX.spelled(F.lit(7)).alias("i")).first() == (None, "7")
+
+
+def test_values_that_look_like_placeholders_stay(spark):
+    """Expected text written by hand; the attack type is a placeholder's name, a metric is a large double."""
+    row = dict(protocol=6, src_port=1000, dst_port=80, flow_byts_s=12345678.9, flow_pkts_s=2.0, flow_iat_mean=1.0, fwd_header_len=1.0,
+               bwd_header_len=1.0, rst_flag_cnt=3, syn_flag_cnt=4, tot_fwd_pkts=5, tot_bwd_pkts=6, fwd_pkt_len_mean=1.0,
+               bwd_pkt_len_mean=1.0, slm_label=None, slm_score=0.5, binary_pred=True, attack_label="{severity} {impact}")
+    df = spark.createDataFrame([row], "protocol int, src_port int, dst_port int, flow_byts_s double, flow_pkts_s double, "
+                                      "flow_iat_mean double, fwd_header_len double, bwd_header_len double, rst_flag_cnt long, syn_flag_cnt long, "
+                                      "tot_fwd_pkts long, tot_bwd_pkts long, fwd_pkt_len_mean double, bwd_pkt_len_mean double, slm_label string, "
+                                      "slm_score double, binary_pred boolean, attack_label string")
+    want = """THREAT: Suspicious {severity} {impact} activity detected on port 80
+
+Attack Details:
+        - Flow Rate: 12345678.90 bytes/sec
+        - Packet Rate: 2.00 packets/sec
+        - Protocol: TCP
+        - Connection: Port 1000.0 (Unknown) → Port 80.0 (HTTP) over TCP
+        - Connection Pattern: Burst
+        - Forward Packets: 5
+        - Backward Packets: 6
+        - Alert Confidence: 0.50
+
+MITIGATION:
+• Enable enhanced monitoring
+• Update security signatures
+• Review system logs
+• Implement additional filtering
+
+IMPACT: Potential security risk requiring investigation and monitoring"""
+    assert A.add_alert_text(df).first().alert_text == want == df.select(A.alert_text().alias("t")).first().t
+    missing = A.add_alert_text(df.withColumn("tot_fwd_pkts", F.lit(None).cast("long"))).first().alert_text
+    assert missing.startswith("THREAT: Suspicious {severity} {impact} activity detected on port 80 with anomalous")
+    assert "Forward Packets: {NULL}" in A.add_alert_detail(df.withColumn("tot_fwd_pkts", F.lit(None).cast("long"))).first().alert_detail
