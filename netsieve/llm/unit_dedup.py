@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from netsieve.llm import arrays
-from netsieve.llm.components import durable
+from netsieve.llm.components import discard, written
 
 #: Words that a run of neighbouring repeated clauses needs to be removed.
 RUN_WORDS = 20
@@ -68,6 +68,7 @@ def _clause_bounds(buf: np.ndarray, off: np.ndarray):
 
 
 def _digests(unit: str, min_words: int, min_chars: int, clauses: bool):
+    """Per row, one list of places and two of hashes for its lines and, with ``clauses``, one for its clauses."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, off in arrays.text_slices(batches, "text"):
             w_start, w_end, _ = arrays.word_bounds(buf, off)
@@ -85,11 +86,11 @@ def _digests(unit: str, min_words: int, min_chars: int, clauses: bool):
                     heads = np.concatenate([[0], np.cumsum(~arrays.SPACE[buf] & ((buf & 0xC0) != 0x80))])
                     use &= heads[end] - heads[start] + last - first - 1 >= min_chars
                 first, last, row, place = first[use], last[use], row[use], place[use]
+                bounds = arrays.per_row(row, part.num_rows)
                 two = [arrays.RangeHash(arrays.mix(words, 2 * kind + salt)).of(first, last).view(np.int64) for salt in (11, 12)]
-                rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(k).take(rows) for k in range(3)), pa.array((2 * place + kind).astype(np.int64)),
-                     *map(pa.array, two)], names=["id", "r1", "r2", "place", "h1", "h2"])
+                    [*(part.column(k) for k in range(3)), arrays.list_array((2 * place + kind).astype(np.int32), bounds, pa.int32()),
+                     *(arrays.list_array(h, bounds, pa.int64()) for h in two)], names=["last", "id", "r", "place", "h1", "h2"])
     return run
 
 
@@ -133,38 +134,50 @@ def _cut(unit: str, run_words: int | None):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 kept, starts, ends = [], [], []
-                for text, places in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                for text, places in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     spans = _spans(text, places, unit, run_words) if places else []
                     edges = [0, *(x for s in spans for x in s), len(text or "")]
                     kept.append("".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])) if spans else text)
                     starts.append([a for a, _ in spans])
                     ends.append([b for _, b in spans])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(3), pa.array(kept, pa.string()), pa.array(starts, pa.list_(pa.int32())),
-                     pa.array(ends, pa.list_(pa.int32()))], names=["id", "carry", "kept_text", "starts", "ends"])
+                    [part.column(2), pa.array(kept, pa.string()), pa.array(starts, pa.list_(pa.int32())),
+                     pa.array(ends, pa.list_(pa.int32()))], names=["carry", "kept_text", "starts", "ends"])
     return run
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
-    """Rows as (id, text, ...) with two hashes that tell them apart by id and text."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *more)
-    return rows.withColumns({f"r{k}": F.xxhash64(F.lit(k), "id", "text") for k in (1, 2)})
+    """Rows as (last, id, r, text, ...): three columns, never null, that order rows and tell them apart by id and text.
+
+    Ids are integers or strings (others count as their text); a null one is replaced by a hash of the text.
+    """
+    kind = "long" if docs.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") else "string"
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).isNull().alias("last"), F.coalesce(F.col(id_col).cast(kind), F.xxhash64(text).cast(kind)).alias("id"),
+                       F.hash(text).alias("r"), text.alias("text"), *more)
 
 
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line",
                    min_words: int = 1, min_chars: int = 1, clauses: bool = True) -> DataFrame:
-    """(r1, r2, places array<long>): units that occur earlier, for the rows that have any; line k is 2 * k, worded clause k
-    is 2 * k + 1."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-    units = durable(_keyed(docs, id_col, text_col).where("text is not null").select("id", "r1", "r2", "text")
-                    .mapInArrow(_digests(unit, min_words, min_chars, clauses),
-                                f"id {id_type}, r1 long, r2 long, place long, h1 long, h2 long"))
-    rank = F.struct(F.col("id").isNull().alias("last"), "id", "r1", "r2", "place")
-    first = (units.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
-             .where("n > 1").select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first"))
-    return (units.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")))
-            .where((F.col("r1") != F.col("first.r1")) | (F.col("r2") != F.col("first.r2")) | (F.col("place") != F.col("first.place")))
-            .groupBy("r1", "r2").agg(F.collect_set("place").alias("places")))
+    """(last, id, r, places array<int>): units that occur earlier, for the rows that have any (``_keyed``); line k is 2 * k,
+    worded clause k is 2 * k + 1.
+
+    Each step is written before the next, so that the shuffle files of one are gone when the next begins.
+    """
+    rows = _keyed(docs, id_col, text_col).where("text is not null").select("last", "id", "r", "text")
+    id_type = rows.schema["id"].dataType.simpleString()
+    units = written(rows.mapInArrow(_digests(unit, min_words, min_chars, clauses),
+                                    f"last boolean, id {id_type}, r int, place array<int>, h1 array<long>, h2 array<long>"), "units")
+    flat = (units.select("last", "id", "r", F.explode(F.arrays_zip("place", "h1", "h2")).alias("u"))
+            .select("last", "id", "r", "u.place", "u.h1", "u.h2"))
+    rank = F.struct("last", "id", "r", "place")
+    first = written(flat.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
+                    .select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first"), "first-units")
+    later = (flat.join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where(rank != F.col("first"))
+             .groupBy("last", "id", "r").agg(F.collect_set("place").alias("places")))
+    later = written(later, "later-units")
+    discard(units, first)
+    return later
 
 
 def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "line",
@@ -180,15 +193,13 @@ def dedup_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     removed from all, and the earliest position stays in all. Extra
     columns are not read; an empty table gives no rows; texts are taken whole.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
     gone = repeated_units(docs, id_col, text_col, unit, min_words, min_chars, run_words is not None)
-    gone = gone.select(F.col("r1").alias("g1"), F.col("r2").alias("g2"), "places")
-    held = F.struct(*[F.col(c) for c in carry or []], F.lit(True).alias("_held"))
+    gone = gone.select(F.col("last").alias("g_last"), F.col("id").alias("g_id"), F.col("r").alias("g_r"), "places")
+    held = F.struct(F.col(id_col).alias("_own_id"), *[F.col(c) for c in carry or []], F.lit(True).alias("_held"))
     rows = _keyed(docs, id_col, text_col, held.alias("carry"))
-    joined = (rows.join(gone.hint("shuffle_hash"), (F.col("r1") == F.col("g1")) & (F.col("r2") == F.col("g2")), "left")
-              .select("id", "text", "places", "carry"))
+    same = (F.col("id") == F.col("g_id")) & (F.col("r") == F.col("g_r")) & (F.col("last") == F.col("g_last"))
+    joined = rows.join(gone.hint("shuffle_hash"), same, "left").select("text", "places", "carry")
     held_type = rows.schema["carry"].dataType.simpleString()
-    return (joined.mapInArrow(_cut(unit, run_words),
-                              f"id {id_type}, carry {held_type}, kept_text string, starts array<int>, ends array<int>")
-            .select(F.col("id").alias(id_col), *[F.col(f"carry.{c}").alias(c) for c in carry or []], "kept_text",
+    return (joined.mapInArrow(_cut(unit, run_words), f"carry {held_type}, kept_text string, starts array<int>, ends array<int>")
+            .select(F.col("carry._own_id").alias(id_col), *[F.col(f"carry.{c}").alias(c) for c in carry or []], "kept_text",
                     F.size("starts").alias("n_removed"), "starts", "ends"))
