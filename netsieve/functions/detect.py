@@ -102,9 +102,14 @@ def time_parts(ts: Column | str, weekday_name: str = "day_of_week") -> list[Colu
             F.weekday(t).alias(weekday_name)]
 
 
-def parse_day_first(text: Column | str) -> Column:
-    """Day-first text time -> timestamp; unparsable -> null (never raises)."""
-    return F.try_to_timestamp(col(text), F.lit("dd/MM/yyyy HH:mm:ss"))
+#: Spellings of a time, the first that fits counts; numbers with or without leading zeros.
+DAY_FIRST = ("d/M/yyyy H:mm:ss", "d/M/yyyy h:mm:ss a", "d/M/yyyy H:mm", "d-M-yyyy H:mm:ss", "d.M.yyyy H:mm:ss",
+             "yyyy-M-d H:mm:ss", "d/M/yyyy")
+
+
+def parse_day_first(text: Column | str, patterns: tuple[str, ...] = DAY_FIRST) -> Column:
+    """Day-first text time -> timestamp; one that fits none of the patterns, or names no real day, -> null (never raises)."""
+    return F.coalesce(*[F.try_to_timestamp(col(text), F.lit(p)) for p in patterns])
 
 
 def round_half_up(c: Column | str, digits: int) -> Column:

@@ -6,13 +6,14 @@ column lists are resolved at plan time from the DataFrame schema.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netsieve import schemas
 from netsieve.functions import detect as X
 from netsieve.functions import domains as D
+from netsieve.session import checkpoint_root, sized_join
 
 NUMERIC = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DecimalType)
 
@@ -91,20 +92,32 @@ def alert_record(df: DataFrame) -> DataFrame:
     return df.withColumn("alert", rec)
 
 
-def category_codes(df: DataFrame, exclude: list[str] | None = None):
-    """String columns (other than ``exclude``) -> category codes with MLlib ``StringIndexer``.
+def category_dictionary(df: DataFrame, column: str) -> DataFrame:
+    """(value, code): dense codes of the distinct non-null values in their order, without a list on the driver.
 
-    Returns ``(fitted_model, transformed_df)``; unseen values get the extra index.
+    Values are range-partitioned and sorted; a partition's codes begin after the counts of the partitions before it
+    (a table with one row per partition). The checkpoint fixes the sampled range bounds.
     """
-    from pyspark.ml.feature import StringIndexer
-
+    checkpoint_root(df.sparkSession)
+    values = (df.select(F.col(column).alias("value")).where("value is not null").distinct()
+              .repartitionByRange("value").sortWithinPartitions("value")
+              .withColumn("_id", F.monotonically_increasing_id()).checkpoint())
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    sizes = values.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select(F.col("_part").alias("_of"), before.alias("_start")))
+    return values.join(starts, part == F.col("_of")).select("value", (F.col("_start") + place).cast("double").alias("code"))
+
+
+def category_codes(df: DataFrame, exclude: list[str] | None = None) -> DataFrame:
+    """The rows with ``<c>_code`` for each string column ``c`` other than ``exclude``: the place of its value among the
+    distinct values of the column; a missing value gets the number of values."""
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in (exclude or [])]
-    if not cols:
-        return None, df
-    idx = StringIndexer(inputCols=cols, outputCols=[f"{c}_code" for c in cols], handleInvalid="keep",
-                        stringOrderType="alphabetAsc")
-    model = idx.fit(df)
-    return model, model.transform(df)
+    out = df
+    for c in cols:
+        codes = category_dictionary(df, c).withColumnsRenamed({"value": c, "code": f"{c}_code"})
+        out = sized_join(out, codes, [c], "left").withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(float(codes.count()))))
+    return out.select(*df.columns, *[f"{c}_code" for c in cols])
 
 
 def packet_features(df: DataFrame, form: str = "wide", keep: list[str] | None = None) -> DataFrame:

@@ -65,8 +65,8 @@ def unknown_labels(df: DataFrame, label: str = "label") -> DataFrame:
 
 def missing_types(df: DataFrame, label: str = "label") -> DataFrame:
     """Known names never observed in the data."""
-    seen = df.groupBy(F.col(label).alias("_seen")).agg(F.count(F.lit(1)).alias("_n"))
     dim = known_dim(df.sparkSession)
+    seen = known_labels(df.select(F.col(label).alias("_seen")), "_seen").distinct()  # at most the known names
     return dim.join(F.broadcast(seen), dim["_known"] == seen["_seen"], "left_anti").select(
         F.col("_known").alias("label"))
 

@@ -102,13 +102,16 @@ def class_report(df: DataFrame, y: str, p: str, names: DataFrame | None = None)
 
 
 def confusion_matrix(df: DataFrame, y: str, p: str, classes: list[int]) -> DataFrame:
-    """Rows: sorted union of observed labels; columns ``p_<k>`` for the class domain; zero-filled."""
+    """Rows: sorted union of observed labels; columns ``p_<k>`` for the given classes and ``p_other`` for predictions that are
+    none of them (null included); zero-filled."""
+    other = df.groupBy(F.col(y).alias("true_id")).agg(
+        F.count_if(~F.coalesce(F.col(p).isin(classes), F.lit(False))).alias("p_other"))
     m = df.groupBy(F.col(y).alias("true_id")).pivot(p, classes).agg(F.count(F.lit(1)))
     m = m.select("true_id", *[F.coalesce(F.col(str(k)), F.lit(0)).cast("long").alias(f"p_{k}") for k in classes])
     seen = (df.select(F.explode(F.array(F.col(y), F.col(p))).alias("true_id"))
               .groupBy("true_id").agg(F.count(F.lit(1)).alias("_n")).select("true_id"))
-    out = seen.join(m, "true_id", "left")
-    return out.select("true_id", *[F.coalesce(F.col(f"p_{k}"), F.lit(0)).cast("long").alias(f"p_{k}") for k in classes])
+    out = seen.join(m, "true_id", "left").join(other, "true_id", "left")
+    return out.select("true_id", *[F.coalesce(F.col(f"p_{k}"), F.lit(0)).cast("long").alias(f"p_{k}") for k in [*classes, "other"]])
 
 
 def roc_auc(df: DataFrame, label: str, score: str, by: list[str] | None = None,

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsieve.operators import labels as L
+from netsieve.session import sized_join
 
 
 def label_counts(df: DataFrame, label: str = "label", by: list[str] | None = None) -> DataFrame:
@@ -64,13 +65,12 @@ def row_audit(df: DataFrame, raw_label: str = "raw_label", by: str = "source_fil
 def with_class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     """Every row plus its class weight ``N / (K * n_c)``, unrounded.
 
-    Counts are a partial aggregate; the per-class table has one row per label
-    of the (known, bounded) label domain and is broadcast back by label.
+    Counts are a partial aggregate; the per-class table (one row per label) comes back by a join that checks its size.
     """
-    counts = df.groupBy(F.col(label).alias("_cls")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     every = Window.partitionBy()
-    w = counts.select("_cls", (F.sum("_n").over(every) / (F.count(F.lit(1)).over(every) * F.col("_n"))).alias(out))
-    return df.join(F.broadcast(w), F.col(label) == F.col("_cls"), "inner").drop("_cls")
+    w = counts.select(label, (F.sum("_n").over(every) / (F.count(F.lit(1)).over(every) * F.col("_n"))).alias(out))
+    return sized_join(df, w, [label]).select(*df.columns, out)
 
 
 def class_weights(df: DataFrame, label: str = "label", id_col: str = "row_id") -> DataFrame:
@@ -82,13 +82,12 @@ def class_weights(df: DataFrame, label: str = "label", id_col: str = "row_id") -
 def zscore_by_file(df: DataFrame, cols: list[str], by: str = "source_file") -> DataFrame:
     """Per-file z-score with the population std; a constant column gives 0.
 
-    Per-file means and stds are a grouped aggregate (one row per file — the
-    driver already lists the files, so the broadcast is bounded) joined back,
+    Per-file means and stds are a grouped aggregate (one row per file) joined back after a check of its size,
     instead of a window that would put a whole file in one task.
     """
     stats = df.groupBy(by).agg(*[x for c in cols for x in (
         F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"))])
-    j = df.join(F.broadcast(stats), by, "inner")
+    j = sized_join(df, stats, [by])
     outs = [F.round((F.col(c) - F.col(f"_m_{c}")) / F.coalesce(F.nullif(F.col(f"_s_{c}"), F.lit(0.0)), F.lit(1.0)), 6)
             .alias(f"z_{c}") for c in cols]
     return j.select(by, *[c for c in df.columns if c not in cols and c != by], *outs)

@@ -127,7 +127,7 @@ def train(spark: SparkSession, clean_dir: str, model_dir: str, max_iter: int = 1
     out["multi"] = M.multi_metrics(pred, "label", "pred_label")
 
     seen = df.select(F.col("label").alias("name")).distinct()
-    dim = L.label_dim(spark).where("mapping = 'encoder'").join(F.broadcast(seen), "name", "left_semi")
+    dim = L.label_dim(spark).where("mapping = 'encoder'").join(seen, "name", "left_semi")
     SK.write_label_maps(dim, f"{model_dir}/label_maps")
 
     if baseline:
@@ -145,6 +145,21 @@ def _model_features(model: PipelineModel) -> list[str]:
     raise ValueError("no feature assembler in the model")
 
 
+def classify_flagged(multi: PipelineModel, scored: DataFrame) -> DataFrame:
+    """``class_label`` of the rows that the binary model flagged; the others get null and the multi-class model never sees them.
+
+    The model's label indexer runs when a label column is present, and unseen labels must not stop scoring, so an own
+    label is hidden from it.
+    """
+    flag = F.coalesce(F.col("binary_pred"), F.lit(False))
+    hidden = {"label": "_own_label"} if "label" in scored.columns else {}
+    names = [hidden.get(c, c) for c in scored.columns]
+    s = scored.withColumnsRenamed(hidden)
+    flagged = MD.multi_predict(multi, s.where(flag)).select(*names, F.col("pred_label").alias("class_label"))
+    rest = s.where(~flag).select(*names, F.lit(None).cast("string").alias("class_label"))
+    return flagged.unionByName(rest).withColumnsRenamed({v: k for k, v in hidden.items()})
+
+
 def score_rows(df: DataFrame, model_dir: str, text_scorer=None, text_threshold: float = 0.7) -> DataFrame:
     """Binary score, gated multi-class name and text score of each row, then the hybrid trigger.
 
@@ -160,13 +175,7 @@ def score_rows(df: DataFrame, model_dir: str, text_scorer=None, text_threshold:
                         *[(F.coalesce(F.col(n).cast("double"), F.lit(0.0)) if n in df.columns else F.lit(0.0)).alias(n)
                           for n in feats])
     s = MD.positive_probability(binary, aligned).withColumnRenamed("score", "binary_score")
-    # the model's label indexer only runs when a label column is present; unseen labels must not stop scoring
-    hidden = "label" in s.columns
-    if hidden:
-        s = s.withColumnRenamed("label", "_true_label")
-    s = MD.multi_predict(multi, s).withColumnRenamed("pred_label", "class_label").drop("probs", "pred_idx")
-    if hidden:
-        s = s.withColumnRenamed("_true_label", "label")
+    s = classify_flagged(multi, s)
     if text_scorer is not None:
         res = text_scorer(TX.payload_text("flow_byts_s", "flow_pkts_s"))
         s = s.withColumn("_txt", res).select("*", F.col("_txt.label").alias("slm_label"),
@@ -225,7 +234,7 @@ def monitor(spark: SparkSession, packet_dir: str, model_dir: str, out_dir: str,
     def handle(batch: DataFrame, batch_id: int) -> None:
         # models score each micro-batch as a static DataFrame (MLlib transforms are batch operators)
         s = MD.positive_probability(binary, batch).withColumnRenamed("score", "binary_score")
-        s = MD.multi_predict(multi, s).withColumnRenamed("pred_label", "class_label").drop("probs", "pred_idx")
+        s = classify_flagged(multi, s)
         s = s.withColumn("attack_label", X.gated_label("binary_pred", "class_label"))
         if text_scorer is not None:
             s = s.withColumn("_txt", text_scorer(F.col("payload"))).select(

@@ -219,15 +219,23 @@ def q_align_features(spark, sf):
     return C.align_features(narrow, schemas.EARLY_FEATURES, keep=["packet_id"])
 
 
-@query("time_features", sql=lambda: adapters.cte("alerts") + """,
+_SQL_TIME_TEXT = adapters.cte("alerts") + """,
 t AS (SELECT row_id, CASE WHEN row_id % 13 = 0 THEN '31/02/2024 10:00:00'
                           WHEN row_id % 17 = 0 THEN 'not a date'
-                          ELSE strftime(ts, '%d/%m/%Y %H:%M:%S') END AS timestamp_text FROM alerts),
-p AS (SELECT *, try_strptime(timestamp_text, '%d/%m/%Y %H:%M:%S') AS parsed FROM t)
+                          ELSE CASE row_id % 7 WHEN 0 THEN strftime(ts, '%-d/%-m/%Y %H:%M')
+                                               WHEN 1 THEN strftime(ts, '%d-%m-%Y %H:%M:%S')
+                                               WHEN 2 THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
+                                               WHEN 3 THEN strftime(ts, '%d/%m/%Y %I:%M:%S %p')
+                                               ELSE strftime(ts, '%d/%m/%Y %H:%M:%S') END END AS timestamp_text FROM alerts),
+p AS (SELECT *, try_strptime(timestamp_text, ['%d/%m/%Y %H:%M:%S', '%d/%m/%Y %I:%M:%S %p', '%d/%m/%Y %H:%M',
+                                              '%d-%m-%Y %H:%M:%S', '%Y-%m-%d %H:%M:%S']) AS parsed FROM t)"""
+
+
+@query("time_features", sql=_SQL_TIME_TEXT + """
 SELECT row_id, timestamp_text, CAST(hour(parsed) AS INTEGER) AS hour, CAST(minute(parsed) AS INTEGER) AS minute,
   CAST(second(parsed) AS INTEGER) AS second, CAST(isodow(parsed) - 1 AS INTEGER) AS day_of_week FROM p""")
 def q_time_features(spark, sf):
-    """Day-first text times (some impossible or malformed) -> hour, minute, second, weekday (Monday = 0)."""
+    """Day-first text times in several spellings (some impossible or malformed) -> hour, minute, second, weekday (Monday = 0)."""
     return _time_text(spark, sf).select("row_id", "timestamp_text", *X.time_parts("parsed"))
 
 
@@ -235,16 +243,17 @@ def _time_text(spark, sf):
     a = adapters.alerts(spark, sf)
     text = (F.when(F.col("row_id") % 13 == 0, F.lit("31/02/2024 10:00:00"))
              .when(F.col("row_id") % 17 == 0, F.lit("not a date"))
+             .when(F.col("row_id") % 7 == 0, F.date_format("ts", "d/M/yyyy HH:mm"))
+             .when(F.col("row_id") % 7 == 1, F.date_format("ts", "dd-MM-yyyy HH:mm:ss"))
+             .when(F.col("row_id") % 7 == 2, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+             .when(F.col("row_id") % 7 == 3, F.date_format("ts", "dd/MM/yyyy hh:mm:ss a"))
              .otherwise(F.date_format("ts", "dd/MM/yyyy HH:mm:ss")))
     t = a.select("row_id", text.alias("timestamp_text"))
     return t.withColumn("parsed", X.parse_day_first("timestamp_text").cast("timestamp_ntz"))
 
 
-@query("valid_time", sql=lambda: adapters.cte("alerts") + """,
-t AS (SELECT row_id, CASE WHEN row_id % 13 = 0 THEN '31/02/2024 10:00:00'
-                          WHEN row_id % 17 = 0 THEN 'not a date'
-                          ELSE strftime(ts, '%d/%m/%Y %H:%M:%S') END AS timestamp_text FROM alerts)
-SELECT row_id, timestamp_text FROM t WHERE try_strptime(timestamp_text, '%d/%m/%Y %H:%M:%S') IS NOT NULL""")
+@query("valid_time", sql=_SQL_TIME_TEXT + """
+SELECT row_id, timestamp_text FROM p WHERE parsed IS NOT NULL""")
 def q_valid_time(spark, sf):
     return C.valid_time(_time_text(spark, sf), "parsed").select("row_id", "timestamp_text")
 

@@ -158,7 +158,7 @@ FROM dim GROUP BY mapping""")
 def q_label_dim_write(spark, sf):
     """Label maps of the observed labels written as JSON text (class list and name -> id) and read back."""
     seen = S.label_counts(E.labelled_alerts(spark, sf), "label").select(F.col("label").alias("name"))
-    dim = L.label_dim(spark).join(F.broadcast(seen), "name", "left_semi")
+    dim = L.label_dim(spark).join(seen, "name", "left_semi")
     out = scratch_dir(spark, "label-maps")
     SK.write_label_maps(dim, out)
     parts = F.split("value", "\t")

@@ -240,7 +240,7 @@ def q_label_dim(spark, sf):
     """Every label map with the number of observed rows carrying each name."""
     counts = S.label_counts(E.labelled_alerts(spark, sf), "label")
     dim = L.label_dim(spark)
-    j = dim.join(F.broadcast(counts), dim["name"] == counts["label"], "left")
+    j = dim.join(counts, dim["name"] == counts["label"], "left")
     return j.select("mapping", "id", "name", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_rows"))
 
 

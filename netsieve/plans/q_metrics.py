@@ -98,10 +98,12 @@ def q_class_report(spark, sf):
 @query("confusion_matrix", sql=lambda: adapters.cte("alerts") + """,
 seen AS (SELECT class_id AS true_id FROM alerts UNION SELECT pred_class_id FROM alerts)
 SELECT s.true_id, """ + ", ".join(
-    f"count(a.row_id) FILTER (WHERE a.pred_class_id = {k}) AS p_{k}" for k in range(N_CLASSES)) + """
+    f"count(a.row_id) FILTER (WHERE a.pred_class_id = {k}) AS p_{k}" for k in range(N_CLASSES - 2)) + f""",
+  count(a.row_id) FILTER (WHERE a.pred_class_id NOT IN ({", ".join(map(str, range(N_CLASSES - 2)))})) AS p_other
 FROM seen s LEFT JOIN alerts a ON a.class_id = s.true_id GROUP BY s.true_id""")
 def q_confusion_matrix(spark, sf):
-    return M.confusion_matrix(adapters.alerts(spark, sf), "class_id", "pred_class_id", list(range(N_CLASSES)))
+    """Counts of true against predicted class; the last two classes stand for ids that a report does not list."""
+    return M.confusion_matrix(adapters.alerts(spark, sf), "class_id", "pred_class_id", list(range(N_CLASSES - 2)))
 
 
 # ---------------------------------------------------------------- text-model evaluation (given scores)
@@ -302,8 +304,22 @@ FROM alerts a LEFT JOIN d ON a.slm_label = d.slm_label, n""")
 def q_category_codes(spark, sf):
     """String column -> category code (alphabetical); missing values get the extra code."""
     a = adapters.alerts(spark, sf).select("row_id", "slm_label")
-    _, out = C.category_codes(a, exclude=[])
+    out = C.category_codes(a)
     return out.select("row_id", "slm_label", "slm_label_code")
 
 
+@query("category_codes_text", sql="""
+WITH t AS (SELECT doc_id, text, source FROM documents),
+d AS (SELECT text, CAST(row_number() OVER (ORDER BY encode(text)) - 1 AS DOUBLE) AS code FROM (SELECT DISTINCT text FROM t WHERE text IS NOT NULL)),
+s AS (SELECT source, CAST(row_number() OVER (ORDER BY encode(source)) - 1 AS DOUBLE) AS code
+      FROM (SELECT DISTINCT source FROM t WHERE source IS NOT NULL))
+SELECT t.doc_id, coalesce(d.code, (SELECT CAST(count(*) AS DOUBLE) FROM d)) AS text_code,
+  coalesce(s.code, (SELECT CAST(count(*) AS DOUBLE) FROM s)) AS source_code
+FROM t LEFT JOIN d ON t.text = d.text LEFT JOIN s ON t.source = s.source""")
+def q_category_codes_text(spark, sf):
+    """Codes of a column with as many categories as the table has texts, and of one with few."""
+    t = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return C.category_codes(t).select("doc_id", "text_code", "source_code")
+
+
 _ = ENCODER

@@ -58,6 +58,15 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def sized_join(df: DataFrame, side: DataFrame, on: list[str], how: str = "inner", max_rows: int = 100_000) -> DataFrame:
+    """``df`` joined with an aggregate of it: broadcast where its counted rows are at most ``max_rows``, else a shuffled join
+    (whose hot keys AQE splits). ``side`` is computed once, into a reliable checkpoint."""
+    checkpoint_root(df.sparkSession)
+    side = side.checkpoint()
+    small = side.limit(max_rows + 1).count() <= max_rows
+    return df.join(side.hint("broadcast") if small else side, on, how)
+
+
 def scratch_dir(spark: SparkSession, tag: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     return f"{checkpoint_root(spark).rstrip('/')}/netsieve/{tag}-{uuid.uuid4().hex}"
