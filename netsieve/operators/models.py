@@ -13,43 +13,34 @@ from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import HashingTF, IDF, IndexToString, StringIndexer, Tokenizer, VectorAssembler
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import HashingTF, IDF, Tokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netsieve.functions import detect as X
+from netsieve.operators import boosting as B
 
 FEATURES = ["protocol", "src_port", "dst_port", "flow_byts_s", "flow_pkts_s", "flow_iat_mean", "fwd_header_len",
             "bwd_header_len", "rst_flag_cnt", "syn_flag_cnt", "tot_fwd_pkts", "tot_bwd_pkts"]
 
 
+#: The deepest trees that MLlib grows; the original does not limit depth.
+MAX_DEPTH = 30
+
+
 def _assembler(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
 
 
-def _fit(pipeline: Pipeline, df: DataFrame, rows_per_partition: int = 1_000_000) -> PipelineModel:
-    """Fit with the input persisted (memory and disk; a lost executor recomputes its part).
-
-    Tree learners run one task per input partition in every iteration, so a
-    small input spread over many near-empty partitions (the shuffle width of
-    the plan that built it) is coalesced to about one partition per
-    ``rows_per_partition`` rows — never more partitions than it has, so a large
-    input keeps its parallelism.
-    """
+def _fit(pipeline: Pipeline, df: DataFrame) -> PipelineModel:
+    """Fit with the input persisted (memory and disk; a lost executor recomputes its part)."""
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    fit_df = df
     try:
-        n, parts = df.count(), df.rdd.getNumPartitions()
-        want = max(1, -(-n // rows_per_partition))
-        if want < parts:
-            fit_df = df.coalesce(want).persist(StorageLevel.MEMORY_AND_DISK)
-        return pipeline.fit(fit_df)
+        return pipeline.fit(df)
     finally:
-        if fit_df is not df:
-            fit_df.unpersist()
         df.unpersist()
 
 
@@ -64,25 +55,16 @@ def train_binary(df: DataFrame, label: str = "y", features: list[str] | None = N
 
 
 def train_multi(df: DataFrame, label: str = "label", features: list[str] | None = None, max_iter: int = 100,
-                weight_col: str | None = None, parallelism: int = 4) -> PipelineModel:
-    """One-vs-rest boosted trees (row and feature sampling 0.8, optional class weights).
-
-    Labels are indexed alphabetically (the saved encoder's order); the
-    fitted indexer's labels decode predictions.
-    """
-    idx = StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc")
-    gbt = GBTClassifier(featuresCol="features", labelCol="label_idx", stepSize=0.1, maxDepth=6, maxIter=max_iter,
-                        subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
-    ovr = OneVsRest(classifier=gbt, labelCol="label_idx", featuresCol="features", parallelism=parallelism)
-    if weight_col:
-        ovr.setWeightCol(weight_col)
-    return _fit(Pipeline(stages=[idx, _assembler(features or FEATURES), ovr]), df)
+                weight_col: str | None = None, validation_col: str | None = None, key: str = "row_id") -> B.SoftmaxModel:
+    """Softmax boosted trees (``boosting``): step 0.1, depth 6, row and feature sampling 0.8, optional class weights; early
+    stop after 10 rounds without a lower error on the rows flagged by ``validation_col``, best round kept."""
+    return B.train(df, label, features or FEATURES, key, validation_col, weight_col, max_iter)
 
 
 def train_baseline(df: DataFrame, label: str = "y", features: list[str] | None = None,
                    num_trees: int = 100) -> PipelineModel:
     """Random forest of ``num_trees`` trees (seed 42)."""
-    rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=num_trees, maxDepth=10, seed=42)
+    rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=num_trees, maxDepth=MAX_DEPTH, seed=42)
     return _fit(Pipeline(stages=[_assembler(features or FEATURES), rf]), df)
 
 
@@ -104,21 +86,9 @@ def positive_probability(model: PipelineModel, df: DataFrame, threshold: float =
         "features", "rawPrediction", "probability", "prediction")
 
 
-def class_probabilities(raw: Column) -> Column:
-    """One-vs-rest boosted-tree margins -> normalized probabilities (sigmoid(2 * margin), then sum to 1)."""
-    s = F.transform(vector_to_array(raw), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-    total = F.aggregate(s, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(s, lambda x: x / total)
-
-
-def multi_predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Multi-class scoring: class probabilities, first arg-max, and its name from the fitted label index."""
-    out = model.transform(df)
-    out = out.withColumn("probs", class_probabilities(F.col("rawPrediction")))
-    out = out.withColumn("pred_idx", X.argmax("probs").cast("double"))
-    labels = model.stages[0].labels
-    out = IndexToString(inputCol="pred_idx", outputCol="pred_label", labels=labels).transform(out)
-    return out.drop("features", "rawPrediction", "prediction")
+def multi_predict(model: B.SoftmaxModel, df: DataFrame) -> DataFrame:
+    """Multi-class scoring: class probabilities, first arg-max, and its name."""
+    return B.predict(model, df)
 
 
 def text_scores(model: PipelineModel, df: DataFrame, label_names: list[str] | None = None) -> DataFrame:

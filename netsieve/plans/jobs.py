@@ -33,6 +33,7 @@ from netsieve.functions import alerts as A
 from netsieve.functions import detect as X
 from netsieve.functions import domains as D
 from netsieve.functions import textops as TX
+from netsieve.operators import boosting as B
 from netsieve.operators import clean as C
 from netsieve.operators import labels as L
 from netsieve.operators import metrics as M
@@ -101,7 +102,7 @@ def train(spark: SparkSession, clean_dir: str, model_dir: str, max_iter: int = 1
     """Fit and save ``binary``, ``multi`` (and ``baseline``) models and the ``label_maps`` under ``model_dir``.
 
     Returns hold-out metrics: ``binary`` (accuracy, precision, recall, F1),
-    ``binary_auc`` and ``multi`` (accuracy, macro / weighted scores).
+    ``binary_auc``, ``multi`` (accuracy, macro / weighted scores) and ``multi_curve`` (log loss and error per round and split).
     """
     df = spark.read.parquet(clean_dir)
     feats = feature_columns(df)
@@ -121,8 +122,10 @@ def train(spark: SparkSession, clean_dir: str, model_dir: str, max_iter: int = 1
     out["binary_auc"] = M.roc_auc(held, "y", "score")
 
     m = SM.split_stratified(S.with_class_weights(df, "label"), "label", "row_id")
-    multi = MD.train_multi(m.where("split = 'train'"), "label", feats, max_iter=max_iter, weight_col="weight")
-    multi.write().overwrite().save(f"{model_dir}/multi")
+    multi = MD.train_multi(m.withColumn("held", F.col("split") == "test"), "label", feats, max_iter=max_iter, weight_col="weight",
+                           validation_col="held")
+    multi.save(spark, f"{model_dir}/multi")
+    out["multi_curve"] = multi.curve_table(spark)
     pred = MD.multi_predict(multi, m.where("split = 'test'"))
     out["multi"] = M.multi_metrics(pred, "label", "pred_label")
 
@@ -145,19 +148,13 @@ def _model_features(model: PipelineModel) -> list[str]:
     raise ValueError("no feature assembler in the model")
 
 
-def classify_flagged(multi: PipelineModel, scored: DataFrame) -> DataFrame:
-    """``class_label`` of the rows that the binary model flagged; the others get null and the multi-class model never sees them.
-
-    The model's label indexer runs when a label column is present, and unseen labels must not stop scoring, so an own
-    label is hidden from it.
-    """
+def classify_flagged(multi: B.SoftmaxModel, scored: DataFrame) -> DataFrame:
+    """``class_label`` of the rows that the binary model flagged; the others get null and the multi-class model never sees them."""
     flag = F.coalesce(F.col("binary_pred"), F.lit(False))
-    hidden = {"label": "_own_label"} if "label" in scored.columns else {}
-    names = [hidden.get(c, c) for c in scored.columns]
-    s = scored.withColumnsRenamed(hidden)
-    flagged = MD.multi_predict(multi, s.where(flag)).select(*names, F.col("pred_label").alias("class_label"))
-    rest = s.where(~flag).select(*names, F.lit(None).cast("string").alias("class_label"))
-    return flagged.unionByName(rest).withColumnsRenamed({v: k for k, v in hidden.items()})
+    names = scored.columns
+    flagged = MD.multi_predict(multi, scored.where(flag)).select(*names, F.col("pred_label").alias("class_label"))
+    rest = scored.where(~flag).select(*names, F.lit(None).cast("string").alias("class_label"))
+    return flagged.unionByName(rest)
 
 
 def score_rows(df: DataFrame, model_dir: str, text_scorer=None, text_threshold: float = 0.7) -> DataFrame:
@@ -168,8 +165,9 @@ def score_rows(df: DataFrame, model_dir: str, text_scorer=None, text_threshold:
     (an Arrow ``pandas_udf`` → struct<label, score>, see
     ``models.pandas_text_scorer``) reads the payload text.
     """
+    spark = df.sparkSession
     binary = PipelineModel.load(f"{model_dir}/binary")
-    multi = PipelineModel.load(f"{model_dir}/multi")
+    multi = B.SoftmaxModel.load(spark, f"{model_dir}/multi")
     feats = _model_features(binary)
     aligned = df.select(*[c for c in df.columns if c not in feats],
                         *[(F.coalesce(F.col(n).cast("double"), F.lit(0.0)) if n in df.columns else F.lit(0.0)).alias(n)
@@ -225,7 +223,7 @@ def monitor(spark: SparkSession, packet_dir: str, model_dir: str, out_dir: str,
     replayed batch overwrites its own folders. Returns the started query.
     """
     binary = PipelineModel.load(f"{model_dir}/binary")
-    multi = PipelineModel.load(f"{model_dir}/multi")
+    multi = B.SoftmaxModel.load(spark, f"{model_dir}/multi")
     feats = _model_features(binary)
     pk = ST.packet_stream(spark, packet_dir)
     rows = C.packet_features(pk, "wide", keep=["ts", "src_ip", "dst_ip", "payload"])

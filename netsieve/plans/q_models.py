@@ -2,8 +2,8 @@
 
 Model weights cannot be compared with the original (different learners), so
 these keys have no oracle SQL; pytest checks invariants instead (AUC above
-chance on separable data, probabilities summing to 1, save / load equality).
-Iteration counts are kept small for the registered queries.
+chance on separable data, probabilities summing to 1, save / load equality, the multi-class trainer against a
+booster written out on one small table). Every fit runs the trainers' own number of rounds, with early stop on the held-out rows.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from netsieve.plans.registry import query
 from netsieve.session import scratch_dir
 from netsieve.sources import adapters
 
-FAST_ITER = 5
-
 
 def _binary_frame(spark, sf):
     df = E.labelled_alerts(spark, sf).withColumn("y", L.binary_label("label").cast("double"))
@@ -36,21 +34,27 @@ def _binary_frame(spark, sf):
 def q_train_binary(spark, sf):
     """Boosted trees on the binary target with early stopping on the held-out split; scored hold-out rows."""
     df = _binary_frame(spark, sf)
-    model = MD.train_binary(df, "y", max_iter=FAST_ITER, validation_col="is_val")
+    model = MD.train_binary(df, "y", validation_col="is_val")
     test = df.where("is_val")
     return MD.positive_probability(model, test).select("row_id", "y", "score", "binary_pred")
 
 
 def _multi_frame(spark, sf):
     df = S.with_class_weights(E.labelled_alerts(spark, sf), "label")
-    return SM.split_stratified(df, "label", "row_id")
+    return SM.split_stratified(df, "label", "row_id").withColumn("held", F.col("split") == "test")
+
+
+@query("train_curve")
+def q_train_curve(spark, sf):
+    """Log loss and error of the multi-class trainer per round, on the training and the held-out rows."""
+    return MD.train_multi(_multi_frame(spark, sf), "label", weight_col="weight", validation_col="held").curve_table(spark)
 
 
 @query("train_multi")
 def q_train_multi(spark, sf):
-    """One-vs-rest boosted trees with class weights on the stratified train split; hold-out predictions."""
+    """Softmax boosted trees with class weights on the stratified train split, early stop on the other; hold-out predictions."""
     df = _multi_frame(spark, sf)
-    model = MD.train_multi(df.where("split = 'train'"), "label", max_iter=FAST_ITER, weight_col="weight")
+    model = MD.train_multi(df, "label", weight_col="weight", validation_col="held")
     return MD.multi_predict(model, df.where("split = 'test'")).select("row_id", "label", "pred_label", "probs")
 
 
@@ -83,7 +87,7 @@ _ALERT_NAMES = [n for n, _ in sorted(D.ALERT_MODEL_CLASSES, key=lambda r: r[1])]
 def q_train_text(spark, sf):
     """Prompt text -> alert-model class with hashed TF-IDF + multinomial logistic regression."""
     ex = _text_frame(spark, sf)
-    model = MD.train_text(ex, "text", "label_id", max_iter=20)
+    model = MD.train_text(ex, "text", "label_id")
     return model.transform(ex).select("row_id", "is_twin", "attack_type", "label_id",
                                       F.col("prediction").alias("pred_id"))
 
@@ -91,7 +95,7 @@ def q_train_text(spark, sf):
 @query("score_binary")
 def q_score_binary(spark, sf):
     """Packet rows aligned to the model's features (missing -> 0) and scored; strict 0.5 threshold."""
-    model = MD.train_binary(_binary_frame(spark, sf), "y", max_iter=FAST_ITER)
+    model = MD.train_binary(_binary_frame(spark, sf), "y", validation_col="is_val")
     pkts = C.packet_features(adapters.packets(spark, sf), "wide")
     aligned = C.align_features(pkts, MD.FEATURES, keep=["packet_id"])
     return MD.positive_probability(model, aligned).select("packet_id", "score", "binary_pred")
@@ -100,8 +104,7 @@ def q_score_binary(spark, sf):
 @query("score_multi")
 def q_score_multi(spark, sf):
     """The multi-class model runs only on rows where the binary decision fired (filter before scoring)."""
-    train = _multi_frame(spark, sf).where("split = 'train'")
-    model = MD.train_multi(train, "label", max_iter=FAST_ITER, weight_col="weight")
+    model = MD.train_multi(_multi_frame(spark, sf), "label", weight_col="weight", validation_col="held")
     fired = E.alert_rows(spark, sf).where(F.coalesce(F.col("binary_pred"), F.lit(False)))
     return MD.multi_predict(model, fired).select("row_id", "pred_label")
 
@@ -109,7 +112,7 @@ def q_score_multi(spark, sf):
 @query("score_text")
 def q_score_text(spark, sf):
     """Text scoring of every alert record's prompt -> (label, score); empty text -> nulls."""
-    model = MD.train_text(_text_frame(spark, sf), "text", "label_id", max_iter=20)
+    model = MD.train_text(_text_frame(spark, sf), "text", "label_id")
     recs = E.alert_rows(spark, sf).select(
         "row_id", "protocol", "src_port", "dst_port",
         A.prompt_classifier(F.coalesce("attack_label", F.lit("Unknown"))).alias("text"))
@@ -119,7 +122,7 @@ def q_score_text(spark, sf):
 @query("alert_classify")
 def q_alert_classify(spark, sf):
     """Prompt -> class probabilities -> arg-max class and confidence -> severity-headed alert text."""
-    model = MD.train_text(_text_frame(spark, sf), "text", "label_id", max_iter=20)
+    model = MD.train_text(_text_frame(spark, sf), "text", "label_id")
     recs = E.alert_rows(spark, sf).where("is_malicious")
     recs = recs.withColumn("text", A.prompt_classifier(F.coalesce("attack_label", F.lit("Unknown"))))
     scored = MD.text_scores(model, recs, _ALERT_NAMES)
@@ -133,7 +136,7 @@ def q_alert_classify(spark, sf):
 def q_model_roundtrip(spark, sf):
     """Fit, save to the shared checkpoint folder, load, and score with the loaded model."""
     df = _binary_frame(spark, sf)
-    model = MD.train_binary(df, "y", max_iter=3)
+    model = MD.train_binary(df, "y", validation_col="is_val")
     path = scratch_dir(spark, "model")
     model.write().overwrite().save(path)
     loaded = PipelineModel.load(path)

@@ -205,3 +205,83 @@ def test_streams_do_not_depend_on_the_session_zone(spark):
         assert {n: rows(n) for n in base} == base
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def _plain_booster(x, y, w, val, keys, edges, classes, rounds, features):
+    """The booster written out with loops over nodes and bins: curves of both splits."""
+    import numpy as np
+
+    from netsieve.operators import boosting as B
+
+    bins = np.array([[sum(e < v for e in es) for v, es in zip(row, edges)] for row in x])
+    margin, curve = np.zeros((len(x), classes)), []
+    for r in range(rounds):
+        p = np.exp(margin) / np.exp(margin).sum(1, keepdims=True)
+        used = ~val & B._sampled(keys, r, 42)
+        step = np.zeros_like(margin)
+        for k in range(classes):
+            g, h = (p[:, k] - (y == k)) * w, 2 * p[:, k] * (1 - p[:, k]) * w
+            allowed = B._features_of(r, k, features, 42)
+
+            def grow(rows, every, depth):
+                def value():
+                    return B.RATE * np.clip(-g[rows].sum() / (h[rows].sum() + 1), -1, 1)
+
+                found = []
+                for f in np.flatnonzero(allowed) if depth < B.DEPTH else []:
+                    for c in range(B.BINS - 1):
+                        left, right = rows[bins[rows, f] <= c], rows[bins[rows, f] > c]
+                        hl, hr = h[left].sum(), h[right].sum()
+                        if hl < 1 or hr < 1:
+                            continue
+                        gain = g[left].sum() ** 2 / (hl + 1) + g[right].sum() ** 2 / (hr + 1) - g[rows].sum() ** 2 / (h[rows].sum() + 1)
+                        found.append((gain, f, c))
+                top = max((gain for gain, _, _ in found), default=0.0)
+                if top <= 1e-9:
+                    step[every, k] = value()
+                    return
+                f, c = next((f, c) for gain, f, c in found if gain >= top * (1 - 1e-9))
+                grow(rows[bins[rows, f] <= c], every[bins[every, f] <= c], depth + 1)
+                grow(rows[bins[rows, f] > c], every[bins[every, f] > c], depth + 1)
+
+            grow(np.flatnonzero(used), np.arange(len(x)), 0)
+        margin += step
+        p = np.exp(margin) / np.exp(margin).sum(1, keepdims=True)
+        for name, rows in (("train", ~val), ("test", val)):
+            weight = w[rows] if name == "train" else np.ones(rows.sum())
+            loss, err = -np.log(p[rows, y[rows]]), p[rows].argmax(1) != y[rows]
+            curve.append((r, name, (weight * loss).sum() / weight.sum(), (weight * err).sum() / weight.sum()))
+    return curve
+
+
+def test_softmax_booster_equals_a_plain_one(spark):
+    import numpy as np
+
+    from netsieve.operators import boosting as B
+
+    rng = np.random.default_rng(6)
+    n, names = 240, ["benign", "dos", "scan"]
+    x = rng.integers(0, 9, (n, 5)).astype(float)
+    y = ((x[:, 0] > 4).astype(int) + (x[:, 1] + x[:, 2] > 9) + (rng.random(n) < 0.1)) % 3
+    w, val, keys = rng.integers(1, 4, n).astype(float), rng.random(n) < 0.25, np.arange(n) * 7 + 1
+    rows = [(int(keys[i]), names[y[i]], bool(val[i]), float(w[i]), *map(float, x[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "row_id long, label string, held boolean, w double, a double, b double, c double, d double, e double")
+    features = list("abcde")
+    model = B.train(df.repartition(3), "label", features, "row_id", "held", "w", max_iter=4, patience=10)
+    curve = _plain_booster(x, y, w, val, keys, model.edges, 3, 4, 5)
+    assert [c[:2] for c in model.curve] == [c[:2] for c in curve]
+    for got, want in zip(model.curve, curve):
+        assert got[2:] == pytest.approx(want[2:], abs=1e-9)
+    best = min(range(4), key=lambda r: (curve[2 * r + 1][3], r))
+    assert len(model.rounds) == best + 1  # rounds after the best are dropped
+    path = scratch_dir(spark, "softmax-model")
+    model.save(spark, path)
+    a, b = (sorted((r.row_id, tuple(r.probs), r.pred_label) for r in B.predict(m, df).collect()) for m in (model, B.SoftmaxModel.load(spark, path)))
+    assert a == b and all(sum(p) == pytest.approx(1.0) for _, p, _ in a)
+    assert model.curve_table(spark).count() == 8
+    # early stop, missing values, one class, no rows
+    stopped = B.train(df.withColumn("label", F.when(F.col("held"), "dos").otherwise("benign")), "label", features, "row_id", "held")
+    assert stopped.rounds == [] and B.predict(stopped, df).where("pred_label = 'benign'").count() == n
+    holes = df.withColumn("a", F.when(F.col("row_id") % 3 == 0, None).otherwise(F.col("a")))
+    assert len(B.train(holes, "label", features, "row_id", max_iter=2).rounds) == 2
+    assert B.train(df.where("false"), "label", features, "row_id").labels == []
