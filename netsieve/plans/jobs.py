@@ -55,7 +55,7 @@ def preprocess(spark: SparkSession, in_dir: str, out_dir: str, drop_bad_times: b
 
     Returns ``(ingest_report, row_audit)`` (both small: one row per file).
     """
-    typed = CF.typed(CF.read_groups(spark, in_dir, D.REQUIRED_COLUMNS))
+    typed, report = CF.ingest(spark, in_dir, D.REQUIRED_COLUMNS)
     audit = S.row_audit(typed, "label", "source_file")
     df = L.known_labels(L.standardize_label(L.clean_labels(typed, "label"), "label"), "label")
     df = df.withColumn("_t", X.parse_day_first("timestamp"))
@@ -63,7 +63,7 @@ def preprocess(spark: SparkSession, in_dir: str, out_dir: str, drop_bad_times: b
         df = df.where(F.col("_t").isNotNull())
     df = df.select("*", *X.time_parts("_t")).drop("_t")
     SK.write_clean(df, out_dir, fmt)
-    return CF.ingest_report(spark, in_dir), audit
+    return report, audit
 
 
 def feature_columns(df: DataFrame) -> list[str]:

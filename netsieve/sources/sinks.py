@@ -66,17 +66,27 @@ def hadoop_fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
-def write_named_csv(df: DataFrame, folder: str, name: str) -> None:
-    """Write ``df`` as a single CSV file ``folder/name`` (fixture helper for small per-file tables)."""
-    spark = df.sparkSession
+def write_named_text(df: DataFrame, folder: str, name: str) -> None:
+    """Write the one column of ``df``, in its order, as the lines of the file ``folder/name`` (fixture helper)."""
     tmp = f"{folder.rstrip('/')}_parts/{name}"
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(tmp)
+    df.write.mode("overwrite").text(tmp)
+    _rename_part(df.sparkSession, tmp, folder, name)
+
+
+def _rename_part(spark: SparkSession, tmp: str, folder: str, name: str) -> None:
     fs, Path = hadoop_fs(spark, folder)
     fs.mkdirs(Path(folder))
     parts = [s.getPath() for s in fs.listStatus(Path(tmp)) if s.getPath().getName().startswith("part-")]
     fs.rename(parts[0], Path(f"{folder}/{name}"))
 
 
+def write_named_csv(df: DataFrame, folder: str, name: str) -> None:
+    """Write ``df`` as a single CSV file ``folder/name`` (fixture helper for small per-file tables)."""
+    tmp = f"{folder.rstrip('/')}_parts/{name}"
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(tmp)
+    _rename_part(df.sparkSession, tmp, folder, name)
+
+
 def write_text_file(spark: SparkSession, path: str, text: str) -> None:
     fs, Path = hadoop_fs(spark, path)
     out = fs.create(Path(path), True)

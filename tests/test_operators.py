@@ -327,10 +327,16 @@ def test_csv_folder_edge_cases(spark, tmp_dir):
     with open(os.path.join(folder, "c.csv"), "w") as f:
         f.write("Dst Port,Timestamp,Label\n80,01/02/2024 10:00:00,Benign\n")
     open(os.path.join(folder, "empty.csv"), "w").close()
+    with open(os.path.join(folder, "long.csv"), "w") as f:
+        f.write(head + "80,6,01/02/2024 10:00:00,5,1,1,10,10,1,Bot\n80,6,01/02/2024 10:00:00,5,1,1,10,10,1,Bot,more,fields\n")
+    with open(os.path.join(folder, "garbage.csv"), "wb") as f:
+        f.write(bytes(range(128, 256)) * 3)
+    with open(os.path.join(folder, "bom.csv"), "w", encoding="utf-8-sig") as f:
+        f.write(head.replace("Label", '"Label","odd, name"') + '80,6,01/02/2024 10:00:00,5,1,1,10,10,1,"Bot",1\n')
     with open(os.path.join(folder, "readme.txt"), "w") as f:
         f.write("not data\n")
     rows = CF.scan_flows(spark, folder, required=None)
-    assert rows.count() == 7  # 5 + 1 + 1 (the repeated header is a row until cleaned)
+    assert rows.where("source_file not in ('long.csv', 'bom.csv', 'garbage.csv')").count() == 7  # the repeated header is a row until cleaned
     b = rows.where("source_file = 'b.csv'").first()
     assert b["flow_id"] == "x" and b["label"] == "Bot"
     byts = {r["dst_port"]: r["flow_byts_s"] for r in rows.where("source_file = 'a.csv'").collect()}
@@ -338,6 +344,12 @@ def test_csv_folder_edge_cases(spark, tmp_dir):
     rep = {r["file_name"]: r["status"] for r in CF.ingest_report(spark, folder).collect()}
     assert rep["a.csv"] == "processed" and rep["b.csv"] == "processed"
     assert rep["c.csv"].startswith("skipped: missing columns Protocol")
+    assert rep["long.csv"] == "skipped: 1 rows with more fields than the header" and rep["bom.csv"] == "processed"
+    assert rep["garbage.csv"].startswith("skipped: missing columns")
+    good, report = CF.ingest(spark, folder)
+    assert {r["source_file"] for r in good.select("source_file").distinct().collect()} == {n for n, s in rep.items() if s == "processed"}
+    assert report.count() == len(rep) and good.where("source_file = 'bom.csv'").first()["label"] == "Bot"
+    assert CF._first_line(spark, os.path.join(folder, "absent.csv"))[1].startswith("FileNotFoundException")
     assert rep["empty.csv"] == "skipped: empty file" and rep["readme.txt"] == "skipped: not a CSV file"
     from netsieve.operators import clean as C
     from netsieve.operators import labels as L
