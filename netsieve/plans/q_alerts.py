@@ -184,7 +184,7 @@ def q_tcp_flags(spark, sf):
     return adapters.packets(spark, sf).select("packet_id", *X.tcp_flag_columns("tcp_flags"))
 
 
-def _sql_packet_features(names):
+def _sql_packet_features(names, more=None):
     base = {
         "src_port": "coalesce(src_port, 0)", "dst_port": "coalesce(dst_port, 0)", "protocol": "coalesce(protocol, 0)",
         "pkt_len_min": "CAST(pkt_len AS DOUBLE)", "pkt_len_max": "CAST(pkt_len AS DOUBLE)",
@@ -194,9 +194,17 @@ def _sql_packet_features(names):
     }
     for n, m in D.TCP_FLAG_MASKS:
         base[n] = f"CAST(coalesce((tcp_flags & {m}) <> 0, false) AS INTEGER)"
+    base.update(more or {})
     return ", ".join(f"{base.get(n, '0.0::DOUBLE')} AS {n}" for n in names)
 
 
+_SQL_EARLY = {
+    "tot_fwd_pkts": "1.0::DOUBLE", "totlen_fwd_pkts": "CAST(pkt_len AS DOUBLE)", "pkt_size_avg": "CAST(pkt_len AS DOUBLE)",
+    "fwd_header_len": "CASE WHEN coalesce(protocol, 0) <> 0 THEN 20.0 ELSE 0.0 END::DOUBLE",
+    "init_fwd_win_byts": "CASE WHEN tcp_flags IS NOT NULL THEN coalesce(tcp_window, 0) ELSE 0 END",
+}
+
+
 @query("packet_features", sql=lambda: adapters.cte("packets") +
        f"\nSELECT packet_id, {_sql_packet_features(schemas.PACKET_FEATURES)} FROM packets")
 def q_packet_features(spark, sf):
@@ -209,6 +217,13 @@ def q_packet_features_narrow(spark, sf):
     return C.packet_features(adapters.packets(spark, sf), "narrow")
 
 
+@query("packet_features_early", sql=lambda: adapters.cte("packets") +
+       f"\nSELECT packet_id, {_sql_packet_features(schemas.EARLY_FEATURES, _SQL_EARLY)} FROM packets")
+def q_packet_features_early(spark, sf):
+    """The first live form: forward counts, header length and first window of each packet."""
+    return C.packet_features(adapters.packets(spark, sf), "early")
+
+
 @query("align_features", sql=lambda: adapters.cte("packets") + "\nSELECT packet_id, " + ", ".join(
     (f"CAST(f.{c} AS DOUBLE) AS {c}" if c in schemas.NARROW_FEATURES else f"0.0::DOUBLE AS {c}")
     for c in schemas.EARLY_FEATURES) + f" FROM (SELECT packet_id, {_sql_packet_features(schemas.NARROW_FEATURES)} "

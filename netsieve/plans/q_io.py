@@ -3,16 +3,20 @@ through a fresh folder under the shared checkpoint folder."""
 
 from __future__ import annotations
 
+import datetime
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netsieve.functions import detect as X
 from netsieve.functions import domains as D
 from netsieve.operators import labels as L
 from netsieve.operators import stats as S
 from netsieve.plans import evaluation as E
-from netsieve.plans import q_examples
-from netsieve.plans.registry import query
-from netsieve.plans.sqlbase import KNOWN, LABEL_DIM, LABELLED, MAPPING, with_alerts
+from netsieve.plans import q_examples, q_labels, q_metrics
+from netsieve.plans.registry import ORACLE, query
+from netsieve.plans.sqlbase import KNOWN, LABEL_DIM, LABELLED, MAPPING, SCORED, with_alerts
 from netsieve.session import scratch_dir
 from netsieve.sources import adapters
 from netsieve.sources import csv_folder as CF
@@ -177,3 +181,68 @@ def q_label_dim_write(spark, sf):
     parts = F.split("value", "\t")
     return spark.read.text(out).select(parts[0].alias("mapping"), parts[1].alias("classes_json"),
                                        parts[2].alias("mapping_json"))
+
+
+# ---------------------------------------------------------------- logs and result files, written and read back
+
+
+def _all_text(df: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in df.columns])
+
+
+@query("traffic_log_file", sql=lambda: with_alerts(SCORED) + """
+SELECT row_id, protocol, src_port, dst_port, flow_byts_s, flow_pkts_s, binary_pred AS binary_prediction,
+  coalesce(CASE WHEN coalesce(binary_pred, false) THEN class_label END, 'Benign') AS multiclass_label,
+  CASE WHEN row_id % 2 = 0 THEN 'first' ELSE 'second' END AS run_id
+FROM scored""")
+def q_traffic_log_file(spark, sf):
+    """The traffic log appended in two runs, the second of them twice, beside an attempt that was never committed; read back."""
+    rows = q_labels.q_traffic_log(spark, sf)
+    path = scratch_dir(spark, "traffic-log")
+    SK.append_log(rows.where("row_id % 2 = 0"), path, "first", "parquet")
+    SK.append_log(rows.where("row_id % 2 = 1 AND row_id % 5 = 0"), path, "second", "parquet")
+    SK.append_log(rows.where("row_id % 2 = 1"), path, "second", "parquet")
+    rows.write.parquet(f"{path}/run_id=third/attempt=unfinished")
+    return SK.read_log(spark, path, rows.schema, "parquet")
+
+
+def _three(names: str) -> str:
+    return ", ".join(f"printf('%.3f', CAST({n} AS DOUBLE)) AS {n}" for n in names.split())
+
+
+@query("alert_log_csv", sql=lambda: f"""
+SELECT CAST(row_index AS VARCHAR) AS row_index, timestamp, CAST(actual_label AS VARCHAR) AS actual_label,
+  CAST(binary_prediction AS VARCHAR) AS binary_prediction, multiclass_prediction, slm_label,
+  {_three("slm_score flow_rate_bytes_s packet_rate_pkts_s iat_mean_ms forward_header_length backward_header_length packet_length_min packet_length_max")},
+  CAST(protocol AS VARCHAR) AS protocol, CAST(source_port AS VARCHAR) AS source_port, CAST(destination_port AS VARCHAR) AS destination_port,
+  CAST(rst_flags AS VARCHAR) AS rst_flags, CAST(syn_flags AS VARCHAR) AS syn_flags, traffic_pattern, notification, 'run' AS run_id
+FROM ({ORACLE["alert_log"]()})""")
+def q_alert_log_csv(spark, sf):
+    """The alert log as a CSV of 3 decimals (its texts span lines), read back as text."""
+    log = E.alert_log(spark, sf)
+    path = scratch_dir(spark, "alert-log")
+    SK.append_log(SK.three_decimals(log), path, "run")
+    return SK.read_log(spark, path, _all_text(log))
+
+
+@query("run_summary_csv", sql=lambda: f"""
+SELECT *, 2.5::DOUBLE AS test_duration_minutes, '2024-05-06 07:08:09' AS test_start_time, '2024-05-06 07:10:39' AS test_end_time
+FROM ({ORACLE["run_summary"]()})""")
+def q_run_summary_csv(spark, sf):
+    """The run summary of 8 columns (for a run of two and a half minutes) written as CSV and read back."""
+    start = datetime.datetime(2024, 5, 6, 7, 8, 9)
+    summary = E.with_timing(E.run_summary(spark, sf), start, start + datetime.timedelta(seconds=150))
+    path = scratch_dir(spark, "summary")
+    summary.write.option("header", True).csv(path)
+    return spark.read.schema(summary.schema).option("header", True).csv(path)
+
+
+@query("text_eval_csv", sql=lambda: f"""
+SELECT CAST(index AS VARCHAR) AS index, CAST(ground_truth AS VARCHAR) AS ground_truth, CAST(slm_prediction AS VARCHAR) AS slm_prediction,
+  slm_label, printf('%.3f', slm_score) AS slm_score FROM ({ORACLE["text_eval_rows"]()})""")
+def q_text_eval_csv(spark, sf):
+    """The rows of the text evaluation as a CSV of 3 decimals, read back as text."""
+    rows = q_metrics.q_text_eval_rows(spark, sf)
+    path = scratch_dir(spark, "text-eval")
+    SK.write_csv_3dp(rows, path)
+    return spark.read.schema(_all_text(rows)).option("header", True).csv(path)

@@ -140,6 +140,16 @@ def q_class_report_text(spark, sf):
     return M.class_report(_text_eval(spark, sf), "ground_truth", "slm_prediction", names)
 
 
+@query("confusion_matrix_text", sql=lambda: with_alerts(LABELLED) + _TEXT_EVAL_SQL + """,
+seen AS (SELECT ground_truth AS true_id FROM te UNION SELECT slm_prediction FROM te)
+SELECT s.true_id, """ + ", ".join(f"count(t.row_id) FILTER (WHERE t.slm_prediction = {k}) AS p_{k}" for k in range(16)) + """,
+  CAST(0 AS BIGINT) AS p_other
+FROM seen s LEFT JOIN te t ON t.ground_truth = s.true_id GROUP BY s.true_id""")
+def q_confusion_matrix_text(spark, sf):
+    """True class against the text model's, the unknown id (15) included."""
+    return M.confusion_matrix(_text_eval(spark, sf), "ground_truth", "slm_prediction", list(range(16)))
+
+
 # ---------------------------------------------------------------- ROC AUC
 
 

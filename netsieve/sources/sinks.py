@@ -6,8 +6,11 @@ nothing is gathered on the driver except the ≤ 15-row label maps.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netsieve import schemas
 
@@ -21,20 +24,52 @@ def write_clean(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         w.parquet(path)
 
 
-def append_log(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Append rows to a traffic / alert log (header in every part file for CSV)."""
-    w = df.write.mode("append")
-    if fmt == "csv":
-        w.option("header", True).csv(path)
-    else:
-        w.parquet(path)
+def three_decimals(df: DataFrame) -> DataFrame:
+    """Floating columns as text of 3 decimals, as the results CSVs show them."""
+    return df.select(*[F.format_string("%.3f", F.col(f.name)).alias(f.name) if f.dataType.simpleString() in ("double", "float")
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+def append_log(df: DataFrame, path: str, run_id: str, fmt: str = "csv") -> None:
+    """Add the rows of a run (or micro-batch) to a log; replaying a run replaces its rows.
+
+    The rows go to a folder of this attempt alone; when all parts are there, the manifest entry of the run is renamed into
+    place and names the attempt. Readers see the rows of the attempts that the manifest names, so a run that
+    dies half way adds nothing, and one that is repeated adds its rows once.
+    """
+    spark = df.sparkSession
+    attempt = uuid.uuid4().hex
+    w = df.write.mode("errorifexists")
+    out = f"{path.rstrip('/')}/run_id={run_id}/attempt={attempt}"
+    w.option("header", True).option("quoteAll", True).csv(out) if fmt == "csv" else w.parquet(out)
+    manifest = f"{path.rstrip('/')}/_manifest"
+    write_text_file(spark, f"{manifest}/.{run_id}.{attempt}", attempt)
+    fs, Path = hadoop_fs(spark, manifest)
+    entry = Path(f"{manifest}/{run_id}")
+    if fs.exists(entry):
+        fs.delete(entry, False)
+    fs.rename(Path(f"{manifest}/.{run_id}.{attempt}"), entry)
+
+
+def read_log(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
+    """The committed rows of a log with their ``run_id``; a log without runs has none."""
+    manifest = f"{path.rstrip('/')}/_manifest"
+    fs, Path = hadoop_fs(spark, manifest)
+    entries = [] if not fs.exists(Path(manifest)) else [
+        s.getPath() for s in fs.listStatus(Path(manifest)) if not s.getPath().getName().startswith(".")]
+    runs = spark.read.text([e.toString() for e in entries]).select(
+        F.col("_metadata.file_name").alias("run_id"), "value").collect() if entries else []
+    if not runs:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("run_id", T.StringType())]))
+    reader = spark.read.schema(schema).option("basePath", path)
+    paths = [f"{path.rstrip('/')}/run_id={r.run_id}/attempt={r.value}" for r in runs]
+    df = reader.option("header", True).option("multiLine", True).csv(paths) if fmt == "csv" else reader.parquet(*paths)
+    return df.select(*schema.names, F.col("run_id").cast("string").alias("run_id"))
 
 
 def write_csv_3dp(df: DataFrame, path: str) -> None:
     """Results CSV with floating columns printed to 3 decimals."""
-    cols = [F.format_string("%.3f", F.col(f.name)).alias(f.name) if f.dataType.simpleString() in ("double", "float")
-            else F.col(f.name) for f in df.schema.fields]
-    df.select(*cols).write.mode("overwrite").option("header", True).csv(path)
+    three_decimals(df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_examples(df: DataFrame, path: str) -> None:

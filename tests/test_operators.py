@@ -412,3 +412,16 @@ IMPACT: Potential security risk requiring investigation and monitoring"""
     missing = A.add_alert_text(df.withColumn("tot_fwd_pkts", F.lit(None).cast("long"))).first().alert_text
     assert missing.startswith("THREAT: Suspicious {severity} {impact} activity detected on port 80 with anomalous")
     assert "Forward Packets: {NULL}" in A.add_alert_detail(df.withColumn("tot_fwd_pkts", F.lit(None).cast("long"))).first().alert_detail
+
+
+def test_log_runs_are_committed_whole_and_once(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "log")
+    df = spark.createDataFrame([(1, 0.5, "two\nlines, \"quoted\""), (2, None, None)], "id long, x double, text string")
+    schema = df.schema
+    assert SK.read_log(spark, path, schema).collect() == []
+    SK.append_log(df, path, "a")
+    SK.append_log(df.where("id = 1"), path, "b")
+    SK.append_log(df.where("id = 2"), path, "b")  # a replay
+    df.write.option("header", True).csv(f"{path}/run_id=c/attempt=dead")  # parts without a manifest entry
+    got = sorted(tuple(r) for r in SK.read_log(spark, path, schema).collect())
+    assert got == [(1, 0.5, 'two\nlines, "quoted"', "a"), (2, None, None, "a"), (2, None, None, "b")]
