@@ -2,10 +2,12 @@
 
 Each language has a smoothed distribution over hashed byte trigrams around letters, counted by
 Spark over all learning rows. A document is a mixture of languages: expectation
-maximisation estimates its proportions from the trigram likelihoods. The set of
+maximisation estimates its proportions from the trigram likelihoods, until the log-likelihood is
+within ``TOLERANCE`` of its maximum (the likelihood is concave in the proportions, so the largest
+gradient bounds what is left). The set of
 languages is chosen by penalised likelihood: languages enter in the order of
-their proportions, and the set with the best log-likelihood minus a penalty for each further
-language wins. The prediction is the largest proportion of that set.
+their proportions for as long as the log-likelihood minus a penalty for each further
+language rises. The prediction is the largest proportion of that set.
 """
 
 from __future__ import annotations
@@ -14,18 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from netsieve.llm import arrays
 
 #: Hashed trigrams; the model holds this many numbers per language.
 BUCKETS = 1 << 13
 SMOOTHING = 0.5
-ROUNDS = 12
+#: Log-likelihood that a converged estimate may lack.
+TOLERANCE = 0.1
 #: Penalty per further language, in units of log(number of trigrams) / 2.
 PENALTY = 4.0
-#: Largest language set tried.
-MAX_SET = 4
 #: Texts handled at a time (a longer single text is taken whole).
 BYTES_AT_ONCE = 1 << 19
 
@@ -87,28 +88,41 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tu
     return langs, np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * BUCKETS))
 
 
-def mixture(likely: np.ndarray, n: np.ndarray, first: np.ndarray, rows: np.ndarray, total: np.ndarray, rounds: int):
-    """Proportions (row, language) and log-likelihood of each row by expectation maximisation.
+def mixture(likely: np.ndarray, n: np.ndarray, first: np.ndarray, rows: np.ndarray, total: np.ndarray):
+    """Proportions (row, language), log-likelihood of each row, and a bound on what its maximum may lie above, by expectation
+    maximisation to ``TOLERANCE``.
 
     ``likely``: (trigram, language) likelihoods, zero outside a row's set; ``first``: each row's first trigram.
     """
     share = (likely[first] > 0).astype(np.float64)
     share /= share.sum(1, keepdims=True)
-    for _ in range(rounds):
-        part = likely * share[rows]
-        part *= (n / part.sum(1))[:, None]
-        share = np.add.reduceat(part, first, axis=0) / total[:, None]
-    mass = (likely * share[rows]).sum(1)
-    return share, np.add.reduceat(n * np.log(mass), first)
+    out, fit, lack = share.copy(), np.zeros(len(first)), np.zeros(len(first))
+    left = np.arange(len(first))
+    while len(left):
+        mass = (likely * share[rows]).sum(1)
+        slope = np.add.reduceat(likely * (n / mass)[:, None], first, axis=0) / total[:, None]
+        gap = total * (slope.max(1) - 1.0)
+        done = gap < TOLERANCE
+        if done.any():
+            at = left[done]
+            out[at], lack[at] = share[done], np.maximum(gap[done], 0.0)
+            fit[at] = np.add.reduceat(n * np.log(mass), first)[done]
+            # Only the rows that go on are kept.
+            stays = ~done[rows]
+            likely, n, rows = likely[stays], n[stays], rows[stays]
+            rows = (np.cumsum(~done) - 1)[rows]
+            left, share, slope, total = left[~done], share[~done], slope[~done], total[~done]
+            first = np.searchsorted(rows, np.arange(len(left)))
+        share = share * slope
+    return out, fit, lack
 
 
 def infer(buf: np.ndarray, off: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, language) proportions of the chosen set; all zero for a row without a trigram, and the set sizes."""
     rows, langs = len(off) - 1, logp.shape[1]
     bucket, row = trigrams(buf, off)
-    counts = np.bincount(row * BUCKETS + bucket, minlength=rows * BUCKETS)
-    cell = np.flatnonzero(counts)
-    n, bucket, row = counts[cell].astype(np.float64), cell % BUCKETS, cell // BUCKETS
+    cell, n = np.unique(row * BUCKETS + bucket, return_counts=True)
+    n, bucket, row = n.astype(np.float64), cell % BUCKETS, cell // BUCKETS
     out, sizes = np.zeros((rows, langs)), np.zeros(rows, np.int64)
     present, first, local = np.unique(row, return_index=True, return_inverse=True)
     if not len(present):
@@ -118,38 +132,38 @@ def infer(buf: np.ndarray, off: np.ndarray, logp: np.ndarray) -> tuple[np.ndarra
     likely = np.exp(logs - top)  # scaled by a factor per trigram, which no comparison of sets sees
     total = np.add.reduceat(n, first)
     single = np.add.reduceat(n[:, None] * (logs - top), first, axis=0)
-    share, full = mixture(likely, n, first, local, total, ROUNDS)
-    best = (single == single.max(1, keepdims=True)).astype(np.float64)
-    best = np.eye(langs)[best.argmax(1)]
+    share, full, lack = mixture(likely, n, first, local, total)
+    best = np.eye(langs)[single.argmax(1)]
     score, size = single.max(1), np.ones(len(present), np.int64)
     penalty = PENALTY * 0.5 * np.log(total + 1)
     # No set fits better than all languages together: only rows where that beats one language's penalty go on.
-    more = np.flatnonzero(full - penalty > score)
-    if len(more) and langs > 1:
-        # The best single language comes first, then the others by proportion.
-        place = np.argsort(np.argsort(-np.where(best > 0, 2.0, share)[more], axis=1, kind="stable"), axis=1)
+    more = np.flatnonzero(full + lack - penalty > score)
+    # The best single language comes first, then the others by proportion.
+    place = np.argsort(np.argsort(-np.where(best > 0, 2.0, share), axis=1, kind="stable"), axis=1)
+    for k in range(2, langs + 1):
+        if not len(more):
+            break
         into = np.full(len(present), -1)
         into[more] = np.arange(len(more))
         part = into[local] >= 0
-        likely, n, local, total = likely[part], n[part], into[local[part]], total[more]
-        first = np.searchsorted(local, np.arange(len(more)))
-        for k in range(2, min(langs, MAX_SET) + 1):
-            inside = np.where((place < k)[local], likely, 0.0)
-            share, fit = mixture(inside, n, first, local, total, ROUNDS)
-            fit = fit - penalty[more] * (k - 1)
-            better = fit > score[more]
-            at = more[better]
-            best[at], score[at], size[at] = share[better], fit[better], k
+        of = into[local[part]]
+        inside = np.where((place[more] < k)[of], likely[part], 0.0)
+        share, fit, _ = mixture(inside, n[part], np.searchsorted(of, np.arange(len(more))), of, total[more])
+        fit = fit - penalty[more] * (k - 1)
+        better = fit > score[more]
+        more = more[better]  # the others have their set
+        best[more], score[more], size[more] = share[better], fit[better], k
     out[present], sizes[present] = best, size
     return out, sizes
 
 
 def identify(docs: DataFrame, langs: list[str], logp: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
              keep: dict[str, Column] | None = None) -> DataFrame:
-    """One row per input row: id, the ``keep`` columns, lang_pred, score (its proportion) and n_langs (size of the set).
+    """One row per input row: id, the ``keep`` columns, lang_pred, score (its proportion), n_langs (size of the set), and the set
+    with its proportions (langs, shares), the largest first.
 
     A null text, one without a letter, or any text when nothing was learned has
-    lang_pred ``und``, score 0 and no languages. Ties go to the first language in order.
+    lang_pred ``und``, score 0 and no languages (two empty lists). Ties go to the first language in order.
     A null id stays null; repeated rows repeat; extra columns are not read; an
     empty table gives no rows; texts are taken whole.
     """
@@ -159,6 +173,7 @@ def identify(docs: DataFrame, langs: list[str], logp: np.ndarray, id_col: str =
                        *[c.alias(name) for name, c in keep.items()])
     kept = rows.drop("_able", "_text").schema
     schema = kept.add("lang_pred", "string").add("score", "double").add("n_langs", "integer")
+    schema = schema.add("langs", T.ArrayType(T.StringType())).add("shares", T.ArrayType(T.DoubleType()))
     n_kept = len(keep) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +184,12 @@ def identify(docs: DataFrame, langs: list[str], logp: np.ndarray, id_col: str =
             at = share.argmax(1)
             name = np.where(able, np.array([*langs, "und"], object)[np.where(able, at, -1)], "und")
             score = np.where(able, np.minimum(share[np.arange(len(at)), at], 1.0), 0.0)
+            order = np.argsort(-share, axis=1, kind="stable")
+            chosen = [[j for j in order[r] if share[r, j] > 0] if able[r] else [] for r in range(part.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(2 + k) for k in range(n_kept)), pa.array(name.tolist(), pa.string()), pa.array(score),
-                 pa.array(np.where(able, size, 0).astype(np.int32))], names=[f.name for f in schema.fields])
+                 pa.array(np.where(able, size, 0).astype(np.int32)),
+                 pa.array([[langs[j] for j in c] for c in chosen], pa.list_(pa.string())),
+                 pa.array([share[r, c].tolist() for r, c in enumerate(chosen)], pa.list_(pa.float64()))], names=[f.name for f in schema.fields])
 
     return rows.mapInArrow(run, schema)

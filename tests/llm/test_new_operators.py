@@ -182,3 +182,54 @@ def test_training_on_given_pages(spark):
     field = page_text.train(spark, df, max_pages=25)
     assert [field.main_text(h) for h, _ in pages[:5]] == [t for _, t in pages[:5]]
     assert page_text.train(spark, df.where("false")).main_text(pages[0][0]) == ""
+
+
+def made_up_languages(n):
+    """Words of n languages over letters of their own, for learning, and a function that writes a text."""
+    rng = np.random.default_rng(8)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz")[4 * k: 4 * k + 4], 5)) for _ in range(60)] for k in range(n)]
+    return lambda parts: " ".join(w for k, size in parts for w in rng.choice(words[k], size))
+
+
+def test_language_sets_of_any_size(spark):
+    from netsieve.llm import language
+
+    write = made_up_languages(6)
+    learning = spark.createDataFrame([(f"l{k}", write([(k, 400)])) for k in range(6) for _ in range(3)], "lang string, text string")
+    langs, logp = language.learn(learning)
+    texts = [(m, write([(k, 60) for k in range(m)])) for m in range(1, 7)] + [(10, write([(0, 300), (3, 30)]))]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(texts, "doc_id long, text string"), langs, logp).collect()}
+    for m in range(1, 7):
+        assert got[m].n_langs == m and sorted(got[m].langs) == [f"l{k}" for k in range(m)]
+        assert got[m].shares == pytest.approx([1 / m] * m, abs=0.03) and got[m].score == got[m].shares[0]
+    assert got[10].langs == ["l0", "l3"] and got[10].shares == pytest.approx([10 / 11, 1 / 11], abs=0.02)
+
+
+def test_mixture_reaches_the_maximum():
+    from netsieve.llm import language
+
+    rng = np.random.default_rng(1)
+    likely = rng.random((50, 3)) ** 3 + 1e-6
+    n = rng.integers(1, 9, 50).astype(float)
+    share, fit, lack = language.mixture(likely, n, np.array([0, 20]), np.repeat([0, 1], [20, 30]), np.array([n[:20].sum(), n[20:].sum()]))
+    grid = [(a / 60, b / 60, 1 - (a + b) / 60) for a in range(61) for b in range(61 - a)]
+    for r, rows in enumerate((slice(0, 20), slice(20, 50))):
+        top = max((n[rows] * np.log(likely[rows] @ np.array(g))).sum() for g in grid)
+        assert fit[r] > top - language.TOLERANCE - 1e-9 and fit[r] + lack[r] > top - 1e-9
+        assert share[r].sum() == pytest.approx(1.0)
+
+
+def test_short_texts_take_little_memory():
+    import tracemalloc
+
+    from netsieve.llm import language
+
+    texts = ["a short text of about fifty characters, no more."] * 10_000
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.arange(10_001) * len(texts[0])
+    logp = np.log(np.random.default_rng(0).dirichlet(np.ones(language.BUCKETS), 4).T)
+    tracemalloc.start()
+    language.infer(buf, off, logp)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250e6
