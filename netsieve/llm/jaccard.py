@@ -159,8 +159,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     in_band = classes.select("class_id", F.posexplode("bands").alias("band", "hash"))
     hubs = (in_band.groupBy("band", "hash").agg(F.min("class_id").alias("hub"), F.count("*").alias("n"))
             .where("n > 1").select(F.col("band").alias("h_band"), F.col("hash").alias("h_hash"), "hub"))
-    edges = (in_band.join(hubs, (F.col("hash") == F.col("h_hash")) & (F.col("band") == F.col("h_band")))
-             .where("class_id != hub").select(F.col("class_id").alias("a"), F.col("hub").alias("b")).distinct())
+    # A class has a hub in each band at most; its smallest hub joins it and its other hubs, so that a large group has about
+    # one edge a class, not one a band.
+    led = (in_band.join(hubs, (F.col("hash") == F.col("h_hash")) & (F.col("band") == F.col("h_band")))
+           .groupBy("class_id").agg(F.collect_set("hub").alias("hubs")))
+    edges = (led.select(F.explode(F.array_append("hubs", F.col("class_id"))).alias("a"), F.array_min("hubs").alias("b"))
+             .where("a != b").distinct())
     families = components(edges).withColumnRenamed("component", "family")
     members = families.join(classes.drop("bands"), F.col("node") == F.col("class_id")).select(
         "class_id", "size", "s1", "family")
