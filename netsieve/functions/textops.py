@@ -105,7 +105,10 @@ def plain_number(x: Column) -> Column:
 
     body = _let(chosen, lambda c: _let(split(c), lambda s: spell(s["d"], s["e"])))
     sign = F.when(x.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    shown = F.when(a == 0, F.lit("0.0")).when(a == float("inf"), F.lit("inf")).otherwise(body)
+    # A plain cast of at most 15 digits that reads back is the shortest: no two such decimals are one double.
+    text = a.cast("string")
+    plain = (a >= 1e-3) & (a < 1e7) & (F.length(text) <= 16)
+    shown = F.when(a == 0, F.lit("0.0")).when(a == float("inf"), F.lit("inf")).when(plain, text).otherwise(body)
     return F.when(x.isNull(), F.lit(None)).when(F.isnan(x), F.lit("nan")).otherwise(F.concat(sign, shown))
 
 
