@@ -7,24 +7,27 @@ positions. Dictionary: the distinct phrases, each with the first document of its
 in the parse. In every later document the whole phrase goes at once, which
 settles highly repetitive text without looking at its bytes again.
 
-What remains are phrases in their first document, whose suffixes may agree for
-50 bytes with suffixes of other phrases. Of the suffix arrays' corpus order only the classes
-up to 50 bytes are needed: suffixes with equal 50-byte prefixes are one class (found by two
-64-bit hashes of the prefix instead of by sorting), and each class takes the first document of
-its phrases. To compare few suffixes, each is first keyed by the smallest hash of its
-20-byte substrings (equal prefixes have equal keys); only keys of two documents go on,
-and equal runs of suffixes under one key are one entry, as phrases are. A second round does
-the same with 36-byte substrings, so that few suffixes reach the classes. All steps are joins
-and combinable aggregations; a frequent passage meets in a minimum, not in a list.
+What remains are the dictionary's phrases, whose suffixes may agree for 50 bytes with suffixes
+of other phrases. Their suffix array is built in buckets: a suffix is keyed by the smallest hash of
+its first 50 bytes' 20-byte substrings, so suffixes that agree for 50 bytes share a bucket, and
+consecutive suffixes of one key travel as one run of bytes. Keys of a single document are out at
+once, and equal runs are one entry with its first document. Each task sorts the suffixes of its buckets in
+byte order; neighbours with a common prefix of 50 bytes or more form the classes, and a suffix goes where
+its class has a smaller document. A bucket of more than ``BUCKET`` suffixes is dealt on, by the
+50 bytes themselves, over all tasks.
+
+The combination with the parse needs no suffix array of the parse itself: its part is to order
+suffixes that are equal up to the end of their phrase. A string of 50 bytes never passes a phrase's end, so
+among equal prefixes only the first document of the phrase counts, which the dictionary holds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from netsieve.llm import arrays
@@ -33,8 +36,14 @@ from netsieve.llm.components import discard, written
 WIDTH = 50
 #: Mean bytes between phrase ends.
 TRIGGER = 256
-#: Bytes of the substrings that key a suffix, by round.
-KEY_BYTES = (20, 36)
+#: Bytes of the substrings that key a suffix.
+KEY_BYTES = 20
+#: Suffixes of one run at most; a longer one (text of one repeated byte, say) is several runs.
+RUN = 1024
+#: Suffixes of one bucket that a task may sort together; larger buckets are dealt on by their bytes.
+BUCKET = 1 << 16
+#: Suffixes sorted at a time (a task goes on with whole buckets).
+AT_ONCE = 1 << 18
 
 
 def parse(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, arrays.RangeHash]:
@@ -85,14 +94,14 @@ def _spans(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat.field("start").to_numpy().astype(np.int64), flat.field("stop").to_numpy().astype(np.int64), row
 
 
-def _runs(batches: Iterator[pa.RecordBatch], width: int):
-    """(batch slice, range hash, offsets, key, first and last suffix, row) of the runs of suffixes with one key, by slice."""
+def _runs(batches: Iterator[pa.RecordBatch]):
+    """(batch slice, its bytes, range hash, offsets, key, first and last suffix, row) of the runs of suffixes with one key, by slice."""
     for part, buf, off in arrays.text_slices(batches, "text"):
         if len(buf) < WIDTH:
             continue
-        at = np.arange(len(buf) - width + 1)
+        at = np.arange(len(buf) - KEY_BYTES + 1)
         hashes = arrays.byte_hash(buf)
-        key = _smallest(hashes.of(at, at + width), WIDTH - width + 1)
+        key = _smallest(hashes.of(at, at + KEY_BYTES), WIDTH - KEY_BYTES + 1)
         start, stop, row = _spans(part.column(3))
         use = np.zeros(len(buf) + 1, np.int64)
         np.add.at(use, start + off[row], 1)
@@ -104,47 +113,106 @@ def _runs(batches: Iterator[pa.RecordBatch], width: int):
         new = np.ones(len(use), bool)
         new[1:] = (key[use[1:]] != key[use[:-1]]) | (use[1:] != use[:-1] + 1) | (owner[1:] != owner[:-1])
         head = np.flatnonzero(new)
+        new |= (np.arange(len(use)) - head[np.cumsum(new) - 1]) % RUN == 0
+        head = np.flatnonzero(new)
         last = np.append(head[1:], len(use)) - 1
-        yield part, hashes, off, key[use[head]], use[head], use[last], owner[head]
+        yield part, buf, hashes, off, key[use[head]], use[head], use[last], owner[head]
 
 
-def _keys(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(key, id): the keys of each text."""
-    for part, _, _, key, _, _, row in _runs(batches, width):
-        # A key that comes again in the same text tells nothing new.
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, text_key): the keys of each text, each once."""
+    for part, _, _, _, key, _, _, row in _runs(batches):
         order = np.lexsort((key, row))
         key, row = key[order], row[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), part.column(0).take(pa.array(row[new]))], names=["key", "id"])
+        take = pa.array(row[new])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key[new].view(np.int64)), part.column(0).take(take), part.column(1).take(take)], names=["key", "id", "text_key"])
 
 
-def _placed_runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """(key, run, id, text_key, start, stop): runs of suffixes with one key; run hashes the bytes from start to the last one's stop."""
-    for part, hashes, off, key, head, last, row in _runs(batches, width):
-        take = pa.array(row)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), pa.array(hashes.of(head, last + WIDTH).view(np.int64)), part.column(0).take(take), part.column(1).take(take),
-             pa.array((head - off[row]).astype(np.int32)), pa.array((last - off[row] + WIDTH).astype(np.int32))],
-            names=["key", "run", "id", "text_key", "start", "stop"])
+def _keyed(key: np.ndarray, row: np.ndarray) -> np.ndarray:
+    return arrays.mix(key ^ arrays.mix(row.astype(np.uint64), 3))
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(p1, p2, id, text_key, start): two hashes of the first WIDTH bytes of each suffix in the given runs."""
-    for part, buf, off in arrays.text_slices(batches, "text"):
-        hashes = arrays.byte_hash(buf)
-        other = arrays.RangeHash(arrays.mix(buf.astype(np.uint64), 31))
-        start, stop, row = _spans(part.column(3))
-        n = stop - start - WIDTH + 1
-        row = np.repeat(row, n)
-        at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        for a in range(0, len(at), 1 << 18):
-            r, place = row[a: a + (1 << 18)], at[a: a + (1 << 18)]
-            begin, take = place + off[r], pa.array(r)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.of(begin, begin + WIDTH).view(np.int64)) for h in (hashes, other)]
-                + [part.column(0).take(take), part.column(1).take(take), pa.array(place.astype(np.int32))],
-                names=["p1", "p2", "id", "text_key", "start"])
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, run, id, text_key, start, stop, bytes): the runs under the text's listed keys; run hashes the bytes."""
+    for part, buf, hashes, off, key, head, last, row in _runs(batches):
+        listed = part.column(4)
+        listed_row = np.repeat(np.arange(part.num_rows), listed.value_lengths().to_numpy(zero_copy_only=False))
+        # A chance hit brings in a run without a partner, which loses nothing.
+        on = np.isin(_keyed(key, row), _keyed(listed.flatten().to_numpy().view(np.uint64), listed_row))
+        key, head, stop, row = key[on], head[on], last[on] + WIDTH, row[on]
+        ends = np.cumsum(stop - head)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(stop - ends, stop - head)
+        content = pa.Array.from_buffers(pa.binary(), len(key), [
+            None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf[at]))])
+        take = pa.array(row)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key.view(np.int64)), pa.array(hashes.of(head, stop).view(np.int64)), part.column(0).take(take), part.column(1).take(take),
+             pa.array((head - off[row]).astype(np.int32)), pa.array((stop - off[row]).astype(np.int32)), content],
+            names=["key", "run", "id", "text_key", "start", "stop", "bytes"])
+
+
+def suffix_order(buf: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of ``buf`` at ``start`` in the order of their first WIDTH bytes, and whether each shares all of them with the one before."""
+    word = np.ndarray((len(buf) - 7,), ">u8", np.ascontiguousarray(buf), strides=(1,))
+    words = [word[start + k].astype(np.uint64) for k in (*range(0, WIDTH - 8, 8), WIDTH - 8)]
+    order = np.lexsort(words[::-1])
+    same = np.zeros(len(start), bool)
+    same[1:] = True
+    for w in words:
+        w = w[order]
+        same[1:] &= w[1:] == w[:-1]
+    return order, same
+
+
+def _judge(entries: pa.Table) -> pa.RecordBatch:
+    """(key, run, start, stop): the spans of each entry whose suffixes also start in a smaller document."""
+    content = entries["bytes"].combine_chunks().cast(pa.large_binary())
+    offsets, data = content.buffers()[1:]
+    off = np.frombuffer(offsets, np.int64)[content.offset: content.offset + len(content) + 1]
+    buf = np.frombuffer(data, np.uint8)[off[0]: off[-1]]
+    off = off - off[0]
+    count = np.diff(off) - WIDTH + 1
+    entry = np.repeat(np.arange(len(count)), count)
+    place = np.arange(len(entry)) - np.repeat(np.cumsum(count) - count, count)
+    first = entries["first_id"].to_numpy()[entry]
+    order, same = suffix_order(buf, off[entry] + place)
+    head = np.flatnonzero(~same)
+    low = np.minimum.reduceat(first[order], head)
+    gone = np.zeros(len(entry), bool)
+    gone[order] = first[order] > low[np.cumsum(~same) - 1]
+    at = np.flatnonzero(gone)
+    opens = np.ones(len(at), bool)
+    opens[1:] = (at[1:] != at[:-1] + 1) | (entry[at[1:]] != entry[at[:-1]])
+    begin = at[opens]
+    end = at[np.append(opens[1:], True)] if len(at) else at
+    take = pa.array(entry[begin])
+    return pa.RecordBatch.from_arrays(
+        [entries["key"].combine_chunks().take(take), entries["run"].combine_chunks().take(take),
+         pa.array(place[begin].astype(np.int32)), pa.array((place[end] + WIDTH).astype(np.int32))],
+        names=["key", "run", "start", "stop"])
+
+
+def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_judge`` over whole buckets of entries that come sorted by key."""
+    held, n = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1 << 12):
+            held.append(batch.slice(at, 1 << 12))
+            n += held[-1].num_rows * (1 - WIDTH) + pc.sum(pc.binary_length(held[-1]["bytes"])).as_py()
+            if n < AT_ONCE:
+                continue
+            table = pa.Table.from_batches(held)
+            key = table["key"].to_numpy()
+            full = int(np.searchsorted(key, key[-1], side="left"))
+            if full:
+                yield _judge(table.slice(0, full))
+            held = table.slice(full).to_batches()
+            n = sum(b.num_rows * (1 - WIDTH) + pc.sum(pc.binary_length(b["bytes"])).as_py() for b in held)
+    if held:
+        yield _judge(pa.Table.from_batches(held))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,30 +234,24 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["id", "n_bytes", "kept", "starts", "stops"])
 
 
-def _compared(texts: DataFrame, width: int) -> DataFrame:
-    """Runs of suffixes of ``texts`` (with their spans) that other documents share or may share: ``later`` ones repeat a whole run of a smaller id.
-
-    The texts are a written table, so both jobs on their keys scan it and shuffle no text; it is deleted at the end.
-    """
-    common = written(texts.mapInArrow(partial(_keys, width=width), "key long, id long")
-                     .groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-                     .select(F.col("key").alias("c_key")), "op3-keys")
-    runs = texts.mapInArrow(partial(_placed_runs, width=width), "key long, run long, id long, text_key long, start int, stop int")
-    shared = written(runs.join(common.hint("shuffle_hash"), F.col("key") == F.col("c_key"))
-                     .select("key", "run", "id", "text_key", F.struct("start", "stop").alias("span")), "op3-shared")
-    # Equal runs are one entry, as equal phrases are: only its first document, and only beside other runs, goes on.
-    entries = shared.groupBy("key", "run").agg(F.min("id").alias("first_id"))
-    mixed = entries.groupBy(F.col("key").alias("m_key")).count().where("count > 1").select("m_key", F.lit(True).alias("mixed"))
-    entries = entries.join(mixed, F.col("key") == F.col("m_key"), "left").select(
-        F.col("key").alias("e_key"), F.col("run").alias("e_run"), "first_id", "mixed")
-    judged = written(shared.join(entries, (F.col("key") == F.col("e_key")) & (F.col("run") == F.col("e_run")))
-                     .select("id", "text_key", "span", (F.col("id") > F.col("first_id")).alias("later"),
-                             F.coalesce("mixed", F.lit(False)).alias("mixed")).where("later or mixed"), "op3-runs")
-    discard(texts, common, shared)
-    return judged
-
-
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _repeats(entries: DataFrame, bucket: int) -> DataFrame:
+    """(key, run, start, stop): the spans of distinct runs whose 50-byte strings also start in a smaller document."""
+    sizes = entries.groupBy(F.col("key").alias("s_key")).agg(
+        F.min("first_id").alias("low"), F.max("first_id").alias("high"), F.sum(F.length("bytes") - (WIDTH - 1)).alias("suffixes"))
+    mixed = entries.join(sizes.where("low < high"), F.col("key") == F.col("s_key"))
+    fields = ["key", "run", "first_id", "bytes"]
+    buckets = mixed.where(F.col("suffixes") <= bucket).select(*fields).repartition("key").sortWithinPartitions("key")
+    found = buckets.mapInArrow(_sort_suffixes, "key long, run long, start int, stop int")
+    dealt = (mixed.where(F.col("suffixes") > bucket)
+             .select("key", "run", "first_id", "bytes", F.explode(F.sequence(F.lit(0), F.length("bytes") - WIDTH)).alias("start"))
+             .select("key", "run", "first_id", "start", F.expr(f"substring(bytes, start + 1, {WIDTH})").alias("prefix")))
+    lows = dealt.groupBy(F.col("prefix").alias("l_prefix")).agg(F.min("first_id").alias("l_id"))
+    large = (dealt.join(lows, (F.col("prefix") == F.col("l_prefix")) & (F.col("first_id") > F.col("l_id")))
+             .select("key", "run", "start", (F.col("start") + F.lit(WIDTH)).alias("stop")))
+    return found.union(large)
+
+
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """One row per input row: id, n_bytes, kept (remaining bytes) and the removed byte spans (starts, stops).
 
     A byte goes if a 50-byte string that covers it also starts in a document
@@ -209,27 +271,33 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      "op3-dictionary")
     discard(phrases)
 
-    def beside(spans: DataFrame, how: str) -> DataFrame:
-        """Texts with the list of their spans; the list side is hashed, the texts are not sorted."""
-        lists = spans.groupBy(F.col("id").alias("s_id"), F.col("text_key").alias("s_key")).agg(F.collect_list("span").alias("spans"))
-        return texts.join(lists.hint("shuffle_hash"), (F.col("id") == F.col("s_id")) & (F.col("text_key") == F.col("s_key")),
-                          how).select("id", "text_key", "text", "spans")
-
-    gone, left = placed.where("later").drop("later"), placed.where("not later").drop("later")
-    for width in KEY_BYTES:
-        judged = _compared(written(beside(left, "inner"), "op3-texts"), width)
-        gone = gone.union(judged.where("later").select("id", "text_key", "span"))
-        left = judged.where("not later").select("id", "text_key", "span")
-    # Counted and then selected in two jobs: the suffixes are computed twice, so that they never lie on disk.
-    last_texts = written(beside(left, "inner"), "op3-texts")
-    suffixes = last_texts.mapInArrow(
-        _suffixes, "p1 long, p2 long, id long, text_key long, start int")
-    classes = written(suffixes.groupBy("p1", "p2").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-                      .select(F.col("p1").alias("c1"), F.col("p2").alias("c2"), "low"), "op3-classes")
-    repeated = written(suffixes.join(classes.hint("shuffle_hash"), (F.col("p1") == F.col("c1")) & (F.col("p2") == F.col("c2")) & (F.col("id") > F.col("low")))
-                       .select("id", "text_key", F.struct("start", (F.col("start") + F.lit(WIDTH)).alias("stop")).alias("span")),
-                       "op3-repeated")
-    discard(last_texts, classes)
-    gone = gone.union(repeated)
-    cut = beside(gone, "left").mapInArrow(_cut, "id long, n_bytes long, kept binary, starts array<long>, stops array<long>")
+    def beside(rows: DataFrame, values: DataFrame, how: str, name: str) -> DataFrame:
+        """Rows with the list of their values; the list side is hashed, the texts are not sorted."""
+        lists = values.groupBy(F.col("id").alias("s_id"), F.col("text_key").alias("s_key")).agg(F.collect_list(name).alias(f"{name}s"))
+        return rows.join(lists.hint("shuffle_hash"), (F.col("id") == F.col("s_id")) & (F.col("text_key") == F.col("s_key")),
+                         how).drop("s_id", "s_key")
+
+    # Texts with their dictionary phrases: a written table, so the jobs on its keys shuffle no text.
+    own = written(beside(texts, placed.where("not later"), "inner", "span"), "op3-texts")
+    keys = own.mapInArrow(_keys, "key long, id long, text_key long")
+    common = written(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+                     .select(F.col("key").alias("c_key")), "op3-keys")
+    listed = written(keys.join(common.hint("shuffle_hash"), F.col("key") == F.col("c_key")).select("id", "text_key", "key"), "op3-listed")
+    shared = written(beside(own, listed, "inner", "key").select("id", "text_key", "text", "spans", "keys").mapInArrow(
+        _shared, "key long, run long, id long, text_key long, start int, stop int, bytes binary"), "op3-shared")
+    discard(own, common, listed)
+    # Equal runs are one entry, as equal phrases are: every later document loses them whole.
+    entries = written(shared.groupBy("key", "run").agg(F.min("id").alias("first_id"), F.first("bytes").alias("bytes")), "op3-entries")
+    repeats = written(_repeats(entries, bucket), "op3-repeats").groupBy(F.col("key").alias("r_key"), F.col("run").alias("r_run")).agg(
+        F.collect_list(F.struct("start", "stop")).alias("spans"))
+    judged = entries.drop("bytes").join(repeats, (F.col("key") == F.col("r_key")) & (F.col("run") == F.col("r_run")), "left").select(
+        F.col("key").alias("e_key"), F.col("run").alias("e_run"), "first_id", "spans")
+    moved = F.transform("spans", lambda s: F.struct((F.col("start") + s["start"]).alias("start"), (F.col("start") + s["stop"]).alias("stop")))
+    spans = F.when(F.col("id") > F.col("first_id"), F.array(F.struct("start", "stop"))).otherwise(moved)
+    gone = written(shared.drop("bytes").join(judged, (F.col("key") == F.col("e_key")) & (F.col("run") == F.col("e_run")))
+                   .select("id", "text_key", F.explode(spans).alias("span")), "op3-gone")
+    discard(shared, entries)
+    gone = placed.where("later").select("id", "text_key", "span").union(gone)
+    cut = beside(texts, gone, "left", "span").select("id", "text_key", "text", "spans").mapInArrow(
+        _cut, "id long, n_bytes long, kept binary, starts array<long>, stops array<long>")
     return cut.withColumnRenamed("id", id_col)

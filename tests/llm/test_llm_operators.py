@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,10 +85,36 @@ def test_substrings_against_brute_force(spark):
     passage = "".join(rng.choice(list("abcdefg "), 400))
     rows = [(0, passage), (1, "zz" + passage[100:220] + "yy"), (2, passage[:49]), (3, passage[10:60] + "é" * 60), (4, "é" * 200),
             (5, "ab" * 300), (6, "ab" * 100 + passage), (7, None), (8, passage + passage), (9, "q" * 49 + passage[351:])]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["starts"]), hashlib.sha256(bytes(r["kept"])).hexdigest())
-           for r in suffix_dedup.dedup_substrings(df).collect()}
-    assert got == brute_substrings(rows)
+    # A passage in many contexts, and more suffixes of one repeated pair of bytes than a run holds.
+    rows += [(10 + k, "".join(rng.choice(list("hijk"), 70)) + passage[200:290] + "".join(rng.choice(list("hijk"), 70))) for k in range(30)]
+    rows += [(50, "ab" * 1500 + "c" * 60), (51, "ab" * 1400 + "c" * 70), (52, "".join(rng.choice(list("hijk "), 30_000)) + passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    # Buckets sorted whole; and every bucket dealt on by its 50-byte strings.
+    for bucket in (suffix_dedup.BUCKET, 0):
+        got = {r["doc_id"]: (r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["starts"]), hashlib.sha256(bytes(r["kept"])).hexdigest())
+               for r in suffix_dedup.dedup_substrings(df, bucket=bucket).collect()}
+        assert got == brute_substrings(rows)
+
+
+def test_suffix_order_is_byte_order():
+    rng = np.random.default_rng(4)
+    raw = bytes(rng.choice([0, 97, 98, 255], 3000).astype(np.uint8)) + b"ab" * 100 + b"ab" * 100
+    start = rng.permutation(len(raw) - 49)
+    order, same = suffix_dedup.suffix_order(np.frombuffer(raw, np.uint8), start)
+    heads = [raw[i:i + 50] for i in start[order]]
+    assert heads == sorted(heads) and same.tolist() == [False] + [a == b for a, b in zip(heads, heads[1:])]
+
+
+def test_suffixes_sorted_bucket_by_bucket(monkeypatch):
+    """Buckets cut over batches and sorted a few at a time give what all of them together give."""
+    rng = np.random.default_rng(5)
+    rows = [(k, r, int(rng.integers(9)), bytes(rng.choice([2 * k, 2 * k + 1], 52 + r).astype(np.uint8)) if r % 3 else bytes([2 * k]) * (50 + r))
+            for k in range(20) for r in range(12)]
+    table = pa.table({n: list(c) for n, c in zip(["key", "run", "first_id", "bytes"], zip(*rows))})
+    whole = suffix_dedup._judge(table).to_pylist()
+    monkeypatch.setattr(suffix_dedup, "AT_ONCE", 100)
+    parts = [r for b in suffix_dedup._sort_suffixes(iter(table.to_batches(max_chunksize=7))) for r in b.to_pylist()]
+    assert len(whole) > 20 and parts == whole
 
 
 def test_jaccard_links_and_odd_rows(docs):
