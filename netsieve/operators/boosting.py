@@ -1,8 +1,10 @@
 """Multi-class boosted trees with one softmax loss: one tree per class and round, grown on binned features.
 
-Rows are binned once (quantile edges) and carry the margins of the rounds so far. Each level of a round is one
-pass: every partition sums gradients and Hessians per (class, node, feature, bin), Spark brings the sums of a class together
-(at most 2^5 nodes of a partition, whatever its rows) and finds the best splits there, and the driver receives the splits alone. After the last level a pass adds the leaf
+Rows are binned once (quantile edges) and carry the margins of the rounds so far, as an RDD of blocks: the arrays of one
+Arrow batch, so that a pass moves bytes and not a list per row, and starts without a query plan. Each level of a round is one
+pass: every partition sums gradients and Hessians per (class, node, feature, bin), Spark brings the sums of a node together
+(at most 2^5 nodes per class of a partition, whatever its rows) and finds the best split there, and the driver receives the splits
+alone. After the last level a pass adds the leaf
 values to the margins, and the weighted log loss and error of both splits join the curve. Training
 stops when the error on the held-out rows has not fallen for ``patience`` rounds; the rounds up to the best are kept.
 
@@ -13,6 +15,8 @@ few rounds at most.
 from __future__ import annotations
 
 import json
+import operator
+import pickle
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -54,15 +58,18 @@ class Tree:
 
     def nodes(self, bins: np.ndarray) -> np.ndarray:
         """Node that each row has reached."""
+        inner = np.flatnonzero(self.feature >= 0)
         at = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins))
-        while True:
-            f = self.feature[at]
-            going = f >= 0
-            if not going.any():
-                return at
-            right = bins[rows, np.maximum(f, 0)] > self.cut[at]
-            at = np.where(going, 2 * at + 1 + right, at)
+        if not len(inner):
+            return at
+        # A leaf leads to itself: no bin is above its cut.
+        leaf = self.feature < 0
+        feature, cut = np.where(leaf, 0, self.feature), np.where(leaf, BINS, self.cut)
+        child = np.where(leaf, np.arange(len(leaf)), 2 * np.arange(len(leaf)) + 1)
+        flat, base = bins.ravel(), np.arange(len(bins)) * bins.shape[1]
+        for _ in range(int(inner[-1] + 1).bit_length()):
+            at = child[at] + (flat[base + feature[at]] > cut[at])
+        return at
 
 
 @dataclass
@@ -109,33 +116,32 @@ def bin_rows(columns: list[np.ndarray], edges: list[list[float]]) -> np.ndarray:
                      for x, e in zip(columns, edges)], 1).astype(np.uint8) if columns else np.zeros((0, 0), np.uint8)
 
 
-def histograms(bins: np.ndarray, node: np.ndarray, grad: np.ndarray, hess: np.ndarray, n_bins: int) -> dict[int, np.ndarray]:
-    """Per node: sums of gradients and Hessians, shape (2, features, bins)."""
-    out = {}
-    width = bins.shape[1]
-    offset = np.arange(width) * n_bins
-    for v in np.unique(node):
-        rows = np.flatnonzero(node == v)
-        at = (bins[rows] + offset).ravel()
-        out[int(v)] = np.stack([np.bincount(at, np.repeat(x[rows], width), width * n_bins).reshape(width, n_bins) for x in (grad, hess)])
+def histograms(bins: np.ndarray, slot: np.ndarray, grad: np.ndarray, hess: np.ndarray, features: np.ndarray, n_slots: int) -> np.ndarray:
+    """Sums of gradients and Hessians of the rows in each slot, shape (slots, 2, features, bins)."""
+    out = np.empty((n_slots, 2, len(features), BINS))
+    at = slot * BINS
+    for i, f in enumerate(features):
+        here = at + bins[:, f]
+        for j, x in enumerate((grad, hess)):
+            out[:, j, i] = np.bincount(here, x, n_slots * BINS).reshape(n_slots, BINS)
     return out
 
 
-def best_split(h: np.ndarray, allowed: np.ndarray) -> tuple[int, int, float, float, float, float, float]:
-    """(feature, cut, gain, and gradient and Hessian sums left and right) of the best split; feature -1: none gains."""
+def best_split(h: np.ndarray, features: np.ndarray) -> tuple[int, int, float, float, float, float, float]:
+    """(feature, cut, gain, and gradient and Hessian sums left and right) of the best split by the sums of ``features``; feature
+    -1: none gains."""
     g, s = h
     total_g, total_h = g[0].sum(), s[0].sum()
     left_g, left_h = np.cumsum(g, 1)[:, :-1], np.cumsum(s, 1)[:, :-1]
     right_g, right_h = total_g - left_g, total_h - left_h
     gain = left_g ** 2 / (left_h + LAMBDA) + right_g ** 2 / (right_h + LAMBDA) - total_g ** 2 / (total_h + LAMBDA)
     gain[(left_h < MIN_HESSIAN) | (right_h < MIN_HESSIAN)] = -np.inf
-    gain[~allowed] = -np.inf
     if gain.size == 0 or not gain.max() > 1e-9:
         return -1, 0, 0.0, total_g, total_h, 0.0, 0.0
     # Of splits that gain alike the first: which sum comes out larger in its last bits depends on the order of addition.
     first = int(np.flatnonzero(gain.ravel() >= gain.max() * (1 - 1e-9))[0])
     f, c = np.unravel_index(first, gain.shape)
-    return int(f), int(c), float(gain[f, c]), float(left_g[f, c]), float(left_h[f, c]), float(right_g[f, c]), float(right_h[f, c])
+    return int(features[f]), int(c), float(gain[f, c]), float(left_g[f, c]), float(left_h[f, c]), float(right_g[f, c]), float(right_h[f, c])
 
 
 def leaf(g: float, h: float) -> float:
@@ -158,12 +164,6 @@ def _sampled(key: np.ndarray, round_: int, seed: int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(float) / float(1 << 53) < SHARE
 
 
-def _arrays(batch, width: int, classes: int):
-    lists = lambda c, n: pc.list_flatten(batch[c]).to_numpy(zero_copy_only=False).reshape(-1, n)
-    return (lists("bins", width).astype(np.uint8), lists("margin", classes), batch["y"].to_numpy(zero_copy_only=False),
-            batch["w"].to_numpy(zero_copy_only=False))
-
-
 def gradients(margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     p = softmax(margin)
     g = p.copy()
@@ -194,94 +194,84 @@ def train(df: DataFrame, label: str, features: list[str], key: str, validation_c
     model = SoftmaxModel(list(features), edges, labels)
     width, classes = len(features), len(labels)
     number = {name: k for k, name in enumerate(labels)}
-    rows_type = "key long, val boolean, y int, w double, bins array<short>, margin array<double>"
-
-    def lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel(), kind))
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = bin_rows([pc.fill_null(b[c], np.nan).to_numpy(zero_copy_only=False) for c in cols], edges)
             y = np.array([number.get(v, -1) for v in b["label"].to_pylist()], np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [b["key"], b["val"], pa.array(y), pc.fill_null(b["w"], 0.0), lists(x.astype(np.int16), pa.int16()),
-                 lists(np.zeros((len(y), classes)), pa.float64())], names=["key", "val", "y", "w", "bins", "margin"])
+            on = y >= 0
+            key, val, w = (c.to_numpy(zero_copy_only=False)[on] for c in (pc.fill_null(b["key"], 0), b["val"], pc.fill_null(b["w"], 0.0)))
+            block = key, val, y[on], w, x[on], np.zeros((int(on.sum()), classes))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], names=["block"])
 
     if classes < 2:
         narrow.unpersist()
         return model
-    data = narrow.mapInArrow(start, rows_type).where("y >= 0").persist(StorageLevel.MEMORY_AND_DISK)
+    data = narrow.mapInArrow(start, "block binary").rdd.map(lambda row: pickle.loads(row.block)).persist(StorageLevel.MEMORY_AND_DISK)
+    reducers = max(1, min(spark.sparkContext.defaultParallelism, classes * 4))
     best, since = np.inf, 0
     for r in range(max_iter):
         trees = [Tree.empty(DEPTH) for _ in labels]
-        allowed = [_features_of(r, k, width, seed) for k in range(classes)]
-        open_nodes = [{0} for _ in labels]
-        for level in range(DEPTH):
-            def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        allowed = [np.flatnonzero(_features_of(r, k, width, seed)) for k in range(classes)]
+        open_nodes = [[0] for _ in labels]
+        for _ in range(DEPTH):
+            def sums(blocks: Iterator[tuple]) -> Iterator[tuple]:
                 total: dict = {}
-                for b in batches:
-                    take = ~b["val"].to_numpy(zero_copy_only=False) & _sampled(b["key"].to_numpy(zero_copy_only=False), r, seed)
+                for key, val, y, w, bins, margin in blocks:
+                    take = ~val & _sampled(key, r, seed)
                     if not take.any():
                         continue
-                    bins, margin, y, w = (a[take] for a in _arrays(b, width, classes))
-                    g, h = gradients(margin, y, w)
+                    bins = bins[take]
+                    g, h = gradients(margin[take], y[take], w[take])
                     for k, tree in enumerate(trees):
-                        node = tree.nodes(bins)
-                        live = np.isin(node, list(open_nodes[k]))
-                        for v, got in histograms(bins[live], node[live], g[live, k], h[live, k], BINS).items():
-                            total[k, v] = total[k, v] + got if (k, v) in total else got
-                if total:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k for k, _ in total], pa.int32()), pa.array([v for _, v in total], pa.int32()),
-                         lists(np.stack([x.ravel() for x in total.values()]), pa.float64())], names=["k", "node", "h"])
-
-            def split(t: pa.Table) -> pa.Table:
-                k, nodes = t["k"][0].as_py(), t["node"].to_numpy()
-                each = pc.list_flatten(t["h"]).to_numpy().reshape(t.num_rows, 2, width, BINS)
-                rows = [(k, int(v), *best_split(each[nodes == v].sum(0), allowed[k])) for v in np.unique(nodes)]
-                return pa.table([list(x) for x in zip(*rows)], schema=split_schema)
-
-            names = ["k", "node", "feature", "cut", "gain", "lg", "lh", "rg", "rh"]
-            split_schema = pa.schema([(n, pa.int32() if n in names[:4] else pa.float64()) for n in names])
-            found = data.mapInArrow(sums, "k int, node int, h array<double>").groupBy("k").applyInArrow(
-                split, ", ".join(f"{n} {'int' if n in names[:4] else 'double'}" for n in names)).collect()
-            open_nodes = [set() for _ in labels]
-            for s in found:
-                tree = trees[s.k]
-                if s.feature < 0:
-                    tree.value[s.node] = leaf(s.lg, s.lh)
+                        if not open_nodes[k]:
+                            continue
+                        slots = np.full(len(tree.feature), -1)
+                        slots[open_nodes[k]] = np.arange(len(open_nodes[k]))
+                        slot = slots[tree.nodes(bins)]
+                        live = slot >= 0
+                        got = histograms(bins[live], slot[live], g[live, k], h[live, k], allowed[k], len(open_nodes[k]))
+                        total[k] = total[k] + got if k in total else got
+                for k, each in total.items():
+                    yield from (((k, v), x) for v, x in zip(open_nodes[k], each))
+
+            found = (data.mapPartitions(sums).reduceByKey(operator.add, reducers)
+                     .map(lambda x: (*x[0], *best_split(x[1], allowed[x[0][0]]))).collect())
+            open_nodes = [[] for _ in labels]
+            for k, v, feature, cut, _gain, lg, lh, rg, rh in sorted(found):
+                tree = trees[k]
+                if feature < 0:
+                    tree.value[v] = leaf(lg, lh)
                     continue
-                tree.feature[s.node], tree.cut[s.node] = s.feature, s.cut
-                tree.value[2 * s.node + 1], tree.value[2 * s.node + 2] = leaf(s.lg, s.lh), leaf(s.rg, s.rh)
-                open_nodes[s.k] |= {2 * s.node + 1, 2 * s.node + 2}
+                tree.feature[v], tree.cut[v] = feature, cut
+                tree.value[2 * v + 1], tree.value[2 * v + 2] = leaf(lg, lh), leaf(rg, rh)
+                open_nodes[k] += [2 * v + 1, 2 * v + 2]
             if not any(open_nodes):
                 break
 
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                bins, margin, _, _ = _arrays(b, width, classes)
-                step = np.stack([t.value[t.nodes(bins)] for t in trees], 1) if len(bins) else np.zeros((0, classes))
-                yield pa.RecordBatch.from_arrays([*(b[c] for c in ("key", "val", "y", "w", "bins")), lists(margin + step, pa.float64())],
-                                                 names=["key", "val", "y", "w", "bins", "margin"])
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                _, margin, y, w = _arrays(b, width, classes)
-                val = b["val"].to_numpy(zero_copy_only=False)
-                p = softmax(margin) if len(y) else np.zeros((0, classes))
-                w = np.where(val, 1.0, w)  # held-out rows count alike
-                loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-16))
-                yield pa.RecordBatch.from_arrays([b["val"], pa.array(w), pa.array(w * loss), pa.array(w * (p.argmax(1) != y))],
-                                                 names=["val", "w", "loss", "err"])
-
-        grown = data.mapInArrow(add, rows_type)
-        grown = grown.checkpoint() if (r + 1) % CUT == 0 else grown.persist(StorageLevel.MEMORY_AND_DISK)
-        tell = (grown.mapInArrow(score, "val boolean, w double, loss double, err double").groupBy("val")
-                .agg(*[F.sum(c).alias(c) for c in ("w", "loss", "err")]).collect())
+        def add(block: tuple) -> tuple:
+            *rest, bins, margin = block
+            return (*rest, bins, margin + np.stack([t.value[t.nodes(bins)] for t in trees], 1))
+
+        def score(block: tuple) -> np.ndarray:
+            """Weight, loss and error of the training rows, then of the held-out rows."""
+            _, val, y, w, _, margin = block
+            if not len(y):
+                return np.zeros((2, 3))
+            p = softmax(margin)
+            w = np.where(val, 1.0, w)  # held-out rows count alike
+            loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-16))
+            each = np.stack([w, w * loss, w * (p.argmax(1) != y)], 1)
+            return np.stack([each[~val].sum(0), each[val].sum(0)])
+
+        grown = data.map(add).persist(StorageLevel.MEMORY_AND_DISK)
+        if (r + 1) % CUT == 0:
+            grown.checkpoint()
+        tell = grown.map(score).fold(np.zeros((2, 3)), operator.add)
         data.unpersist()
         data = grown
         model.rounds.append(trees)
-        at = {("test" if t.val else "train"): (t.loss / t.w, t.err / t.w) for t in tell if t.w}
+        at = {name: (loss / w, err / w) for name, (w, loss, err) in zip(("train", "test"), tell) if w}
         model.curve += [(r, name, float(at[name][0]), float(at[name][1])) for name in ("train", "test") if name in at]
         if "test" in at:
             best, since = (at["test"][1], 0) if at["test"][1] < best else (best, since + 1)

@@ -285,3 +285,43 @@ def test_softmax_booster_equals_a_plain_one(spark):
     holes = df.withColumn("a", F.when(F.col("row_id") % 3 == 0, None).otherwise(F.col("a")))
     assert len(B.train(holes, "label", features, "row_id", max_iter=2).rounds) == 2
     assert B.train(df.where("false"), "label", features, "row_id").labels == []
+
+
+def test_a_boosting_round_is_one_job_per_level_and_one_for_the_margins(spark):
+    """No query plan per level: its planning took most of a round on tables that fit one machine."""
+    from netsieve.operators import boosting as B
+
+    rows = [(i, ("a", "b", "c")[i * 7 % 3], float(i % 11), float(i % 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, label string, a double, b double").persist()
+
+    def jobs(rounds):
+        group = f"boost-{rounds}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            assert len(B.train(df, "label", ["a", "b"], "row_id", max_iter=rounds).rounds) == rounds
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(5) - jobs(1) <= 4 * (B.DEPTH + 1)
+
+
+def test_a_tree_sends_rows_to_the_leaf_that_its_splits_name(spark):
+    import numpy as np
+
+    from netsieve.operators import boosting as B
+
+    rng = np.random.default_rng(3)
+    tree = B.Tree.empty(3)
+    for node, feature, cut in ((0, 1, 4), (1, 0, 2), (2, 2, 7), (4, 1, 1), (6, 0, 60)):
+        tree.feature[node], tree.cut[node] = feature, cut
+    bins = rng.integers(0, 64, (200, 3)).astype(np.uint8)
+
+    def walk(row):
+        at = 0
+        while tree.feature[at] >= 0:
+            at = 2 * at + 1 + int(row[tree.feature[at]] > tree.cut[at])
+        return at
+
+    assert tree.nodes(bins).tolist() == [walk(row) for row in bins]
+    assert B.Tree.empty(3).nodes(bins).tolist() == [0] * 200 and tree.nodes(bins[:0]).tolist() == []
