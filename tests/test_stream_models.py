@@ -325,3 +325,14 @@ def test_a_tree_sends_rows_to_the_leaf_that_its_splits_name(spark):
 
     assert tree.nodes(bins).tolist() == [walk(row) for row in bins]
     assert B.Tree.empty(3).nodes(bins).tolist() == [0] * 200 and tree.nodes(bins[:0]).tolist() == []
+
+
+def test_the_forest_keeps_node_ids_and_uses_the_cores(spark):
+    df = _separable(spark)
+    model = MD.train_baseline(df, "y", features=["a", "b"], num_trees=3)
+    assert model.stages[-1].getCacheNodeIds()
+    assert model.transform(df).where("prediction <> y").count() == 0
+    one = spark.range(0, 3 * MD.TASK_ROWS + 1, 1, 1)
+    assert MD.spread(one).rdd.getNumPartitions() == 3 and MD.spread(one).count() == 3 * MD.TASK_ROWS + 1
+    assert MD.spread(one.limit(MD.TASK_ROWS)).rdd.getNumPartitions() == 1  # a small table stays as it is
+    assert MD.spread(spark.range(0, 100, 1, 9)).rdd.getNumPartitions() == 9
