@@ -96,12 +96,9 @@ BUFFER_OUT = T.StructType([
     T.StructField("flow_iat_mean", T.DoubleType()), T.StructField("flow_iat_std", T.DoubleType()),
     T.StructField("flow_iat_max", T.DoubleType()), T.StructField("flow_iat_min", T.DoubleType()),
 ])
-# Buffered packets: time, length (-1 = null), gap to the key's previous packet in microseconds and
-# whether it has one (the key's first packet has none; the previous packet may have left the buffer).
-BUFFER_STATE = T.StructType([
-    T.StructField("ts_us", T.ArrayType(T.LongType())), T.StructField("lens", T.ArrayType(T.LongType())),
-    T.StructField("iats", T.ArrayType(T.LongType())), T.StructField("has_iat", T.ArrayType(T.BooleanType())),
-])
+# Buffered packets as the bytes of four rows of 64-bit integers: time, length (-1 = null), gap to the key's previous packet in
+# microseconds and whether it has one (the key's first packet has none; the previous packet may have left the buffer).
+BUFFER_STATE = T.StructType([T.StructField("packets", T.BinaryType())])
 
 
 def _window_extreme(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, fn, max_width: int) -> np.ndarray:
@@ -149,24 +146,27 @@ def _expire_after(state: GroupState, last_us: int, wait_us: int) -> None:
     state.setTimeoutTimestamp(max(last_us // 1000, state.getCurrentWatermarkMs()) + wait_us // 1000 + 1)
 
 
+def _buffered(state: GroupState) -> np.ndarray:
+    return np.frombuffer(state.get[0], np.int64).reshape(4, -1)
+
+
 def _buffer_fn(window_us: int, cap: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:  # the buffer is over; its last packet stays for the gap of the key's next one
-            state.update(tuple(list(v)[-1:] for v in state.get))
+            state.update((_buffered(state)[:, -1:].tobytes(),))
             return
         frames = [p for p in pdfs]
         if not frames:
             return
-        pdf = pd.concat(frames).sort_values(["ts_us", "packet_id"])
-        empty = (np.empty(0, np.int64),) * 3 + (np.empty(0, bool),)
-        old_ts, old_len, old_iat, old_has = ((np.asarray(state.get[0], dtype=np.int64),
-                                              np.asarray(state.get[1], dtype=np.int64),
-                                              np.asarray(state.get[2], dtype=np.int64), np.asarray(state.get[3], dtype=bool))
-                                             if state.exists else empty)
-        ts = np.concatenate([old_ts, pdf["ts_us"].to_numpy(np.int64)])
-        new_len = pdf["pkt_len"]
-        lens = np.concatenate([np.maximum(old_len, 0), new_len.fillna(0).to_numpy(np.int64)])
-        seen = np.concatenate([old_len >= 0, new_len.notna().to_numpy()])  # a null length is kept as -1
+        pdf = pd.concat(frames) if len(frames) > 1 else frames[0]
+        packet, new_ts, new_len = pdf["packet_id"].to_numpy(np.int64), pdf["ts_us"].to_numpy(np.int64), pdf["pkt_len"].to_numpy(np.float64)
+        order = np.lexsort((packet, new_ts))
+        packet, new_ts, new_len = packet[order], new_ts[order], new_len[order]
+        old_ts, old_len, old_iat, old_has = _buffered(state) if state.exists else np.empty((4, 0), np.int64)
+        ts = np.concatenate([old_ts, new_ts])
+        new_seen = ~np.isnan(new_len)
+        lens = np.concatenate([np.maximum(old_len, 0), np.where(new_seen, new_len, 0).astype(np.int64)])
+        seen = np.concatenate([old_len >= 0, new_seen])  # a null length is kept as -1
         first = len(old_ts)
         # gap to the previous packet of the key (the state always holds the last one)
         gaps = np.diff(ts)[max(first - 1, 0):] if len(ts) > 1 else np.empty(0, np.int64)
@@ -175,7 +175,7 @@ def _buffer_fn(window_us: int, cap: int):
             new_has[0] = False
             gaps = np.concatenate([[0], gaps])
         iat = np.concatenate([old_iat, gaps.astype(np.int64)])
-        has = np.concatenate([old_has, new_has])
+        has = np.concatenate([old_has.astype(bool), new_has])
         lo = _buffer_starts(ts, first, window_us, cap)
         hi = np.arange(first, len(ts)) + 1
         n = hi - lo
@@ -203,9 +203,9 @@ def _buffer_fn(window_us: int, cap: int):
         gmin = np.where(gk > 0, gmin.astype(np.float64) / 1000.0, 0.0)
         lens = np.where(seen, lens, -1)
         keep = int(lo[-1])
-        state.update((ts[keep:].tolist(), lens[keep:].tolist(), iat[keep:].tolist(), has[keep:].tolist()))
+        state.update((np.stack([ts, lens, iat, has])[:, keep:].tobytes(),))
         _expire_after(state, int(ts.max()), window_us)
-        yield pd.DataFrame({"packet_id": pdf["packet_id"].to_numpy(np.int64),
+        yield pd.DataFrame({"packet_id": packet,
                             "flow_key": np.full(len(n), int(key[0]), dtype=np.int64), "n_buffer": n.astype(np.int64),
                             "pkt_len_std": np.sqrt(var), "pkt_len_var": var, "flow_iat_mean": mean,
                             "flow_iat_std": std, "flow_iat_max": gmax, "flow_iat_min": gmin})
@@ -224,7 +224,7 @@ def buffer_state(packets: DataFrame, window_seconds: int = 60, cap: int = 1000,
     is linear in its packets and the state never exceeds ``cap`` entries.
     """
     p = (packets.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-                .withColumn("ts_us", F.unix_micros("ts")))
+                .select("packet_id", "flow_key", "ts", F.unix_micros("ts").alias("ts_us"), "pkt_len"))
     return p.groupBy("flow_key").applyInPandasWithState(
         _buffer_fn(int(window_seconds * 1_000_000), cap), outputStructType=BUFFER_OUT,
         stateStructType=BUFFER_STATE, outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
@@ -302,7 +302,12 @@ _FLOW_STATE = ([("first_us", T.LongType()), ("last_us", T.LongType()), ("src0",
                 ("gmax", T.LongType()), ("gmin", T.LongType())]
                + [(f, T.LongType()) for f in _FLAGS])
 FLOW_STATE = T.StructType([T.StructField(n, t) for n, t in _FLOW_STATE])
-FLOW_OUT = T.StructType([T.StructField("flow_key", T.LongType())] + [T.StructField(n, t) for n, t in _FLOW_STATE])
+# The state function's output: a flow's numbers as one CSV text. A frame's cost per key lies in its columns, not in its few rows.
+_FLOW_NUMBERS = [n for n, t in _FLOW_STATE if not isinstance(t, T.StringType)]
+FLOW_OUT = T.StructType([T.StructField("flow", T.StringType())])
+_FLOW_CSV = ", ".join(["flow_key long"] + [f"{n} {t.simpleString()}" for n, t in _FLOW_STATE if n in _FLOW_NUMBERS])
+# A packet's numbers as one array, for the same reason; nulls are 0 with their bit set in the first one.
+_PACKET_NUMBERS = ["pkt_len", "protocol", "src_port", "dst_port"]
 
 
 def _opt(fn, a, b):
@@ -399,19 +404,22 @@ def _flow_fn(gap_us: int):
     names = [n for n, _ in _FLOW_STATE]
 
     def rows(key, accs):
-        return pd.DataFrame([[int(key[0])] + _out(a, names) for a in accs], columns=["flow_key"] + names)
+        text = lambda x: "" if x is None else str(int(x))
+        return pd.DataFrame({"flow": [",".join([str(int(key[0])), *(text(a[n]) for n in _FLOW_NUMBERS)]) for a in accs]})
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:  # the watermark passed the open flow's last packet plus the gap: it is over
-            acc = dict(zip(names, state.get))  # decimals come back as Decimal; _out keeps them
+            acc = dict(zip(names, state.get))
             state.remove()
             yield rows(key, [acc])
             return
         frames = [p for p in pdfs]
         if not frames:
             return
-        pdf = pd.concat(frames).sort_values(["ts_us", "packet_id"])
-        ts = pdf["ts_us"].to_numpy(np.int64)
+        pdf = pd.concat(frames) if len(frames) > 1 else frames[0]
+        v = np.stack(pdf["v"].to_numpy())
+        order = np.lexsort((v[:, 1], v[:, 0]))
+        v, ts = v[order], v[order, 0]
         open_acc = dict(zip(names, state.get)) if state.exists else None
         prev = np.concatenate([[open_acc["last_us"] if open_acc else ts[0]], ts[:-1]])
         gaps = ts - prev
@@ -420,9 +428,9 @@ def _flow_fn(gap_us: int):
             has_gap[0] = False
         starts = ~has_gap | (gaps >= gap_us)
         has_gap &= ~starts  # the gap that opens a flow belongs to no flow
-        cols = (ts, pdf["pkt_len"].astype("float64").to_numpy(), pdf["src_ip"].to_numpy(object),
-                pdf["protocol"].to_numpy(object), pdf["src_port"].to_numpy(object), pdf["dst_port"].to_numpy(object),
-                pdf[[f"_{f}" for f in _FLAGS]].to_numpy(np.int64), gaps, has_gap)
+        lens, proto, sport, dport = (np.where(v[:, 2] & (1 << i), None, v[:, 3 + i]) for i in range(len(_PACKET_NUMBERS)))
+        cols = (ts, lens.astype("float64"), pdf["src_ip"].to_numpy(object)[order], proto, sport, dport,
+                v[:, 3 + len(_PACKET_NUMBERS):], gaps, has_gap)
         bounds = list(np.flatnonzero(starts)) + [len(ts)]
         done = []
         if bounds[0] > 0:  # the first packets continue the open flow
@@ -451,13 +459,14 @@ def flow_state(packets: DataFrame, gap_seconds: int = 60, watermark: str = "60 s
     ``open_flows``.
     """
     p = packets.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    p = p.select("packet_id", "flow_key", "ts", F.unix_micros("ts").alias("ts_us"), "pkt_len", "src_ip", "protocol",
-                 "src_port", "dst_port", *[c.alias(f"_{c_name}") for c, c_name in zip(X.tcp_flag_columns("tcp_flags"),
-                                                                                         _FLAGS)])
+    missing = sum((F.col(c).isNull().cast("long") * (1 << i) for i, c in enumerate(_PACKET_NUMBERS)), F.lit(0))
+    numbers = [F.unix_micros("ts"), F.coalesce("packet_id", F.lit((1 << 63) - 1)), missing,
+               *[F.coalesce(F.col(c), F.lit(0)) for c in _PACKET_NUMBERS], *X.tcp_flag_columns("tcp_flags")]
+    p = p.select("flow_key", "ts", "src_ip", F.array(*[c.cast("long") for c in numbers]).alias("v"))
     s = p.groupBy("flow_key").applyInPandasWithState(
         _flow_fn(int(gap_seconds * 1_000_000)), outputStructType=FLOW_OUT, stateStructType=FLOW_STATE,
         outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
-    return _flow_rows(s)
+    return _flow_rows(s.select(F.from_csv("flow", F.lit(_FLOW_CSV)).alias("flow")).select("flow.*"))
 
 
 def open_flows(spark: SparkSession, checkpoint: str) -> DataFrame:

@@ -336,3 +336,41 @@ def test_the_forest_keeps_node_ids_and_uses_the_cores(spark):
     assert MD.spread(one).rdd.getNumPartitions() == 3 and MD.spread(one).count() == 3 * MD.TASK_ROWS + 1
     assert MD.spread(one.limit(MD.TASK_ROWS)).rdd.getNumPartitions() == 1  # a small table stays as it is
     assert MD.spread(spark.range(0, 100, 1, 9)).rdd.getNumPartitions() == 9
+
+
+@pytest.mark.parametrize("operator", ["flow_state", "buffer_state"])
+def test_state_functions_get_few_columns(spark, operator):
+    """A key's frame costs by its columns: payload, addresses of the other end and single flags stay out."""
+    from netsieve.streaming import streams as ST
+
+    src = scratch_dir(spark, "narrow-in")
+    spark.createDataFrame([], ST.schemas.PACKET).write.parquet(src)
+    plan = getattr(ST, operator)(ST.packet_stream(spark, src))._jdf.queryExecution().analyzed()
+    while "WithState" not in plan.nodeName():
+        plan = plan.children().head()
+    assert plan.children().head().output().size() <= 6
+
+
+def test_state_functions_with_nulls_over_two_batches(spark):
+    """Missing lengths, ports, protocols of a flow and addresses, before and after the state was kept."""
+    import datetime as dt
+
+    from netsieve import schemas
+    from netsieve.streaming import streams as ST
+
+    t0 = dt.datetime(2024, 1, 1)
+    src, out, ck, out2, ck2 = (scratch_dir(spark, f"nulls-{x}") for x in ("in", "out", "ck", "out2", "ck2"))
+    drops = [[(1, 0, None, None, None), (2, 10, "a", 70, 5)], [(3, 40, None, 30, None), (4, 200, "b", None, 9)]]
+    for d in drops:
+        rows = [(i, t0 + dt.timedelta(seconds=s), 1, a, "x", 6, port, None, None, 0, n, "") for i, s, a, n, port in d]
+        spark.createDataFrame(rows, schemas.PACKET).coalesce(1).write.mode("append").parquet(src)
+        packets = ST.packet_stream(spark, src, max_files=None)
+        ST.run_to_files(ST.flow_state(packets, gap_seconds=60, watermark="600 seconds"), out, ck)
+        ST.run_to_files(ST.buffer_state(packets, window_seconds=60, cap=3, watermark="600 seconds"), out2, ck2)
+    flows = spark.read.parquet(out).unionByName(ST.open_flows(spark, ck)).orderBy("flow_start").collect()
+    got = [(r.n_packets, r.src_port, r.dst_port, r.tot_fwd_pkts, r.tot_bwd_pkts, r.totlen_fwd_pkts, r.totlen_bwd_pkts, r.pkt_len_std,
+            r.flow_iat_max) for r in flows]
+    assert got == [(3, None, None, 2, 1, 30.0, 70.0, 20.0, 30000.0), (1, 9, None, 1, 0, None, None, None, None)]
+    rows = {r.packet_id: (r.n_buffer, r.pkt_len_std, r.flow_iat_max) for r in spark.read.parquet(out2).collect()}
+    assert {k: v[::2] for k, v in rows.items()} == {1: (1, 0.0), 2: (2, 10000.0), 3: (3, 30000.0), 4: (1, 160000.0)}
+    assert rows[2][1] == 0.0 and rows[3][1] == 20.0
