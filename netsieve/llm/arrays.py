@@ -61,6 +61,12 @@ class RangeHash:
         raw = (self.prefix[end] - self.prefix[start]) * self.back[start]
         return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def windows(self, width: int) -> np.ndarray:
+        """``of`` each range of ``width`` codes, by where it starts."""
+        n = max(0, len(self.prefix) - width)
+        raw = (self.prefix[width:] - self.prefix[:n]) * self.back[:n]
+        return mix(raw + np.uint64(width * 0xD6E8FEB86659FD93 & _MASK))
+
 
 def byte_hash(buf: np.ndarray) -> RangeHash:
     return RangeHash(_BYTE_CODE[buf])

@@ -117,6 +117,53 @@ def test_suffixes_sorted_bucket_by_bucket(monkeypatch):
     assert len(whole) > 20 and parts == whole
 
 
+def test_large_buckets_are_dealt_on_in_runs(spark):
+    """A bucket above the bound goes on in runs, not as a row for each suffix; results are those of brute force."""
+    rng = np.random.default_rng(8)
+    hot = "".join(rng.choice(list("abcdefg "), 30))
+    text = lambda n: "".join(rng.choice(list("hijk"), n))
+    near = [text(30) + hot + text(30) for _ in range(4)]
+    rows = [(k, text(40) + near[k % 4] + text(40) if k % 3 else text(80) + hot + text(80)) for k in range(120)]
+    rows += [(200, "ab" * 400), (201, "ab" * 300 + "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for bucket in (1, 40, 400):
+        got = {r["doc_id"]: (r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["starts"]), hashlib.sha256(bytes(r["kept"])).hexdigest())
+               for r in suffix_dedup.dedup_substrings(df, bucket=bucket).collect()}
+        assert got == brute_substrings(rows)
+    runs = [bytes(rng.choice([0, 97, 98, 255], 50 + int(n)).astype(np.uint8)) for n in rng.integers(0, 60, 300)]
+    entries = pa.RecordBatch.from_pydict({"key": [3] * 300, "run": list(range(300)), "first_id": list(range(300)), "bytes": runs})
+    finer = pa.Table.from_batches(suffix_dedup._finer(iter([entries])))
+    # Every suffix in one shorter run, with the bytes of its entry.
+    assert sorted((r["run"], r["place"] + i, r["bytes"][i:i + 50]) for r in finer.to_pylist() for i in range(len(r["bytes"]) - 49)) == sorted(
+        (k, i, b[i:i + 50]) for k, b in enumerate(runs) for i in range(len(b) - 49))
+    assert finer.num_rows < sum(len(b) - 49 for b in runs) / 3
+
+
+def test_places_of_common_keys(monkeypatch):
+    """Keys with several texts keep all their places, however the lists of a share are cut and held."""
+    rng = np.random.default_rng(9)
+    key = np.concatenate([rng.integers(-50, 50, 400), np.full(300, 7)])
+    row = np.concatenate([rng.integers(0, 400, 400), np.arange(300)])
+    key[:30], row[:30] = 1000 + np.arange(30) // 3, np.arange(30) // 3  # several places in one text
+    places = list(zip(key.tolist(), row.tolist(), range(700), range(50, 750)))
+    texts: dict[int, set] = {}
+    for k, r, *_ in places:
+        texts.setdefault(k, set()).add(r)
+    want = sorted(p for p in places if len(texts[p[0]]) > 1)
+    packed = []
+    for share in range(3):
+        mine = [p for p in places if p[0] % 3 == share]
+        for at in range(0, len(mine), 11):
+            packed.append((share, *([p[c] for p in mine[at:at + 11]] for c in range(4))))
+    schema = pa.schema({"share": pa.int32(), "key": pa.list_(pa.int64()), "row": pa.list_(pa.int64()),
+                        "start": pa.list_(pa.int32()), "stop": pa.list_(pa.int32())})
+    table = pa.table({n: [p[i] for p in packed] for i, n in enumerate(schema.names)}, schema=schema)
+    for held in (1 << 20, 40, 1):
+        monkeypatch.setattr(suffix_dedup, "HELD", held)
+        got = [tuple(r.values()) for b in suffix_dedup._common(iter(table.to_batches(max_chunksize=5))) for r in b.to_pylist()]
+        assert sorted(got) == want
+
+
 def test_jaccard_links_and_odd_rows(docs):
     got = {r["doc_id"]: r for r in jaccard.jaccard_join(docs).collect()}
     assert [got[i]["component_id"] for i in (1, 2, 3)] == [1, 1, 1]
