@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from netsieve.llm import arrays, blocks
-from netsieve.llm.components import components, durable
+from netsieve.llm.components import components, discard, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -149,40 +149,46 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     bands, rows = bands_and_rows(threshold, recall)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    marked = durable(texts.mapInArrow(_signatures(n, bands, rows),
-                                      "id long, s1 long, s2 long, n_grams long, bands array<long>"))
+    marked = written(texts.mapInArrow(_signatures(n, bands, rows),
+                                      "id long, s1 long, s2 long, n_grams long, bands array<long>"), "op2-marked")
     mark = F.struct("s1", "s2", "n_grams", "bands")
     able = (marked.where("id is not null and n_grams > 0").groupBy("id").agg(F.min(mark).alias("m"), F.count("*").alias("n"))
             .select("id", "n", "m.*"))
-    classes = durable(able.groupBy("s1", "s2", "n_grams").agg(
-        F.min("id").alias("class_id"), F.sum("n").alias("size"), F.first("bands").alias("bands")))
-    in_band = classes.select("class_id", F.posexplode("bands").alias("band", "hash"))
+    banded = written(able.groupBy("s1", "s2", "n_grams").agg(
+        F.min("id").alias("class_id"), F.sum("n").alias("size"), F.first("bands").alias("bands")), "op2-banded")
+    # The band hashes are most of these tables, and are needed for the edges alone.
+    ids, able = written(marked.select("id"), "op2-ids"), written(able.drop("bands", "n"), "op2-able")
+    classes = written(banded.drop("bands"), "op2-classes")
+    discard(marked)
+    in_band = banded.select("class_id", F.posexplode("bands").alias("band", "hash"))
     hubs = (in_band.groupBy("band", "hash").agg(F.min("class_id").alias("hub"), F.count("*").alias("n"))
             .where("n > 1").select(F.col("band").alias("h_band"), F.col("hash").alias("h_hash"), "hub"))
     # A class has a hub in each band at most; its smallest hub joins it and its other hubs, so that a large group has about
     # one edge a class, not one a band.
     led = (in_band.join(hubs, (F.col("hash") == F.col("h_hash")) & (F.col("band") == F.col("h_band")))
            .groupBy("class_id").agg(F.collect_set("hub").alias("hubs")))
-    edges = (led.select(F.explode(F.array_append("hubs", F.col("class_id"))).alias("a"), F.array_min("hubs").alias("b"))
-             .where("a != b").distinct())
+    edges = written(led.select(F.explode(F.array_append("hubs", F.col("class_id"))).alias("a"), F.array_min("hubs").alias("b"))
+                    .where("a != b").distinct(), "op2-edges")
+    discard(banded)
     families = components(edges).withColumnRenamed("component", "family")
-    members = families.join(classes.drop("bands"), F.col("node") == F.col("class_id")).select(
+    members = families.join(classes, F.col("node") == F.col("class_id")).select(
         "class_id", "size", "s1", "family")
-    dealt = durable(blocks.block_pairs(members, ["family"], "class_id", BLOCK))
+    dealt = written(blocks.block_pairs(members, ["family"], "class_id", BLOCK), "op2-dealt")
     texts = texts.join(members.select("class_id").hint("shuffle_hash"), F.col("id") == F.col("class_id"), "left_semi")
-    found = durable(dealt.join(texts, F.col("class_id") == F.col("id")).drop("id")
-                    .groupBy("family", "lo", "hi").applyInArrow(_verify(n, threshold), "class_id long, hub long, links long"))
+    found = written(dealt.join(texts, F.col("class_id") == F.col("id")).drop("id")
+                    .groupBy("family", "lo", "hi").applyInArrow(_verify(n, threshold), "class_id long, hub long, links long"), "op2-found")
+    discard(edges, dealt)
     grouped = components(found.where("class_id != hub").select(F.col("class_id").alias("a"), F.col("hub").alias("b")))
     linked = (found.groupBy("class_id").agg(F.sum("links").alias("links"))
               .join(grouped, F.col("class_id") == F.col("node")).select("class_id", "links", "component"))
-    full = (classes.drop("bands").withColumnRenamed("class_id", "c_id").join(linked, F.col("c_id") == F.col("class_id"), "left")
+    full = (classes.withColumnRenamed("class_id", "c_id").join(linked, F.col("c_id") == F.col("class_id"), "left")
             .select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n_grams").alias("cn"), "c_id", "size",
                     F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "c_id").alias("component")))
-    of_id = (able.drop("bands", "n").join(full, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2"))
+    of_id = (able.join(full, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2"))
                                           & (F.col("n_grams") == F.col("cn")))
              .select(F.col("id").alias("o_id"), "c_id", (F.col("links") + F.col("size") - 1).alias("links"), "component"))
     component = F.coalesce("component", "id")
-    return (marked.select("id").join(of_id, F.col("id") == F.col("o_id"), "left")
+    return (ids.join(of_id, F.col("id") == F.col("o_id"), "left")
             .select(F.col("id").alias(id_col), F.coalesce("c_id", "id").alias("class_id"),
                     F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
                     F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from netsieve.llm import arrays, jaccard
-from netsieve.llm.components import durable
+from netsieve.llm.components import discard, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -125,7 +125,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
                        F.col(host_col).cast("string").alias("host"), held.alias("carry"))
     rows = rows.withColumn("row_key", F.xxhash64("id", "host", "text"))
-    found = durable(rows.select("row_key", "host", "text").mapInArrow(_lines, "row_key long, host string, lines array<long>"))
+    found = written(rows.select("row_key", "host", "text").mapInArrow(_lines, "row_key long, host string, lines array<long>"), "op9-lines")
     lines = found.select("host", "row_key", F.explode("lines").alias("line"))
     near = jaccard.jaccard_join(rows, "row_key", "text").select(
         F.col("row_key").alias("n_key"), "component_id").distinct()
@@ -135,9 +135,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     common = (counted.groupBy("host", "line", "text_key").agg(F.lit(1).alias("one"))
               .groupBy("host", "line").count().where(F.col("count") > max_texts)
               .select(F.col("host").alias("c_host"), F.col("line").alias("c_line")))
-    removed = (lines.join(common, F.col("host").eqNullSafe(F.col("c_host")) & (F.col("line") == F.col("c_line")))
-               .groupBy(F.col("row_key").alias("r_key")).agg(F.collect_set("line").alias("gone")))
-    measured = (rows.join(removed, F.col("row_key") == F.col("r_key"), "left").select("id", "text", "carry", "gone")
+    # Written, so that the shuffles behind it are gone before the texts are dealt out.
+    removed = written(lines.join(common, F.col("host").eqNullSafe(F.col("c_host")) & (F.col("line") == F.col("c_line")))
+                      .groupBy(F.col("row_key").alias("r_key")).agg(F.collect_set("line").alias("gone")), "op9-removed")
+    discard(found)
+    measured = (rows.join(removed.hint("shuffle_hash"), F.col("row_key") == F.col("r_key"), "left").select("id", "text", "carry", "gone")
                 .mapInArrow(_measure, f"id {id_type}, carry {rows.schema['carry'].dataType.simpleString()}, n_words long, "
                                       "word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
                                       "n_removed_words long, kept_text string, starts array<int>, ends array<int>"))

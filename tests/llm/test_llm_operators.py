@@ -1,6 +1,7 @@
 """Operators on small fixtures: odd rows, empty tables, clashing columns, brute-force comparisons."""
 
 import hashlib
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -164,6 +165,21 @@ def test_places_of_common_keys(monkeypatch):
         assert sorted(got) == want
 
 
+def test_quality_rules_leave_little_on_disk(spark):
+    """When the texts are dealt out at the end, no band hashes or line lists are left in the shared folder."""
+    rng = np.random.default_rng(10)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(500)]
+    rows = [(k, "\n".join(" ".join(rng.choice(words, 4)) for _ in range(20)), "host") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    held = lambda: {p: os.path.getsize(p) for d, _, names in os.walk(folder) for n in names if os.path.isfile(p := os.path.join(d, n))}
+    before = held()
+    got = quality_rules.quality_rules(df)
+    left = sum(size for p, size in held().items() if p not in before)
+    assert left < 200 * len(rows), left
+    assert got.count() == len(rows)
+
+
 def test_jaccard_links_and_odd_rows(docs):
     got = {r["doc_id"]: r for r in jaccard.jaccard_join(docs).collect()}
     assert [got[i]["component_id"] for i in (1, 2, 3)] == [1, 1, 1]
