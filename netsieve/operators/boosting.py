@@ -1,11 +1,13 @@
 """Multi-class boosted trees with one softmax loss: one tree per class and round, grown on binned features.
 
 Rows are binned once (quantile edges) and carry the margins of the rounds so far, as an RDD of blocks: the arrays of one
-Arrow batch, so that a pass moves bytes and not a list per row, and starts without a query plan. Each level of a round is one
-pass: every partition sums gradients and Hessians per (class, node, feature, bin), Spark brings the sums of a node together
-(at most 2^5 nodes per class of a partition, whatever its rows) and finds the best split there, and the driver receives the splits
-alone. After the last level a pass adds the leaf
-values to the margins, and the weighted log loss and error of both splits join the curve. Training
+Arrow batch, so that a pass moves bytes and not a list per row, and starts without a query plan. The blocks are dealt over the
+cores, not over more tasks than their rows are worth: what a pass has to bring together grows with its tasks. Each level of a
+round is one pass: every partition sums gradients and Hessians per (class, node, feature, bin), of the lighter child of a split
+alone, as the other child's sums are those of their parent less these. The driver adds up the sums of a few partitions itself, Spark
+brings together those of many first; either way at most 2^4 nodes per class reach the driver, whatever the rows, and it
+finds the splits. The pass after the last level adds the leaf values to the margins, brings the weighted log loss and error of both splits
+for the curve, and the sums of the next round's roots. Training
 stops when the error on the held-out rows has not fallen for ``patience`` rounds; the rounds up to the best are kept.
 
 Margins are persisted and every ``CUT`` rounds checkpointed (``spark.checkpoint.dir``), so a lost executor recomputes a
@@ -24,7 +26,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel, cloudpickle
+from pyspark import RDD, StorageLevel, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +43,12 @@ MIN_HESSIAN = 1.0
 MAX_STEP = 1.0
 SHARE = 0.8  # of rows per round and of features per tree
 CUT = 10
+#: Rows that are worth a task of their own in a pass, and rows of a task where there are more than the cores take at that.
+TASK_ROWS, FULL_TASK = 10_000, 1_000_000
+#: Bytes of sums that the driver adds up itself.
+DIRECT = 4 << 20
+#: Rows whose temporary arrays are small enough for memory that is not given back in between.
+CHUNK = 1024
 
 
 @dataclass
@@ -127,21 +135,25 @@ def histograms(bins: np.ndarray, slot: np.ndarray, grad: np.ndarray, hess: np.nd
     return out
 
 
-def best_split(h: np.ndarray, features: np.ndarray) -> tuple[int, int, float, float, float, float, float]:
-    """(feature, cut, gain, and gradient and Hessian sums left and right) of the best split by the sums of ``features``; feature
-    -1: none gains."""
-    g, s = h
-    total_g, total_h = g[0].sum(), s[0].sum()
-    left_g, left_h = np.cumsum(g, 1)[:, :-1], np.cumsum(s, 1)[:, :-1]
+def best_splits(h: np.ndarray, features: np.ndarray) -> list[tuple[int, int, float, float, float, float]]:
+    """(feature, cut, and gradient and Hessian sums left and right) of the best split of each node by the sums of ``features``,
+    shape (nodes, 2, features, bins); feature -1: none gains, and the sums of the node stand on the left."""
+    g, s = h[:, 0], h[:, 1]
+    total_g, total_h = g[:, :1].sum(2, keepdims=True), s[:, :1].sum(2, keepdims=True)
+    left_g, left_h = np.cumsum(g, 2)[:, :, :-1], np.cumsum(s, 2)[:, :, :-1]
     right_g, right_h = total_g - left_g, total_h - left_h
     gain = left_g ** 2 / (left_h + LAMBDA) + right_g ** 2 / (right_h + LAMBDA) - total_g ** 2 / (total_h + LAMBDA)
     gain[(left_h < MIN_HESSIAN) | (right_h < MIN_HESSIAN)] = -np.inf
-    if gain.size == 0 or not gain.max() > 1e-9:
-        return -1, 0, 0.0, total_g, total_h, 0.0, 0.0
-    # Of splits that gain alike the first: which sum comes out larger in its last bits depends on the order of addition.
-    first = int(np.flatnonzero(gain.ravel() >= gain.max() * (1 - 1e-9))[0])
-    f, c = np.unravel_index(first, gain.shape)
-    return int(features[f]), int(c), float(gain[f, c]), float(left_g[f, c]), float(left_h[f, c]), float(right_g[f, c]), float(right_h[f, c])
+    out = []
+    for i, each in enumerate(gain):
+        if each.size == 0 or not each.max() > 1e-9:
+            out.append((-1, 0, float(total_g[i, 0, 0]), float(total_h[i, 0, 0]), 0.0, 0.0))
+            continue
+        # Of splits that gain alike the first: which sum comes out larger in its last bits depends on the order of addition.
+        first = int(np.flatnonzero(each.ravel() >= each.max() * (1 - 1e-9))[0])
+        f, c = np.unravel_index(first, each.shape)
+        out.append((int(features[f]), int(c), *(float(x[i, f, c]) for x in (left_g, left_h, right_g, right_h))))
+    return out
 
 
 def leaf(g: float, h: float) -> float:
@@ -165,10 +177,56 @@ def _sampled(key: np.ndarray, round_: int, seed: int) -> np.ndarray:
 
 
 def gradients(margin: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    p = softmax(margin)
-    g = p.copy()
-    g[np.arange(len(y)), y] -= 1.0
-    return g * w[:, None], np.maximum(2.0 * p * (1.0 - p), 1e-16) * w[:, None]
+    """Gradients and Hessians, shape (classes, rows) as the margins; a ``CHUNK`` of rows at a time."""
+    g, h = np.empty(margin.shape), np.empty(margin.shape)
+    for i in range(0, len(y), CHUNK):
+        to = slice(i, i + CHUNK)
+        m = margin[:, to]
+        p = np.exp(m - m.max(0))
+        p /= p.sum(0)
+        h[:, to] = np.maximum(2.0 * p * (1.0 - p), 1e-16) * w[to]
+        p[y[to], np.arange(p.shape[1])] -= 1.0
+        g[:, to] = p * w[to]
+    return g, h
+
+
+def level_sums(blocks: Iterator[tuple], round_: int, seed: int, trees: list[Tree], asked: list[list[int]],
+               allowed: list[np.ndarray]) -> dict[int, np.ndarray]:
+    """Per class the histograms of the nodes ``asked`` for, by the training rows that the round draws."""
+    total: dict = {}
+    for key, val, y, w, bins, margin in blocks:
+        take = np.flatnonzero(~val & _sampled(key, round_, seed))
+        if not len(take):
+            continue
+        bins = bins[take]
+        g, h = gradients(margin[:, take], y[take], w[take])
+        for k, (tree, nodes) in enumerate(zip(trees, asked)):
+            if not nodes:
+                continue
+            slots = np.full(len(tree.feature), -1)
+            slots[nodes] = np.arange(len(nodes))
+            slot = slots[tree.nodes(bins)]
+            live = np.flatnonzero(slot >= 0)
+            got = (histograms(bins, slot, g[k], h[k], allowed[k], len(nodes)) if len(live) == len(slot) else
+                   histograms(bins[live], slot[live], g[k][live], h[k][live], allowed[k], len(nodes)))
+            total[k] = total[k] + got if k in total else got
+    return total
+
+
+def losses(block: tuple) -> np.ndarray:
+    """Weight, loss and error of the training rows, then of the held-out rows."""
+    _, val, y, w, _, margin = block
+    out = np.zeros((2, 3))
+    for i in range(0, len(y), CHUNK):
+        to = slice(i, i + CHUNK)
+        m, v, here = margin[:, to], val[to], y[to]
+        p = np.exp(m - m.max(0))
+        p /= p.sum(0)
+        weight = np.where(v, 1.0, w[to])  # held-out rows count alike
+        loss = -np.log(np.maximum(p[here, np.arange(len(here))], 1e-16))
+        each = np.stack([weight, weight * loss, weight * (p.argmax(0) != here)])
+        out += np.stack([each[:, ~v].sum(1), each[:, v].sum(1)])
+    return out
 
 
 def train(df: DataFrame, label: str, features: list[str], key: str, validation_col: str | None = None, weight_col: str | None = None,
@@ -195,83 +253,101 @@ def train(df: DataFrame, label: str, features: list[str], key: str, validation_c
     width, classes = len(features), len(labels)
     number = {name: k for k, name in enumerate(labels)}
 
+    if classes < 2:
+        narrow.unpersist()
+        return model
+    cores, rows = spark.sparkContext.defaultParallelism, narrow.count()
+    tasks = max(1, min(cores, rows // TASK_ROWS), -(-rows // FULL_TASK))
+
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = bin_rows([pc.fill_null(b[c], np.nan).to_numpy(zero_copy_only=False) for c in cols], edges)
             y = np.array([number.get(v, -1) for v in b["label"].to_pylist()], np.int32)
             on = y >= 0
             key, val, w = (c.to_numpy(zero_copy_only=False)[on] for c in (pc.fill_null(b["key"], 0), b["val"], pc.fill_null(b["w"], 0.0)))
-            block = key, val, y[on], w, x[on], np.zeros((int(on.sum()), classes))
+            block = key, val, y[on], w, x[on], np.zeros((classes, int(on.sum())))
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], names=["block"])
 
-    if classes < 2:
-        narrow.unpersist()
-        return model
-    data = narrow.mapInArrow(start, "block binary").rdd.map(lambda row: pickle.loads(row.block)).persist(StorageLevel.MEMORY_AND_DISK)
-    reducers = max(1, min(spark.sparkContext.defaultParallelism, classes * 4))
+    data = narrow.repartition(tasks).mapInArrow(start, "block binary").rdd.map(lambda row: pickle.loads(row.block)).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def together(parts: RDD, each: int) -> dict:
+        """Arrays of all partitions added up by key; ``each``: bytes of a partition."""
+        if tasks * each > DIRECT:
+            parts = parts.reduceByKey(operator.add, max(1, min(cores, classes * 4)))
+        out: dict = {}
+        for k, x in parts.collect():
+            out[k] = out[k] + x if k in out else x
+        return out
+
+    def allowed_of(r: int) -> list[np.ndarray]:
+        return [np.flatnonzero(_features_of(r, k, width, seed)) for k in range(classes)]
+
+    def bytes_of(nodes: list[list[int]], allowed: list[np.ndarray]) -> int:
+        return sum(len(n) * len(a) for n, a in zip(nodes, allowed)) * 2 * BINS * 8
+
+    def keyed(blocks: Iterator[tuple], *asked) -> Iterator[tuple]:
+        nodes = asked[3]
+        return (((k, v), x) for k, each in level_sums(blocks, *asked).items() for v, x in zip(nodes[k], each))
+
+    allowed, roots = allowed_of(0), [[0] for _ in labels]
+    first = 0, seed, [Tree.empty(DEPTH) for _ in labels], roots, allowed
+    sums = together(data.mapPartitions(lambda blocks: keyed(blocks, *first)), bytes_of(roots, allowed)) if max_iter else {}
     best, since = np.inf, 0
     for r in range(max_iter):
         trees = [Tree.empty(DEPTH) for _ in labels]
-        allowed = [np.flatnonzero(_features_of(r, k, width, seed)) for k in range(classes)]
-        open_nodes = [[0] for _ in labels]
-        for _ in range(DEPTH):
-            def sums(blocks: Iterator[tuple]) -> Iterator[tuple]:
-                total: dict = {}
-                for key, val, y, w, bins, margin in blocks:
-                    take = ~val & _sampled(key, r, seed)
-                    if not take.any():
-                        continue
-                    bins = bins[take]
-                    g, h = gradients(margin[take], y[take], w[take])
-                    for k, tree in enumerate(trees):
-                        if not open_nodes[k]:
-                            continue
-                        slots = np.full(len(tree.feature), -1)
-                        slots[open_nodes[k]] = np.arange(len(open_nodes[k]))
-                        slot = slots[tree.nodes(bins)]
-                        live = slot >= 0
-                        got = histograms(bins[live], slot[live], g[live, k], h[live, k], allowed[k], len(open_nodes[k]))
-                        total[k] = total[k] + got if k in total else got
-                for k, each in total.items():
-                    yield from (((k, v), x) for v, x in zip(open_nodes[k], each))
-
-            found = (data.mapPartitions(sums).reduceByKey(operator.add, reducers)
-                     .map(lambda x: (*x[0], *best_split(x[1], allowed[x[0][0]]))).collect())
-            open_nodes = [[] for _ in labels]
-            for k, v, feature, cut, _gain, lg, lh, rg, rh in sorted(found):
-                tree = trees[k]
-                if feature < 0:
-                    tree.value[v] = leaf(lg, lh)
+        level = [{v: sums[k, v] for v in roots[k] if (k, v) in sums} for k in range(classes)]
+        for depth in range(DEPTH):
+            asked: list[list[int]] = [[] for _ in labels]
+            for k, tree in enumerate(trees):
+                if not level[k]:
                     continue
-                tree.feature[v], tree.cut[v] = feature, cut
-                tree.value[2 * v + 1], tree.value[2 * v + 2] = leaf(lg, lh), leaf(rg, rh)
-                open_nodes[k] += [2 * v + 1, 2 * v + 2]
-            if not any(open_nodes):
+                for v, (feature, cut, lg, lh, rg, rh) in zip(level[k], best_splits(np.stack([*level[k].values()]), allowed[k])):
+                    if feature < 0:
+                        tree.value[v] = leaf(lg, lh)
+                        continue
+                    tree.feature[v], tree.cut[v] = feature, cut
+                    tree.value[2 * v + 1], tree.value[2 * v + 2] = leaf(lg, lh), leaf(rg, rh)
+                    asked[k].append(2 * v + 1 + int(rh < lh))
+            if depth + 1 == DEPTH or not any(asked):
                 break
+            ask = r, seed, trees, asked, allowed
+            sums = together(data.mapPartitions(lambda blocks: keyed(blocks, *ask)), bytes_of(asked, allowed))
+            for k, above in enumerate(level):
+                level[k] = {}
+                for v in asked[k]:
+                    parent = (v - 1) // 2
+                    here = sums.get((k, v), np.zeros_like(above[parent]))
+                    sides = (here, above[parent] - here) if v % 2 else (above[parent] - here, here)
+                    level[k] |= {2 * parent + 1: sides[0], 2 * parent + 2: sides[1]}
 
         def add(block: tuple) -> tuple:
             *rest, bins, margin = block
-            return (*rest, bins, margin + np.stack([t.value[t.nodes(bins)] for t in trees], 1))
-
-        def score(block: tuple) -> np.ndarray:
-            """Weight, loss and error of the training rows, then of the held-out rows."""
-            _, val, y, w, _, margin = block
-            if not len(y):
-                return np.zeros((2, 3))
-            p = softmax(margin)
-            w = np.where(val, 1.0, w)  # held-out rows count alike
-            loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-16))
-            each = np.stack([w, w * loss, w * (p.argmax(1) != y)], 1)
-            return np.stack([each[~val].sum(0), each[val].sum(0)])
+            return (*rest, bins, margin + np.stack([t.value[t.nodes(bins)] for t in trees]))
 
         grown = data.map(add).persist(StorageLevel.MEMORY_AND_DISK)
         if (r + 1) % CUT == 0:
             grown.checkpoint()
-        tell = grown.map(score).fold(np.zeros((2, 3)), operator.add)
+        allowed = allowed_of(r + 1)
+        following = r + 1, seed, first[2], roots, allowed
+
+        def tell(blocks: Iterator[tuple]) -> Iterator[tuple]:
+            """Losses after this round, and the sums of the next one's roots."""
+            seen = np.zeros((2, 3))
+
+            def passed() -> Iterator[tuple]:
+                nonlocal seen
+                for block in blocks:
+                    seen = seen + losses(block)
+                    yield block
+
+            yield from keyed(passed(), *following)
+            yield None, seen
+
+        sums = together(grown.mapPartitions(tell), bytes_of(roots, allowed))
         data.unpersist()
         data = grown
         model.rounds.append(trees)
-        at = {name: (loss / w, err / w) for name, (w, loss, err) in zip(("train", "test"), tell) if w}
+        at = {name: (loss / w, err / w) for name, (w, loss, err) in zip(("train", "test"), sums.pop(None)) if w}
         model.curve += [(r, name, float(at[name][0]), float(at[name][1])) for name in ("train", "test") if name in at]
         if "test" in at:
             best, since = (at["test"][1], 0) if at["test"][1] < best else (best, since + 1)

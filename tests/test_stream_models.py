@@ -374,3 +374,49 @@ def test_state_functions_with_nulls_over_two_batches(spark):
     rows = {r.packet_id: (r.n_buffer, r.pkt_len_std, r.flow_iat_max) for r in spark.read.parquet(out2).collect()}
     assert {k: v[::2] for k, v in rows.items()} == {1: (1, 0.0), 2: (2, 10000.0), 3: (3, 30000.0), 4: (1, 160000.0)}
     assert rows[2][1] == 0.0 and rows[3][1] == 20.0
+
+
+def test_a_level_sums_the_lighter_children_over_few_tasks(spark):
+    """Tables cut into many small partitions: a pass has the tasks that its rows are worth, one stage and one job per level."""
+    from netsieve.operators import boosting as B
+
+    rows = [(i, ("a", "b", "c")[i * 7 % 3], float(i % 11), float(i % 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, label string, a double, b double").repartition(40)
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+
+    def stages(rounds):
+        context.setJobGroup(f"levels-{rounds}", "levels")
+        try:
+            model = B.train(df, "label", ["a", "b"], "row_id", max_iter=rounds)
+        finally:
+            context._jsc.clearJobGroup()
+        infos = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(f"levels-{rounds}") for s in tracker.getJobInfo(j).stageIds]
+        return model, [i.numTasks for i in infos if i is not None and i.numCompletedTasks]
+
+    (short, before), (long, after) = stages(1), stages(5)
+    assert len(long.rounds) == 5 and len(after) - len(before) <= 4 * B.DEPTH
+    assert sum(after) - sum(before) <= 4 * B.DEPTH + 4  # one partition's rows; a checkpoint may add tasks
+    wide = B.train(df, "label", ["a", "b"], "row_id", max_iter=1)
+    assert [t.cut.tolist() for t in wide.rounds[0]] == [t.cut.tolist() for t in short.rounds[0]]
+
+
+def test_sums_of_many_partitions_are_brought_together_first(spark, monkeypatch):
+    """With and without a shuffle of the sums: the same trees and curve."""
+    import numpy as np
+
+    from netsieve.operators import boosting as B
+
+    rng = np.random.default_rng(8)
+    rows = [(i, "abcd"[int(rng.integers(4)) if i % 5 == 0 else int(x > 4) + 2 * int(y > 6)], x, y, i % 4 == 0)
+            for i, (x, y) in enumerate(rng.integers(0, 10, (2000, 2)).astype(float).tolist())]
+    df = spark.createDataFrame(rows, "row_id long, label string, a double, b double, held boolean")
+    few = B.train(df, "label", ["a", "b"], "row_id", "held", max_iter=4)
+    monkeypatch.setattr(B, "DIRECT", 0)
+    monkeypatch.setattr(B, "TASK_ROWS", 500)
+    many = B.train(df, "label", ["a", "b"], "row_id", "held", max_iter=4)
+    assert len(few.curve) == len(many.curve) == 8
+    for a, b in zip(few.curve, many.curve):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9)
+    for one, two in zip(few.rounds, many.rounds):
+        for a, b in zip(one, two):
+            assert a.feature.tolist() == b.feature.tolist() and a.cut.tolist() == b.cut.tolist() and a.value == pytest.approx(b.value)
